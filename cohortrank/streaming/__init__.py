@@ -1,0 +1,8 @@
+"""Streaming: intentionally empty.
+
+The reference has no streaming source, watermark, window or state; every
+pipeline is a batch job. The batch operators of this package are plain
+DataFrame transformations, so they can be applied to a streaming DataFrame
+where Spark allows the same operators (projections, filters, joins to static
+dimensions) without separate code.
+"""
