@@ -90,6 +90,79 @@ def q_monotone_anchors(spark, sf):
     return L.anchors_of(inputs)
 
 
+# ---- Q4 / Q6 quality family -------------------------------------------------
+from .operators import sets as U  # noqa: E402
+from .plans import quality as Qy  # noqa: E402
+
+SUPPLIER_KEY = ["s_name", "s_nationkey"]
+
+
+def _pair(spark, sf):
+    from .session import table
+    return table(spark, sf, "supplier"), fx.supplier_changed(spark, sf)
+
+
+def q_duplicate_keys(spark, sf):
+    from .session import table
+    return U.duplicate_keys(table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+def q_dedup_rows(spark, sf):
+    from .session import table
+    return U.dedup_rows(table(spark, sf, "documents").select("text"))
+
+
+def q_union_exports(spark, sf):
+    a, b = fx.supplier_halves(spark, sf)
+    return U.union_exports([a, b])
+
+
+def q_combine(spark, sf):
+    a, b = fx.supplier_halves(spark, sf)
+    return Qy.combine([a, b], "s_acctbal", ["s_suppkey"])
+
+
+def q_diff_keyed(spark, sf):
+    a, b = _pair(spark, sf)
+    return Qy.diff_keyed(a, b, SUPPLIER_KEY)
+
+
+def q_diff_positional(spark, sf):
+    a, b = _pair(spark, sf)
+    return Qy.diff_positional(a, b, ["s_suppkey"])
+
+
+def q_key_membership(spark, sf):
+    a, b = _pair(spark, sf)
+    return Qy.key_membership(a, b, SUPPLIER_KEY)
+
+
+def q_shape_checks(spark, sf):
+    a, b = _pair(spark, sf)
+    return Qy.shape_checks(a, b)
+
+
+def q_diff_summary(spark, sf):
+    a, b = _pair(spark, sf)
+    return Qy.diff_summary(a, b, SUPPLIER_KEY)
+
+
+def q_diff_listing(spark, sf):
+    a, b = _pair(spark, sf)
+    return Qy.diff_listing(Qy.diff_keyed(a, b, SUPPLIER_KEY))
+
+
+def q_preview(spark, sf):
+    a, b = _pair(spark, sf)
+    return Qy.preview(a, SUPPLIER_KEY, "s_acctbal", side="a").unionByName(
+        Qy.preview(b, SUPPLIER_KEY, "s_acctbal", side="b"))
+
+
+def q_cell_tolerance(spark, sf):
+    a, b = _pair(spark, sf)
+    return Qy.cell_tolerance(a, b, SUPPLIER_KEY, "s_acctbal")
+
+
 QUERIES = {
     "score": q_score,
     "role_percentiles": q_role_percentiles,
@@ -100,4 +173,16 @@ QUERIES = {
     "supported_median": q_supported_median,
     "interpolated_strength": q_interpolated_strength,
     "monotone_anchors": q_monotone_anchors,
+    "duplicate_keys": q_duplicate_keys,
+    "dedup_rows": q_dedup_rows,
+    "union_exports": q_union_exports,
+    "combine": q_combine,
+    "diff_keyed": q_diff_keyed,
+    "diff_positional": q_diff_positional,
+    "key_membership": q_key_membership,
+    "shape_checks": q_shape_checks,
+    "diff_summary": q_diff_summary,
+    "diff_listing": q_diff_listing,
+    "preview": q_preview,
+    "cell_tolerance": q_cell_tolerance,
 }

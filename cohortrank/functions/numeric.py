@@ -34,7 +34,7 @@ def to_number(c) -> Column:
     """Safe numeric coercion. Numbers pass, bad text and NaN become NULL."""
     c = _c(c)
     s = F.trim(c.cast("string"))
-    return F.when(s.rlike(NUMERIC_RE), nan_to_null(F.try_cast(s, "double")))
+    return F.when(s.rlike(NUMERIC_RE), nan_to_null(s.try_cast("double")))
 
 
 def null_words(c, words: Sequence[str] = NULL_WORDS) -> Column:

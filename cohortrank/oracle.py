@@ -236,3 +236,107 @@ LIMIT 15"""),
         "SELECT league_key, mv_median, uefa_raw, interp, raw FROM raw"),
     "monotone_anchors": with_ctes("SELECT ax, ay, anchor_ord FROM anchors"),
 }
+
+
+# ---- quality family (Q4, Q6) ----------------------------------------------
+NUMERIC_RE = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+
+
+def to_number(expr: str) -> str:
+    s = f"trim(CAST({expr} AS VARCHAR))"
+    return f"(CASE WHEN regexp_full_match({s}, '{NUMERIC_RE}') THEN TRY_CAST({s} AS DOUBLE) END)"
+
+
+def key_part(expr: str) -> str:
+    s = f"trim(CAST({expr} AS VARCHAR))"
+    n = to_number(expr)
+    return (f"coalesce(CASE WHEN {n} IS NOT NULL AND {n} = floor({n}) AND abs({n}) < {d(1e15)} "
+            f"THEN CAST(CAST(floor({n}) AS BIGINT) AS VARCHAR) ELSE {s} END, '<NA>')")
+
+
+def composite_key(cols) -> str:
+    return "concat_ws(' | ', " + ", ".join(key_part(c) for c in cols) + ")"
+
+
+def cells_equal(a: str, b: str) -> str:
+    sa, sb = f"CAST({a} AS VARCHAR)", f"CAST({b} AS VARCHAR)"
+    na, nb = to_number(a), to_number(b)
+    return (f"(CASE WHEN {a} IS NULL AND {b} IS NULL THEN true WHEN {a} IS NULL OR {b} IS NULL THEN false "
+            f"ELSE coalesce({sa} = {sb} OR ({na} IS NOT NULL AND {nb} IS NOT NULL AND {na} = {nb}) "
+            f"OR trim({sa}) = trim({sb}), false) END)")
+
+
+SUP_KEY = composite_key(["s_name", "s_nationkey"])
+SUP_COLS = ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"]
+Q_CTES = [
+    """sup_a AS (SELECT * FROM supplier)""",
+    """sup_b AS (
+  SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN s_name || ' ' ELSE s_name END AS s_name, s_nationkey,
+         CASE WHEN s_suppkey % 7 = 0 THEN s_acctbal + 1 ELSE s_acctbal END AS s_acctbal
+  FROM supplier WHERE s_suppkey % 13 <> 0)""",
+    f"""ka AS (SELECT {SUP_KEY} AS key, * FROM sup_a)""",
+    f"""kb AS (SELECT {SUP_KEY} AS key, * FROM sup_b)""",
+    """dups AS (SELECT key FROM ka GROUP BY key HAVING count(*) > 1
+           UNION SELECT key FROM kb GROUP BY key HAVING count(*) > 1)""",
+    """kj AS (
+  SELECT ka.key, ka.s_suppkey AS a0, ka.s_acctbal AS a1, kb.s_suppkey AS b0, kb.s_acctbal AS b1
+  FROM ka JOIN kb USING (key) WHERE key NOT IN (SELECT key FROM dups))""",
+    "kdiff AS (\n" + "\n  UNION ALL\n".join(
+        f"  SELECT key, '{c}' AS column_name, CAST(a{i} AS VARCHAR) AS value_a, CAST(b{i} AS VARCHAR) AS value_b "
+        f"FROM kj WHERE NOT {cells_equal(f'a{i}', f'b{i}')}"
+        for i, c in enumerate(["s_suppkey", "s_acctbal"])) + ")",
+    """pa AS (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS idx, * FROM sup_a)""",
+    """pb AS (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS idx, * FROM sup_b)""",
+    "pdiff AS (\n" + "\n  UNION ALL\n".join(
+        f"  SELECT 'row ' || CAST(pa.idx AS VARCHAR) AS key, '{c}' AS column_name, CAST(pa.{c} AS VARCHAR) AS value_a, "
+        f"CAST(pb.{c} AS VARCHAR) AS value_b FROM pa JOIN pb USING (idx) WHERE NOT {cells_equal('pa.' + c, 'pb.' + c)}"
+        for c in SUP_COLS) + ")",
+    """halves AS (
+  SELECT * FROM supplier WHERE s_suppkey % 2 = 0
+  UNION ALL SELECT * FROM supplier WHERE s_suppkey % 2 = 1 OR s_suppkey % 10 = 0)""",
+]
+
+
+def with_q(final: str) -> str:
+    sep = "" if final.lstrip().startswith(",") else "\n"
+    return "WITH " + ",\n".join(Q_CTES) + sep + final
+
+
+ORACLE.update({
+    "duplicate_keys": "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem "
+                      "GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1",
+    "dedup_rows": "SELECT DISTINCT text FROM documents",
+    "union_exports": with_q("SELECT * FROM halves"),
+    "combine": with_q("SELECT *, row_number() OVER (ORDER BY s_acctbal IS NULL, s_acctbal DESC, s_suppkey) - 1 "
+                      "AS row_idx FROM (SELECT DISTINCT * FROM halves)"),
+    "diff_keyed": with_q("SELECT * FROM kdiff"),
+    "diff_positional": with_q("SELECT * FROM pdiff"),
+    "key_membership": with_q(
+        "SELECT coalesce(x.key, y.key) AS key, CASE WHEN x.key IS NOT NULL AND y.key IS NOT NULL THEN 'both' "
+        "WHEN x.key IS NOT NULL THEN 'only_a' ELSE 'only_b' END AS membership "
+        "FROM (SELECT DISTINCT key FROM ka) x FULL OUTER JOIN (SELECT DISTINCT key FROM kb) y ON x.key = y.key"),
+    "shape_checks": with_q(
+        "SELECT 'rows' AS check_name, CAST((SELECT count(*) FROM sup_a) AS VARCHAR) AS value_a, "
+        "CAST((SELECT count(*) FROM sup_b) AS VARCHAR) AS value_b, "
+        "(SELECT count(*) FROM sup_a) = (SELECT count(*) FROM sup_b) AS passed "
+        "UNION ALL SELECT 'columns', '4', '4', true "
+        "UNION ALL SELECT 'column names', 's_suppkey,s_name,s_nationkey,s_acctbal', "
+        "'s_suppkey,s_name,s_nationkey,s_acctbal', true"),
+    "diff_summary": with_q(
+        ", rc AS (SELECT count(*) AS rows_compared FROM kj)\n"
+        "SELECT c.column_name, CAST(coalesce(n, 0) AS BIGINT) AS n_different, rows_compared, "
+        "coalesce(n, 0) / rows_compared AS share_different "
+        "FROM (VALUES ('s_suppkey'), ('s_acctbal')) c(column_name) "
+        "LEFT JOIN (SELECT column_name, count(*) AS n FROM kdiff GROUP BY column_name) d USING (column_name) CROSS JOIN rc"),
+    "diff_listing": with_q(
+        "SELECT *, (SELECT count(*) FROM kdiff) AS n_total FROM kdiff ORDER BY key, column_name LIMIT 500"),
+    "preview": with_q(
+        "(SELECT 'a' AS side, key, s_acctbal AS value FROM ka ORDER BY s_acctbal DESC NULLS LAST, key LIMIT 5) "
+        "UNION ALL (SELECT 'b' AS side, key, s_acctbal AS value FROM kb "
+        "ORDER BY s_acctbal DESC NULLS LAST, key LIMIT 5)"),
+    "cell_tolerance": with_q(
+        "SELECT ka.key, ka.s_acctbal AS value_a, kb.s_acctbal AS value_b, "
+        "CASE WHEN ka.s_acctbal IS NULL AND kb.s_acctbal IS NULL THEN true "
+        "WHEN ka.s_acctbal IS NULL OR kb.s_acctbal IS NULL THEN false "
+        f"ELSE abs(ka.s_acctbal - kb.s_acctbal) < {d(1e-9)} END AS close FROM ka JOIN kb USING (key)"),
+})

@@ -143,3 +143,25 @@ def events_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return agg.select("user_id",
                       F.array_join(F.transform("_types", lambda s: s["event_type"]), ",")
                       .alias("position"))
+
+
+def supplier_halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Two overlapping exports of the supplier table (every row is in at least one).
+
+    Part A holds even keys, part B odd keys plus every key divisible by 10,
+    so the keys divisible by 10 arrive twice as identical rows.
+    """
+    s = table(spark, sf_dir, "supplier")
+    return (s.where(F.col("s_suppkey") % 2 == 0),
+            s.where((F.col("s_suppkey") % 2 == 1) | (F.col("s_suppkey") % 10 == 0)))
+
+
+def supplier_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A changed copy of supplier: some rows gone, some balances moved, some names padded."""
+    s = table(spark, sf_dir, "supplier")
+    k = F.col("s_suppkey")
+    return s.where(k % 13 != 0).select(
+        "s_suppkey",
+        F.when(k % 5 == 0, F.concat(F.col("s_name"), F.lit(" "))).otherwise(F.col("s_name")).alias("s_name"),
+        "s_nationkey",
+        F.when(k % 7 == 0, F.col("s_acctbal") + 1).otherwise(F.col("s_acctbal")).alias("s_acctbal"))
