@@ -163,6 +163,202 @@ def q_cell_tolerance(spark, sf):
     return Qy.cell_tolerance(a, b, SUPPLIER_KEY, "s_acctbal")
 
 
+# ---- Q7 / Q10: concept index and diagnostics ---------------------------------
+from .functions.numeric import round_half_even  # noqa: E402
+from .operators import aggregates as A  # noqa: E402
+from .operators.rank import pct_rank_global, rank_min_desc, top_per_group  # noqa: E402
+from .plans import report as R  # noqa: E402
+from .session import materialize, table  # noqa: E402
+from .spec import CANDIDATE_MAX_AGE, RETENTION_FRACTION, TOP_FRACTION  # noqa: E402
+
+CONCEPT_NAMES = list(fx.FIXTURE_CONCEPTS)
+BLOCK_NAMES = list(fx.FIXTURE_BLOCKS)
+
+
+def _pool(spark, sf):
+    return fx.players(spark, sf).where(F.col("role").isin(fx.FIXTURE_POOL_ROLES))
+
+
+def _concepts(spark, sf):
+    """Concept scores + flat index of the pool, with its market value (checkpointed)."""
+    pool = _pool(spark, sf)
+    sc = R.concept_scores(pool, "player_id", fx.FIXTURE_CONCEPTS, "age")
+    sc = sc.withColumn("flat_index", R.flat_index(CONCEPT_NAMES))
+    return materialize(sc.join(pool.select("player_id", "market_value"), "player_id", "inner"))
+
+
+def q_global_percentile(spark, sf):
+    p = fx.players(spark, sf).select("player_id", "price_per_unit")
+    return pct_rank_global(p, "price_per_unit", out="pct")
+
+
+def q_concept_index(spark, sf):
+    return _concepts(spark, sf).select("player_id", *CONCEPT_NAMES, "flat_index")
+
+
+def q_block_index(spark, sf):
+    b = R.block_scores(_concepts(spark, sf), "player_id", fx.FIXTURE_BLOCKS)
+    return b.withColumn("block_index", R.flat_index(BLOCK_NAMES))
+
+
+def q_spearman(spark, sf):
+    return A.spearman(_concepts(spark, sf), "flat_index", "market_value", "player_id")
+
+
+def q_pearson(spark, sf):
+    return A.pearson(fx.players(spark, sf), "price_per_unit", "market_value")
+
+
+def q_corr_matrix(spark, sf):
+    return A.corr_matrix(_concepts(spark, sf), CONCEPT_NAMES)
+
+
+def q_corr_with(spark, sf):
+    return A.corr_with(_concepts(spark, sf), CONCEPT_NAMES, "flat_index")
+
+
+def q_pca_variance(spark, sf):
+    return A.pca_variance(_concepts(spark, sf), CONCEPT_NAMES)
+
+
+def q_retention(spark, sf):
+    return A.retention(_concepts(spark, sf), "player_id", "flat_index", "market_value", RETENTION_FRACTION)
+
+
+def _att(spark, sf):
+    c = _concepts(spark, sf).withColumn("value_index", round_half_even(F.col("flat_index"), 1))
+    c = rank_min_desc(c, None, "value_index", out="assumed_rank")
+    return rank_min_desc(c, None, "market_value", out="actual_rank")
+
+
+def q_top_by_value(spark, sf):
+    att = _att(spark, sf)
+    return (att.orderBy(F.col("market_value").desc_nulls_last(), "player_id").limit(15)
+               .select("player_id", "market_value", "value_index", "assumed_rank", "actual_rank"))
+
+
+def q_rank_zip(spark, sf):
+    att = materialize(_att(spark, sf))
+    mvm = lambda c: round_half_even(F.col(c) / F.lit(1e6), 1)
+    a = (top_per_group(att, [], [F.col("value_index").desc_nulls_last(), F.col("player_id")], 15, out="rank")
+         .select("rank", F.col("player_id").alias("a_player_id"), F.col("value_index").alias("a_value_index"),
+                 mvm("market_value").alias("a_mv_m"), F.col("actual_rank").alias("a_actual_rank")))
+    b = (top_per_group(att, [], [F.col("market_value").desc_nulls_last(), F.col("player_id")], 15, out="rank")
+         .select("rank", F.col("player_id").alias("b_player_id"), mvm("market_value").alias("b_mv_m")))
+    return A.rank_zip(a, b, "rank")
+
+
+# ---- Q8 candidate report ------------------------------------------------------
+def _cand(spark, sf):
+    return materialize(R.candidates(scored(spark, sf), CANDIDATE_MAX_AGE))
+
+
+def q_club_status(spark, sf):
+    p = fx.players(spark, sf)
+    return p.select("player_id", "club_season", "club_now",
+                    R.club_moved(F.col("club_season"), F.col("club_now")).alias("moved"),
+                    R.club_free(F.col("club_now")).alias("free"))
+
+
+def q_quantile_cut(spark, sf):
+    return R.top_decile_test(_cand(spark, sf), TOP_FRACTION).select(
+        r9_col("cut").alias("cut"), "n_top", "n_rest")
+
+
+def r9_col(c):
+    from .functions.numeric import r9
+    return r9(F.col(c))
+
+
+def q_two_proportion(spark, sf):
+    return R.top_decile_test(_cand(spark, sf), TOP_FRACTION).select(
+        "moved_top", "n_top", "moved_rest", "n_rest", "z", "p_value")
+
+
+def q_validation(spark, sf):
+    return R.validation(_cand(spark, sf), TOP_FRACTION)
+
+
+def q_quintile_rate(spark, sf):
+    return R.quintile_rate(_cand(spark, sf))
+
+
+def q_concentration_alert(spark, sf):
+    return R.concentration_alert(_cand(spark, sf))
+
+
+def q_top_per_group(spark, sf):
+    return R.top_by_group(_cand(spark, sf)).select("role", "rank", "player_id", "idx")
+
+
+def q_payload(spark, sf):
+    return R.payload_players(_cand(spark, sf))
+
+
+def q_payload_json(spark, sf):
+    from .spec import MIN_MINUTES, FULL_SEASON
+    cand = _cand(spark, sf)
+    groups = cand.groupBy("role").agg(F.count(F.lit(1)).alias("n")).withColumn("label", F.col("role"))
+    meta = {"maxAge": CANDIDATE_MAX_AGE, "minMinutes": MIN_MINUTES, "fullSeason": FULL_SEASON}
+    header, players = R.payload_json(cand, meta, groups, R.validation(cand, TOP_FRACTION))
+    return header.withColumn("kind", F.lit("header")).unionByName(players.withColumn("kind", F.lit("player")))
+
+
+def q_radar(spark, sf):
+    return scored(spark, sf).select("player_id", "radar")
+
+
+def q_money_label(spark, sf):
+    c = table(spark, sf, "customer").select("c_custkey", (F.col("c_acctbal") * 1000).alias("value"))
+    return R.money_labels(c, "c_custkey", "value")
+
+
+def q_run_summary(spark, sf):
+    s = scored(spark, sf)
+    return s.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("league_code").alias("n_leagues"),
+                 F.count_distinct("role").alias("n_roles"), F.count_if("priced").alias("n_priced"),
+                 F.count_if(~F.col("priced")).alias("n_unpriced"))
+
+
+def q_distinct_leagues(spark, sf):
+    return _cand(spark, sf).select(F.col("league").alias("name"), F.col("country").alias("code")).distinct()
+
+
+def q_role_profile(spark, sf):
+    return scored(spark, sf).groupBy("role").agg(
+        F.count(F.lit(1)).alias("players"),
+        round_half_even(F.avg("age"), 0).alias("mean_age"),
+        round_half_even(F.avg("minutes"), 0).alias("mean_minutes"))
+
+
+def q_group_size(spark, sf):
+    return A.group_size(fx.players(spark, sf), "role")
+
+
+def q_value_shares(spark, sf):
+    return A.value_shares(table(spark, sf, "orders"), "o_orderpriority")
+
+
+def q_value_concentration(spark, sf):
+    return A.value_concentration(table(spark, sf, "part"), "p_size", 6)
+
+
+def _docs_labels(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", "lang", "n_chars").join(
+        table(spark, sf, "labels"), "doc_id", "left")
+
+
+def q_rate_by_band(spark, sf):
+    from .functions.numeric import bucketize
+    d = _docs_labels(spark, sf)
+    band = bucketize(F.col("n_chars"), fx.FIXTURE_LENGTH_EDGES, fx.FIXTURE_LENGTH_LABELS, "nan")
+    return A.rate_by(d, band.alias("b"), F.col("quality") == 1).withColumnRenamed("group", "group_value")
+
+
+def q_rate_range(spark, sf):
+    return A.rate_range(_docs_labels(spark, sf), "lang", F.col("toxic") == 1)
+
+
 QUERIES = {
     "score": q_score,
     "role_percentiles": q_role_percentiles,
@@ -185,4 +381,34 @@ QUERIES = {
     "diff_listing": q_diff_listing,
     "preview": q_preview,
     "cell_tolerance": q_cell_tolerance,
+    "global_percentile": q_global_percentile,
+    "concept_index": q_concept_index,
+    "block_index": q_block_index,
+    "spearman": q_spearman,
+    "pearson": q_pearson,
+    "corr_matrix": q_corr_matrix,
+    "corr_with": q_corr_with,
+    "pca_variance": q_pca_variance,
+    "retention": q_retention,
+    "top_by_value": q_top_by_value,
+    "rank_zip": q_rank_zip,
+    "club_status": q_club_status,
+    "quantile_cut": q_quantile_cut,
+    "two_proportion": q_two_proportion,
+    "validation": q_validation,
+    "quintile_rate": q_quintile_rate,
+    "concentration_alert": q_concentration_alert,
+    "top_per_group": q_top_per_group,
+    "payload": q_payload,
+    "payload_json": q_payload_json,
+    "radar": q_radar,
+    "money_label": q_money_label,
+    "run_summary": q_run_summary,
+    "distinct_leagues": q_distinct_leagues,
+    "role_profile": q_role_profile,
+    "group_size": q_group_size,
+    "value_shares": q_value_shares,
+    "value_concentration": q_value_concentration,
+    "rate_by_band": q_rate_by_band,
+    "rate_range": q_rate_range,
 }

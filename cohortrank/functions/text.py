@@ -116,11 +116,14 @@ def first_word(c, sep: str = " ") -> Column:
 
 
 def money_label(v) -> Column:
-    """``1.2 M€`` (one decimal, ``.0`` dropped) from 1e6 up, ``300 k€`` below, dash for NULL."""
+    """``1.2 M€`` (one decimal, a trailing ``.0`` dropped) from 1e6 up, ``300 k€`` below, dash for NULL.
+
+    Halves round up, as the report page does.
+    """
     v = _c(v)
-    m = F.format_number(F.rint(v / F.lit(1e5)) / F.lit(10.0), 1)
-    m = F.regexp_replace(F.regexp_replace(m, ",", ""), r"\.0$", "")
-    k = F.rint(v / F.lit(1000.0)).cast("long").cast("string")
+    m = F.format_string("%.1f", F.floor(v / F.lit(1e5) + F.lit(0.5)) / F.lit(10.0))
+    m = F.regexp_replace(m, r"\.0$", "")
+    k = F.floor(v / F.lit(1000.0) + F.lit(0.5)).cast("long").cast("string")
     return (F.when(v.isNull(), F.lit("—"))
              .when(v >= F.lit(1e6), F.concat(m, F.lit(" M€")))
              .otherwise(F.concat(k, F.lit(" k€"))))

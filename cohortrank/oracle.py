@@ -340,3 +340,206 @@ ORACLE.update({
         "WHEN ka.s_acctbal IS NULL OR kb.s_acctbal IS NULL THEN false "
         f"ELSE abs(ka.s_acctbal - kb.s_acctbal) < {d(1e-9)} END AS close FROM ka JOIN kb USING (key)"),
 })
+
+
+# ---- Q7 / Q10 / Q8 / aggregates --------------------------------------------
+from .sources.fixtures import (FIXTURE_BLOCKS, FIXTURE_CONCEPTS, FIXTURE_LENGTH_EDGES,  # noqa: E402
+                               FIXTURE_LENGTH_LABELS, FIXTURE_POOL_ROLES)
+from .spec import CANDIDATE_MAX_AGE, RETENTION_FRACTION, TOP_FRACTION  # noqa: E402
+
+_PCT_METRICS = list(dict.fromkeys(m for ms in FIXTURE_CONCEPTS.values() if ms for m in ms)) + ["age"]
+
+
+def mean_skip_null(exprs) -> str:
+    tot = " + ".join(f"coalesce({e}, {d(0)})" for e in exprs)
+    cnt = " + ".join(f"CAST({e} IS NOT NULL AS INTEGER)" for e in exprs)
+    return f"(CASE WHEN ({cnt}) > 0 THEN ({tot}) / ({cnt}) END)"
+
+
+def mean_null_zero_x100(exprs) -> str:
+    tot = " + ".join(f"coalesce({e}, {d(0)})" for e in exprs)
+    return f"(({tot}) / {d(len(exprs))} * {d(100)})"
+
+
+def guarded_corr(x: str, y: str) -> str:
+    f = f"FILTER (WHERE {x} IS NOT NULL AND {y} IS NOT NULL)"
+    den = f"(stddev_pop({x}) {f} * stddev_pop({y}) {f})"
+    return f"(CASE WHEN {den} > 0 THEN covar_pop({x}, {y}) {f} / {den} END)"
+
+
+def avg_rank(col: str, part: str = "") -> str:
+    p = f"PARTITION BY {part} " if part else ""
+    pv = f"PARTITION BY {part + ', ' if part else ''}{col}"
+    return (f"(CASE WHEN {col} IS NOT NULL THEN (rank() OVER ({p}ORDER BY {col}) - 1) "
+            f"+ (count(*) OVER ({pv}) + 1) / {d(2)} END)")
+
+
+def erfc_two_sided(z: str) -> str:
+    coef = [-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806,
+            0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277]
+    import math
+    x = f"(abs({z}) / {d(math.sqrt(2.0))})"
+    t = f"({d(1)} / ({d(1)} + {d(0.5)} * {x}))"
+    poly = d(coef[-1])
+    for c in reversed(coef[:-1]):
+        poly = f"({d(c)} + {t} * {poly})"
+    return f"({t} * exp(-{x} * {x} + {poly}))"
+
+
+def _band_case(col, edges, labels, other="nan"):
+    parts = [f"WHEN {col} > {d(lo)} AND {col} <= {d(hi)} THEN '{lab}'"
+             for lo, hi, lab in zip(edges[:-1], edges[1:], labels)]
+    return "CASE " + " ".join(parts) + f" ELSE '{other}' END"
+
+
+R_CTES = [
+    f"""pool AS (SELECT * FROM players WHERE role IN ({', '.join(repr(r) for r in FIXTURE_POOL_ROLES)}))""",
+    "plong AS (SELECT player_id, m.metric, CASE m.metric " + " ".join(
+        f"WHEN '{m}' THEN CAST({m} AS DOUBLE)" for m in _PCT_METRICS) + " END AS value FROM pool CROSS JOIN (VALUES "
+    + ", ".join(f"('{m}')" for m in _PCT_METRICS) + ") m(metric))",
+    f"""ppct AS (SELECT player_id, metric, {avg_rank('value', 'metric')} / count(value) OVER (PARTITION BY metric) AS pct
+  FROM plong)""",
+    "pw AS (SELECT player_id, " + ", ".join(
+        f"max(pct) FILTER (WHERE metric = '{m}') AS p_{m}" for m in _PCT_METRICS) + " FROM ppct GROUP BY player_id)",
+    "concepts AS (SELECT player_id, " + ", ".join(
+        (f"{mean_skip_null(['p_' + m for m in ms])} AS {name}" if ms else f"{d(1)} - p_age AS {name}")
+        for name, ms in FIXTURE_CONCEPTS.items()) + " FROM pw)",
+    f"""cidx AS (SELECT c.*, {mean_null_zero_x100(list(FIXTURE_CONCEPTS))} AS flat_index, p.market_value
+  FROM concepts c JOIN pool p USING (player_id))""",
+    f"""att AS (SELECT *, CASE WHEN value_index IS NOT NULL THEN rank() OVER (ORDER BY value_index DESC NULLS LAST) END AS assumed_rank,
+         CASE WHEN market_value IS NOT NULL THEN rank() OVER (ORDER BY market_value DESC NULLS LAST) END AS actual_rank
+  FROM (SELECT *, {rnd('flat_index', 1)} AS value_index FROM cidx))""",
+    f"""cand AS (
+  SELECT *, coalesce(perf_adjusted, perf_league) AS idx,
+         club_now IS NOT NULL AND NOT (club_season IS NOT DISTINCT FROM club_now) AS moved,
+         club_now IS NULL OR trim(club_now) = '' AS free
+  FROM scored WHERE age <= {d(CANDIDATE_MAX_AGE)} AND minutes IS NOT NULL)""",
+    f"""cutv AS (SELECT quantile_cont(idx, {TOP_FRACTION}) AS cut FROM cand)""",
+    f"""tt AS (
+  SELECT max(cut) AS cut, count(*) FILTER (WHERE idx >= cut) AS n_top,
+         count(*) FILTER (WHERE idx >= cut AND moved) AS moved_top,
+         count(*) FILTER (WHERE NOT (idx >= cut)) AS n_rest,
+         count(*) FILTER (WHERE NOT (idx >= cut) AND moved) AS moved_rest
+  FROM cand CROSS JOIN cutv)""",
+    f"""tz AS (
+  SELECT *, CASE WHEN n_top > 0 AND n_rest > 0 AND se > 0 THEN (p1 - p2) / se END AS z FROM (
+    SELECT *, sqrt(pool * ({d(1)} - pool) * ({d(1)} / n_top + {d(1)} / n_rest)) AS se FROM (
+      SELECT *, CAST(moved_top AS DOUBLE) / n_top AS p1, CAST(moved_rest AS DOUBLE) / n_rest AS p2,
+             (CAST(moved_top AS DOUBLE) + moved_rest) / (CAST(n_top AS DOUBLE) + n_rest) AS pool FROM tt)))""",
+    f"""tp AS (SELECT *, {r9('z')} AS z9, {r9(erfc_two_sided('z'))} AS p_value FROM tz)""",
+    f"""mvr AS (
+  SELECT {guarded_corr('rx', 'ry')} AS rho FROM (
+    SELECT {avg_rank('idx')} AS rx, {avg_rank('market_value')} AS ry FROM cand
+    WHERE priced AND idx IS NOT NULL AND market_value IS NOT NULL))""",
+]
+
+
+def with_r(final: str) -> str:
+    sep = "" if final.lstrip().startswith(",") else "\n"
+    return "WITH " + ",\n".join(CTES + R_CTES) + sep + final
+
+
+_TOP15 = "SELECT *, row_number() OVER (PARTITION BY role ORDER BY idx DESC NULLS LAST, player_id) AS rank FROM cand"
+
+ORACLE.update({
+    "global_percentile": with_r(
+        "SELECT player_id, price_per_unit, " + avg_rank("price_per_unit")
+        + " / count(price_per_unit) OVER () AS pct FROM players"),
+    "concept_index": with_r("SELECT player_id, " + ", ".join(FIXTURE_CONCEPTS) + ", flat_index FROM cidx"),
+    "block_index": with_r(
+        "SELECT player_id, " + ", ".join(f"{mean_skip_null(cs)} AS {b}" for b, cs in FIXTURE_BLOCKS.items())
+        + ", " + mean_null_zero_x100([mean_skip_null(cs) for cs in FIXTURE_BLOCKS.values()])
+        + " AS block_index FROM cidx"),
+    "spearman": with_r(
+        f"SELECT count(*) AS n, {r9(guarded_corr('rx', 'ry'))} AS rho FROM ("
+        f"SELECT {avg_rank('flat_index')} AS rx, {avg_rank('market_value')} AS ry FROM cidx "
+        "WHERE flat_index IS NOT NULL AND market_value IS NOT NULL)"),
+    "pearson": with_r(
+        "SELECT count(*) FILTER (WHERE price_per_unit IS NOT NULL AND market_value IS NOT NULL) AS n, "
+        f"{r9(guarded_corr('price_per_unit', 'market_value'))} AS r FROM players"),
+    "corr_matrix": with_r("\nUNION ALL\n".join(
+        f"SELECT '{a}' AS a, '{b}' AS b, {r9(guarded_corr(a, b))} AS r FROM cidx"
+        for a in FIXTURE_CONCEPTS for b in FIXTURE_CONCEPTS)),
+    "corr_with": with_r("\nUNION ALL\n".join(
+        f"SELECT '{a}' AS column_name, {r9(guarded_corr(a, 'flat_index'))} AS r FROM cidx" for a in FIXTURE_CONCEPTS)),
+    "retention": with_r(f"""
+, rr AS (SELECT *, CAST(floor(count(*) OVER () * {d(RETENTION_FRACTION)}) AS BIGINT) AS k, count(*) OVER () AS n_rows,
+         row_number() OVER (ORDER BY flat_index IS NULL, flat_index DESC, player_id) - 1 AS pos_a,
+         row_number() OVER (ORDER BY market_value IS NULL, market_value DESC, player_id) - 1 AS pos_b FROM cidx),
+  rt AS (SELECT *, pos_a < k AND flat_index IS NOT NULL AS top_a, pos_b < k AND market_value IS NOT NULL AS top_b FROM rr)
+SELECT max(n_rows) AS n, max(k) AS k, count(*) FILTER (WHERE top_a AND top_b) AS overlap,
+       count(*) FILTER (WHERE top_b) AS n_top_b,
+       CASE WHEN count(*) FILTER (WHERE top_b) <> 0 THEN count(*) FILTER (WHERE top_a AND top_b) / count(*) FILTER (WHERE top_b) END AS retention
+FROM rt"""),
+    "top_by_value": with_r(
+        "SELECT player_id, market_value, value_index, assumed_rank, actual_rank FROM att "
+        "ORDER BY market_value DESC NULLS LAST, player_id LIMIT 15"),
+    "rank_zip": with_r(f"""
+, za AS (SELECT row_number() OVER (ORDER BY value_index DESC NULLS LAST, player_id) AS rank, player_id AS a_player_id,
+         value_index AS a_value_index, {rnd('market_value / ' + d(1e6), 1)} AS a_mv_m, actual_rank AS a_actual_rank FROM att
+         QUALIFY rank <= 15),
+  zb AS (SELECT row_number() OVER (ORDER BY market_value DESC NULLS LAST, player_id) AS rank, player_id AS b_player_id,
+         {rnd('market_value / ' + d(1e6), 1)} AS b_mv_m FROM att QUALIFY rank <= 15)
+SELECT coalesce(za.rank, zb.rank) AS rank, a_player_id, a_value_index, a_mv_m, a_actual_rank, b_player_id, b_mv_m
+FROM za FULL OUTER JOIN zb ON za.rank = zb.rank"""),
+    "club_status": with_r(
+        "SELECT player_id, club_season, club_now, "
+        "club_now IS NOT NULL AND NOT (club_season IS NOT DISTINCT FROM club_now) AS moved, "
+        "club_now IS NULL OR trim(club_now) = '' AS free FROM players"),
+    "quantile_cut": with_r(f"SELECT {r9('cut')} AS cut, n_top, n_rest FROM tt"),
+    "two_proportion": with_r("SELECT moved_top, n_top, moved_rest, n_rest, z9 AS z, p_value FROM tp"),
+    "validation": with_r(f"""SELECT n_top AS "nTop",
+  CASE WHEN n_top > 0 THEN {rnd(d(100) + ' * moved_top / n_top', 1)} END AS "movedTop",
+  CASE WHEN n_rest > 0 THEN {rnd(d(100) + ' * moved_rest / n_rest', 1)} END AS "movedRest",
+  {rnd('p_value', 3)} AS "pValue", {rnd('rho', 2)} AS "mvCorr",
+  (SELECT count(*) FILTER (WHERE priced) FROM cand) AS "nWithMv",
+  (SELECT {rnd(d(100) + ' * (count(*) - count(*) FILTER (WHERE priced)) / count(*)', 1)} FROM cand) AS "pctNoMv"
+FROM tp CROSS JOIN mvr"""),
+    "quintile_rate": with_r("""
+, qs AS (SELECT *, CAST(ceil(5 * (row_number() OVER (ORDER BY idx, player_id)) / count(*) OVER ()) - 1 AS INTEGER) AS slice
+         FROM cand WHERE idx IS NOT NULL)
+SELECT slice, count(*) AS n, """ + d(100) + """ * count(*) FILTER (WHERE moved) / count(*) AS pct_moved FROM qs GROUP BY slice"""),
+    "concentration_alert": with_r(f"""
+, t15 AS (SELECT * FROM ({_TOP15}) WHERE rank <= 15),
+  cc AS (SELECT role, country, count(*) AS n_country FROM t15 GROUP BY role, country),
+  best AS (SELECT * FROM cc QUALIFY row_number() OVER (PARTITION BY role ORDER BY n_country DESC, country) = 1),
+  sizes AS (SELECT role, count(*) AS n_top FROM t15 GROUP BY role),
+  cpool AS (SELECT country, count(*) AS n_pool FROM cand GROUP BY country),
+  total AS (SELECT count(*) AS n_all FROM cand),
+  res AS (SELECT b.role, b.country, b.n_country, s.n_top,
+                 CAST(floor({d(100)} * b.n_country / s.n_top + {d(0.5)}) AS BIGINT) AS got,
+                 CAST(floor({d(100)} * p.n_pool / t.n_all + {d(0.5)}) AS BIGINT) AS expect
+          FROM best b JOIN sizes s USING (role) LEFT JOIN cpool p USING (country) CROSS JOIN total t)
+SELECT *, (got - expect) >= 20 AS alert FROM res"""),
+    "top_per_group": with_r(f"SELECT role, rank, player_id, idx FROM ({_TOP15}) WHERE rank <= 15"),
+    "payload": with_r(f"""SELECT player_id, player AS name, club_season AS team, club_now AS "clubNow", moved, free,
+  league, country, role AS "group", role AS pos, CAST(trunc(age) AS INTEGER) AS age,
+  CAST(trunc(minutes) AS INTEGER) AS "min", market_value AS mv, {rnd('idx', 1)} AS idx, radar FROM cand"""),
+    "radar": with_r("SELECT player_id, radar FROM scored"),
+    "money_label": f"""SELECT c_custkey, c_acctbal * 1000 AS value,
+  CASE WHEN c_acctbal * 1000 IS NULL THEN '—'
+       WHEN c_acctbal * 1000 >= {d(1e6)} THEN
+         regexp_replace(printf('%.1f', floor(c_acctbal * 1000 / {d(1e5)} + {d(0.5)}) / {d(10)}), '\\.0$', '') || ' M€'
+       ELSE CAST(CAST(floor(c_acctbal * 1000 / {d(1000)} + {d(0.5)}) AS BIGINT) AS VARCHAR) || ' k€' END AS label
+FROM customer""",
+    "run_summary": with_r(
+        "SELECT count(*) AS n_rows, count(DISTINCT league_code) AS n_leagues, count(DISTINCT role) AS n_roles, "
+        "count(*) FILTER (WHERE priced) AS n_priced, count(*) FILTER (WHERE NOT priced) AS n_unpriced FROM scored"),
+    "distinct_leagues": with_r("SELECT DISTINCT league AS name, country AS code FROM cand"),
+    "role_profile": with_r(
+        f"SELECT role, count(*) AS players, {rnd('avg(age)', 0)} AS mean_age, "
+        f"{rnd('avg(minutes)', 0)} AS mean_minutes FROM scored GROUP BY role"),
+    "group_size": with_r("SELECT role, count(*) AS n FROM players GROUP BY role"),
+    "value_shares": "SELECT o_orderpriority, count(*) AS n, count(*) / (SELECT count(*) FROM orders) AS share "
+                    "FROM orders GROUP BY o_orderpriority",
+    "value_concentration": """SELECT count(*) AS n_distinct, CAST(sum(n) AS BIGINT) AS n_rows,
+  CAST(sum(n) FILTER (WHERE pos < 6) AS BIGINT) AS n_top, sum(n) FILTER (WHERE pos < 6) / sum(n) AS share_top
+FROM (SELECT p_size, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, p_size) - 1 AS pos
+      FROM part WHERE p_size IS NOT NULL GROUP BY p_size)""",
+    "rate_by_band": f"""SELECT {_band_case('n_chars', FIXTURE_LENGTH_EDGES, FIXTURE_LENGTH_LABELS)} AS group_value,
+  count(*) AS n, avg(CASE WHEN coalesce(quality = 1, false) THEN {d(1)} ELSE {d(0)} END) AS rate
+FROM documents LEFT JOIN labels USING (doc_id) GROUP BY group_value""",
+    "rate_range": f"""SELECT count(*) AS n_groups, min(rate) AS min_rate, max(rate) AS max_rate FROM (
+  SELECT lang, avg(CASE WHEN coalesce(toxic = 1, false) THEN {d(1)} ELSE {d(0)} END) AS rate
+  FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang)""",
+})

@@ -41,6 +41,25 @@ FIXTURE_PRIORITY_OF_REGION = {0: "green", 1: "green", 2: "yellow", 3: "yellow",
 FIXTURE_CALENDAR_YEAR = {"AME", "ASI"}
 FIXTURE_APERTURA = {"MID"}
 FIXTURE_SEASON = "2025-2026"
+# Concepts of the flat index (Q7): metrics averaged in a concept, concepts
+# averaged into the index; the age concept is the inverted age percentile.
+FIXTURE_CONCEPTS = {
+    "c_ordering": ["orders_per90", "lines_per90"],
+    "c_value": ["price_per_unit"],
+    "c_care": ["returned_pct", "discount_avg"],
+    "c_urgency": ["urgent_pct"],
+    "c_minutes": ["minutes"],
+    "c_age": None,
+}
+FIXTURE_BLOCKS = {"b_activity": ["c_ordering", "c_minutes"],
+                  "b_quality": ["c_value", "c_care", "c_urgency"],
+                  "b_age": ["c_age"]}
+FIXTURE_POOL_ROLES = ["AUTOMOBILE", "BUILDING", "MACHINERY"]
+# Position-code dictionary of the events binding (P1): event type -> role.
+FIXTURE_ROLE_OF_EVENT = {"click": "BROWSE", "view": "BROWSE", "purchase": "BUY", "signup": "JOIN"}
+# Document length bands (P6 on n_chars) for the rate-by-band query.
+FIXTURE_LENGTH_EDGES = [0, 1000, 5000, 20000, 1000000000]
+FIXTURE_LENGTH_LABELS = ["short", "medium", "long", "very long"]
 # ---------------------------------------------------------------------------
 
 FIXTURE_SPEC = MetricSpec(FIXTURE_ROLE_METRICS, set(FIXTURE_LOWER_IS_BETTER), dict(FIXTURE_VOLUME_OF))
