@@ -45,9 +45,8 @@ def q_role_percentiles(spark, sf):
     p = fx.players(spark, sf)
     lm = league_map(spark, sf, p)
     metric_cols = [m for m in fx.FIXTURE_SPEC.metrics() if m in p.columns]
-    spec_df = fx.FIXTURE_SPEC.to_df(spark)
     elig = S.with_cells(S.eligible(S.with_league(p, lm), params.min_minutes), params)
-    pct = S.role_percentiles(elig, spec_df, metric_cols, params)
+    pct = S.role_percentiles(elig, fx.FIXTURE_SPEC, metric_cols, params)
     return pct.select("player_id", "role", "cell", "ordinal", "metric", "value", "volume", "pct")
 
 

@@ -19,6 +19,11 @@ operators here never do that:
 ``below`` = non-NULL rows of the group with a smaller key, ``ties`` = rows with
 the same key, ``n`` = non-NULL rows of the group. Every rank flavour is a
 column expression over these three numbers.
+
+Size check: when the whole input holds at most ``cohortrank.rank.windowMaxRows``
+rows (default 1,000,000), no group can exceed that bound, so steps 2-3 are
+replaced by one window over the distinct values (one exchange, no sampling
+job). Above the bound, or with the setting at 0, the range path runs.
 """
 
 from __future__ import annotations
@@ -28,7 +33,30 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize, shuffle_partitions
+from ..session import known_rows, materialize, shuffle_partitions
+
+WINDOW_MAX_ROWS_CONF = "cohortrank.rank.windowMaxRows"
+WINDOW_MAX_ROWS_DEFAULT = 1_000_000
+
+
+def window_max_rows(spark) -> int:
+    return int(spark.conf.get(WINDOW_MAX_ROWS_CONF, str(WINDOW_MAX_ROWS_DEFAULT)))
+
+
+def _fits_one_task(df: DataFrame, n_rows: int | None) -> bool:
+    """True when ``df`` provably holds at most the window bound.
+
+    ``n_rows`` is an upper bound supplied by the caller (for example players x
+    metrics per role); otherwise the count recorded at materialisation, or a
+    count job.
+    """
+    limit = window_max_rows(df.sparkSession)
+    if limit <= 0:
+        return False
+    n = n_rows if n_rows is not None else known_rows(df)
+    if n is None:
+        n = df.count()
+    return n <= limit
 
 
 def _cols(x) -> list[str]:
@@ -40,10 +68,13 @@ def _cols(x) -> list[str]:
 
 
 def value_positions(df: DataFrame, group_cols=None, order_cols=None,
-                    n_parts: int | None = None, descending: bool = False) -> DataFrame:
+                    n_parts: int | None = None, descending: bool = False,
+                    n_rows: int | None = None) -> DataFrame:
     """Distinct non-NULL ``(group, order)`` keys with ``below``, ``ties``, ``n``.
 
     ``descending=True`` counts ``below`` from the largest key down.
+    ``n_rows`` (the row count of ``df``, if known) feeds the size check;
+    without it ``df`` is counted.
     """
     g, o = _cols(group_cols), _cols(order_cols)
     if not o:
@@ -52,8 +83,14 @@ def value_positions(df: DataFrame, group_cols=None, order_cols=None,
     for c in o:
         keyed = keyed.where(F.col(c).isNotNull())
     vc = keyed.groupBy(*g, *o).agg(F.count(F.lit(1)).alias("_ties"))
-    n = n_parts or shuffle_partitions(df.sparkSession)
     okeys = [F.col(c).desc() if descending else F.col(c).asc() for c in o]
+    if _fits_one_task(df, n_rows):
+        w_run = Window.partitionBy(*g).orderBy(*okeys).rowsBetween(Window.unboundedPreceding, -1)
+        return vc.select(*g, *o,
+                         F.coalesce(F.sum("_ties").over(w_run), F.lit(0)).cast("long").alias("below"),
+                         F.col("_ties").cast("long").alias("ties"),
+                         F.sum("_ties").over(Window.partitionBy(*g)).cast("long").alias("n"))
+    n = n_parts or shuffle_partitions(df.sparkSession)
     rp = (vc.repartitionByRange(n, *[F.col(c).asc_nulls_first() for c in g], *okeys)
             .withColumn("_pid", F.spark_partition_id()))
     w_local = (Window.partitionBy("_pid", *g).orderBy(*okeys)
@@ -93,33 +130,57 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str],
 
 def attach_positions(df: DataFrame, group_cols=None, order_cols=None,
                      descending: bool = False, n_parts: int | None = None,
-                     materialize_input: bool = True) -> DataFrame:
+                     materialize_input: bool = True, n_rows: int | None = None) -> DataFrame:
     """``df`` plus ``_below``, ``_ties``, ``_n`` for its own key (NULL key -> NULL).
 
-    ``df`` is read three times (two sides of the positions build and the
-    join back), so it is checkpointed first unless the caller says it is
-    already a cheap leaf.
+    Small inputs (``n_rows`` bound, or recorded count, within the window
+    bound): three window functions over ``df`` itself, one exchange. Larger
+    inputs: ``df`` is written once (it is read three times: two sides of the
+    positions build and the join back) and the range path runs.
     """
     g, o = _cols(group_cols), _cols(order_cols)
-    if materialize_input:
+    limit = window_max_rows(df.sparkSession)
+    bound = n_rows if n_rows is not None else known_rows(df)
+    if limit > 0 and bound is not None and bound <= limit:
+        return _attach_by_window(df, g, o, descending)
+    if materialize_input and known_rows(df) is None:
         df = materialize(df)
-    pos = (value_positions(df, g, o, n_parts=n_parts, descending=descending)
+    pos = (value_positions(df, g, o, n_parts=n_parts, descending=descending, n_rows=known_rows(df))
            .withColumnRenamed("below", "_below").withColumnRenamed("ties", "_ties")
            .withColumnRenamed("n", "_n"))
     return join_null_safe(df, pos, [*g, *o], how="left", null_safe=g)
 
 
+def _attach_by_window(df: DataFrame, g: list, o: list, descending: bool) -> DataFrame:
+    """Window form of ``attach_positions`` for inputs under the size bound.
+
+    NULL keys sort last, so ``rank() - 1`` counts only non-NULL smaller keys.
+    """
+    valid = None
+    for c in o:
+        v = F.col(c).isNotNull()
+        valid = v if valid is None else valid & v
+    okeys = [F.col(c).desc_nulls_last() if descending else F.col(c).asc_nulls_last() for c in o]
+    w_rank = Window.partitionBy(*g).orderBy(*okeys)
+    w_key = Window.partitionBy(*g, *o)
+    w_grp = Window.partitionBy(*g)
+    return (df.withColumn("_below", F.when(valid, F.rank().over(w_rank) - 1).cast("long"))
+              .withColumn("_ties", F.when(valid, F.count(F.lit(1)).over(w_key)).cast("long"))
+              .withColumn("_n", F.when(valid, F.sum(valid.cast("long")).over(w_grp)).cast("long")))
+
+
 def avg_rank_pct_expr() -> Column:
     """W1 value: average-tie rank divided by the non-NULL count of the group."""
     return (F.col("_below") + (F.col("_ties") + F.lit(1)) / F.lit(2.0)) / F.col("_n")
 
 
-def pct_rank_avg(df: DataFrame, group_cols, value_col: str, out: str = "pct") -> DataFrame:
+def pct_rank_avg(df: DataFrame, group_cols, value_col: str, out: str = "pct",
+                 n_rows: int | None = None) -> DataFrame:
     """W1 (and W2 with no group): pandas ``rank(pct=True)`` inside a group.
 
     Average ties, NULL stays NULL and is not counted. Not ``percent_rank``.
     """
-    return (attach_positions(df, group_cols, [value_col])
+    return (attach_positions(df, group_cols, [value_col], n_rows=n_rows)
             .withColumn(out, avg_rank_pct_expr())
             .drop("_below", "_ties", "_n"))
 
@@ -129,9 +190,10 @@ def pct_rank_global(df: DataFrame, value_col: str, out: str = "pct") -> DataFram
     return pct_rank_avg(df, None, value_col, out)
 
 
-def rank_min_desc(df: DataFrame, group_cols, value_col: str, out: str = "rank") -> DataFrame:
+def rank_min_desc(df: DataFrame, group_cols, value_col: str, out: str = "rank",
+                  n_rows: int | None = None) -> DataFrame:
     """``rank(ascending=False, method='min')``; NULL value gets NULL rank."""
-    return (attach_positions(df, group_cols, [value_col], descending=True)
+    return (attach_positions(df, group_cols, [value_col], descending=True, n_rows=n_rows)
             .withColumn(out, (F.col("_below") + F.lit(1)).cast("long"))
             .drop("_below", "_ties", "_n"))
 
@@ -143,13 +205,13 @@ def rank_min_asc(df: DataFrame, group_cols, value_col: str, out: str = "rank") -
 
 
 def row_index(df: DataFrame, order_cols, group_cols=None, out: str = "row_idx",
-              descending: bool = False) -> DataFrame:
+              descending: bool = False, n_rows: int | None = None) -> DataFrame:
     """0-based row number under ``order_cols`` (must be a total order).
 
     Rows that share a full key get the same number, so callers pass a unique
     tie-breaker as the last order column.
     """
-    return (attach_positions(df, group_cols, order_cols, descending=descending)
+    return (attach_positions(df, group_cols, order_cols, descending=descending, n_rows=n_rows)
             .withColumn(out, F.col("_below"))
             .withColumn("_n_rows", F.col("_n"))
             .drop("_below", "_ties", "_n"))
@@ -168,7 +230,7 @@ def floor_ntile(df: DataFrame, order_cols, k: int = 5, out: str = "slice") -> Da
 
 
 def group_quantile(df: DataFrame, group_cols, value_col: str, q: float,
-                   out: str = "quantile") -> DataFrame:
+                   out: str = "quantile", n_rows: int | None = None) -> DataFrame:
     """Exact quantile with linear interpolation, one row per group.
 
     Only the one or two order statistics around ``(n-1)*q`` are picked from
@@ -177,7 +239,7 @@ def group_quantile(df: DataFrame, group_cols, value_col: str, q: float,
     Interpolation is ``lo + frac*(hi-lo)``.
     """
     g = _cols(group_cols)
-    pos = value_positions(df, g, [value_col])
+    pos = value_positions(df, g, [value_col], n_rows=n_rows)
     h = (F.col("n") - 1) * F.lit(float(q))
     lo, hi = F.floor(h), F.ceil(h)
     end = F.col("below") + F.col("ties")

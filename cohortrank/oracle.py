@@ -55,12 +55,14 @@ LEAGUE_CODE = ("country || '_' || left(array_to_string(list_transform(_w, lambda
 CTES = [
     # ---- FIXTURES 3.1: players
     """li AS (
-  SELECT l_orderkey, count(*) AS n_lines, sum(l_quantity) AS qty, sum(l_extendedprice) AS price,
-         count(*) FILTER (WHERE l_returnflag = 'R') AS n_returned, sum(l_discount) AS discount
+  SELECT l_orderkey, count(*) AS n_lines, sum(l_quantity) AS qty,
+         sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS price_cents,
+         count(*) FILTER (WHERE l_returnflag = 'R') AS n_returned,
+         sum(CAST(round(l_discount * 100) AS BIGINT)) AS discount_cents
   FROM lineitem GROUP BY l_orderkey)""",
     """pc AS (
   SELECT o_custkey, count(*) AS n_orders, sum(n_lines) AS n_lines, sum(qty) AS minutes,
-         sum(price) AS price, sum(n_returned) AS n_returned, sum(discount) AS discount,
+         sum(price_cents) AS price_cents, sum(n_returned) AS n_returned, sum(discount_cents) AS discount_cents,
          count(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS n_urgent
   FROM li JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey)""",
     f"""players AS (
@@ -73,9 +75,9 @@ CTES = [
          minutes,
          n_orders * {d(90)} / nullif(minutes, 0) AS orders_per90,
          n_lines * {d(90)} / nullif(minutes, 0) AS lines_per90,
-         {r9('price / nullif(minutes, 0)')} AS price_per_unit,
+         price_cents / {d(100)} / nullif(minutes, 0) AS price_per_unit,
          CASE WHEN n_returned > 0 THEN {d(100)} * n_returned / nullif(n_lines, 0) END AS returned_pct,
-         {r9('discount / nullif(n_lines, 0)')} AS discount_avg,
+         discount_cents / {d(100)} / nullif(n_lines, 0) AS discount_avg,
          {d(100)} * n_urgent / nullif(n_orders, 0) AS urgent_pct
   FROM customer JOIN pc ON c_custkey = o_custkey)""",
     # ---- FIXTURES 3.2: league dimension and Q3 build

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import r9, round_half_even
 from ..functions.text import league_code
 from ..operators.rank import group_quantile, join_null_safe
-from ..session import materialize
+from ..session import known_rows, materialize
 from ..spec import DIVISION_FACTOR, MIN_MEDIAN_SUPPORT, PRIORITY_RANK
 
 
@@ -28,7 +28,8 @@ def supported_median(df: DataFrame, group_cols, value_col: str, min_n: int = MIN
     v = F.col(value_col)
     counts = df.groupBy(*g).agg(F.count(F.lit(1)).alias("n_rows"),
                                 F.count_if(v > 0).alias("n_positive"))
-    med = group_quantile(df.where(v > 0), g, value_col, 0.5, out="_median").drop("_median_n")
+    med = group_quantile(df.where(v > 0), g, value_col, 0.5, out="_median",
+                         n_rows=known_rows(df)).drop("_median_n")
     j = join_null_safe(counts, med, g, how="left")
     return j.select(*g, "n_rows", "n_positive",
                     F.when(F.col("n_positive") >= min_n, r9(F.col("_median"))).alias(out),
@@ -106,8 +107,9 @@ def build_league_map(players: DataFrame, leagues: DataFrame, key: str = "league_
                      season: str | None = None, calendar_year=(), apertura=(),
                      groups: dict | None = None) -> DataFrame:
     """Q3: one row per league with profile, priority, division and a 0-100 strength."""
-    # one row per league: written once, read by the anchor, interpolation and rescale steps
-    raw = materialize(raw_strength(materialize(strength_inputs(players, leagues, key))))
+    # one row per league; the inputs are read by the anchor, interpolation and
+    # rescale steps, and identical subtrees share one exchange (exchange reuse)
+    raw = raw_strength(strength_inputs(players, leagues, key))
     top = raw.agg(F.max(F.when(F.col("raw") != 0, F.col("raw"))).alias("_top"))
     top = top.select(F.when(F.coalesce(F.col("_top"), F.lit(0.0)) != 0, F.col("_top"))
                       .otherwise(F.lit(1.0)).alias("_top"))
@@ -128,7 +130,7 @@ def build_league_map(players: DataFrame, leagues: DataFrame, key: str = "league_
         gm = F.create_map(*[x for k, v in groups.items() for x in (F.lit(k), F.lit(v))])
         grp = F.try_element_at(gm, F.col(key))
     n_players = F.coalesce(F.col("n_players"), F.lit(0)).cast("long")
-    return j.select(
+    out = j.select(
         F.col(key),
         league_code(F.col("country"), F.col("league")).alias("league_code"),
         "folder", "country", "league", "priority",
@@ -143,3 +145,5 @@ def build_league_map(players: DataFrame, leagues: DataFrame, key: str = "league_
         cal.alias("calendar"),
         F.when(n_players > 0, F.lit("")).otherwise(F.lit("no CSV exported yet")).alias("notes"),
     )
+    # a dimension read by every score plan: written once, then broadcast from the files
+    return materialize(out, "league_map")

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import (attempts, blend, bucketize, evidence, flip, nan_to_null,
                                  null_if_nonpositive, round_half_even, shrink)
 from ..operators.rank import attach_positions, avg_rank_pct_expr, rank_min_desc
+from ..session import known_rows, materialize
 from ..spec import MetricSpec, ScoreParams
 
 DIM_COLS = ["league_code", "league", "country", "priority", "priority_rank", "division", "strength"]
@@ -52,10 +53,28 @@ def with_cells(df: DataFrame, params: ScoreParams) -> DataFrame:
               .withColumn("cell", F.when(F.col("thin"), pooled).otherwise(F.col("cell"))))
 
 
-def metric_long(df: DataFrame, spec_df: DataFrame, metric_cols: Sequence[str]) -> DataFrame:
-    """Fold the role's metrics into rows: (player, ordinal, metric, value, volume)."""
+def metric_long(df: DataFrame, spec: MetricSpec, metric_cols: Sequence[str]) -> DataFrame:
+    """Fold the role's metrics into rows: (player, ordinal, metric, value, volume).
+
+    The spec is a fixed, small literal: role -> array of (ordinal, metric,
+    direction, volume metric), exploded per row. No join and no broadcast
+    stage; a role without a spec yields no rows (inner semantics).
+    """
+    have = set(metric_cols)
+    entries = []
+    for role, metrics in spec.role_metrics.items():
+        items = [F.struct(F.lit(i).alias("ordinal"), F.lit(m).alias("metric"),
+                          F.lit(m in spec.lower_is_better).alias("lower_is_better"),
+                          F.lit(spec.volume_of.get(m)).cast("string").alias("volume_metric"))
+                 for i, m in enumerate(metrics) if m in have]
+        if items:
+            entries += [F.lit(role), F.array(*items)]
+    spec_map = F.create_map(*entries)
     mmap = F.create_map(*[x for m in metric_cols for x in (F.lit(m), F.col(f"`{m}`").cast("double"))])
-    x = df.withColumn("_metrics", mmap).join(F.broadcast(spec_df), "role", "inner")
+    x = (df.withColumn("_metrics", mmap)
+           .withColumn("_s", F.explode(F.try_element_at(spec_map, F.col("role"))))
+           .select("*", "_s.ordinal", "_s.metric", "_s.lower_is_better", "_s.volume_metric")
+           .drop("_s"))
     return (x.withColumn("value", nan_to_null(F.try_element_at(F.col("_metrics"), F.col("metric"))))
              .withColumn("volume", F.when(F.col("volume_metric").isNotNull(),
                                           nan_to_null(F.try_element_at(F.col("_metrics"),
@@ -63,20 +82,24 @@ def metric_long(df: DataFrame, spec_df: DataFrame, metric_cols: Sequence[str]) -
              .drop("_metrics", *[m for m in metric_cols if m in df.columns]))
 
 
-def role_percentiles(elig: DataFrame, spec_df: DataFrame, metric_cols: Sequence[str],
-                     params: ScoreParams) -> DataFrame:
-    """W1 + X7 + X8 + X10 per (player, metric): percentile in the cell, flipped, shrunk."""
-    long = metric_long(elig, spec_df, metric_cols)
+def role_percentiles(elig: DataFrame, spec: MetricSpec, metric_cols: Sequence[str],
+                     params: ScoreParams, n_bound: int | None = None) -> DataFrame:
+    """W1 + X7 + X8 + X10 per (player, metric): percentile in the cell, flipped, shrunk.
+
+    ``n_bound``: an upper bound on the long rows (players x longest metric
+    list), used by the rank operator's size check.
+    """
+    long = metric_long(elig, spec, metric_cols)
     if params.pool == "all":
         # thin rows are ranked against every row of their band|role pool
         long = long.withColumn("_pool", F.concat(F.lit("band:"), F.col("band"), F.lit("|"), F.col("role")))
-        a = attach_positions(long, ["league_cell", "metric"], ["value"])
+        a = attach_positions(long, ["league_cell", "metric"], ["value"], n_rows=n_bound)
         a = (a.withColumn("_p_cell", avg_rank_pct_expr()).drop("_below", "_ties", "_n"))
-        a = attach_positions(a, ["_pool", "metric"], ["value"])
+        a = attach_positions(a, ["_pool", "metric"], ["value"], n_rows=n_bound)
         ranked = (a.withColumn("_p", F.when(F.col("thin"), avg_rank_pct_expr()).otherwise(F.col("_p_cell")))
                    .drop("_below", "_ties", "_n", "_p_cell", "_pool"))
     else:
-        ranked = (attach_positions(long, ["cell", "metric"], ["value"])
+        ranked = (attach_positions(long, ["cell", "metric"], ["value"], n_rows=n_bound)
                   .withColumn("_p", avg_rank_pct_expr()).drop("_below", "_ties", "_n"))
     p = flip(F.col("_p"), F.col("lower_is_better"))
     w = attempts(F.col("volume"), F.col("minutes")) / F.lit(float(params.min_attempts))
@@ -88,12 +111,13 @@ def score(players: DataFrame, league_map: DataFrame, spec: MetricSpec,
           params: ScoreParams = ScoreParams(), key: str = "league_key",
           id_col: str = "player_id") -> DataFrame:
     """Q1: one row per eligible player with perf_league, perf_adjusted, ranks, pct map, radar."""
-    spark = players.sparkSession
     metric_cols = [m for m in spec.metrics() if m in players.columns]
-    spec_df = spec.to_df(spark).where(F.col("metric").isin(metric_cols))
     x = with_league(players, league_map, key)
     elig = with_cells(eligible(x, params.min_minutes), params)
-    pct = role_percentiles(elig, spec_df, metric_cols, params)
+    n_players = known_rows(players)
+    longest = max(len(v) for v in spec.role_metrics.values())
+    n_long = None if n_players is None else n_players * longest
+    pct = role_percentiles(elig, spec, metric_cols, params, n_long)
     carry = [c for c in elig.columns if c not in metric_cols and c != id_col]
     per = pct.groupBy(id_col).agg(
         F.array_sort(F.collect_list(F.struct("ordinal", "metric", "pct"))).alias("_pcts"),
@@ -116,10 +140,13 @@ def score(players: DataFrame, league_map: DataFrame, spec: MetricSpec,
     if "market_value" in scored.columns:
         scored = (scored.withColumn("market_value", null_if_nonpositive(F.col("market_value")))
                         .withColumn("priced", F.col("market_value").isNotNull()))
-    scored = rank_min_desc(scored, ["league_code", "role"], "perf_league", out="rank_in_league")
+    if n_players is None:
+        scored = materialize(scored, "scored")
+    scored = rank_min_desc(scored, ["league_code", "role"], "perf_league", out="rank_in_league",
+                           n_rows=n_players)
     scored = scored.withColumn("rank_in_league",
                                F.when(F.col("league_code").isNotNull(), F.col("rank_in_league")))
-    return rank_min_desc(scored, ["role"], "perf_adjusted", out="rank_overall")
+    return rank_min_desc(scored, ["role"], "perf_adjusted", out="rank_overall", n_rows=n_players)
 
 
 def shortlist(scored: DataFrame, role: str | None = None, league: str | None = None,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -72,13 +73,34 @@ def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def materialize(df):
-    """Cut lineage: write ``df`` to the shared checkpoint folder and read it back.
+def materialize(df, name: str = "stage"):
+    """Cut lineage: write ``df`` as Parquet under the shared checkpoint folder, read it back.
 
     Used where an operator needs its input more than once (a self-join of a
-    derived table). The plan downstream starts from the written data, so the
-    upstream work runs once, a lost executor costs a re-read instead of a
-    recomputation, and plan trees do not multiply through nested operators.
+    derived table). Downstream plans start from the written files, so the
+    upstream work runs once (one job, unlike an RDD checkpoint, which runs
+    the plan a second time to write it), a lost executor costs a re-read
+    instead of a recomputation, plan trees do not multiply through nested
+    operators, and the re-read keeps column pruning and filter pushdown.
+
+    The row count is observed during the write (no extra job) and kept on
+    the returned DataFrame; ``known_rows`` reads it.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    from pyspark.sql import Observation
+    from pyspark.sql import functions as F
+    spark = df.sparkSession
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{root}/cohortrank/{name}-{uuid.uuid4().hex}"
+    obs = Observation(f"rows_{uuid.uuid4().hex[:8]}")
+    df.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    try:
+        out._cohortrank_rows = int(obs.get["rows"])
+    except Exception:  # noqa: BLE001 - metrics are an optimisation only
+        pass
+    return out
+
+
+def known_rows(df):
+    """Row count recorded by ``materialize`` for this exact DataFrame, else None."""
+    return getattr(df, "_cohortrank_rows", None)

@@ -7,7 +7,9 @@
 
 Lineitem is pre-aggregated to one row per order before it meets ``orders``,
 so the big join carries a quarter of the rows, and every per-customer figure
-is a plain sum or count (no distinct aggregate).
+is a plain sum or count (no distinct aggregate). Prices and discounts carry
+two decimals and are summed as whole cents (exact integer sums), so the
+figures do not depend on the order in which partial sums meet.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.numeric import r9, safe_div
+from ..functions.numeric import safe_div
 from ..session import materialize, table
 from ..spec import MetricSpec
 
@@ -82,9 +84,9 @@ def order_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
           .groupBy("l_orderkey")
           .agg(F.count(F.lit(1)).alias("n_lines"),
                F.sum("l_quantity").alias("qty"),
-               F.sum("l_extendedprice").alias("price"),
+               F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("price_cents"),
                F.count_if(F.col("l_returnflag") == "R").alias("n_returned"),
-               F.sum("l_discount").alias("discount")))
+               F.sum(F.round(F.col("l_discount") * 100).cast("long")).alias("discount_cents")))
     o = table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", (F.col("o_orderpriority") == "1-URGENT").alias("urgent"))
     return li.join(o, li.l_orderkey == o.o_orderkey, "inner")
@@ -101,9 +103,9 @@ def players(spark: SparkSession, sf_dir: str, cut: bool = True) -> DataFrame:
                 .agg(F.count(F.lit(1)).alias("n_orders"),
                      F.sum("n_lines").alias("n_lines"),
                      F.sum("qty").alias("minutes"),
-                     F.sum("price").alias("price"),
+                     F.sum("price_cents").alias("price_cents"),
                      F.sum("n_returned").alias("n_returned"),
-                     F.sum("discount").alias("discount"),
+                     F.sum("discount_cents").alias("discount_cents"),
                      F.count_if("urgent").alias("n_urgent")))
     c = table(spark, sf_dir, "customer")
     j = c.join(per_cust, c.c_custkey == per_cust.o_custkey, "inner")
@@ -120,10 +122,10 @@ def players(spark: SparkSession, sf_dir: str, cut: bool = True) -> DataFrame:
         F.col("minutes"),
         safe_div(F.col("n_orders") * F.lit(90.0), F.col("minutes")).alias("orders_per90"),
         safe_div(F.col("n_lines") * F.lit(90.0), F.col("minutes")).alias("lines_per90"),
-        r9(safe_div(F.col("price"), F.col("minutes"))).alias("price_per_unit"),
+        safe_div(F.col("price_cents") / F.lit(100.0), F.col("minutes")).alias("price_per_unit"),
         F.when(F.col("n_returned") > 0,
                safe_div(F.lit(100.0) * F.col("n_returned"), F.col("n_lines"))).alias("returned_pct"),
-        r9(safe_div(F.col("discount"), F.col("n_lines"))).alias("discount_avg"),
+        safe_div(F.col("discount_cents") / F.lit(100.0), F.col("n_lines")).alias("discount_avg"),
         safe_div(F.lit(100.0) * F.col("n_urgent"), F.col("n_orders")).alias("urgent_pct"),
     )
     return materialize(out) if cut else out
