@@ -358,6 +358,126 @@ def q_rate_range(spark, sf):
     return A.rate_range(_docs_labels(spark, sf), "lang", F.col("toxic") == 1)
 
 
+# ---- roles, latest per key, verification, registry, catalogue -------------------
+from .functions import roles as RO  # noqa: E402
+from .functions import text as TX  # noqa: E402
+from .operators import joins as J  # noqa: E402
+from .operators.rank import latest_per_key, row_index  # noqa: E402
+from .plans import registry as RG  # noqa: E402
+from .plans import verify as V  # noqa: E402
+
+TIMEFRAME = "1998/1999"
+
+
+def _positions(spark, sf):
+    return fx.events_positions(spark, sf)
+
+
+def q_assign_role(spark, sf):
+    p = _positions(spark, sf)
+    return p.select("user_id", "position", RO.first_token(F.col("position")).alias("first_pos"),
+                    RO.assign_role(F.col("position"), fx.FIXTURE_ROLE_OF_EVENT).alias("role"))
+
+
+def q_unmapped_codes(spark, sf):
+    p = _positions(spark, sf).withColumn("role", RO.assign_role(F.col("position"), fx.FIXTURE_ROLE_OF_EVENT))
+    return RO.unmapped_codes(p, "position")
+
+
+def q_role_default(spark, sf):
+    p = _positions(spark, sf)
+    return p.select("user_id", RO.assign_role_default(F.col("position"), fx.FIXTURE_ROLE_OF_EVENT).alias("role"))
+
+
+def q_latest_per_key(spark, sf):
+    o = table(spark, sf, "orders").select(
+        "o_custkey", "o_orderkey", F.year("o_orderdate").alias("season"),
+        (F.col("o_orderstatus") != "P").alias("has_data"))
+    order = F.struct(-F.col("season"), (~F.col("has_data")).cast("int"),
+                     F.when(F.col("has_data"), F.col("o_orderkey")).otherwise(-F.col("o_orderkey")))
+    return o.groupBy("o_custkey").agg(F.min_by(F.struct("o_orderkey", "season", "has_data"), order).alias("w")) \
+            .select("o_custkey", "w.o_orderkey", "w.season", "w.has_data")
+
+
+def _verified(spark, sf):
+    return V.verify(fx.season_registry(spark, sf).select("folder"), fx.season_found(spark, sf),
+                    fx.season_listing(spark, sf))
+
+
+def q_verify_season(spark, sf):
+    return _verified(spark, sf).select("folder", "n_rows", "n_parts", "expected", "reason", "status", "message")
+
+
+def q_expected_counts(spark, sf):
+    return V.expected_counts(fx.season_listing(spark, sf))
+
+
+def q_status_rollup(spark, sf):
+    return V.status_rollup(_verified(spark, sf))
+
+
+def q_reconcile_counts(spark, sf):
+    return V.reconcile_counts(fx.season_found(spark, sf), V.expected_counts(fx.season_listing(spark, sf)))
+
+
+def q_registry(spark, sf):
+    return RG.build_registry(fx.registry_rows(spark, sf), tiers=("green", "yellow"))
+
+
+def q_code_order(spark, sf):
+    return RG.code_order(RG.build_registry(fx.registry_rows(spark, sf)))
+
+
+def q_league_code(spark, sf):
+    p = table(spark, sf, "part")
+    country = F.concat(F.lit("B"), F.regexp_extract("p_brand", r"(\d+)", 1))
+    return p.select("p_partkey",
+                    TX.league_code(country, F.concat_ws(" ", "p_name", F.col("p_size").cast("string"))).alias("code_name"),
+                    TX.league_code(country, F.col("p_type")).alias("code_type"))
+
+
+def q_safe_name(spark, sf):
+    p = table(spark, sf, "part")
+    raw = F.concat(F.col("p_brand"), F.lit("/"), F.col("p_name"), F.lit(" "), F.col("p_type"), F.lit("."))
+    return p.select("p_partkey", TX.safe_name(raw).alias("safe"))
+
+
+def q_natural_order(spark, sf):
+    n = table(spark, sf, "nation").select("n_nationkey", "n_name")
+    x = n.select("n_nationkey", "n_name",
+                 F.lower(F.regexp_extract("n_name", r"^(\D*)", 1)).alias("_pre"),
+                 F.coalesce(F.regexp_extract("n_name", r"(\d+)", 1).try_cast("long"), F.lit(-1)).alias("_num"),
+                 F.lower(F.regexp_replace("n_name", r"^\D*\d*", "")).alias("_rest"))
+    return row_index(x, ["_pre", "_num", "_rest", "n_nationkey"], out="ord").select("n_name", "ord")
+
+
+def q_slug(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", TX.slug(F.col("text")).alias("slug"))
+
+
+def q_source_split(spark, sf):
+    lm = league_map(spark, sf)
+    return A.group_size(lm.withColumn("source", TX.first_word(F.col("strength_source"))), "source")
+
+
+def _catalogue(spark, sf):
+    return RG.catalogue_table(RG.flatten_catalogue(fx.catalogue_docs(spark, sf)))
+
+
+def q_catalogue_flatten(spark, sf):
+    return RG.flatten_catalogue(fx.catalogue_docs(spark, sf))
+
+
+def q_catalogue_resolve(spark, sf):
+    return J.resolve_scope(fx.scopes(spark, sf), _catalogue(spark, sf), TIMEFRAME)
+
+
+def q_suggest(spark, sf):
+    cat = _catalogue(spark, sf)
+    unresolved = J.resolve_scope(fx.scopes(spark, sf), cat, TIMEFRAME).where(F.col("match") == "none")
+    return J.suggest(unresolved.select("scope"), cat)
+
+
 QUERIES = {
     "score": q_score,
     "role_percentiles": q_role_percentiles,
@@ -410,4 +530,22 @@ QUERIES = {
     "value_concentration": q_value_concentration,
     "rate_by_band": q_rate_by_band,
     "rate_range": q_rate_range,
+    "assign_role": q_assign_role,
+    "unmapped_codes": q_unmapped_codes,
+    "role_default": q_role_default,
+    "latest_per_key": q_latest_per_key,
+    "verify_season": q_verify_season,
+    "expected_counts": q_expected_counts,
+    "status_rollup": q_status_rollup,
+    "reconcile_counts": q_reconcile_counts,
+    "registry": q_registry,
+    "code_order": q_code_order,
+    "league_code": q_league_code,
+    "safe_name": q_safe_name,
+    "natural_order": q_natural_order,
+    "slug": q_slug,
+    "source_split": q_source_split,
+    "catalogue_flatten": q_catalogue_flatten,
+    "catalogue_resolve": q_catalogue_resolve,
+    "suggest": q_suggest,
 }

@@ -545,3 +545,162 @@ FROM documents LEFT JOIN labels USING (doc_id) GROUP BY group_value""",
   SELECT lang, avg(CASE WHEN coalesce(toxic = 1, false) THEN {d(1)} ELSE {d(0)} END) AS rate
   FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang)""",
 })
+
+
+# ---- roles, latest per key, verification, registry, catalogue ------------------
+from .functions.text import ACCENTED, ASCII_OF, FOLDER_RE  # noqa: E402
+from .sources.fixtures import FIXTURE_ROLE_OF_EVENT  # noqa: E402
+
+_STRIP = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
+_ROLE_CASE = "CASE {0} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in FIXTURE_ROLE_OF_EVENT.items()) + " END"
+TIMEFRAME = "1998/1999"
+
+
+def safe_name_sql(e: str) -> str:
+    ill = '<>:"/\\|?*'
+    return f"regexp_replace(trim(translate({e}, '{ill}', '{'-' * len(ill)}')), '\\.+$', '')"
+
+
+def league_code_sql(country: str, league: str) -> str:
+    return (f"({country} || '_' || left(array_to_string(list_transform(regexp_extract_all(upper({league}), "
+            f"'[A-Za-z0-9]+'), lambda x: CASE WHEN len(regexp_extract_all(upper({league}), '[A-Za-z0-9]+')) = 1 "
+            f"THEN left(x, 5) ELSE left(x, 1) || regexp_replace(x, '[^0-9]', '', 'g') END), ''), 7))")
+
+
+M_CTES = [
+    """evf AS (SELECT user_id, event_type, ts, event_id,
+         row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS rn FROM events)""",
+    """upos AS (SELECT user_id, string_agg(event_type, ',' ORDER BY ts, event_id, event_type) AS position
+         FROM evf WHERE rn = 1 GROUP BY user_id)""",
+    f"""uroles AS (SELECT user_id, position, {_STRIP.format("split_part(position, ',', 1)")} AS first_pos FROM upos)""",
+    f"""uassigned AS (SELECT *, CASE WHEN position IS NULL THEN 'NA' WHEN first_pos = '' THEN NULL
+                                   ELSE {_ROLE_CASE.format('first_pos')} END AS role FROM uroles)""",
+    """sfound AS (
+  SELECT n_name AS folder, n_nationkey, s._s AS n_rows, coalesce(c._c, 0) AS n_parts
+  FROM nation LEFT JOIN (SELECT s_nationkey, count(*) AS _s FROM supplier GROUP BY s_nationkey) s ON n_nationkey = s_nationkey
+  LEFT JOIN (SELECT c_nationkey, count(*) AS _c FROM customer GROUP BY c_nationkey) c ON n_nationkey = c_nationkey)""",
+    """slisting AS (
+  SELECT folder, CASE WHEN n_nationkey % 8 = 7 THEN 'SIZE.txt'
+                      ELSE CAST(coalesce(n_rows, 0) + CASE WHEN n_nationkey % 3 = 0 THEN 1 ELSE 0 END AS VARCHAR) || '.txt' END AS file_name
+  FROM sfound
+  UNION ALL SELECT folder, 'old_' || CAST(coalesce(n_rows, 0) AS VARCHAR) || '.txt' FROM sfound WHERE n_nationkey % 11 = 10
+  UNION ALL SELECT folder, 'notes.md' FROM sfound WHERE n_nationkey % 2 = 0)""",
+    """sexp AS (
+  SELECT folder, CASE WHEN n_numbered = 1 THEN _value END AS expected,
+         CASE WHEN n_numbered = 0 THEN 'no numbered .txt (found ' || _all || ')'
+              WHEN n_numbered > 1 THEN 'several numbered .txt: ' || _numbered END AS reason
+  FROM (SELECT folder, count(*) AS n_txt, count(*) FILTER (WHERE _num <> '') AS n_numbered,
+               max(CASE WHEN _num <> '' THEN CAST(_num AS BIGINT) END) AS _value,
+               array_to_string(list_sort(list(file_name)), ', ') AS _all,
+               coalesce(array_to_string(list_sort(list(file_name) FILTER (WHERE _num <> '')), ', '), '') AS _numbered
+        FROM (SELECT *, regexp_extract(regexp_replace(file_name, '\\.txt$', ''), '(\\d+)', 1) AS _num
+              FROM slisting WHERE suffix(file_name, '.txt'))
+        GROUP BY folder))""",
+    """sver AS (
+  SELECT f.folder, f.n_rows, f.n_parts, e.expected,
+         CASE WHEN e.expected IS NULL THEN coalesce(e.reason, 'no .txt with the expected count') END AS reason,
+         CASE WHEN f.n_rows IS NULL AND f.n_parts = 0 THEN 'EMPTY' WHEN f.n_rows IS NULL THEN 'NO_CSV'
+              WHEN e.expected IS NULL THEN 'FAIL' WHEN e.expected <> f.n_rows THEN 'FAIL' ELSE 'OK' END AS status,
+         CASE WHEN f.n_rows IS NULL AND f.n_parts = 0 THEN 'no parts and no merged export - nothing exported yet'
+              WHEN f.n_rows IS NULL THEN printf('%d parts present but no merged export', f.n_parts)
+              WHEN e.expected IS NULL THEN printf('%d rows but %s', f.n_rows, coalesce(e.reason, 'no .txt with the expected count'))
+              WHEN e.expected <> f.n_rows THEN printf('merged export has %d rows, expected %d (%+d)', f.n_rows, e.expected, f.n_rows - e.expected)
+              ELSE printf('%d rows', f.n_rows) END AS message
+  FROM sfound f LEFT JOIN sexp e USING (folder))""",
+    """regrows AS (
+  SELECT CASE WHEN r_regionkey <= 1 THEN 'green' WHEN r_regionkey <= 3 THEN 'yellow' ELSE 'red' END AS tier,
+         upper(substr(r_name, 1, 3)) AS code, r_regionkey AS row_ord, n_name AS league,
+         row_number() OVER (PARTITION BY r_regionkey ORDER BY n_nationkey) - 1 AS pos
+  FROM region JOIN nation ON n_regionkey = r_regionkey)""",
+    f"""reg_all AS (
+  SELECT *, {safe_name_sql("printf('%d - [%s] - (%s)', num, code, league)")} AS folder FROM (
+    SELECT *, row_number() OVER (ORDER BY CASE tier WHEN 'green' THEN 1 WHEN 'yellow' THEN 2 ELSE 3 END, row_ord, pos) AS num
+    FROM regrows))""",
+    f"""reg_gy AS (
+  SELECT *, {safe_name_sql("printf('%d - [%s] - (%s)', num, code, league)")} AS folder FROM (
+    SELECT *, row_number() OVER (ORDER BY CASE tier WHEN 'green' THEN 1 WHEN 'yellow' THEN 2 ELSE 3 END, row_ord, pos) AS num
+    FROM regrows WHERE tier IN ('green', 'yellow')))""",
+    """nyears AS (SELECT DISTINCT c_nationkey, CAST(year(o_orderdate) AS BIGINT) AS y
+                FROM orders JOIN customer ON o_custkey = c_custkey)""",
+    """catflat AS (
+  SELECT r_name AS area, CAST(n_nationkey AS BIGINT) AS competition_id, n_name AS competition,
+         y AS season_id, CASE WHEN y IS NOT NULL THEN printf('%d/%d', y, y + 1) END AS season,
+         r_regionkey * 100000 + (dense_rank() OVER (PARTITION BY r_regionkey ORDER BY n_nationkey) - 1) AS cat_ord
+  FROM region JOIN nation ON n_regionkey = r_regionkey LEFT JOIN nyears ON c_nationkey = n_nationkey)""",
+    """cats AS (SELECT DISTINCT area, competition_id AS id, competition AS name, cat_ord FROM catflat)""",
+    """scopes AS (
+  SELECT DISTINCT scope FROM (
+    SELECT r_name || '. ' || n_name AS scope FROM nation JOIN region ON n_regionkey = r_regionkey
+    UNION ALL SELECT 'EUROPE. ' || n_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 4 = 0
+    UNION ALL SELECT r_name || '. NATIONAL_' || CAST(n_nationkey AS VARCHAR) FROM nation JOIN region ON n_regionkey = r_regionkey
+              WHERE n_nationkey % 5 = 0))""",
+    """sparts AS (
+  SELECT scope,
+         trim(CASE WHEN regexp_matches(scope, '^(.*?)\\. (.*)$') THEN regexp_extract(scope, '^(.*?)\\. (.*)$', 1) ELSE scope END) AS _area,
+         trim(CASE WHEN regexp_matches(scope, '^(.*?)\\. (.*)$') THEN regexp_extract(scope, '^(.*?)\\. (.*)$', 2) ELSE '' END) AS _league
+  FROM scopes)""",
+    """resolved AS (
+  SELECT s.scope, c.id AS competition_id,
+         CASE WHEN c.id IS NULL THEN 0 WHEN position(lower(s._area) IN lower(coalesce(c.area, ''))) > 0 THEN 2 ELSE 1 END AS _q,
+         c.cat_ord
+  FROM sparts s LEFT JOIN cats c ON lower(c.name) = lower(s._league)
+  QUALIFY row_number() OVER (PARTITION BY s.scope ORDER BY _q DESC, c.cat_ord NULLS LAST) = 1)""",
+    f"""resolved2 AS (
+  SELECT r.scope, r.competition_id, f.season_id,
+         CASE r._q WHEN 2 THEN 'area' WHEN 1 THEN 'name' ELSE 'none' END AS match
+  FROM resolved r LEFT JOIN catflat f ON f.competition_id = r.competition_id AND f.season = '{TIMEFRAME}')""",
+]
+
+
+def with_m(final: str) -> str:
+    sep = "" if final.lstrip().startswith(",") else "\n"
+    return "WITH " + ",\n".join(CTES + M_CTES) + sep + final
+
+
+ORACLE.update({
+    "assign_role": with_m("SELECT user_id, position, first_pos, role FROM uassigned"),
+    "unmapped_codes": with_m("SELECT first_pos AS code, count(*) AS n FROM uassigned WHERE role IS NULL GROUP BY first_pos"),
+    "role_default": with_m(
+        f"SELECT user_id, coalesce({_ROLE_CASE.format('CASE WHEN position IS NULL THEN ' + chr(39) + 'NA' + chr(39) + ' ELSE first_pos END')}, 'MID') AS role FROM uroles"),
+    "latest_per_key": """SELECT o_custkey, o_orderkey, season, has_data FROM (
+  SELECT o_custkey, o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS season, o_orderstatus <> 'P' AS has_data FROM orders)
+QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY season DESC, has_data DESC,
+                           CASE WHEN has_data THEN o_orderkey ELSE -o_orderkey END) = 1""",
+    "verify_season": with_m("SELECT folder, n_rows, n_parts, expected, reason, status, message FROM sver"),
+    "expected_counts": with_m("SELECT folder, expected, reason FROM sexp"),
+    "status_rollup": with_m(
+        "SELECT status, count(*) AS n_folders, CAST(sum(CASE WHEN status = 'OK' THEN n_rows ELSE 0 END) AS BIGINT) AS n_rows_ok "
+        "FROM sver GROUP BY status"),
+    "reconcile_counts": with_m(
+        "SELECT coalesce(f.folder, e.folder) AS folder, f.n_rows, e.expected, f.n_rows - e.expected AS difference "
+        "FROM sfound f FULL OUTER JOIN sexp e ON f.folder = e.folder"),
+    "registry": with_m(
+        f"""SELECT CAST(num AS INTEGER) AS num, folder, tier, code, league,
+  CASE WHEN regexp_matches(folder, '{FOLDER_RE}') THEN CAST(regexp_extract(folder, '{FOLDER_RE}', 1) AS INTEGER) END AS parsed_num,
+  CASE WHEN regexp_matches(folder, '{FOLDER_RE}') THEN upper(regexp_extract(folder, '{FOLDER_RE}', 2)) ELSE '' END AS parsed_code,
+  CASE WHEN regexp_matches(folder, '{FOLDER_RE}') THEN regexp_extract(folder, '{FOLDER_RE}', 3) ELSE folder END AS parsed_league
+FROM reg_gy"""),
+    "code_order": with_m("SELECT code, CAST(min(num) AS INTEGER) AS first_num FROM reg_all GROUP BY code"),
+    "league_code": "SELECT p_partkey, "
+                   + league_code_sql("('B' || regexp_extract(p_brand, '(\\d+)', 1))", "concat_ws(' ', p_name, CAST(p_size AS VARCHAR))")
+                   + " AS code_name, "
+                   + league_code_sql("('B' || regexp_extract(p_brand, '(\\d+)', 1))", "p_type")
+                   + " AS code_type FROM part",
+    "safe_name": "SELECT p_partkey, " + safe_name_sql("p_brand || '/' || p_name || ' ' || p_type || '.'") + " AS safe FROM part",
+    "natural_order": """SELECT n_name, row_number() OVER (ORDER BY lower(regexp_extract(n_name, '^(\\D*)', 1)),
+  coalesce(TRY_CAST(regexp_extract(n_name, '(\\d+)', 1) AS BIGINT), -1),
+  lower(regexp_replace(n_name, '^\\D*\\d*', '')), n_nationkey) - 1 AS ord FROM nation""",
+    "slug": f"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(
+  translate(text, '{ACCENTED}', '{ASCII_OF}'), '[^\\x00-\\x7F]', '', 'g'), '[^A-Za-z0-9_]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug
+FROM documents""",
+    "source_split": with_m("SELECT split_part(strength_source, ' ', 1) AS source, count(*) AS n FROM league_map GROUP BY source"),
+    "catalogue_flatten": with_m("SELECT area, competition_id, competition, season_id, season, cat_ord FROM catflat"),
+    "catalogue_resolve": with_m("SELECT scope, competition_id, season_id, match FROM resolved2"),
+    "suggest": with_m("""
+, unres AS (SELECT scope, _league FROM resolved2 JOIN sparts USING (scope) WHERE match = 'none')
+SELECT scope, rank, suggestion FROM (
+  SELECT u.scope, c.area || '. ' || c.name AS suggestion,
+         row_number() OVER (PARTITION BY u.scope ORDER BY c.cat_ord) AS rank
+  FROM unres u JOIN cats c ON position(substr(lower(u._league), 1, 6) IN lower(c.name)) > 0)
+WHERE rank <= 8"""),
+})

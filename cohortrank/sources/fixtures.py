@@ -186,3 +186,88 @@ def supplier_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 5 == 0, F.concat(F.col("s_name"), F.lit(" "))).otherwise(F.col("s_name")).alias("s_name"),
         "s_nationkey",
         F.when(k % 7 == 0, F.col("s_acctbal") + 1).otherwise(F.col("s_acctbal")).alias("s_acctbal"))
+
+
+# ---- Q5: a season check over nations --------------------------------------
+def season_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registry folders: one per nation."""
+    return table(spark, sf_dir, "nation").select(F.col("n_name").alias("folder"), "n_nationkey")
+
+
+def season_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per nation: rows of the merged export (its suppliers; NULL if none) and raw parts (customers)."""
+    n = table(spark, sf_dir, "nation")
+    s = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("_s"))
+    c = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("_c"))
+    j = n.join(s, n.n_nationkey == s.s_nationkey, "left").join(c, n.n_nationkey == c.c_nationkey, "left")
+    return j.select(F.col("n_name").alias("folder"), F.col("_s").alias("n_rows"),
+                    F.coalesce(F.col("_c"), F.lit(0)).alias("n_parts"))
+
+
+def season_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file listing per nation folder whose ``.txt`` names carry the expected count.
+
+    Every third nation's number is one too high, every eighth has only an
+    unnumbered ``SIZE.txt``, every eleventh has a second numbered file, and
+    even nations hold an unrelated note.
+    """
+    f = season_found(spark, sf_dir).join(season_registry(spark, sf_dir), "folder")
+    k = F.col("n_nationkey")
+    cnt = F.coalesce(F.col("n_rows"), F.lit(0))
+    main = f.select("folder", F.when(k % 8 == 7, F.lit("SIZE.txt"))
+                    .otherwise(F.concat((cnt + F.when(k % 3 == 0, 1).otherwise(0)).cast("string"), F.lit(".txt")))
+                    .alias("file_name"))
+    extra = f.where(k % 11 == 10).select("folder", F.concat(F.lit("old_"), cnt.cast("string"), F.lit(".txt"))
+                                         .alias("file_name"))
+    note = f.where(k % 2 == 0).select("folder", F.lit("notes.md").alias("file_name"))
+    return main.unionByName(extra).unionByName(note)
+
+
+# ---- Q9 / S11: registry and catalogue over region -> nation -------------------
+def registry_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One registry row per region: tier, names, code and its nations as an array."""
+    r = table(spark, sf_dir, "region")
+    n = table(spark, sf_dir, "nation")
+    leagues = n.groupBy("n_regionkey").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda s: s["n_name"])
+        .alias("leagues"))
+    rk = F.col("r_regionkey")
+    tier = F.when(rk <= 1, "green").when(rk <= 3, "yellow").otherwise("red")
+    return r.join(leagues, r.r_regionkey == leagues.n_regionkey, "left").select(
+        tier.alias("tier"), F.lower("r_name").alias("local_name"), F.col("r_name").alias("english_name"),
+        F.upper(F.substring("r_name", 1, 3)).alias("code"),
+        F.coalesce(F.col("leagues"), F.array().cast("array<string>")).alias("leagues"),
+        rk.alias("row_ord"))
+
+
+def catalogue_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One JSON document per region: competitions (nations) with seasons (order years)."""
+    o = table(spark, sf_dir, "orders").select("o_custkey", F.year("o_orderdate").alias("y"))
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    years = o.join(c, o.o_custkey == c.c_custkey).select("c_nationkey", "y").distinct()
+    seasons = years.groupBy("c_nationkey").agg(F.array_sort(F.collect_list(F.struct(
+        F.col("y").cast("long").alias("id"),
+        F.format_string("%d/%d", F.col("y"), F.col("y") + 1).alias("name")))).alias("seasons"))
+    n = table(spark, sf_dir, "nation")
+    comps = (n.join(seasons, n.n_nationkey == seasons.c_nationkey, "left")
+              .groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct(
+                  F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"),
+                  F.coalesce(F.col("seasons"), F.array().cast("array<struct<id:bigint,name:string>>"))
+                  .alias("seasons")))).alias("competitions")))
+    r = table(spark, sf_dir, "region")
+    return r.join(comps, r.r_regionkey == comps.n_regionkey, "left").select(
+        F.col("r_regionkey").alias("doc_ord"),
+        F.to_json(F.struct(F.col("r_name").alias("name"), "competitions")).alias("json"))
+
+
+def scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """'Area. League' strings: every nation under its region, some under a wrong area,
+    and some names that exist nowhere."""
+    n = table(spark, sf_dir, "nation")
+    r = table(spark, sf_dir, "region")
+    j = n.join(r, n.n_regionkey == r.r_regionkey)
+    k = F.col("n_nationkey")
+    a = j.select(F.concat_ws(". ", "r_name", "n_name").alias("scope"))
+    b = j.where(k % 4 == 0).select(F.concat(F.lit("EUROPE. "), F.col("n_name")).alias("scope"))
+    c = j.where(k % 5 == 0).select(F.concat(F.col("r_name"), F.lit(". NATIONAL_"), k.cast("string")).alias("scope"))
+    return a.unionByName(b).unionByName(c).distinct()
