@@ -478,6 +478,80 @@ def q_suggest(spark, sf):
     return J.suggest(unresolved.select("scope"), cat)
 
 
+# ---- S1-S5, S13, U5 on an export tree derived from supplier -----------------------
+from .sources import files as FS  # noqa: E402
+
+
+def _tree(spark, sf):
+    import uuid
+    from .session import ensure_checkpoint_dir
+    root = ensure_checkpoint_dir(spark).rstrip("/") + f"/exports-{uuid.uuid4().hex}"
+    return fx.write_export_tree(spark, sf, root)
+
+
+def q_header_report(spark, sf):
+    rep = FS.header_report(spark, _tree(spark, sf), fx.EXPORT_SPEC)
+    return rep.select("folder", F.array_join("missing", "|").alias("missing"),
+                      F.array_join("extra", "|").alias("extra"), "ok").groupBy("folder", "missing", "extra", "ok") \
+              .agg(F.count(F.lit(1)).alias("n_files"))
+
+
+def _exports(spark, sf, strict):
+    df, _ = FS.read_exports(spark, _tree(spark, sf), fx.EXPORT_SPEC, fx.EXPORT_TYPES,
+                            season="2025-2026", strict=strict)
+    return df.groupBy("folder", "country", "league", "season").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count("Team").alias("n_team"),
+        F.sum("Key").alias("key_sum"), F.max("Market value").alias("max_value"))
+
+
+def q_strict_gate(spark, sf):
+    return _exports(spark, sf, True)
+
+
+def q_conform(spark, sf):
+    return _exports(spark, sf, False)
+
+
+def q_missing_exports(spark, sf):
+    rep = FS.header_report(spark, _tree(spark, sf), fx.EXPORT_SPEC)
+    n = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    reg = n.select(F.format_string("%d - [%s] - (%s)", F.col("n_nationkey") + 1,
+                                   F.upper(F.substring("r_name", 1, 3)), F.col("n_name")).alias("folder"))
+    return FS.missing_exports(reg, rep)
+
+
+def q_part_schema_check(spark, sf):
+    rep = FS.header_report(spark, _tree(spark, sf), fx.EXPORT_SPEC)
+    return rep.groupBy("folder").agg(F.count_distinct(F.array_join("header", "|")).alias("n_headers"))
+
+
+# ---- W6, K2, U4 ------------------------------------------------------------------
+from .operators.rank import with_group_median  # noqa: E402
+
+
+def q_group_median(spark, sf):
+    """Each priced player with the median market value of its league."""
+    p = fx.players(spark, sf).where(F.col("market_value") > 0).select("player_id", "league_key", "market_value")
+    return with_group_median(p, ["league_key"], "market_value", out="league_median")
+
+
+def q_canonical_order(spark, sf):
+    """K2: nation ascending, balance descending (NULLs last), key ascending -> row number."""
+    s = table(spark, sf, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
+    x = (s.withColumn("_nb", F.col("s_acctbal").isNull().cast("int"))
+          .withColumn("_bd", F.coalesce(-F.col("s_acctbal"), F.lit(0.0))))
+    return row_index(x, ["s_nationkey", "_nb", "_bd", "s_suppkey"], out="ord").select(
+        "s_suppkey", "s_nationkey", "s_acctbal", "ord")
+
+
+def q_column_diff(spark, sf):
+    """U4: supplier vs its changed copy with a renamed and a moved column."""
+    a = table(spark, sf, "supplier")
+    b = fx.supplier_changed(spark, sf).select("s_name", "s_suppkey", F.col("s_acctbal").alias("balance"),
+                                              "s_nationkey")
+    return U.column_diff(spark, a, b)
+
+
 QUERIES = {
     "score": q_score,
     "role_percentiles": q_role_percentiles,
@@ -548,4 +622,12 @@ QUERIES = {
     "catalogue_flatten": q_catalogue_flatten,
     "catalogue_resolve": q_catalogue_resolve,
     "suggest": q_suggest,
+    "header_report": q_header_report,
+    "strict_gate": q_strict_gate,
+    "conform": q_conform,
+    "missing_exports": q_missing_exports,
+    "part_schema_check": q_part_schema_check,
+    "group_median": q_group_median,
+    "canonical_order": q_canonical_order,
+    "column_diff": q_column_diff,
 }

@@ -59,7 +59,7 @@ def column_diff(spark: SparkSession, a: DataFrame, b: DataFrame) -> DataFrame:
         pb = cb.index(n) if n in cb else None
         side = "both" if pa is not None and pb is not None else ("only_a" if pa is not None else "only_b")
         rows.append((n, pa, pb, side, pa is not None and pa == pb))
-    schema = T.StructType([T.StructField("column", T.StringType()), T.StructField("pos_a", T.IntegerType()),
+    schema = T.StructType([T.StructField("column_name", T.StringType()), T.StructField("pos_a", T.IntegerType()),
                            T.StructField("pos_b", T.IntegerType()), T.StructField("side", T.StringType()),
                            T.StructField("same_position", T.BooleanType())])
     return spark.createDataFrame(rows, schema)

@@ -704,3 +704,47 @@ SELECT scope, rank, suggestion FROM (
   FROM unres u JOIN cats c ON position(substr(lower(u._league), 1, 6) IN lower(c.name)) > 0)
 WHERE rank <= 8"""),
 })
+
+
+# ---- file sources over the export tree written from supplier ----------------------
+_NATION_FOLDER = "printf('%d - [%s] - (%s)', n_nationkey + 1, upper(substr(r_name, 1, 3)), n_name)"
+_EXP = f"""sx AS (
+  SELECT {_NATION_FOLDER} AS folder, upper(substr(r_name, 1, 3)) AS country, n_name AS league, n_nationkey AS k,
+         s_suppkey, s_acctbal
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
+_HDR = """CASE WHEN k % 6 = 5 THEN '' WHEN k % 4 = 1 THEN 'Team' ELSE '' END AS missing,
+         CASE WHEN k % 6 = 5 THEN 'Extra, %' ELSE '' END AS extra,
+         NOT (k % 6 = 5 OR (k % 4 = 1 AND k % 6 <> 5)) AS ok"""
+
+
+def _export_rows(strict: bool) -> str:
+    cond = "WHERE NOT (k % 6 = 5 OR (k % 4 = 1 AND k % 6 <> 5))" if strict else ""
+    return (f"WITH {_EXP} SELECT folder, country, league, '2025-2026' AS season, count(*) AS n_rows, "
+            f"count(*) FILTER (WHERE k % 6 = 5 OR NOT (k % 4 = 1)) AS n_team, "
+            f"CAST(sum(s_suppkey) AS DOUBLE) AS key_sum, max(s_acctbal) AS max_value FROM sx {cond} "
+            f"GROUP BY folder, country, league")
+
+
+ORACLE.update({
+    "header_report": f"WITH {_EXP} SELECT folder, {_HDR}, count(DISTINCT 1) AS n_files FROM (SELECT DISTINCT folder, k FROM sx) "
+                     "GROUP BY ALL",
+    "strict_gate": _export_rows(True),
+    "conform": _export_rows(False),
+    "missing_exports": f"SELECT {_NATION_FOLDER} AS folder FROM nation JOIN region ON n_regionkey = r_regionkey "
+                       "WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier)",
+    "part_schema_check": f"WITH {_EXP} SELECT DISTINCT folder, CAST(1 AS BIGINT) AS n_headers FROM sx",
+})
+
+
+ORACLE.update({
+    "group_median": with_ctes("""
+, pp AS (SELECT player_id, league_key, market_value FROM players WHERE market_value > 0)
+SELECT pp.*, m.league_median FROM pp LEFT JOIN
+  (SELECT league_key, quantile_cont(market_value, 0.5) AS league_median FROM pp GROUP BY league_key) m USING (league_key)"""),
+    "canonical_order": "SELECT s_suppkey, s_nationkey, s_acctbal, row_number() OVER (ORDER BY s_nationkey, "
+                       "s_acctbal IS NULL, s_acctbal DESC, s_suppkey) - 1 AS ord FROM supplier",
+    "column_diff": """SELECT * FROM (VALUES
+  ('s_suppkey', 0, 1, 'both', false), ('s_name', 1, 0, 'both', false), ('s_nationkey', 2, 3, 'both', false),
+  ('s_acctbal', 3, NULL, 'only_a', false), ('balance', NULL, 2, 'only_b', false))
+  t(column_name, pos_a, pos_b, side, same_position)""",
+})

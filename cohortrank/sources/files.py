@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numeric import NULL_WORDS, to_number
-from ..functions.text import parse_folder
+from ..functions.text import SEASON_RE, parse_folder
 
 # Split a CSV line on commas outside double quotes.
 CSV_SPLIT = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
@@ -46,9 +46,24 @@ def _decoded_path() -> Column:
 
 
 def _parent_name(path: Column) -> Column:
-    """Name of the folder holding the file; a Hive-style ``key=value`` folder gives the value."""
+    """Name of the folder holding the file.
+
+    A Hive-style ``key=value`` folder (as written by ``partitionBy``) gives
+    its value with the ``%XX`` escapes undone; ``+`` stays a plus sign.
+    """
     parent = F.element_at(F.split(path, "/"), -2)
-    return F.regexp_replace(parent, r"^[^=/]+=", "")
+    hive = parent.rlike(r"^[^=/]+=")
+    value = F.regexp_replace(F.regexp_replace(parent, r"^[^=/]+=", ""), r"\+", "%2B")
+    return F.when(hive, F.url_decode(value)).otherwise(parent)
+
+
+def _unescape_folder(name: str) -> str:
+    """Python twin of ``_parent_name`` for names listed on the driver."""
+    import re
+    from urllib.parse import unquote
+    if re.match(r"^[^=/]+=", name):
+        return unquote(re.sub(r"^[^=/]+=", "", name))
+    return name
 
 
 def header_report(spark: SparkSession, root: str, header_spec: Sequence[str],
@@ -157,9 +172,16 @@ def read_exports(spark: SparkSession, root: str, header_spec: Sequence[str],
     df = (df.withColumn("folder", folder).withColumn("country", code).withColumn("league", league)
             .withColumn("season", F.lit(season).cast("string") if season else
                         F.element_at(F.split(F.col("path"), "/"), -3)))
+    if not season:
+        df = df.where(valid_season(F.col("season")))
     return df, report
 
 
+def valid_season(c) -> Column:
+    """A season folder name is ``YYYY-YYYY``."""
+    return c.rlike(SEASON_RE)
+
+
 def missing_exports(registry: DataFrame, report: DataFrame, key: str = "folder") -> DataFrame:
     """Registry folders with no export file."""
     return registry.join(report.select(key).distinct(), key, "left_anti")
@@ -185,7 +207,7 @@ def file_listing(spark: SparkSession, root: str, pattern: str | None = None) ->
         name = fp.getName()
         if pattern and not fnmatch.fnmatch(name, pattern):
             continue
-        rows.append((fp.getParent().getName(), name, fp.toString(), int(st.getLen())))
+        rows.append((_unescape_folder(fp.getParent().getName()), name, fp.toString(), int(st.getLen())))
     schema = T.StructType([T.StructField("folder", T.StringType()), T.StructField("file_name", T.StringType()),
                            T.StructField("path", T.StringType()), T.StructField("length", T.LongType())])
     return spark.createDataFrame(rows, schema)

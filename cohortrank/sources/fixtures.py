@@ -271,3 +271,42 @@ def scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = j.where(k % 4 == 0).select(F.concat(F.lit("EUROPE. "), F.col("n_name")).alias("scope"))
     c = j.where(k % 5 == 0).select(F.concat(F.col("r_name"), F.lit(". NATIONAL_"), k.cast("string")).alias("scope"))
     return a.unionByName(b).unionByName(c).distinct()
+
+
+# ---- S1-S5: an export tree written from the supplier table ------------------------
+EXPORT_SPEC = ["Key", "Player", "Team", "Market value"]
+EXPORT_TYPES = {"Key": "double", "Market value": "double"}
+
+
+def write_export_tree(spark: SparkSession, sf_dir: str, root: str) -> str:
+    """Write one CSV export per nation under ``<root>/2025-2026/<nation>=...``.
+
+    Columns follow ``EXPORT_SPEC`` from the supplier table, with contract
+    breaks on purpose: nations with key % 4 == 1 lose ``Team``; key % 6 == 5
+    gains ``Extra, %``; key % 5 == 3 has the columns in another order. Nations
+    without suppliers get no file. One Spark write per header variant (four
+    writes), partitioned by folder, so the tree grows with the table.
+    """
+    s = table(spark, sf_dir, "supplier")
+    n = table(spark, sf_dir, "nation")
+    r = table(spark, sf_dir, "region")
+    j = (s.join(n, s.s_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
+          .select(F.format_string("%d - [%s] - (%s)", F.col("n_nationkey") + 1,
+                                  F.upper(F.substring("r_name", 1, 3)), F.col("n_name")).alias("nation"),
+                  F.col("n_nationkey").alias("_k"),
+                  F.col("s_suppkey").cast("string").alias("Key"), F.col("s_name").alias("Player"),
+                  F.concat(F.lit("TEAM_"), F.col("s_nationkey").cast("string")).alias("Team"),
+                  F.col("s_acctbal").cast("string").alias("Market value")))
+    k = F.col("_k")
+    variants = [
+        (~((k % 4 == 1) | (k % 6 == 5) | (k % 5 == 3)), ["Key", "Player", "Team", "Market value"]),
+        ((k % 4 == 1) & ~(k % 6 == 5), ["Key", "Player", "Market value"]),
+        ((k % 6 == 5), ["Key", "Player", "Team", "Market value", "Extra, %"]),
+        ((k % 5 == 3) & ~(k % 4 == 1) & ~(k % 6 == 5), ["Market value", "Key", "Player", "Team"]),
+    ]
+    base = root.rstrip("/") + "/2025-2026"
+    for cond, cols in variants:
+        part = j.where(cond).withColumn("Extra, %", F.lit("1"))
+        (part.select("nation", *[F.col(f"`{c}`") for c in cols])
+             .write.mode("append").option("header", "true").partitionBy("nation").csv(base))
+    return root

@@ -101,3 +101,21 @@ def test_read_table_and_write_merged(spark, tree):
 def test_part_schema_check(spark, tree):
     rep = S.header_report(spark, tree, SPEC)
     assert S.part_schema_check(rep).count() == 0
+
+
+def test_load_league_map(spark):
+    d = tempfile.mkdtemp(prefix="cohortrank-lm-[x]-")
+    p = os.path.join(d, "league_map.csv")
+    with open(p, "w", encoding="utf-8-sig") as fh:
+        fh.write("league_code,folder,country,league,priority,priority_rank,division,strength,strength_source,"
+                 "latest_season,n_teams,n_players,groups,calendar,notes\n")
+        fh.write("GER_22B,1 - [GER] - (2. Bundesliga),GER,2. Bundesliga,green,1,2,51.3,x,2025-2026,18,538,,autumn-spring,\n")
+        fh.write("RSA_PD,60 - [RSA] - (Premier Division),RSA,Premier Division,red,3,1,,MISSING,2025-2026,0,0,,autumn-spring,no CSV\n")
+    lm, missing = S.load_league_map(spark, p)
+    assert lm.count() == 2 and missing.first()["n_without_strength"] == 1
+    assert lm.where(F.col("league_code") == "GER_22B").first()["strength"] == 51.3
+
+
+def test_season_predicate(spark):
+    df = spark.createDataFrame([("2025-2026",), ("old",), ("2025-26",)], "s string")
+    assert [r["s"] for r in df.where(S.valid_season(F.col("s"))).collect()] == ["2025-2026"]
