@@ -79,12 +79,23 @@ def _factor_expr(division_col: str):
 
 
 def strength_inputs(players: DataFrame, leagues: DataFrame, key: str = "league_key",
-                    min_n: int = MIN_MEDIAN_SUPPORT) -> DataFrame:
-    """Leagues with profile, supported median and raw European strength."""
-    prof = league_profile(players, key)
-    med = supported_median(players, [key], "market_value", min_n).drop("n_rows")
-    lm = leagues.join(prof, key, "left").join(med, key, "left")
-    return lm.withColumn("uefa_raw", F.col("coefficient") * _factor_expr("division"))
+                    min_n: int = MIN_MEDIAN_SUPPORT, club: str = "club_season") -> DataFrame:
+    """Leagues with profile, supported median and raw European strength.
+
+    Profile (A1) and the positive-value counts of A2 are one aggregation over
+    the players; the exact median adds the positions pass.
+    """
+    v = F.col("market_value")
+    counts = players.groupBy(key).agg(F.count(F.lit(1)).alias("n_players"),
+                                      F.count_distinct(club).alias("n_teams"),
+                                      F.count_if(v > 0).alias("n_positive"))
+    med = group_quantile(players.where(v > 0), [key], "market_value", 0.5, out="_median",
+                         n_rows=known_rows(players)).drop("_median_n")
+    lm = leagues.join(counts.join(med, key, "left"), key, "left")
+    return (lm.withColumn("mv_median", F.when(F.col("n_positive") >= min_n, r9(F.col("_median"))))
+              .withColumn("coverage", F.lit(100.0) * F.col("n_positive") / F.col("n_players"))
+              .withColumn("uefa_raw", F.col("coefficient") * _factor_expr("division"))
+              .drop("_median"))
 
 
 def anchors_of(inputs: DataFrame) -> DataFrame:
@@ -95,11 +106,8 @@ def anchors_of(inputs: DataFrame) -> DataFrame:
 
 def raw_strength(inputs: DataFrame) -> DataFrame:
     """European route where a coefficient exists, else interpolated from the median."""
-    need = inputs.where(F.col("uefa_raw").isNull())
-    has = inputs.where(F.col("uefa_raw").isNotNull()).withColumn("interp", F.lit(None).cast("double"))
-    x = F.when(F.col("mv_median") != 0, F.col("mv_median"))
-    need = interpolate(need.withColumn("_x", x), "_x", anchors_of(inputs)).drop("_x")
-    both = has.unionByName(need)
+    x = F.when(F.col("uefa_raw").isNull() & (F.col("mv_median") != 0), F.col("mv_median"))
+    both = interpolate(inputs.withColumn("_x", x), "_x", anchors_of(inputs)).drop("_x")
     return both.withColumn("raw", F.coalesce("uefa_raw", "interp"))
 
 
