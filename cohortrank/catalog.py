@@ -390,13 +390,13 @@ def q_role_default(spark, sf):
 
 
 def q_latest_per_key(spark, sf):
+    """Per customer the newest season; in it the first order with data, else the last."""
     o = table(spark, sf, "orders").select(
         "o_custkey", "o_orderkey", F.year("o_orderdate").alias("season"),
         (F.col("o_orderstatus") != "P").alias("has_data"))
     order = F.struct(-F.col("season"), (~F.col("has_data")).cast("int"),
                      F.when(F.col("has_data"), F.col("o_orderkey")).otherwise(-F.col("o_orderkey")))
-    return o.groupBy("o_custkey").agg(F.min_by(F.struct("o_orderkey", "season", "has_data"), order).alias("w")) \
-            .select("o_custkey", "w.o_orderkey", "w.season", "w.has_data")
+    return latest_per_key(o, ["o_custkey"], order)
 
 
 def _verified(spark, sf):

@@ -91,8 +91,12 @@ def value_positions(df: DataFrame, group_cols=None, order_cols=None,
                          F.col("_ties").cast("long").alias("ties"),
                          F.sum("_ties").over(Window.partitionBy(*g)).cast("long").alias("n"))
     n = n_parts or shuffle_partitions(df.sparkSession)
-    rp = (vc.repartitionByRange(n, *[F.col(c).asc_nulls_first() for c in g], *okeys)
-            .withColumn("_pid", F.spark_partition_id()))
+    # The partition id is data: both the local running counts and the chunk
+    # offsets must see the same range cut. The cut is computed once and
+    # written, so the result never depends on exchange reuse, and a lost
+    # executor re-reads it instead of re-sampling the range bounds.
+    rp = materialize(vc.repartitionByRange(n, *[F.col(c).asc_nulls_first() for c in g], *okeys)
+                       .withColumn("_pid", F.spark_partition_id()), "ranges")
     w_local = (Window.partitionBy("_pid", *g).orderBy(*okeys)
                .rowsBetween(Window.unboundedPreceding, -1))
     local = rp.withColumn("_lbelow", F.coalesce(F.sum("_ties").over(w_local), F.lit(0)))
@@ -284,8 +288,13 @@ def top_per_group(df: DataFrame, group_cols, order: Sequence[Column], k: int,
               .where(F.col(out) <= k))
 
 
-def latest_per_key(df: DataFrame, key_cols, order: Sequence[Column], out: str | None = None) -> DataFrame:
-    """Keep the first row per key under ``order`` (a top-1-per-group)."""
-    w = Window.partitionBy(*_cols(key_cols)).orderBy(*order)
-    x = df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1)
-    return x.drop("_rn") if out is None else x.withColumnRenamed("_rn", out)
+def latest_per_key(df: DataFrame, key_cols, order_key: Column, out: str = "latest") -> DataFrame:
+    """Per key, the row with the smallest ``order_key`` (a struct sorts field by field).
+
+    One ``min_by`` aggregate: partial per map task, so a key with millions
+    of rows costs one candidate row per task.
+    """
+    keys = _cols(key_cols)
+    rest = [c for c in df.columns if c not in keys]
+    agg = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), order_key).alias(out))
+    return agg.select(*keys, *[F.col(f"{out}.{c}").alias(c) for c in rest])

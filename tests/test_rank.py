@@ -94,3 +94,24 @@ def test_top_per_group_keeps_k(spark):
     top = R.top_per_group(df, ["g"], [F.col("v").desc(), F.col("id")], 4, out="rk").collect()
     assert len(top) == 8
     assert sorted(r["id"] for r in top if r["g"] == "y") == [45, 48, 51, 54, 57][-4:]
+
+
+def test_null_group_is_its_own_group(spark, rank_path):
+    rows = [(i, None if i % 4 == 0 else "x", float(i % 5)) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, g string, v double")
+    got = {r["id"]: r["pct"] for r in R.pct_rank_avg(df, ["g"], "v").collect()}
+    pdf = pd.DataFrame(rows, columns=["id", "g", "v"]).fillna({"g": "<null>"})
+    exp = pdf.groupby("g")["v"].rank(pct=True)
+    for i, e in zip(pdf["id"], exp):
+        assert got[i] == e
+
+
+def test_latest_per_key(spark):
+    rows = [(1, 10, 2020, True), (1, 11, 2021, False), (1, 12, 2021, False), (2, 20, 2021, False),
+            (2, 21, 2021, True), (2, 22, 2021, True)]
+    df = spark.createDataFrame(rows, "k long, f long, season int, has_data boolean")
+    order = F.struct(-F.col("season"), (~F.col("has_data")).cast("int"),
+                     F.when(F.col("has_data"), F.col("f")).otherwise(-F.col("f")))
+    got = {r["k"]: r["f"] for r in R.latest_per_key(df, ["k"], order).collect()}
+    # newest season wins; without data in it the last folder is kept; with data, the first with data
+    assert got == {1: 12, 2: 21}
