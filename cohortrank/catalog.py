@@ -296,10 +296,13 @@ def q_payload(spark, sf):
 
 def q_payload_json(spark, sf):
     from .spec import MIN_MINUTES, FULL_SEASON
-    cand = _cand(spark, sf)
-    groups = cand.groupBy("role").agg(F.count(F.lit(1)).alias("n")).withColumn("label", F.col("role"))
+    sc = scored(spark, sf)
+    cand = materialize(R.candidates(sc, CANDIDATE_MAX_AGE))
+    counts = cand.groupBy("role").agg(F.count(F.lit(1)).alias("n"))
+    groups = fx.FIXTURE_SPEC.groups_df(spark).join(counts, "role", "left") \
+        .withColumn("n", F.coalesce(F.col("n"), F.lit(0)))
     meta = {"maxAge": CANDIDATE_MAX_AGE, "minMinutes": MIN_MINUTES, "fullSeason": FULL_SEASON}
-    header, players = R.payload_json(cand, meta, groups, R.validation(cand, TOP_FRACTION))
+    header, players = R.payload_json(cand, meta, groups, R.validation(cand, TOP_FRACTION), scanned=sc)
     return header.withColumn("kind", F.lit("header")).unionByName(players.withColumn("kind", F.lit("player")))
 
 

@@ -175,17 +175,27 @@ def payload_players(cand: DataFrame) -> DataFrame:
         F.col("market_value").alias("mv"), round_half_even(F.col("idx"), 1).alias("idx"), "radar")
 
 
-def payload_json(cand: DataFrame, meta: Mapping, groups: DataFrame, valid: DataFrame) -> tuple[DataFrame, DataFrame]:
+def payload_json(cand: DataFrame, meta: Mapping, groups: DataFrame, valid: DataFrame,
+                 scanned: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(header row JSON with meta, groups, validation; players as JSON lines).
 
-    The players array is never collected into one row: it is written as JSON
-    lines (``players.write.text``), the header is one small row.
+    ``groups``: (role, label, metrics, n) - one row per role (X22 labels and
+    directions from the spec, ``n`` candidates). The players array is never
+    collected into one row: it is written as JSON lines, the header is one
+    small row.
     """
     players = payload_players(cand).select(F.to_json(F.struct(F.col("*"))).alias("json"))
-    meta_col = F.struct(*[F.lit(v).alias(k) for k, v in meta.items()])
-    g = groups.agg(F.map_from_entries(F.collect_list(F.struct("role", F.struct(F.col("label"), F.col("n")))))
-                   .alias("groups"))
-    header = g.crossJoin(valid.select(F.struct(F.col("*")).alias("validation"))) \
+    # leagues (a bounded dimension) and pool sizes are one-row aggregates
+    pool = cand.agg(F.array_sort(F.collect_set(F.struct(F.col("league").alias("name"),
+                                                        F.col("country").alias("code")))).alias("leagues"),
+                    F.count(F.lit(1)).alias("totalPool"))
+    if scanned is not None:
+        pool = pool.crossJoin(scanned.agg(F.count(F.lit(1)).alias("totalScanned")))
+    meta_col = F.struct("leagues", *[F.lit(v).alias(k) for k, v in meta.items()], "totalPool",
+                        *(["totalScanned"] if scanned is not None else []))
+    g = groups.agg(F.map_from_entries(F.collect_list(
+        F.struct("role", F.struct(F.col("label"), F.col("metrics"), F.col("n"))))).alias("groups"))
+    header = g.crossJoin(valid.select(F.struct(F.col("*")).alias("validation"))).crossJoin(pool) \
               .select(F.to_json(F.struct(meta_col.alias("meta"), "groups", "validation")).alias("json"))
     return header, players
 

@@ -64,7 +64,10 @@ FIXTURE_LENGTH_EDGES = [0, 1000, 5000, 20000, 1000000000]
 FIXTURE_LENGTH_LABELS = ["short", "medium", "long", "very long"]
 # ---------------------------------------------------------------------------
 
-FIXTURE_SPEC = MetricSpec(FIXTURE_ROLE_METRICS, set(FIXTURE_LOWER_IS_BETTER), dict(FIXTURE_VOLUME_OF))
+FIXTURE_METRIC_LABEL = {"orders_per90": "Orders /90", "lines_per90": "Lines /90", "price_per_unit": "Price per unit",
+                        "returned_pct": "Returned", "discount_avg": "Discount", "urgent_pct": "Urgent"}
+FIXTURE_SPEC = MetricSpec(FIXTURE_ROLE_METRICS, set(FIXTURE_LOWER_IS_BETTER), dict(FIXTURE_VOLUME_OF),
+                          labels=FIXTURE_METRIC_LABEL, role_labels=FIXTURE_ROLE_LABEL)
 
 
 def _club_past(custkey, nationkey):

@@ -130,10 +130,26 @@ class ScoreParams:
 
 @dataclass
 class MetricSpec:
-    """role -> ordered metrics; lower-is-better set; percentage -> volume metric."""
+    """role -> ordered metrics; lower-is-better set; percentage -> volume metric; display labels."""
     role_metrics: dict
     lower_is_better: set = field(default_factory=set)
     volume_of: dict = field(default_factory=dict)
+    labels: dict = field(default_factory=dict)
+    role_labels: dict = field(default_factory=dict)
+
+    def groups_df(self, spark: SparkSession) -> DataFrame:
+        """Per role its label and metrics as (col, label, higher), in scoring order."""
+        schema = T.StructType([
+            T.StructField("role", T.StringType(), False),
+            T.StructField("label", T.StringType(), True),
+            T.StructField("metrics", T.ArrayType(T.StructType([
+                T.StructField("col", T.StringType()), T.StructField("label", T.StringType()),
+                T.StructField("higher", T.BooleanType())]))),
+        ])
+        rows = [(role, self.role_labels.get(role, role),
+                 [(m, self.labels.get(m, m), m not in self.lower_is_better) for m in metrics])
+                for role, metrics in self.role_metrics.items()]
+        return spark.createDataFrame(rows, schema)
 
     def rows(self):
         out = []
@@ -164,7 +180,8 @@ class MetricSpec:
         return spark.createDataFrame(self.rows(), schema)
 
 
-FOOTBALL_SPEC = MetricSpec(ROLE_METRICS, set(LOWER_IS_BETTER), dict(PERCENTAGE_VOLUME))
+FOOTBALL_SPEC = MetricSpec(ROLE_METRICS, set(LOWER_IS_BETTER), dict(PERCENTAGE_VOLUME),
+                           role_labels=dict(ROLE_LABEL))
 
 
 def kv_df(spark: SparkSession, mapping: dict, key: str, value: str,
