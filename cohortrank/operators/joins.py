@@ -62,7 +62,7 @@ def suggest(scopes: DataFrame, catalogue: DataFrame, max_n: int = 8, prefix: int
     cat = catalogue.select(F.col("area").alias("_carea"), F.col("name").alias("_cname"), "cat_ord")
     j = s.join(F.broadcast(cat), F.instr(F.lower(F.col("_cname")), F.col("_q")) > 0, "inner")
     w = Window.partitionBy(scope_col).orderBy("cat_ord")
-    return (j.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max_n)
+    return (j.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= max_n)
              .select(scope_col, "rank",
                      F.concat_ws(". ", F.col("_carea"), F.col("_cname")).alias("suggestion")))
 

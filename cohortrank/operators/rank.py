@@ -284,7 +284,7 @@ def top_per_group(df: DataFrame, group_cols, order: Sequence[Column], k: int,
     group never reaches one task whole.
     """
     w = Window.partitionBy(*_cols(group_cols)).orderBy(*order)
-    return (df.withColumn(out, F.row_number().over(w))
+    return (df.withColumn(out, F.row_number().over(w).cast("long"))
               .where(F.col(out) <= k))
 
 

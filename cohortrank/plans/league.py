@@ -44,7 +44,7 @@ def monotone_anchors(anchors: DataFrame, x: str = "ax", y: str = "ay") -> DataFr
     """
     w = Window.orderBy(x, y).rowsBetween(Window.unboundedPreceding, 0)
     return anchors.select(F.col(x).alias("ax"), F.max(y).over(w).alias("ay"),
-                          F.row_number().over(Window.orderBy(x, y)).alias("anchor_ord"))
+                          F.row_number().over(Window.orderBy(x, y)).cast("long").alias("anchor_ord"))
 
 
 def interpolate(df: DataFrame, x_col: str, anchors: DataFrame, out: str = "interp") -> DataFrame:
