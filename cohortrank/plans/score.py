@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import (attempts, blend, bucketize, evidence, flip, nan_to_null,
                                  null_if_nonpositive, round_half_even, shrink)
-from ..operators.rank import attach_positions, avg_rank_pct_expr, rank_min_desc
+from ..operators.rank import attach_positions, avg_rank_pct_expr, rank_min_desc, window_max_rows
 from ..session import known_rows, materialize
 from ..spec import MetricSpec, ScoreParams
 
@@ -83,13 +83,18 @@ def metric_long(df: DataFrame, spec: MetricSpec, metric_cols: Sequence[str]) ->
 
 
 def role_percentiles(elig: DataFrame, spec: MetricSpec, metric_cols: Sequence[str],
-                     params: ScoreParams, n_bound: int | None = None) -> DataFrame:
+                     params: ScoreParams, n_bound: int | None = None,
+                     co_partition: bool = False) -> DataFrame:
     """W1 + X7 + X8 + X10 per (player, metric): percentile in the cell, flipped, shrunk.
 
     ``n_bound``: an upper bound on the long rows (players x longest metric
     list), used by the rank operator's size check.
     """
     long = metric_long(elig, spec, metric_cols)
+    if co_partition and params.pool != "all":
+        # bounded input: one exchange by cell serves the (cell, metric) windows and
+        # the regroup per (cell, player) that follows
+        long = long.repartition("cell")
     if params.pool == "all":
         # thin rows are ranked against every row of their band|role pool
         long = long.withColumn("_pool", F.concat(F.lit("band:"), F.col("band"), F.lit("|"), F.col("role")))
@@ -117,9 +122,14 @@ def score(players: DataFrame, league_map: DataFrame, spec: MetricSpec,
     n_players = known_rows(players)
     longest = max(len(v) for v in spec.role_metrics.values())
     n_long = None if n_players is None else n_players * longest
-    pct = role_percentiles(elig, spec, metric_cols, params, n_long)
-    carry = [c for c in elig.columns if c not in metric_cols and c != id_col]
-    per = pct.groupBy(id_col).agg(
+    limit = window_max_rows(players.sparkSession)
+    small = n_long is not None and 0 < n_long <= limit and params.pool != "all"
+    pct = role_percentiles(elig, spec, metric_cols, params, n_long, co_partition=small)
+    # a player has exactly one cell, so grouping by (cell, player) equals grouping by
+    # player; on the co-partitioned small path it needs no exchange
+    keys = ["cell", id_col] if small else [id_col]
+    carry = [c for c in elig.columns if c not in metric_cols and c not in keys]
+    per = pct.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("ordinal", "metric", "pct"))).alias("_pcts"),
         *[F.any_value(c).alias(c) for c in carry])
     known = F.filter("_pcts", lambda s: s["pct"].isNotNull())
@@ -142,6 +152,9 @@ def score(players: DataFrame, league_map: DataFrame, spec: MetricSpec,
                         .withColumn("priced", F.col("market_value").isNotNull()))
     if n_players is None:
         scored = materialize(scored, "scored")
+    elif small:
+        # bounded: one exchange by role serves both rank windows
+        scored = scored.repartition("role")
     scored = rank_min_desc(scored, ["league_code", "role"], "perf_league", out="rank_in_league",
                            n_rows=n_players)
     scored = scored.withColumn("rank_in_league",
