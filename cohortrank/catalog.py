@@ -180,8 +180,11 @@ def _pool(spark, sf):
 
 def _concepts(spark, sf):
     """Concept scores + flat index of the pool, with its market value (checkpointed)."""
-    pool = _pool(spark, sf)
-    sc = R.concept_scores(pool, "player_id", fx.FIXTURE_CONCEPTS, "age")
+    from .session import known_rows
+    players = fx.players(spark, sf)
+    pool = players.where(F.col("role").isin(fx.FIXTURE_POOL_ROLES))
+    # the pool is a filter of the players: their recorded count bounds it
+    sc = R.concept_scores(pool, "player_id", fx.FIXTURE_CONCEPTS, "age", n_rows=known_rows(players))
     sc = sc.withColumn("flat_index", R.flat_index(CONCEPT_NAMES))
     return materialize(sc.join(pool.select("player_id", "market_value"), "player_id", "inner"))
 
