@@ -319,10 +319,7 @@ def q_money_label(spark, sf):
 
 
 def q_run_summary(spark, sf):
-    s = scored(spark, sf)
-    return s.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("league_code").alias("n_leagues"),
-                 F.count_distinct("role").alias("n_roles"), F.count_if("priced").alias("n_priced"),
-                 F.count_if(~F.col("priced")).alias("n_unpriced"))
+    return A.run_summary(scored(spark, sf))
 
 
 def q_distinct_leagues(spark, sf):
@@ -330,10 +327,7 @@ def q_distinct_leagues(spark, sf):
 
 
 def q_role_profile(spark, sf):
-    return scored(spark, sf).groupBy("role").agg(
-        F.count(F.lit(1)).alias("players"),
-        round_half_even(F.avg("age"), 0).alias("mean_age"),
-        round_half_even(F.avg("minutes"), 0).alias("mean_minutes"))
+    return A.role_profile(scored(spark, sf), "role", ("age", "minutes"))
 
 
 def q_group_size(spark, sf):

@@ -208,3 +208,19 @@ def retention(df: DataFrame, id_col: str, a: str, b: str, frac: float) -> DataFr
 def rank_zip(a_top: DataFrame, b_top: DataFrame, rank_col: str = "rank") -> DataFrame:
     """Two top-N lists side by side, aligned by their 1-based position."""
     return a_top.join(b_top, rank_col, "full_outer")
+
+
+def role_profile(df: DataFrame, group: str = "role", mean_cols: Sequence[str] = ("age", "minutes"),
+                 digits: int = 0) -> DataFrame:
+    """A3: rows per group and rounded means (half-to-even) of the given columns."""
+    return df.groupBy(group).agg(
+        F.count(F.lit(1)).alias("players"),
+        *[round_half_even(F.avg(c), digits).alias(f"mean_{c}") for c in mean_cols])
+
+
+def run_summary(scored: DataFrame, league: str = "league_code", role: str = "role",
+                priced: str = "priced") -> DataFrame:
+    """One row with rows, distinct leagues and roles, priced and unpriced counts."""
+    return scored.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(league).alias("n_leagues"),
+                      F.count_distinct(role).alias("n_roles"), F.count_if(priced).alias("n_priced"),
+                      F.count_if(~F.col(priced)).alias("n_unpriced"))
