@@ -6,17 +6,20 @@ same minimiser position form a super-k-mer: it holds one occurrence of its
 minimiser and so at most ``2 * size - seed_words`` words. Equal windows have
 equal minimisers, so a window can repeat only where the minimiser's hash does.
 
-1. ``super_refs``: (hash, row key, first window, windows), numbers only.
-2. Hashes seen once are dropped (a count, pre-aggregated before the shuffle).
-3. The rest travel as one packed string each (its words joined by one space) to
-   the bucket of the hash. Equal strings are counted before that shuffle, so a
-   passage copied a million times is one row with a count.
-4. In the bucket the windows are cut out of the strings and sorted; a window is
-   repeated if its counts add up to two or more. Strings are compared, not
-   hashes, so counts are exact. A bucket of more than ``hot`` different strings
-   is dealt out window by window instead (a hash aggregate on the window text
-   and a join that Spark may split), with the same result.
-5. The repeated windows return to their rows as (first window, bit mask).
+1. ``super_refs``: (minimiser hash, hash of the words, row key, first window,
+   windows), numbers only. Minimisers seen once are dropped (a count, combined
+   before the shuffle).
+2. Super-k-mers equal in both 64-bit hashes are one kind with a count, so a
+   passage copied a million times is one row. If a minimiser has one kind only,
+   all windows of that kind repeat.
+3. Where a minimiser has several kinds, each travels as one packed string (its
+   words joined by one space) to the bucket of the minimiser. There the windows
+   are cut out of the strings and sorted; a window is repeated if its counts add
+   up to two or more. Strings are compared, not hashes. A bucket of more than
+   ``hot`` kinds is dealt out window by window instead (an aggregate on the
+   window text, combined before the shuffle, and a join that Spark may split),
+   with the same result.
+4. The repeated windows return to their rows as (first window, bit mask).
 
 Rows are told apart by ``doc_id`` and a hash of the text; rows equal in both
 are separate occurrences with equal results. Null and empty texts have no
@@ -27,6 +30,8 @@ words; texts shorter than ``size`` words have no window and stay whole; a null
 from __future__ import annotations
 
 import hashlib
+import gc
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,7 +40,15 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from . import _text as tx
 
-SIZE, SEED_WORDS, HOT = 35, 12, 1000
+SIZE, SEED_WORDS, HOT = 35, 8, 1000
+
+
+def _step(df: DataFrame, name: str) -> DataFrame:
+    """Write a step, and let the driver drop the shuffle files of what led to it."""
+    out = materialize(df, name)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -45,12 +58,12 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _supers(words: np.ndarray, first: np.ndarray, size: int, seed_words: int):
-    """Super-k-mers of a chunk: (text, first window in the text, windows, minimiser hash)."""
+    """Super-k-mers of a chunk: (text, first window in the text, windows, minimiser hash, hash of the words)."""
     seeds = len(words) - seed_words + 1
     start, doc = tx.windows(first, size)
     if not len(start):
         z = np.zeros(0, np.int64)
-        return z, z, z, z.astype(np.uint64)
+        return z, z, z, z.astype(np.uint64), z.astype(np.uint64)
     at = np.arange(seeds)
     h = tx.range_hash(words, at, at + seed_words)
     least = (h & np.uint64(0xFFFFFFFF00000000)) | at.astype(np.uint64)
@@ -64,12 +77,13 @@ def _supers(words: np.ndarray, first: np.ndarray, size: int, seed_words: int):
     fresh = np.ones(len(start), bool)
     fresh[1:] = (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])
     f = np.flatnonzero(fresh)
-    return doc[f], start[f] - first[:-1][doc[f]], np.diff(np.append(f, len(start))), h[place[f]]
+    n = np.diff(np.append(f, len(start)))
+    return doc[f], start[f] - first[:-1][doc[f]], n, h[place[f]], tx.range_hash(words, start[f], start[f] + n + size - 1, 1)
 
 
 def super_refs(docs: DataFrame, size: int = SIZE, seed_words: int = SEED_WORDS) -> DataFrame:
-    """(key, _d, _k, start, n) per super-k-mer of ``docs`` (columns _d, _k, text)."""
-    schema = pa.schema([("key", pa.int64()), ("_d", pa.int64()), ("_k", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
+    """(key, pid, _d, _k, start, n) per super-k-mer of ``docs`` (columns _d, _k, text)."""
+    schema = pa.schema([("key", pa.int64()), ("pid", pa.int64()), ("_d", pa.int64()), ("_k", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
 
     def run(it):
         for b in it:
@@ -77,9 +91,9 @@ def super_refs(docs: DataFrame, size: int = SIZE, seed_words: int = SEED_WORDS)
             for a, _, data, off in tx.string_chunks(b.column(2)):
                 ws, we, first = tx.tokens(data, off)
                 if len(ws) >= size:
-                    doc, start, n, key = _supers(tx.range_hash(data, ws, we), first, size, seed_words)
-                    yield tx.batches({"key": key.view(np.int64), "_d": d[a + doc], "_k": k[a + doc], "start": start, "n": n}, schema)
-    return docs.select("_d", "_k", "text").mapInArrow(run, "key long, _d long, _k long, start int, n int")
+                    doc, start, n, key, pid = _supers(tx.range_hash(data, ws, we), first, size, seed_words)
+                    yield tx.batches({"key": key.view(np.int64), "pid": pid.view(np.int64), "_d": d[a + doc], "_k": k[a + doc], "start": start, "n": n}, schema)
+    return docs.select("_d", "_k", "text").mapInArrow(run, "key long, pid long, _d long, _k long, start int, n int")
 
 
 def _bucket_rows(rows, size: int) -> dict[int, int]:
@@ -112,26 +126,28 @@ def repeated_windows(docs: DataFrame, size: int = SIZE, seed_words: int = SEED_W
     """(_d, _k, start, mask): bit j set means that window start + j of the row also starts elsewhere."""
     if not 0 < seed_words <= size or size - seed_words >= 62:
         raise ValueError("seed_words must lie in 1..size, and size - seed_words below 62 (masks are longs)")
-    refs = materialize(super_refs(docs, size, seed_words), "supers")
-    twice = refs.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
-    mine = refs.join(twice, "key", "left_semi").groupBy("_d", "_k").agg(
-        F.array_sort(F.collect_set(F.struct("start", "n", "key"))).alias("refs"), F.count(F.lit(1)).alias("rows"))
+    refs = super_refs(docs, size, seed_words)
+    twice = _step(refs.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key"), "keys")
+    refs = _step(refs.join(twice, "key", "left_semi"), "supers")
+    kinds = _step(refs.groupBy("key", "pid").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("_d", "_k", "start", "n")).alias("at")), "kinds")
+    contested = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
+    open_ = kinds.join(contested, "key").select("at._d", "at._k", F.struct("at.start", "at.n", "key", "pid", "c", "kinds").alias("ref"))
+    lists = open_.groupBy("_d", "_k").agg(F.collect_list("ref").alias("refs"))
 
     def pack(it):
-        schema = pa.schema([("_d", pa.int64()), ("_k", pa.int64()), ("start", pa.int32()), ("key", pa.int64()),
-                            ("packed", pa.binary()), ("pid", pa.int64())])
+        schema = pa.schema([("key", pa.int64()), ("pid", pa.int64()), ("c", pa.int64()), ("kinds", pa.int64()), ("packed", pa.binary())])
         for b in it:
-            for i, (d, k, text, refs_) in enumerate(zip(*(b.column(c).to_pylist() for c in ("_d", "_k", "text", "refs")), strict=True)):
+            out: dict[str, list] = {n: [] for n in schema.names}
+            for text, refs_ in zip(b.column("text").to_pylist(), b.column("refs").to_pylist(), strict=True):
                 w = text.encode().split()
-                packed = [b" ".join(w[r["start"]:r["start"] + r["n"] + size - 1]) for r in refs_]
-                yield tx.batches({"_d": [d] * len(refs_), "_k": [k] * len(refs_), "start": [r["start"] for r in refs_],
-                                  "key": [r["key"] for r in refs_], "packed": packed,
-                                  "pid": [int.from_bytes(hashlib.blake2b(p, digest_size=8).digest(), "little", signed=True) for p in packed]}, schema)
-    # every row of the input: rows equal in id and text each bring their strings
-    strings = materialize(docs.join(mine.select("_d", "_k", "refs"), ["_d", "_k"]).select("_d", "_k", "text", "refs").mapInArrow(
-        pack, "_d long, _k long, start int, key long, packed binary, pid long"), "packed")
-    kinds = materialize(strings.groupBy("key", "pid", "packed").agg(F.count(F.lit(1)).alias("c")), "kinds")
-    crowded = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).filter(F.col("kinds") > hot).select("key")
+                for r in refs_:
+                    for n in ("key", "pid", "c", "kinds"):
+                        out[n].append(r[n])
+                    out["packed"].append(b" ".join(w[r["start"]:r["start"] + r["n"] + size - 1]))
+            yield tx.batches(out, schema)
+    # rows equal in id and text would each bring the string; one is enough, the count has them all
+    packed = _step(docs.join(lists, ["_d", "_k"]).select("text", "refs").mapInArrow(
+        pack, "key long, pid long, c long, kinds long, packed binary"), "packed")
 
     def count(it):
         schema = pa.schema([("key", pa.int64()), ("pid", pa.int64()), ("mask", pa.int64())])
@@ -147,24 +163,25 @@ def repeated_windows(docs: DataFrame, size: int = SIZE, seed_words: int = SEED_W
                 if k != key:
                     close()
                     key, rows = k, []
-                rows.append((p, t, c))
+                if not rows or rows[-1][0] != p:
+                    rows.append((p, t, c))
             yield tx.batches(out, schema)
             for v in out.values():
                 v.clear()
         close()
         yield tx.batches(out, schema)
-    plain = kinds.join(crowded, "key", "left_anti").repartition("key").sortWithinPartitions("key").select(
+    once = ["key", "pid"]
+    plain = packed.filter(F.col("kinds") <= hot).repartition("key").sortWithinPartitions("key", "pid").select(
         "key", "pid", "packed", "c").mapInArrow(count, "key long, pid long, mask long")
-
     words = F.split(F.decode("packed", "UTF-8"), " ")
-    each = kinds.join(crowded, "key", "left_semi").select("key", "pid", "c", words.alias("w")).select(
+    each = packed.filter(F.col("kinds") > hot).dropDuplicates(once).select("key", "pid", "c", words.alias("w")).select(
         "key", "pid", "c", F.posexplode(F.transform(
             F.sequence(F.lit(1), F.size("w") - (size - 1)), lambda i: F.array_join(F.slice("w", i, size), " "))).alias("j", "window"))
     many = each.groupBy("key", "window").agg(F.sum("c").alias("total")).filter("total > 1").select("key", "window")
-    dealt = each.join(many, ["key", "window"], "left_semi").groupBy("key", "pid").agg(
-        F.bit_or(F.expr("shiftleft(1L, j)")).alias("mask"))
-    masks = plain.unionByName(dealt)
-    return strings.select("_d", "_k", "start", "key", "pid").distinct().join(masks, ["key", "pid"]).select("_d", "_k", "start", "mask")
+    dealt = each.join(many, ["key", "window"], "left_semi").groupBy(*once).agg(F.bit_or(F.expr("shiftleft(1L, j)")).alias("mask"))
+    alone = kinds.filter("c > 1").join(contested, "key", "left_anti").select("key", "pid", F.expr("shiftleft(1L, at.n) - 1").alias("mask"))
+    masks = plain.unionByName(dealt).unionByName(alone)
+    return _step(refs.select("_d", "_k", "start", *once).join(masks, once).select("_d", "_k", "start", "mask"), "repeats")
 
 
 def remove_repeats(docs: DataFrame, size: int = SIZE, **options) -> DataFrame:
@@ -173,7 +190,7 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, **options) -> DataFrame:
     Kept words are joined by one space. Windows are judged on the input.
     """
     keyed = _keyed(docs)
-    spans = repeated_windows(keyed, size, **options).groupBy("_d", "_k").agg(F.collect_list(F.struct("start", "mask")).alias("spans"))
+    spans = _step(repeated_windows(keyed, size, **options).groupBy("_d", "_k").agg(F.collect_set(F.struct("start", "mask")).alias("spans")), "spans")
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())])
 
     def run(it):
