@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ._steps import step
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -36,12 +36,12 @@ def components(edges: DataFrame) -> DataFrame:
     """
     a, b = edges.columns[:2]
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u is not null and v is not null and u <> v")
-    e = materialize(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    e = step(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = _state(e)
     while before[0]:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _star(both, True).distinct()
-        e = materialize(_star(large, False).distinct(), "edges")
+        e = step(_star(large, False).distinct(), "edges")
         now = _state(e)
         if now == before:
             break

@@ -40,9 +40,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
 from . import _text as tx
 from ._graph import components
+from ._steps import step
 
 SHINGLE, SIMILARITY, TF = 5, 0.8, 0.25
 BANDS, ROWS = 24, 5
@@ -254,25 +254,25 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("_d"),
                        F.xxhash64("text").alias("_k"), "text")
-    signed = materialize(signatures(rows), "darts")
-    kinds = materialize(signed.filter("h1 is not null").groupBy("h1", "h2").agg(
+    signed = step(signatures(rows), "darts")
+    kinds = step(signed.filter("h1 is not null").groupBy("h1", "h2").agg(
         F.count(F.lit(1)).alias("copies"), F.min(F.struct("_d", "_k")).alias("row"), F.any_value("bands").alias("bands"),
         F.any_value("sig").alias("sig")).withColumn("nid", F.monotonically_increasing_id()), "kinds")
     members = kinds.select("nid", F.explode("bands").alias("v"))
     shared = members.groupBy("v").agg(F.count(F.lit(1)).alias("shared")).filter("shared > 1")
-    buckets = materialize(members.join(shared, "v"), "buckets")
+    buckets = step(members.join(shared, "v"), "buckets")
     popular = buckets.groupBy("nid").agg(F.sum("shared").alias("mates"))
     ranked = buckets.join(popular, "nid")
     centre = ranked.groupBy("v").agg(F.max(F.struct("mates", (-F.col("nid")).alias("nid"))).alias("c")).select("v", (-F.col("c.nid")).alias("a"))
     star = buckets.join(centre, "v").filter("nid <> a").select("a", F.col("nid").alias("b")).distinct()
-    star = materialize(_agreeing(star, kinds), "star")
+    star = step(_agreeing(star, kinds), "star")
     wanted = star.select(F.col("a").alias("nid")).union(star.select("b")).distinct().join(kinds.select("nid", "row"), "nid").select(
         "nid", F.col("row._d").alias("_d"), F.col("row._k").alias("_k"))
-    sets = materialize(_sets(rows, wanted), "sets")
-    links = materialize(_exact(star, sets, similarity), "links")
+    sets = step(_sets(rows, wanted), "sets")
+    links = step(_exact(star, sets, similarity), "links")
     rest = _across(buckets, kinds, components(links))
     known = star.union(star.select("b", "a"))
-    rest = materialize(rest.join(known, ["a", "b"], "left_anti"), "rest")
+    rest = step(rest.join(known, ["a", "b"], "left_anti"), "rest")
     more = rest.select(F.col("a").alias("nid")).union(rest.select("b")).distinct().join(
         sets.select("nid"), "nid", "left_anti").join(kinds.select("nid", "row"), "nid").select("nid", F.col("row._d").alias("_d"), F.col("row._k").alias("_k"))
     if rest.limit(1).count():

@@ -31,9 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize, shuffle_partitions
+from ..session import shuffle_partitions
 from . import _text as tx
 from ._graph import components
+from ._steps import step
 
 THRESHOLD, AXES, BLOCK, LEAF, FAN, SAMPLE = 0.9, 8, 2048, 128, 8, 4096
 SLACK = 1e-9  # on the squared distance, for rounding in the boxes
@@ -217,14 +218,14 @@ def _block_pairs(boxes: DataFrame, n_blocks: int, axes: int, threshold: float) -
         kids = F.sequence(F.lit(0), F.lit(FAN - 1))
         child = pairs.select((F.col("i") * FAN).alias("i0"), (F.col("j") * FAN).alias("j0"), F.explode(kids).alias("x")).select(
             (F.col("i0") + F.col("x")).alias("i"), "j0", F.explode(kids).alias("y")).select("i", (F.col("j0") + F.col("y")).alias("j")).filter("i <= j")
-        pairs = materialize(child.join(at.alias("a"), F.col("i") == F.col("a.g")).join(at.alias("b"), F.col("j") == F.col("b.g")).filter(near).select("i", "j"), "ego")
+        pairs = step(child.join(at.alias("a"), F.col("i") == F.col("a.g")).join(at.alias("b"), F.col("j") == F.col("b.g")).filter(near).select("i", "j"), "ego")
     return pairs
 
 
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of ``vectors`` (vec_id, embedding)."""
     rows = _keyed(vectors)
-    kinds = materialize(rows.filter("e1 is not null").groupBy("e1", "e2").agg(
+    kinds = step(rows.filter("e1 is not null").groupBy("e1", "e2").agg(
         F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("rep"), F.any_value("embedding").alias("embedding")).withColumn(
         "nid", F.monotonically_increasing_id()), "vectors")
     dims = kinds.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
@@ -232,7 +233,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, block: int =
     if dims is not None:
         sample = kinds.filter(F.size("embedding") == dims["d"]).orderBy(F.xxhash64("e1"), "e1", "e2").limit(SAMPLE).select("embedding").collect()
         axes = principal_axes([np.asarray(r[0], np.float64).tobytes() for r in sample])
-        blocks = materialize(_blocks(kinds, axes, threshold, block), "blocks")
+        blocks = step(_blocks(kinds, axes, threshold, block), "blocks")
         offsets, total = {}, 0
         for part, n in sorted(tuple(r) for r in blocks.groupBy("part").count().collect()):  # a row per task
             offsets[part], total = total, total + n
@@ -262,7 +263,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, block: int =
                     e = np.array(edges, np.int64).reshape(-1, 2)
                     yield tx.batches({"kind": np.repeat([0, 1], [len(hit), len(e)]), "nid": np.concatenate((ids[hit], ids[e[:, 0]])),
                                       "value": np.concatenate((links[hit], ids[e[:, 1]]))}, schema)
-        found = materialize(work.mapInArrow(run, "kind int, nid long, value long"), "found")
+        found = step(work.mapInArrow(run, "kind int, nid long, value long"), "found")
     if found is None:
         found = vectors.sparkSession.createDataFrame([], "kind int, nid long, value long")
     links = found.filter("kind = 0").groupBy("nid").agg(F.sum("value").alias("others"))

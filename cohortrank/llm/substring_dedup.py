@@ -30,27 +30,17 @@ words; texts shorter than ``size`` words have no window and stay whole; a null
 from __future__ import annotations
 
 import hashlib
-import gc
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
 from . import _text as tx
+from ._steps import step
 
 SIZE, SEED_WORDS, HOT = 35, 8, 1000
 
 
-def _step(df: DataFrame, name: str) -> DataFrame:
-    """Write a step, and let the driver drop the shuffle files of what led to it."""
-    out = materialize(df, name)
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return out
-
-
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_d"),
@@ -127,9 +117,9 @@ def repeated_windows(docs: DataFrame, size: int = SIZE, seed_words: int = SEED_W
     if not 0 < seed_words <= size or size - seed_words >= 62:
         raise ValueError("seed_words must lie in 1..size, and size - seed_words below 62 (masks are longs)")
     refs = super_refs(docs, size, seed_words)
-    twice = _step(refs.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key"), "keys")
-    refs = _step(refs.join(twice, "key", "left_semi"), "supers")
-    kinds = _step(refs.groupBy("key", "pid").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("_d", "_k", "start", "n")).alias("at")), "kinds")
+    twice = step(refs.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key"), "keys")
+    refs = step(refs.join(twice, "key", "left_semi"), "supers")
+    kinds = step(refs.groupBy("key", "pid").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("_d", "_k", "start", "n")).alias("at")), "kinds")
     contested = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
     open_ = kinds.join(contested, "key").select("at._d", "at._k", F.struct("at.start", "at.n", "key", "pid", "c", "kinds").alias("ref"))
     lists = open_.groupBy("_d", "_k").agg(F.collect_list("ref").alias("refs"))
@@ -146,7 +136,7 @@ def repeated_windows(docs: DataFrame, size: int = SIZE, seed_words: int = SEED_W
                     out["packed"].append(b" ".join(w[r["start"]:r["start"] + r["n"] + size - 1]))
             yield tx.batches(out, schema)
     # rows equal in id and text would each bring the string; one is enough, the count has them all
-    packed = _step(docs.join(lists, ["_d", "_k"]).select("text", "refs").mapInArrow(
+    packed = step(docs.join(lists, ["_d", "_k"]).select("text", "refs").mapInArrow(
         pack, "key long, pid long, c long, kinds long, packed binary"), "packed")
 
     def count(it):
@@ -181,7 +171,7 @@ def repeated_windows(docs: DataFrame, size: int = SIZE, seed_words: int = SEED_W
     dealt = each.join(many, ["key", "window"], "left_semi").groupBy(*once).agg(F.bit_or(F.expr("shiftleft(1L, j)")).alias("mask"))
     alone = kinds.filter("c > 1").join(contested, "key", "left_anti").select("key", "pid", F.expr("shiftleft(1L, at.n) - 1").alias("mask"))
     masks = plain.unionByName(dealt).unionByName(alone)
-    return _step(refs.select("_d", "_k", "start", *once).join(masks, once).select("_d", "_k", "start", "mask"), "repeats")
+    return step(refs.select("_d", "_k", "start", *once).join(masks, once).select("_d", "_k", "start", "mask"), "repeats")
 
 
 def remove_repeats(docs: DataFrame, size: int = SIZE, **options) -> DataFrame:
@@ -190,7 +180,7 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, **options) -> DataFrame:
     Kept words are joined by one space. Windows are judged on the input.
     """
     keyed = _keyed(docs)
-    spans = _step(repeated_windows(keyed, size, **options).groupBy("_d", "_k").agg(F.collect_set(F.struct("start", "mask")).alias("spans")), "spans")
+    spans = step(repeated_windows(keyed, size, **options).groupBy("_d", "_k").agg(F.collect_set(F.struct("start", "mask")).alias("spans")), "spans")
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())])
 
     def run(it):
