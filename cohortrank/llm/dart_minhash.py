@@ -13,10 +13,12 @@ with an empty coordinate go on to twice the rank, and so on.
 1. ``signatures``: one pass over the text. Equal word sequences form a class,
    and only one of each class goes on.
 2. Banding: ``BANDS`` bands of ``ROWS`` coordinates; buckets with one class go.
-3. Each bucket is a star around its most popular class (most bucket mates over
-   all bands, which is the original of a group of edited copies), not all pairs.
-   Pairs whose signatures agree in fewer than ``LEAST_AGREEMENT`` are dropped,
-   the others are checked exactly: Jaccard similarity of the sets of runs.
+3. Each bucket has a centre, its most popular class (most bucket mates over all
+   bands, which is the original of a group of edited copies). A class is paired
+   with the most popular of its centres only, so a group of copies gives one
+   pair per class. Pairs whose signatures agree in fewer than
+   ``LEAST_AGREEMENT`` are dropped, the others are checked exactly: Jaccard
+   similarity of the sets of runs.
 4. Components of the links found. In buckets that still hold several
    components, every pair across components is compared by signature, in blocks
    of ``BLOCK`` classes, and those that agree are checked exactly too.
@@ -25,7 +27,7 @@ with an empty coordinate go on to twice the rank, and so on.
 A bucket, centre or class with a third of all texts is split: counts and maxima
 are pre-aggregated, stars are dealt out by (centre, slice of its members) and
 blocks by (bucket, pair of blocks). At 0.8 similarity a pair shares no bucket
-with probability 7e-5.
+with probability 7e-5, and agrees too little with about 2e-5.
 
 Null and empty texts have no run and stay alone. Rows with a null id join
 groups but name them only if no other row does. Repeated rows are exact copies of each other.
@@ -47,7 +49,7 @@ from ._steps import step
 SHINGLE, SIMILARITY, TF = 5, 0.8, 0.25
 BANDS, ROWS = 24, 5
 K = BANDS * ROWS
-LEAST_AGREEMENT, BLOCK, STAR = 0.55, 256, 256
+LEAST_AGREEMENT, BLOCK, STAR = 0.65, 256, 256
 RANK_BITS = 20
 _TOP = (1 << 12) - 1
 _LAST = (1 << 63) - 1  # stands for a null id, behind all others
@@ -213,7 +215,7 @@ def _across(buckets: DataFrame, sigs: DataFrame, groups: DataFrame) -> DataFrame
     """Agreeing pairs (a, b) of classes that share a bucket and lie in different components."""
     own = buckets.select("v", "nid").join(groups.withColumnRenamed("id", "nid"), "nid", "left").withColumn("component", F.coalesce("component", "nid"))
     per = own.groupBy("v", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("v").agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("n"))
-    left = own.join(per.filter("groups > 1 and n > 2"), "v").withColumn("blocks", F.ceil(F.col("n") / BLOCK)).withColumn("mine", F.pmod(F.xxhash64("nid"), F.col("blocks")))
+    left = own.join(per.filter("groups > 1"), "v").withColumn("blocks", F.ceil(F.col("n") / BLOCK)).withColumn("mine", F.pmod(F.xxhash64("nid"), F.col("blocks")))
     every = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.struct(F.least("mine", o).alias("p"), F.greatest("mine", o).alias("q")))
     dealt = left.select("v", "nid", "component", "mine", F.explode(every).alias("pq")).join(sigs.select("nid", "sig"), "nid")
     dealt = dealt.select("v", "pq.p", "pq.q", "mine", "nid", "component", "sig").repartition("v", "p", "q").sortWithinPartitions("v", "p", "q", "nid")
@@ -263,18 +265,18 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     buckets = step(members.join(shared, "v"), "buckets")
     popular = buckets.groupBy("nid").agg(F.sum("shared").alias("mates"))
     ranked = buckets.join(popular, "nid")
-    centre = ranked.groupBy("v").agg(F.max(F.struct("mates", (-F.col("nid")).alias("nid"))).alias("c")).select("v", (-F.col("c.nid")).alias("a"))
-    star = buckets.join(centre, "v").filter("nid <> a").select("a", F.col("nid").alias("b")).distinct()
-    star = step(_agreeing(star, kinds), "star")
-    wanted = star.select(F.col("a").alias("nid")).union(star.select("b")).distinct().join(kinds.select("nid", "row"), "nid").select(
-        "nid", F.col("row._d").alias("_d"), F.col("row._k").alias("_k"))
-    sets = step(_sets(rows, wanted), "sets")
+    centre = ranked.groupBy("v").agg(F.max(F.struct("mates", (-F.col("nid")).alias("nid"))).alias("c"))
+    best = buckets.join(centre, "v").filter(F.col("nid") != -F.col("c.nid")).groupBy("nid").agg(F.max("c").alias("c"))
+    star = step(_agreeing(best.select((-F.col("c.nid")).alias("a"), F.col("nid").alias("b")), kinds), "star")
+
+    def wanted(pairs):
+        ends = pairs.select(F.col("a").alias("nid")).union(pairs.select("b")).distinct()
+        return ends.join(kinds.select("nid", "row"), "nid").select("nid", F.col("row._d").alias("_d"), F.col("row._k").alias("_k"))
+    sets = step(_sets(rows, wanted(star)), "sets")
     links = step(_exact(star, sets, similarity), "links")
-    rest = _across(buckets, kinds, components(links))
     known = star.union(star.select("b", "a"))
-    rest = step(rest.join(known, ["a", "b"], "left_anti"), "rest")
-    more = rest.select(F.col("a").alias("nid")).union(rest.select("b")).distinct().join(
-        sets.select("nid"), "nid", "left_anti").join(kinds.select("nid", "row"), "nid").select("nid", F.col("row._d").alias("_d"), F.col("row._k").alias("_k"))
+    rest = step(_across(buckets, kinds, components(links)).join(known, ["a", "b"], "left_anti"), "rest")
+    more = wanted(rest).join(sets.select("nid"), "nid", "left_anti").select("nid", "_d", "_k")
     if rest.limit(1).count():
         links = links.union(_exact(rest, sets.union(_sets(rows, more)), similarity))
     group = components(links)
