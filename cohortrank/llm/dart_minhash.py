@@ -20,8 +20,9 @@ with an empty coordinate go on to twice the rank, and so on.
    ``LEAST_AGREEMENT`` are dropped, the others are checked exactly: Jaccard
    similarity of the sets of runs.
 4. Components of the links found. In buckets that still hold several
-   components, every pair across components is compared by signature, in blocks
-   of ``BLOCK`` classes, and those that agree are checked exactly too.
+   components, every pair across components is compared by signature and, if it
+   agrees, exactly, in blocks of ``BLOCK`` classes. A pair of blocks gives a
+   forest of links, not the pairs.
 5. Every text gets the smallest doc_id of its component.
 
 A bucket, centre or class with a third of all texts is split: counts and maxima
@@ -49,7 +50,7 @@ from ._steps import step
 SHINGLE, SIMILARITY, TF = 5, 0.8, 0.25
 BANDS, ROWS = 24, 5
 K = BANDS * ROWS
-LEAST_AGREEMENT, BLOCK, STAR = 0.65, 256, 256
+LEAST_AGREEMENT, BLOCK, BLOCK_BYTES, STAR = 0.65, 256, 8 << 20, 256
 RANK_BITS = 20
 _TOP = (1 << 12) - 1
 _LAST = (1 << 63) - 1  # stands for a null id, behind all others
@@ -211,41 +212,92 @@ def _exact(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.select("a", "b", "runs").mapInArrow(run, "a long, b long").distinct()
 
 
-def _across(buckets: DataFrame, sigs: DataFrame, groups: DataFrame) -> DataFrame:
-    """Agreeing pairs (a, b) of classes that share a bucket and lie in different components."""
+def _common(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all pairwise intersections, by matrix products over the runs that occur twice."""
+    every = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    runs, at, times = np.unique(every, return_inverse=True, return_counts=True)
+    place = np.cumsum(times > 1) - 1
+    use = times[at] > 1
+    owner, at = owner[use], place[at[use]]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for low in range(0, int((times > 1).sum()), 8192):
+        here = (at >= low) & (at < low + 8192)
+        x = np.zeros((len(sets), 8192), np.float32)
+        x[owner[here], at[here] - low] = 1
+        out += x @ x.T
+    return out
+
+
+def block_links(nid: np.ndarray, comp: np.ndarray, mine: np.ndarray, sig: np.ndarray, bands: np.ndarray, sets: list[np.ndarray],
+                bucket: int, alone: bool, similarity: float) -> list[tuple[int, int]]:
+    """Links of a forest over the components in one pair of blocks of a bucket (``alone``: a block with itself).
+
+    A pair is looked at in the first bucket that both of its classes lie in.
+    """
+    pairs_i, pairs_j = [], []
+    for i in range(len(nid) - 1):
+        far = (comp[i + 1:] != comp[i]) & (alone | (mine[i + 1:] != mine[i]))
+        j = np.flatnonzero(far) + i + 1
+        if len(j):
+            j = j[bands[i][(bands[j] == bands[i]).argmax(axis=1)] == bucket]
+            j = j[(sig[j] == sig[i]).mean(axis=1) >= LEAST_AGREEMENT]
+            pairs_i += [i] * len(j)
+            pairs_j += j.tolist()
+    if not pairs_i:
+        return []
+    i, j = np.array(pairs_i), np.array(pairs_j)
+    size = np.array([len(x) for x in sets])
+    common = _common(sets)[i, j]
+    near = common >= similarity * (size[i] + size[j] - common) - 1e-9
+    parent: dict[int, int] = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+    out = []
+    for a, b in zip(i[near].tolist(), j[near].tolist(), strict=True):
+        x, y = root(int(comp[a])), root(int(comp[b]))
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            out.append((int(nid[a]), int(nid[b])))
+    return out
+
+
+def _across(buckets: DataFrame, kinds: DataFrame, sets: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between classes that share a bucket and lie in different components, a forest per pair of blocks."""
     own = buckets.select("v", "nid").join(groups.withColumnRenamed("id", "nid"), "nid", "left").withColumn("component", F.coalesce("component", "nid"))
-    per = own.groupBy("v", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("v").agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("n"))
-    left = own.join(per.filter("groups > 1"), "v").withColumn("blocks", F.ceil(F.col("n") / BLOCK)).withColumn("mine", F.pmod(F.xxhash64("nid"), F.col("blocks")))
+    per = own.groupBy("v", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("v").agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("n")).filter("groups > 1")
+    full = own.join(per.select("v", "n"), "v").join(kinds.select("nid", "sig", "bands"), "nid").join(sets.dropDuplicates(["nid"]), "nid")
+    left = step(full, "contested")
+    size = left.groupBy("v").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum(F.octet_length("runs")) / BLOCK_BYTES)).alias("blocks"))
+    left = left.join(size, "v").withColumn("mine", F.pmod(F.xxhash64("nid"), F.col("blocks")))
     every = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.struct(F.least("mine", o).alias("p"), F.greatest("mine", o).alias("q")))
-    dealt = left.select("v", "nid", "component", "mine", F.explode(every).alias("pq")).join(sigs.select("nid", "sig"), "nid")
-    dealt = dealt.select("v", "pq.p", "pq.q", "mine", "nid", "component", "sig").repartition("v", "p", "q").sortWithinPartitions("v", "p", "q", "nid")
+    columns = ["mine", "nid", "component", "sig", "bands", "runs"]
+    dealt = left.select("v", *columns, F.explode(every).alias("pq")).select("v", "pq.p", "pq.q", *columns).repartition("v", "p", "q").sortWithinPartitions("v", "p", "q", "nid")
 
     def run(it):
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
         key, rows = None, []
+        links: list = []
 
         def close():
-            nid, comp = (np.array([r[i] for r in rows], np.int64) for i in (1, 2))
-            mine = np.array([r[0] for r in rows])
-            sig = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(-1, K)
-            out_a, out_b = [], []
-            for i in range(len(rows) - 1):
-                far = (comp[i + 1:] != comp[i]) & ((mine[i + 1:] != mine[i]) | (key[1] == key[2]))
-                j = np.flatnonzero(far) + i + 1
-                j = j[(sig[j] == sig[i]).mean(axis=1) >= LEAST_AGREEMENT]
-                out_a += [nid[i]] * len(j)
-                out_b += nid[j].tolist()
-            return tx.batches({"a": out_a, "b": out_b}, schema)
+            if len(rows) > 1:
+                mine, nid, comp, sig, bands, runs = zip(*rows, strict=True)
+                links.extend(block_links(np.array(nid), np.array(comp), np.array(mine), np.frombuffer(b"".join(sig), np.uint8).reshape(-1, K), np.array(bands),
+                                         [np.frombuffer(r, np.uint64) for r in runs], key[0], key[1] == key[2], similarity))
         for t in it:
-            for v, p, q, *row in zip(*(t.column(c).to_pylist() for c in ("v", "p", "q", "mine", "nid", "component", "sig")), strict=True):
+            for v, p, q, *row in zip(*(t.column(c).to_pylist() for c in ("v", "p", "q", *columns)), strict=True):
                 if (v, p, q) != key:
-                    if len(rows) > 1:
-                        yield close()
+                    close()
                     key, rows = (v, p, q), []
                 rows.append(row)
-        if len(rows) > 1:
-            yield close()
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+            yield tx.batches({"a": [x for x, _ in links], "b": [x for _, x in links]}, schema)
+            links.clear()
+        close()
+        yield tx.batches({"a": [x for x, _ in links], "b": [x for _, x in links]}, schema)
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -269,16 +321,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     best = buckets.join(centre, "v").filter(F.col("nid") != -F.col("c.nid")).groupBy("nid").agg(F.max("c").alias("c"))
     star = step(_agreeing(best.select((-F.col("c.nid")).alias("a"), F.col("nid").alias("b")), kinds), "star")
 
-    def wanted(pairs):
-        ends = pairs.select(F.col("a").alias("nid")).union(pairs.select("b")).distinct()
-        return ends.join(kinds.select("nid", "row"), "nid").select("nid", F.col("row._d").alias("_d"), F.col("row._k").alias("_k"))
-    sets = step(_sets(rows, wanted(star)), "sets")
+    wanted = popular.join(kinds.select("nid", "row"), "nid").select("nid", F.col("row._d").alias("_d"), F.col("row._k").alias("_k"))
+    sets = step(_sets(rows, wanted), "sets")
     links = step(_exact(star, sets, similarity), "links")
-    known = star.union(star.select("b", "a"))
-    rest = step(_across(buckets, kinds, components(links)).join(known, ["a", "b"], "left_anti"), "rest")
-    more = wanted(rest).join(sets.select("nid"), "nid", "left_anti").select("nid", "_d", "_k")
-    if rest.limit(1).count():
-        links = links.union(_exact(rest, sets.union(_sets(rows, more)), similarity))
+    links = links.union(_across(buckets, kinds, sets, components(links), similarity))
     group = components(links)
     named = kinds.select("h1", "h2", "nid", "row", "copies").join(group.withColumnRenamed("id", "nid"), "nid", "left").withColumn("component", F.coalesce("component", "nid"))
     names = named.groupBy("component").agg(F.min("row").alias("head"), F.sum("copies").alias("group_size"))
