@@ -93,20 +93,25 @@ def _codes(token: Column) -> Column:
     return F.filter(F.transform(F.split(token, ""), lambda c: F.when(c == "", 0).otherwise(F.instr(F.lit(ALPHABET), c))), lambda i: i > 0)
 
 
-def train(samples: DataFrame, smoothing: float = 0.5) -> list[int]:
-    """Log-likelihood ratios of all transitions, row by row, in thousandths of a nat (random over ordinary)."""
+def train(samples: DataFrame, smoothing: float = 0.5, backing: float = 8.0) -> list[int]:
+    """Log-likelihood ratios of all transitions, row by row, in thousandths of a nat (random over ordinary).
+
+    A transition's probability is its share among those from the same character,
+    drawn towards the share of the next character alone with a weight of ``backing``
+    observations; that share is smoothed by ``smoothing``.
+    """
     n = len(ALPHABET)
     codes = samples.filter("text is not null and label in (0, 1)").select("label", _codes(F.col("text")).alias("c")).filter(F.size("c") > 1)
     steps = codes.select("label", F.explode(F.zip_with("c", F.slice("c", 2, 1 << 30), lambda a, b: (a - 1) * n + b - 1)).alias("step")).filter("step is not null")
     counts = {0: [0] * (n * n), 1: [0] * (n * n)}
     for label, step, count in steps.groupBy("label", "step").count().collect():  # alphabet squared rows at most, for each label
         counts[label][step] = count
-    out = []
-    for a in range(n):
-        rows = [counts[k][a * n:(a + 1) * n] for k in (0, 1)]
-        total = [sum(r) + smoothing * n for r in rows]
-        out += [round(1000 * (math.log((rows[1][b] + smoothing) / total[1]) - math.log((rows[0][b] + smoothing) / total[0]))) for b in range(n)]
-    return out
+    logs = {}
+    for k, c in counts.items():
+        following = [sum(c[b::n]) + smoothing for b in range(n)]
+        share = [x / sum(following) for x in following]
+        logs[k] = [math.log((c[a * n + b] + backing * share[b]) / (sum(c[a * n:a * n + n]) + backing)) for a in range(n) for b in range(n)]
+    return [round(1000 * (x - y)) for x, y in zip(logs[1], logs[0], strict=True)]
 
 
 def markov_spans(text: Column, base: Column, model: list[int], total: int = TOTAL, mean: int = MEAN) -> Column:

@@ -94,7 +94,7 @@ def compiled(rules):
     for key, value in rules.items():
         place[key] = len(texts)
         texts += value + b"\0"
-    units, used = {0: 0}, {0}
+    units, used, bases = {0: 0}, {0}, set()
     todo = [(0, b"")]
     while todo:
         node, prefix = todo.pop()
@@ -103,7 +103,8 @@ def compiled(rules):
         slots = kids + [0] * leaf
         if not slots:
             continue
-        base = next(b for b in range(1, 1 << 20) if all((b ^ c) not in used for c in slots))
+        base = next(b for b in range(1, 1 << 20) if b not in bases and all((b ^ c) not in used for c in slots))
+        bases.add(base)
         units[node] = units.get(node, 0) | (node ^ base) << 10 | leaf << 8
         if leaf:
             used.add(base)
