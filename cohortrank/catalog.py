@@ -444,11 +444,8 @@ def q_safe_name(spark, sf):
 
 def q_natural_order(spark, sf):
     n = table(spark, sf, "nation").select("n_nationkey", "n_name")
-    x = n.select("n_nationkey", "n_name",
-                 F.lower(F.regexp_extract("n_name", r"^(\D*)", 1)).alias("_pre"),
-                 F.coalesce(F.regexp_extract("n_name", r"(\d+)", 1).try_cast("long"), F.lit(-1)).alias("_num"),
-                 F.lower(F.regexp_replace("n_name", r"^\D*\d*", "")).alias("_rest"))
-    return row_index(x, ["_pre", "_num", "_rest", "n_nationkey"], out="ord").select("n_name", "ord")
+    x = n.select("n_nationkey", "n_name", TX.natural_key("n_name").alias("_key"))
+    return row_index(x, ["_key", "n_nationkey"], out="ord").select("n_name", "ord")
 
 
 def q_slug(spark, sf):
@@ -465,7 +462,9 @@ def _catalogue(spark, sf):
 
 
 def q_catalogue_flatten(spark, sf):
-    return RG.flatten_catalogue(fx.catalogue_docs(spark, sf))
+    flat = RG.flatten_catalogue(fx.catalogue_docs(spark, sf))
+    return flat.select("area", "competition_id", "competition", "season_id", "season",
+                       F.col("cat_ord.doc").alias("doc_ord"), F.col("cat_ord.pos").alias("comp_pos"))
 
 
 def q_catalogue_resolve(spark, sf):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import sys
+import unicodedata
 from typing import Sequence
 
 from pyspark.sql import Column
@@ -16,13 +19,25 @@ FOLDER_RE = r"^(\d+)\s*-\s*\[([A-Za-z]{2,3})\]\s*-\s*\((.+)\)$"
 SEASON_RE = r"^\d{4}-\d{4}$"
 KEY_SEPARATOR = " | "
 KEY_NULL = "<NA>"
-# Accented Latin letters and their ASCII base letter, for the slug (Spark has
-# no NFKD normaliser, so the decomposition is spelled out).
-ACCENTED = "ÀÁÂÃÄÅàáâãäåÇçÈÉÊËèéêëÌÍÎÏìíîïÑñÒÓÔÕÖòóôõöÙÚÛÜùúûüÝýÿ"
-ASCII_OF = "AAAAAAaaaaaaCcEEEEeeeeIIIIiiiiNnOOOOOoooooUUUUuuuuYyy"
 # ---------------------------------------------------------------------------
 
 
+def _folded() -> dict[str, str]:
+    """Non-ASCII character -> the ASCII part of its compatibility decomposition, where there is one."""
+    out = {}
+    for code in range(0x80, sys.maxunicode + 1):
+        if not 0xD800 <= code <= 0xDFFF:
+            plain = unicodedata.normalize("NFKD", chr(code)).encode("ascii", "ignore").decode()
+            if plain:
+                out[chr(code)] = plain
+    return out
+
+
+FOLDED = _folded()
+_ONE = {k: v for k, v in FOLDED.items() if len(v) == 1}
+_MANY = {k: v for k, v in FOLDED.items() if len(v) > 1}
+
+
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -51,20 +66,21 @@ def league_code(country, league) -> Column:
     return F.concat(_c(country), F.lit("_"), F.substring(F.array_join(parts, ""), 1, 7))
 
 
-def composite_key(cols: Sequence, sep: str = KEY_SEPARATOR, null: str = KEY_NULL) -> Column:
-    """Trimmed text of each key column joined by `` | ``; NULL -> ``<NA>``.
+def composite_key(cols: Sequence, sep: str = KEY_SEPARATOR, null: str = KEY_NULL, numeric: Sequence[str] = ()) -> Column:
+    """Trimmed text of each key column joined by `` | ``; NULL -> ``<NA>``.
 
-    Numbers are normalised first (25 and 25.0 give the same key): a value
-    that reads as a whole number is written without a fraction.
+    Columns named in ``numeric`` hold numbers: there 25 and 25.0 give the same
+    key. Text is only trimmed, so ``007`` and ``7`` stay two keys.
     """
     parts = []
-    for c in cols:
-        c = _c(c)
+    for name in cols:
+        c = _c(name)
         s = F.trim(c.cast("string"))
-        num = to_number(s)
-        norm = F.when(num.isNotNull() & (num == F.floor(num)) & (F.abs(num) < F.lit(1e15)),
-                      F.floor(num).cast("long").cast("string")).otherwise(s)
-        parts.append(F.coalesce(norm, F.lit(null)))
+        if isinstance(name, str) and name in numeric:
+            num = to_number(s)
+            s = F.when(num.isNotNull() & (num == F.floor(num)) & (F.abs(num) < F.lit(1e15)),
+                       F.floor(num).cast("long").cast("string")).otherwise(s)
+        parts.append(F.coalesce(s, F.lit(null)))
     return F.concat_ws(sep, *parts)
 
 
@@ -93,8 +109,16 @@ def safe_name(c, illegal: str = '<>:"/\\|?*') -> Column:
 
 
 def slug(c) -> Column:
-    """ASCII slug: accents folded, runs of non-word characters -> '_', ends trimmed."""
-    s = F.translate(_c(c).cast("string"), ACCENTED, ASCII_OF)
+    """ASCII slug: accents folded, runs of non-word characters -> '_', ends trimmed.
+
+    Every character that decomposes to ASCII is folded; those that become several
+    letters (a ligature) are looked up only in texts that hold one.
+    """
+    s = _c(c).cast("string")
+    many = F.from_json(F.lit(json.dumps(_MANY)), "map<string,string>")
+    spelled = F.array_join(F.transform(F.split(s, ""), lambda x: F.coalesce(F.try_element_at(many, x), x)), "")
+    s = F.when(s.rlike("[" + "".join(_MANY) + "]"), spelled).otherwise(s)
+    s = F.translate(s, "".join(_ONE), "".join(_ONE.values()))
     s = F.regexp_replace(s, r"[^\x00-\x7F]", "")
     s = F.regexp_replace(s, r"[^A-Za-z0-9_]+", "_")
     return F.regexp_replace(s, r"^_+|_+$", "")
@@ -129,8 +153,15 @@ def money_label(v) -> Column:
              .otherwise(F.concat(k, F.lit(" k€"))))
 
 
-def natural_key(c) -> tuple[Column, Column]:
-    """K6: order names with numbers naturally: leading number, then the lower-cased rest."""
-    c = _c(c)
-    num = F.regexp_extract(c, r"(\d+)", 1)
-    return (F.when(num != "", num.cast("long")), F.lower(F.regexp_replace(c, r"\d+", "")))
+def natural_key(c) -> Column:
+    """K6: order names with numbers naturally, as an array of text and digit runs.
+
+    Text runs are lower-cased; digit runs are stripped of leading zeros and
+    prefixed by their length, so ``2.`` comes before ``10.`` in any position.
+    """
+    runs = F.regexp_extract_all(F.concat(F.lit(" "), F.lower(_c(c))), F.lit(r"(\d+|\D+)"), 1)
+
+    def part(x):
+        digits = F.regexp_replace(x, r"^0+(?=\d)", "")
+        return F.when(x.rlike(r"^\d"), F.concat(F.lpad(F.length(digits).cast("string"), 10, "0"), digits)).otherwise(x)
+    return F.transform(runs, part)

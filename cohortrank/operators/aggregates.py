@@ -125,13 +125,16 @@ def corr_with(df: DataFrame, cols: Sequence[str], y: str) -> DataFrame:
 def pca_variance(df: DataFrame, cols: Sequence[str], k: int | None = None) -> DataFrame:
     """PCA explained-variance shares after mean imputation and z-scoring (ddof = 1).
 
-    Means and sample deviations are one aggregate; the covariance of the
+    The deviation is that of the filled column (NULLs at the mean add nothing to
+    the squares but count as rows). A constant or empty column has no deviation
+    and is 0 everywhere. Means and deviations are one aggregate; the covariance of the
     standardised columns and its eigen-decomposition are done by
     ``pyspark.ml.feature.PCA`` (distributed Gram matrix, k x k solve).
     """
     from pyspark.ml.feature import PCA, VectorAssembler
     stats = df.agg(*[F.avg(f"`{c}`").alias(f"m{i}") for i, c in enumerate(cols)],
-                   *[F.stddev_samp(f"`{c}`").alias(f"s{i}") for i, c in enumerate(cols)])
+                   *[(F.stddev_samp(f"`{c}`") * F.sqrt(F.try_divide(F.count(f"`{c}`") - 1, F.count(F.lit(1)) - 1))).alias(f"s{i}")
+                     for i, c in enumerate(cols)])
     x = df.crossJoin(F.broadcast(stats))
     z = [F.try_divide(F.coalesce(F.col(f"`{c}`"), F.col(f"m{i}")) - F.col(f"m{i}"), F.col(f"s{i}")).alias(f"z{i}")
          for i, c in enumerate(cols)]

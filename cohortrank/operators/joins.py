@@ -17,6 +17,10 @@ from pyspark.sql import types as T
 from ..functions.text import split_scope
 
 
+# FIXED VALUES: time frames that are no season names
+TIMEFRAME_WORDS = ("current_season", "last_season", "last_5", "default")
+
+
 def lookup(df: DataFrame, key: str, mapping: Mapping, out: str, default=None) -> DataFrame:
     """Constant-dictionary lookup as a literal map (no join), default when absent."""
     m = F.create_map(*[x for k, v in mapping.items() for x in (F.lit(k), F.lit(v))])
@@ -30,7 +34,10 @@ def resolve_scope(scopes: DataFrame, catalogue: DataFrame, timeframe: str,
 
     ``catalogue``: (area, name, id, cat_ord, seasons map<string, long>). The
     best candidate per scope is the best match quality, then catalogue order.
-    Season: the timeframe's id from the competition's seasons, NULL if absent.
+    Season: the timeframe's id from the competition's seasons. ``season_status``:
+    ``season`` (its id found), ``keyword`` (a time frame word the caller passes
+    through, no id needed), ``no season`` (the competition lacks it: no hit, both
+    ids NULL) or NULL without a competition.
     """
     area, league = split_scope(F.col(scope_col))
     s = scopes.select(scope_col, area.alias("_area"), league.alias("_league"))
@@ -43,10 +50,13 @@ def resolve_scope(scopes: DataFrame, catalogue: DataFrame, timeframe: str,
                 .otherwise(F.lit(1)))
     w = Window.partitionBy(scope_col).orderBy(F.col("_q").desc(), F.col("cat_ord").asc_nulls_last())
     best = (j.withColumn("_q", quality).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1))
+    season = F.try_element_at(F.col("seasons"), F.lit(timeframe))
+    status = F.when(F.col("_cid").isNotNull(), F.when(season.isNotNull(), "season").when(F.lit(timeframe in TIMEFRAME_WORDS), "keyword").otherwise("no season"))
+    best = best.withColumn("season_status", status)
     return best.select(
         scope_col,
-        F.col("_cid").alias("competition_id"),
-        F.when(F.col("_cid").isNotNull(), F.try_element_at(F.col("seasons"), F.lit(timeframe))).alias("season_id"),
+        F.when(F.col("season_status") != "no season", F.col("_cid")).alias("competition_id"),
+        F.when(F.col("season_status") == "season", season).alias("season_id"), "season_status",
         F.when(F.col("_q") == 2, "area").when(F.col("_q") == 1, "name").otherwise("none").alias("match"))
 
 

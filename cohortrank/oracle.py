@@ -548,7 +548,7 @@ FROM documents LEFT JOIN labels USING (doc_id) GROUP BY group_value""",
 
 
 # ---- roles, latest per key, verification, registry, catalogue ------------------
-from .functions.text import ACCENTED, ASCII_OF, FOLDER_RE  # noqa: E402
+from .functions.text import FOLDER_RE  # noqa: E402
 from .sources.fixtures import FIXTURE_ROLE_OF_EVENT  # noqa: E402
 
 _STRIP = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
@@ -646,7 +646,8 @@ M_CTES = [
   FROM sparts s LEFT JOIN cats c ON lower(c.name) = lower(s._league)
   QUALIFY row_number() OVER (PARTITION BY s.scope ORDER BY _q DESC, c.cat_ord NULLS LAST) = 1)""",
     f"""resolved2 AS (
-  SELECT r.scope, r.competition_id, f.season_id,
+  SELECT r.scope, CASE WHEN f.season_id IS NOT NULL THEN r.competition_id END AS competition_id, f.season_id,
+         CASE WHEN f.season_id IS NOT NULL THEN 'season' WHEN r.competition_id IS NOT NULL THEN 'no season' END AS season_status,
          CASE r._q WHEN 2 THEN 'area' WHEN 1 THEN 'name' ELSE 'none' END AS match
   FROM resolved r LEFT JOIN catflat f ON f.competition_id = r.competition_id AND f.season = '{TIMEFRAME}')""",
 ]
@@ -691,11 +692,11 @@ FROM reg_gy"""),
   coalesce(TRY_CAST(regexp_extract(n_name, '(\\d+)', 1) AS BIGINT), -1),
   lower(regexp_replace(n_name, '^\\D*\\d*', '')), n_nationkey) - 1 AS ord FROM nation""",
     "slug": f"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(
-  translate(text, '{ACCENTED}', '{ASCII_OF}'), '[^\\x00-\\x7F]', '', 'g'), '[^A-Za-z0-9_]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug
+  strip_accents(text), '[^\\x00-\\x7F]', '', 'g'), '[^A-Za-z0-9_]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug
 FROM documents""",
     "source_split": with_m("SELECT split_part(strength_source, ' ', 1) AS source, count(*) AS n FROM league_map GROUP BY source"),
-    "catalogue_flatten": with_m("SELECT area, competition_id, competition, season_id, season, cat_ord FROM catflat"),
-    "catalogue_resolve": with_m("SELECT scope, competition_id, season_id, match FROM resolved2"),
+    "catalogue_flatten": with_m("SELECT area, competition_id, competition, season_id, season, CAST(cat_ord // 100000 AS BIGINT) AS doc_ord, CAST(cat_ord % 100000 AS BIGINT) AS comp_pos FROM catflat"),
+    "catalogue_resolve": with_m("SELECT scope, competition_id, season_id, season_status, match FROM resolved2"),
     "suggest": with_m("""
 , unres AS (SELECT scope, _league FROM resolved2 JOIN sparts USING (scope) WHERE match = 'none')
 SELECT scope, rank, suggestion FROM (

@@ -23,7 +23,8 @@ from ..spec import MAX_LISTED, PREVIEW_N
 
 def with_key(df: DataFrame, key_cols: Sequence[str], out: str = "key") -> DataFrame:
     """Add the composite text key."""
-    return df.withColumn(out, composite_key(list(key_cols)))
+    numeric = [c for c in key_cols if isinstance(df.schema[c].dataType, T.NumericType)]
+    return df.withColumn(out, composite_key(list(key_cols), numeric=numeric))
 
 
 def _side(df: DataFrame, cols: Sequence[str], tag: str) -> DataFrame:

@@ -62,7 +62,7 @@ def flatten_catalogue(docs: DataFrame, json_col: str = "json", order_col: str =
                  F.col("c.name").alias("competition"), F.explode_outer("c.seasons").alias("s"))
     return s.select("area", "competition_id", "competition", F.col("s.id").alias("season_id"),
                     F.col("s.name").alias("season"),
-                    (F.col(order_col).cast("long") * F.lit(100000) + F.col("comp_pos")).alias("cat_ord"))
+                    F.struct(F.col(order_col).cast("long").alias("doc"), F.col("comp_pos").cast("long").alias("pos")).alias("cat_ord"))
 
 
 def catalogue_table(flat: DataFrame) -> DataFrame:

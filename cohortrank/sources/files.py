@@ -5,9 +5,9 @@ Layout: ``<root>/<season>/<n> - [<CODE>] - (<League>)/<file>.csv`` plus a
 
 The header contract is decided before the data read: Spark reads a CSV with
 a declared schema *by position*, so a file with another column order would
-be read shifted. The header report (S2) reads only the first line of each
-file; files are then grouped by their exact header and each group is read
-with a schema in its own order and conformed by name (S4).
+be read shifted. The header report (S2) takes the first line of each file;
+cells are then read by position and conformed by the name that the header
+of their own file gives them (S4).
 """
 
 from __future__ import annotations
@@ -109,7 +109,7 @@ def apply_contract(df: DataFrame, report: DataFrame, strict: bool = True, path_c
     if not strict:
         return df
     bad = report.where(~F.col("ok")).select(F.col("path").alias(path_col))
-    return df.join(F.broadcast(bad), path_col, "left_anti")
+    return df.join(bad, path_col, "left_anti")
 
 
 def conform(df: DataFrame, columns: Sequence[str], types: Mapping[str, str] | None = None,
@@ -136,37 +136,30 @@ def conform(df: DataFrame, columns: Sequence[str], types: Mapping[str, str] | No
 
 def read_exports(spark: SparkSession, root: str, header_spec: Sequence[str],
                  types: Mapping[str, str] | None = None, season: str | None = None,
-                 strict: bool = True) -> tuple[DataFrame, DataFrame]:
+                 strict: bool = True, first_only: bool = False,
+                 multi_line: bool = False) -> tuple[DataFrame, DataFrame]:
     """S1 (+S2-S4): scan one season's exports into one table with lineage columns.
 
-    Returns ``(players, report)``. One CSV per folder (the smallest path);
-    strict mode leaves out files that break the contract. Each distinct
-    header is read with its own positional schema, then conformed by name and
-    unioned, so a reordered header cannot shift values.
+    Returns ``(players, report)``. Every file of a folder is read; ``first_only``
+    keeps the smallest path of each. Strict mode leaves out files that break
+    the contract. All files are read by position into one array of cells, as
+    wide as the widest header; the header of the file, joined by path, says
+    which cell a contract column is, so a reordered header cannot shift values
+    and no list of paths is gathered. ``multi_line`` allows line breaks in
+    quoted cells, at the price of one task per file.
     """
     base = root.rstrip("/") + (f"/{season}" if season else "")
     report = header_report(spark, base, header_spec)
-    chosen = first_file_per_folder(report)
-    if strict:
-        chosen = chosen.where(F.col("ok"))
-    groups = chosen.groupBy("header").agg(F.collect_list("path").alias("paths")).collect()  # one row per header
-    parts = []
-    for g in groups:
-        header = list(g["header"])
-        schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(header))])
-        paths = [escape_glob(p) for p in g["paths"]]
-        raw = (spark.read.schema(schema).option("header", "true").option("escape", '"')
-               .option("multiLine", "true").csv(paths))
-        named = raw.select(*[F.col(f"_c{i}").alias(h) for i, h in enumerate(header)],
-                           _decoded_path().alias("path"))
-        parts.append(conform(named, header_spec, types, keep=["path"]))
-    if not parts:
-        empty = spark.createDataFrame([], T.StructType(
-            [T.StructField(c, T.StringType()) for c in header_spec] + [T.StructField("path", T.StringType())]))
-        parts = [conform(empty, header_spec, types, keep=["path"])]
-    df = parts[0]
-    for p in parts[1:]:
-        df = df.unionByName(p)
+    chosen = first_file_per_folder(report) if first_only else report
+    chosen = apply_contract(chosen, report, strict)
+    width = report.agg(F.max(F.size("header"))).first()[0] or 1
+    schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(width)])
+    raw = (spark.read.schema(schema).option("header", "true").option("escape", '"').option("multiLine", multi_line)
+           .option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").csv(escape_glob(base))
+           .select(F.array(*[f"_c{i}" for i in range(width)]).alias("_cells"), _decoded_path().alias("path")))
+    at = raw.join(chosen.select("path", "header"), "path")
+    named = at.select("path", *[F.get("_cells", F.array_position("header", c).cast("int") - 1).alias(c) for c in header_spec])
+    df = conform(named, header_spec, types, keep=["path"])
     folder = _parent_name(F.col("path"))
     _, code, league = parse_folder(folder)
     df = (df.withColumn("folder", folder).withColumn("country", code).withColumn("league", league)

@@ -54,8 +54,9 @@ def test_parse_folder_and_safe_name(spark):
 
 def test_composite_key_and_cell_equality(spark):
     rows = [("M. Schulz", "Münster", "31"), ("M. Schulz", "Münster", "30.0"), (" M. Schulz ", None, "22")]
-    keys = _one(spark, X.composite_key(["p", "t", "a"]), "p string, t string, a string", rows)
+    keys = _one(spark, X.composite_key(["p", "t", "a"], numeric=["a"]), "p string, t string, a string", rows)
     assert keys == ["M. Schulz | Münster | 31", "M. Schulz | Münster | 30", "M. Schulz | <NA> | 22"]
+    assert _one(spark, X.composite_key(["a"]), "a string", [("007",), ("7",), ("7.0",)]) == ["007", "7", "7.0"]
     eq = _one(spark, X.cells_equal(F.col("a"), F.col("b")), "a string, b string",
               [("3", "3.0"), (None, None), ("x ", "x"), ("1", None), ("a", "b")])
     assert eq == [True, True, True, False, False]
@@ -66,6 +67,15 @@ def test_split_scope_and_slug(spark):
     a, b = X.split_scope(F.col("s"))
     assert [tuple(r) for r in df.select(a, b).collect()] == [("Germany", "2. Bundesliga"), ("Nowhere", "")]
     assert _one(spark, X.slug(F.col("x")), rows=[("Série B — Brasil!",)]) == ["Serie_B_Brasil"]
+    names = [("Česko",), ("Şampiyon",), ("Šibenik",), ("ﬁnal",), ("Łódź",), (None,)]
+    assert _one(spark, X.slug(F.col("x")), rows=names) == ["Cesko", "Sampiyon", "Sibenik", "final", "odz", None]
+
+
+def test_natural_key_orders_every_number(spark):
+    names = ["10 - [GER] - (10. Liga)", "10 - [GER] - (2. Liga)", "9 - [GER] - (11. Liga)", "b2", "B10"]
+    df = spark.createDataFrame([(n,) for n in names], "x string")
+    got = [r.x for r in df.orderBy(X.natural_key("x")).collect()]
+    assert got == ["9 - [GER] - (11. Liga)", "10 - [GER] - (2. Liga)", "10 - [GER] - (10. Liga)", "b2", "B10"]
 
 
 def test_money_label(spark):
