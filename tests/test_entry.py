@@ -22,7 +22,8 @@ def test_entry_runs(spark):
 
 
 def test_every_query_has_oracle_or_is_rows_only():
-    assert set(E.queries()) - set(E.oracle_sql()) == ROWS_ONLY
+    assert set(E.QUERIES) - set(E.ORACLE) == ROWS_ONLY
+    assert set(E.QUERIES) <= set(E.queries()) and set(E.ORACLE) <= set(E.oracle_sql())
 
 
 @pytest.fixture(scope="module")
