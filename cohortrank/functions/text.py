@@ -112,12 +112,13 @@ def slug(c) -> Column:
     """ASCII slug: accents folded, runs of non-word characters -> '_', ends trimmed.
 
     Every character that decomposes to ASCII is folded; those that become several
-    letters (a ligature) are looked up only in texts that hold one.
+    letters (a ligature) are looked up once for each one that a text holds.
     """
     s = _c(c).cast("string")
     many = F.from_json(F.lit(json.dumps(_MANY)), "map<string,string>")
-    spelled = F.array_join(F.transform(F.split(s, ""), lambda x: F.coalesce(F.try_element_at(many, x), x)), "")
-    s = F.when(s.rlike("[" + "".join(_MANY) + "]"), spelled).otherwise(s)
+    found = F.array_distinct(F.regexp_extract_all(s, F.lit(r"([^\x00-\x7F])"), 1))  # a class of all keys of ``many`` is slow to match
+    found = F.filter(found, lambda x: F.map_contains_key(many, x))
+    s = F.aggregate(found, s, lambda text, x: F.replace(text, x, F.try_element_at(many, x)))
     s = F.translate(s, "".join(_ONE), "".join(_ONE.values()))
     s = F.regexp_replace(s, r"[^\x00-\x7F]", "")
     s = F.regexp_replace(s, r"[^A-Za-z0-9_]+", "_")
