@@ -165,7 +165,7 @@ def q_cell_tolerance(spark, sf):
 # ---- Q7 / Q10: concept index and diagnostics ---------------------------------
 from .functions.numeric import round_half_even  # noqa: E402
 from .operators import aggregates as A  # noqa: E402
-from .operators.rank import pct_rank_global, rank_min_desc, top_per_group  # noqa: E402
+from .operators.rank import pct_rank_global, ranks_min_desc, top_per_group  # noqa: E402
 from .plans import report as R  # noqa: E402
 from .session import materialize, table  # noqa: E402
 from .spec import CANDIDATE_MAX_AGE, RETENTION_FRACTION, TOP_FRACTION  # noqa: E402
@@ -180,11 +180,9 @@ def _pool(spark, sf):
 
 def _concepts(spark, sf):
     """Concept scores + flat index of the pool, with its market value (checkpointed)."""
-    from .session import known_rows
     players = fx.players(spark, sf)
     pool = players.where(F.col("role").isin(fx.FIXTURE_POOL_ROLES))
-    # the pool is a filter of the players: their recorded count bounds it
-    sc = R.concept_scores(pool, "player_id", fx.FIXTURE_CONCEPTS, "age", n_rows=known_rows(players))
+    sc = R.concept_scores(pool, "player_id", fx.FIXTURE_CONCEPTS, "age")
     sc = sc.withColumn("flat_index", R.flat_index(CONCEPT_NAMES))
     return materialize(sc.join(pool.select("player_id", "market_value"), "player_id", "inner"))
 
@@ -229,8 +227,7 @@ def q_retention(spark, sf):
 
 def _att(spark, sf):
     c = _concepts(spark, sf).withColumn("value_index", round_half_even(F.col("flat_index"), 1))
-    c = rank_min_desc(c, None, "value_index", out="assumed_rank")
-    return rank_min_desc(c, None, "market_value", out="actual_rank")
+    return ranks_min_desc(c, {"assumed_rank": ([], "value_index"), "actual_rank": ([], "market_value")})
 
 
 def q_top_by_value(spark, sf):

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import r9, round_half_even
 from ..session import materialize
-from .rank import group_quantile, join_null_safe, row_index, value_positions
+from .rank import attach_stacked, group_quantile, join_null_safe, row_index
 
 
 def _c(c) -> Column:
@@ -94,9 +94,7 @@ def spearman(df: DataFrame, x: str, y: str, id_col: str) -> DataFrame:
     The ranks come from the skew-safe positions operator (no one-partition window).
     """
     pairs = materialize(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(id_col, x, y))
-    rx = value_positions(pairs, None, [x]).select(x, (F.col("below") + (F.col("ties") + 1) / 2.0).alias("_rx"))
-    ry = value_positions(pairs, None, [y]).select(y, (F.col("below") + (F.col("ties") + 1) / 2.0).alias("_ry"))
-    ranked = pairs.join(rx, x, "left").join(ry, y, "left")
+    ranked = attach_stacked(pairs, {"_rx": ([], x), "_ry": ([], y)}, F.col("below") + (F.col("ties") + 1) / 2.0)
     return ranked.agg(F.count(F.lit(1)).alias("n"), r9(safe_corr("_rx", "_ry")).alias("rho"))
 
 

@@ -20,44 +20,17 @@ operators here never do that:
 the same key, ``n`` = non-NULL rows of the group. Every rank flavour is a
 column expression over these three numbers.
 
-Size check: when the whole input holds at most ``cohortrank.rank.windowMaxRows``
-rows (default 1,000,000), no group can exceed that bound, so steps 2-3 are
-replaced by one window over the distinct values (one exchange, no sampling
-job). Above the bound, or with the setting at 0, the range path runs.
+One path serves every size; nothing depends on how many rows there are.
 """
 
 from __future__ import annotations
 
-from typing import Sequence
+from typing import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import known_rows, materialize, shuffle_partitions
-
-WINDOW_MAX_ROWS_CONF = "cohortrank.rank.windowMaxRows"
-WINDOW_MAX_ROWS_DEFAULT = 1_000_000
-
-
-def window_max_rows(spark) -> int:
-    return int(spark.conf.get(WINDOW_MAX_ROWS_CONF, str(WINDOW_MAX_ROWS_DEFAULT)))
-
-
-def _fits_one_task(df: DataFrame, n_rows: int | None) -> bool:
-    """True when ``df`` provably holds at most the window bound.
-
-    ``n_rows`` is an upper bound supplied by the caller (for example players x
-    metrics per role); otherwise the count recorded at materialisation, or a
-    count job.
-    """
-    limit = window_max_rows(df.sparkSession)
-    if limit <= 0:
-        return False
-    n = n_rows if n_rows is not None else known_rows(df)
-    if n is None:
-        n = df.count()
-    return n <= limit
-
+from ..session import is_written, materialize, shuffle_partitions
 
 def _cols(x) -> list[str]:
     if x is None:
@@ -68,13 +41,10 @@ def _cols(x) -> list[str]:
 
 
 def value_positions(df: DataFrame, group_cols=None, order_cols=None,
-                    n_parts: int | None = None, descending: bool = False,
-                    n_rows: int | None = None) -> DataFrame:
+                    n_parts: int | None = None, descending: bool = False) -> DataFrame:
     """Distinct non-NULL ``(group, order)`` keys with ``below``, ``ties``, ``n``.
 
     ``descending=True`` counts ``below`` from the largest key down.
-    ``n_rows`` (the row count of ``df``, if known) feeds the size check;
-    without it ``df`` is counted.
     """
     g, o = _cols(group_cols), _cols(order_cols)
     if not o:
@@ -84,12 +54,6 @@ def value_positions(df: DataFrame, group_cols=None, order_cols=None,
         keyed = keyed.where(F.col(c).isNotNull())
     vc = keyed.groupBy(*g, *o).agg(F.count(F.lit(1)).alias("_ties"))
     okeys = [F.col(c).desc() if descending else F.col(c).asc() for c in o]
-    if _fits_one_task(df, n_rows):
-        w_run = Window.partitionBy(*g).orderBy(*okeys).rowsBetween(Window.unboundedPreceding, -1)
-        return vc.select(*g, *o,
-                         F.coalesce(F.sum("_ties").over(w_run), F.lit(0)).cast("long").alias("below"),
-                         F.col("_ties").cast("long").alias("ties"),
-                         F.sum("_ties").over(Window.partitionBy(*g)).cast("long").alias("n"))
     n = n_parts or shuffle_partitions(df.sparkSession)
     # The partition id is data: both the local running counts and the chunk
     # offsets must see the same range cut. The cut is computed once and
@@ -132,45 +96,66 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str],
     return out.drop(*ren.values())
 
 
+def _join_back(df: DataFrame, pos: DataFrame, g: list, o: list) -> DataFrame:
+    """``df`` left-joined to one row per (group, key).
+
+    Rows with a NULL key match nothing; a hash of the row as a further join key
+    spreads them over the tasks instead of sending all of a group to one.
+    """
+    valid = F.lit(True)
+    for c in o:
+        valid = valid & F.col(c).isNotNull()
+    plain = [F.col(f"`{n}`") for n, t in df.dtypes if "map<" not in t and "variant" not in t]
+    spread = df.withColumn("_spread", F.when(valid, F.lit(0).cast("long")).otherwise(F.xxhash64(*plain)))
+    pos = pos.withColumn("_spread", F.lit(0).cast("long"))
+    return join_null_safe(spread, pos, [*g, *o, "_spread"], how="left", null_safe=g).drop("_spread")
+
+
 def attach_positions(df: DataFrame, group_cols=None, order_cols=None,
-                     descending: bool = False, n_parts: int | None = None,
-                     materialize_input: bool = True, n_rows: int | None = None) -> DataFrame:
+                     descending: bool = False, n_parts: int | None = None) -> DataFrame:
     """``df`` plus ``_below``, ``_ties``, ``_n`` for its own key (NULL key -> NULL).
 
-    Small inputs (``n_rows`` bound, or recorded count, within the window
-    bound): three window functions over ``df`` itself, one exchange. Larger
-    inputs: ``df`` is written once (it is read three times: two sides of the
-    positions build and the join back) and the range path runs.
+    ``df`` is written once, if it isn't yet: it is read by the positions build
+    and by the join back.
     """
     g, o = _cols(group_cols), _cols(order_cols)
-    limit = window_max_rows(df.sparkSession)
-    bound = n_rows if n_rows is not None else known_rows(df)
-    if limit > 0 and bound is not None and bound <= limit:
-        return _attach_by_window(df, g, o, descending)
-    if materialize_input and known_rows(df) is None:
+    if not is_written(df):
         df = materialize(df)
-    pos = (value_positions(df, g, o, n_parts=n_parts, descending=descending, n_rows=known_rows(df))
+    pos = (value_positions(df, g, o, n_parts=n_parts, descending=descending)
            .withColumnRenamed("below", "_below").withColumnRenamed("ties", "_ties")
            .withColumnRenamed("n", "_n"))
-    return join_null_safe(df, pos, [*g, *o], how="left", null_safe=g)
+    return _join_back(df, pos, g, o)
 
 
-def _attach_by_window(df: DataFrame, g: list, o: list, descending: bool) -> DataFrame:
-    """Window form of ``attach_positions`` for inputs under the size bound.
+def stacked_positions(df: DataFrame, ranks: Mapping[str, tuple[Sequence[str], str]],
+                      descending: bool = False) -> DataFrame:
+    """Positions of several numeric columns of ``df``, each in its own groups, by one range cut.
 
-    NULL keys sort last, so ``rank() - 1`` counts only non-NULL smaller keys.
+    ``ranks``: name -> (group columns, value column). Returns (group, value, below,
+    ties, n); ``group`` is an array of the name and the group values as text.
     """
-    valid = None
-    for c in o:
-        v = F.col(c).isNotNull()
-        valid = v if valid is None else valid & v
-    okeys = [F.col(c).desc_nulls_last() if descending else F.col(c).asc_nulls_last() for c in o]
-    w_rank = Window.partitionBy(*g).orderBy(*okeys)
-    w_key = Window.partitionBy(*g, *o)
-    w_grp = Window.partitionBy(*g)
-    return (df.withColumn("_below", F.when(valid, F.rank().over(w_rank) - 1).cast("long"))
-              .withColumn("_ties", F.when(valid, F.count(F.lit(1)).over(w_key)).cast("long"))
-              .withColumn("_n", F.when(valid, F.sum(valid.cast("long")).over(w_grp)).cast("long")))
+    stack = F.array(*[F.struct(_group_key(name, g).alias("group"), F.col(v).cast("double").alias("value"))
+                      for name, (g, v) in ranks.items()])
+    return value_positions(df.select(F.explode(stack).alias("s")).select("s.*"), ["group"], ["value"],
+                           descending=descending)
+
+
+def _group_key(name: str, group_cols: Sequence[str]) -> Column:
+    return F.array(F.lit(name), *[F.col(c).cast("string") for c in group_cols])
+
+
+def attach_stacked(df: DataFrame, ranks: Mapping[str, tuple[Sequence[str], str]], value: Column,
+                   descending: bool = False) -> DataFrame:
+    """``df`` plus one column per rank: ``value``, an expression over below, ties and n (NULL for a NULL key)."""
+    if not is_written(df):
+        df = materialize(df)
+    pos = stacked_positions(df, ranks, descending)
+    for name, (g, v) in ranks.items():
+        own = pos.where(F.col("group")[0] == name).select(
+            F.col("group").alias("_group"), F.col("value").alias("_value"), value.alias(name))
+        keyed = df.withColumn("_group", _group_key(name, g)).withColumn("_value", F.col(v).cast("double"))
+        df = _join_back(keyed, own, ["_group"], ["_value"]).drop("_group", "_value")
+    return df
 
 
 def avg_rank_pct_expr() -> Column:
@@ -178,13 +163,12 @@ def avg_rank_pct_expr() -> Column:
     return (F.col("_below") + (F.col("_ties") + F.lit(1)) / F.lit(2.0)) / F.col("_n")
 
 
-def pct_rank_avg(df: DataFrame, group_cols, value_col: str, out: str = "pct",
-                 n_rows: int | None = None) -> DataFrame:
+def pct_rank_avg(df: DataFrame, group_cols, value_col: str, out: str = "pct") -> DataFrame:
     """W1 (and W2 with no group): pandas ``rank(pct=True)`` inside a group.
 
     Average ties, NULL stays NULL and is not counted. Not ``percent_rank``.
     """
-    return (attach_positions(df, group_cols, [value_col], n_rows=n_rows)
+    return (attach_positions(df, group_cols, [value_col])
             .withColumn(out, avg_rank_pct_expr())
             .drop("_below", "_ties", "_n"))
 
@@ -194,28 +178,26 @@ def pct_rank_global(df: DataFrame, value_col: str, out: str = "pct") -> DataFram
     return pct_rank_avg(df, None, value_col, out)
 
 
-def rank_min_desc(df: DataFrame, group_cols, value_col: str, out: str = "rank",
-                  n_rows: int | None = None) -> DataFrame:
+def rank_min_desc(df: DataFrame, group_cols, value_col: str, out: str = "rank") -> DataFrame:
     """``rank(ascending=False, method='min')``; NULL value gets NULL rank."""
-    return (attach_positions(df, group_cols, [value_col], descending=True, n_rows=n_rows)
+    return (attach_positions(df, group_cols, [value_col], descending=True)
             .withColumn(out, (F.col("_below") + F.lit(1)).cast("long"))
             .drop("_below", "_ties", "_n"))
 
 
-def rank_min_asc(df: DataFrame, group_cols, value_col: str, out: str = "rank") -> DataFrame:
-    return (attach_positions(df, group_cols, [value_col])
-            .withColumn(out, (F.col("_below") + F.lit(1)).cast("long"))
-            .drop("_below", "_ties", "_n"))
+def ranks_min_desc(df: DataFrame, ranks: Mapping[str, tuple[Sequence[str], str]]) -> DataFrame:
+    """W4 for several columns at once: ``ranks`` is name -> (group columns, value column)."""
+    return attach_stacked(df, ranks, (F.col("below") + F.lit(1)).cast("long"), descending=True)
 
 
 def row_index(df: DataFrame, order_cols, group_cols=None, out: str = "row_idx",
-              descending: bool = False, n_rows: int | None = None) -> DataFrame:
+              descending: bool = False) -> DataFrame:
     """0-based row number under ``order_cols`` (must be a total order).
 
     Rows that share a full key get the same number, so callers pass a unique
     tie-breaker as the last order column.
     """
-    return (attach_positions(df, group_cols, order_cols, descending=descending, n_rows=n_rows)
+    return (attach_positions(df, group_cols, order_cols, descending=descending)
             .withColumn(out, F.col("_below"))
             .withColumn("_n_rows", F.col("_n"))
             .drop("_below", "_ties", "_n"))
@@ -234,7 +216,7 @@ def floor_ntile(df: DataFrame, order_cols, k: int = 5, out: str = "slice") -> Da
 
 
 def group_quantile(df: DataFrame, group_cols, value_col: str, q: float,
-                   out: str = "quantile", n_rows: int | None = None) -> DataFrame:
+                   out: str = "quantile") -> DataFrame:
     """Exact quantile with linear interpolation, one row per group.
 
     Only the one or two order statistics around ``(n-1)*q`` are picked from
@@ -243,7 +225,7 @@ def group_quantile(df: DataFrame, group_cols, value_col: str, q: float,
     Interpolation is ``lo + frac*(hi-lo)``.
     """
     g = _cols(group_cols)
-    pos = value_positions(df, g, [value_col], n_rows=n_rows)
+    pos = value_positions(df, g, [value_col])
     h = (F.col("n") - 1) * F.lit(float(q))
     lo, hi = F.floor(h), F.ceil(h)
     end = F.col("below") + F.col("ties")
@@ -267,14 +249,6 @@ def with_group_median(df: DataFrame, group_cols, value_col: str, out: str = "gro
     return join_null_safe(df, med, g, how="left")
 
 
-def cummax(df: DataFrame, order_cols, value_col: str, out: str = "running_max",
-           group_cols=None) -> DataFrame:
-    """Running maximum under an order (used on small anchor tables)."""
-    w = (Window.partitionBy(*_cols(group_cols)).orderBy(*_cols(order_cols))
-         .rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn(out, F.max(value_col).over(w))
-
-
 def top_per_group(df: DataFrame, group_cols, order: Sequence[Column], k: int,
                   out: str = "rank_in_group") -> DataFrame:
     """K5: first ``k`` rows of each group under ``order`` (a total order).

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import r9, round_half_even
 from ..functions.text import league_code
 from ..operators.rank import group_quantile, join_null_safe
-from ..session import known_rows, materialize
+from ..session import materialize
 from ..spec import DIVISION_FACTOR, MIN_MEDIAN_SUPPORT, PRIORITY_RANK
 
 
@@ -28,8 +28,7 @@ def supported_median(df: DataFrame, group_cols, value_col: str, min_n: int = MIN
     v = F.col(value_col)
     counts = df.groupBy(*g).agg(F.count(F.lit(1)).alias("n_rows"),
                                 F.count_if(v > 0).alias("n_positive"))
-    med = group_quantile(df.where(v > 0), g, value_col, 0.5, out="_median",
-                         n_rows=known_rows(df)).drop("_median_n")
+    med = group_quantile(df.where(v > 0), g, value_col, 0.5, out="_median").drop("_median_n")
     j = join_null_safe(counts, med, g, how="left")
     return j.select(*g, "n_rows", "n_positive",
                     F.when(F.col("n_positive") >= min_n, r9(F.col("_median"))).alias(out),
@@ -89,8 +88,7 @@ def strength_inputs(players: DataFrame, leagues: DataFrame, key: str = "league_k
     counts = players.groupBy(key).agg(F.count(F.lit(1)).alias("n_players"),
                                       F.count_distinct(club).alias("n_teams"),
                                       F.count_if(v > 0).alias("n_positive"))
-    med = group_quantile(players.where(v > 0), [key], "market_value", 0.5, out="_median",
-                         n_rows=known_rows(players)).drop("_median_n")
+    med = group_quantile(players.where(v > 0), [key], "market_value", 0.5, out="_median").drop("_median_n")
     lm = leagues.join(counts.join(med, key, "left"), key, "left")
     return (lm.withColumn("mv_median", F.when(F.col("n_positive") >= min_n, r9(F.col("_median"))))
               .withColumn("coverage", F.lit(100.0) * F.col("n_positive") / F.col("n_players"))

@@ -15,13 +15,13 @@ from pyspark.sql import functions as F
 from ..functions.numeric import nan_to_null, r9, round_half_even
 from ..functions.text import money_label
 from ..operators import aggregates as A
-from ..operators.rank import attach_positions, avg_rank_pct_expr, floor_ntile, rank_min_desc, top_per_group
+from ..operators.rank import attach_positions, avg_rank_pct_expr, floor_ntile, top_per_group
 from ..session import materialize
 
 
 # ---- Q7 ---------------------------------------------------------------------
 def metric_percentiles(df: DataFrame, id_col: str, metrics: Sequence[str], group_col: str | None = None,
-                       age_col: str | None = None, n_rows: int | None = None) -> DataFrame:
+                       age_col: str | None = None) -> DataFrame:
     """W1/W2 for many metrics at once: one long table, one positions pass.
 
     Returns one row per id with ``pct`` = map(metric -> average-tie
@@ -32,8 +32,7 @@ def metric_percentiles(df: DataFrame, id_col: str, metrics: Sequence[str], group
     long = df.select(id_col, *g, F.explode(F.array(*[
         F.struct(F.lit(m).alias("metric"), nan_to_null(F.col(f"`{m}`").cast("double")).alias("value"))
         for m in cols])).alias("s")).select(id_col, *g, "s.metric", "s.value")
-    bound = None if n_rows is None else n_rows * len(cols)
-    ranked = (attach_positions(long, [*g, "metric"], ["value"], n_rows=bound)
+    ranked = (attach_positions(long, [*g, "metric"], ["value"])
               .withColumn("pct", avg_rank_pct_expr()))
     return ranked.groupBy(id_col).agg(
         F.map_from_entries(F.collect_list(F.struct("metric", "pct"))).alias("pct"))
@@ -59,10 +58,10 @@ def _mean_null_zero(values: Sequence[Column]) -> Column:
 
 
 def concept_scores(df: DataFrame, id_col: str, concepts: Mapping[str, Sequence[str] | None],
-                   age_col: str = "age", group_col: str | None = None, n_rows: int | None = None) -> DataFrame:
+                   age_col: str = "age", group_col: str | None = None) -> DataFrame:
     """A24 level 1: mean percentile of each concept's metrics (NULL skipped); age inverted."""
     metrics = list(dict.fromkeys(m for ms in concepts.values() if ms for m in ms))
-    p = metric_percentiles(df, id_col, metrics, group_col, age_col, n_rows=n_rows)
+    p = metric_percentiles(df, id_col, metrics, group_col, age_col)
     out = [F.col(id_col)]
     for name, ms in concepts.items():
         if ms:

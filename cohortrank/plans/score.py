@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import (attempts, blend, bucketize, evidence, flip, nan_to_null,
                                  null_if_nonpositive, round_half_even, shrink)
-from ..operators.rank import attach_positions, avg_rank_pct_expr, rank_min_desc, window_max_rows
-from ..session import known_rows, materialize
+from ..operators.rank import attach_positions, avg_rank_pct_expr, ranks_min_desc
+from ..session import materialize
 from ..spec import MetricSpec, ScoreParams
 
 DIM_COLS = ["league_code", "league", "country", "priority", "priority_rank", "division", "strength"]
@@ -83,28 +83,19 @@ def metric_long(df: DataFrame, spec: MetricSpec, metric_cols: Sequence[str]) ->
 
 
 def role_percentiles(elig: DataFrame, spec: MetricSpec, metric_cols: Sequence[str],
-                     params: ScoreParams, n_bound: int | None = None,
-                     co_partition: bool = False) -> DataFrame:
-    """W1 + X7 + X8 + X10 per (player, metric): percentile in the cell, flipped, shrunk.
-
-    ``n_bound``: an upper bound on the long rows (players x longest metric
-    list), used by the rank operator's size check.
-    """
+                     params: ScoreParams) -> DataFrame:
+    """W1 + X7 + X8 + X10 per (player, metric): percentile in the cell, flipped, shrunk."""
     long = metric_long(elig, spec, metric_cols)
-    if co_partition and params.pool != "all":
-        # bounded input: one exchange by cell serves the (cell, metric) windows and
-        # the regroup per (cell, player) that follows
-        long = long.repartition("cell")
     if params.pool == "all":
         # thin rows are ranked against every row of their band|role pool
         long = long.withColumn("_pool", F.concat(F.lit("band:"), F.col("band"), F.lit("|"), F.col("role")))
-        a = attach_positions(long, ["league_cell", "metric"], ["value"], n_rows=n_bound)
+        a = attach_positions(long, ["league_cell", "metric"], ["value"])
         a = (a.withColumn("_p_cell", avg_rank_pct_expr()).drop("_below", "_ties", "_n"))
-        a = attach_positions(a, ["_pool", "metric"], ["value"], n_rows=n_bound)
+        a = attach_positions(a, ["_pool", "metric"], ["value"])
         ranked = (a.withColumn("_p", F.when(F.col("thin"), avg_rank_pct_expr()).otherwise(F.col("_p_cell")))
                    .drop("_below", "_ties", "_n", "_p_cell", "_pool"))
     else:
-        ranked = (attach_positions(long, ["cell", "metric"], ["value"], n_rows=n_bound)
+        ranked = (attach_positions(long, ["cell", "metric"], ["value"])
                   .withColumn("_p", avg_rank_pct_expr()).drop("_below", "_ties", "_n"))
     p = flip(F.col("_p"), F.col("lower_is_better"))
     w = attempts(F.col("volume"), F.col("minutes")) / F.lit(float(params.min_attempts))
@@ -119,15 +110,8 @@ def score(players: DataFrame, league_map: DataFrame, spec: MetricSpec,
     metric_cols = [m for m in spec.metrics() if m in players.columns]
     x = with_league(players, league_map, key)
     elig = with_cells(eligible(x, params.min_minutes), params)
-    n_players = known_rows(players)
-    longest = max(len(v) for v in spec.role_metrics.values())
-    n_long = None if n_players is None else n_players * longest
-    limit = window_max_rows(players.sparkSession)
-    small = n_long is not None and 0 < n_long <= limit and params.pool != "all"
-    pct = role_percentiles(elig, spec, metric_cols, params, n_long, co_partition=small)
-    # a player has exactly one cell, so grouping by (cell, player) equals grouping by
-    # player; on the co-partitioned small path it needs no exchange
-    keys = ["cell", id_col] if small else [id_col]
+    pct = role_percentiles(elig, spec, metric_cols, params)
+    keys = [id_col]
     carry = [c for c in elig.columns if c not in metric_cols and c not in keys]
     per = pct.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("ordinal", "metric", "pct"))).alias("_pcts"),
@@ -150,16 +134,9 @@ def score(players: DataFrame, league_map: DataFrame, spec: MetricSpec,
     if "market_value" in scored.columns:
         scored = (scored.withColumn("market_value", null_if_nonpositive(F.col("market_value")))
                         .withColumn("priced", F.col("market_value").isNotNull()))
-    if n_players is None:
-        scored = materialize(scored, "scored")
-    elif small:
-        # bounded: one exchange by role serves both rank windows
-        scored = scored.repartition("role")
-    scored = rank_min_desc(scored, ["league_code", "role"], "perf_league", out="rank_in_league",
-                           n_rows=n_players)
-    scored = scored.withColumn("rank_in_league",
-                               F.when(F.col("league_code").isNotNull(), F.col("rank_in_league")))
-    return rank_min_desc(scored, ["role"], "perf_adjusted", out="rank_overall", n_rows=n_players)
+    scored = ranks_min_desc(materialize(scored, "scored"), {
+        "rank_in_league": (["league_code", "role"], "perf_league"), "rank_overall": (["role"], "perf_adjusted")})
+    return scored.withColumn("rank_in_league", F.when(F.col("league_code").isNotNull(), F.col("rank_in_league")))
 
 
 def shortlist(scored: DataFrame, role: str | None = None, league: str | None = None,

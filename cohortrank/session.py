@@ -85,24 +85,17 @@ def materialize(df, name: str = "stage"):
     instead of a recomputation, plan trees do not multiply through nested
     operators, and the re-read keeps column pruning and filter pushdown.
 
-    The row count is observed during the write (no extra job) and kept on
-    the returned DataFrame; ``known_rows`` reads it.
+    ``is_written`` tells such DataFrames from others.
     """
-    from pyspark.sql import Observation
-    from pyspark.sql import functions as F
     spark = df.sparkSession
     root = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{root}/cohortrank/{name}-{uuid.uuid4().hex}"
-    obs = Observation(f"rows_{uuid.uuid4().hex[:8]}")
-    df.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    try:
-        out._cohortrank_rows = int(obs.get["rows"])
-    except Exception:  # noqa: BLE001 - metrics are an optimisation only
-        pass
+    out._cohortrank_written = True
     return out
 
 
-def known_rows(df):
-    """Row count recorded by ``materialize`` for this exact DataFrame, else None."""
-    return getattr(df, "_cohortrank_rows", None)
+def is_written(df) -> bool:
+    """True for a DataFrame that ``materialize`` returned."""
+    return getattr(df, "_cohortrank_written", False)

@@ -6,7 +6,6 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from cohortrank.operators.rank import WINDOW_MAX_ROWS_CONF  # noqa: E402
 from cohortrank.session import get_spark  # noqa: E402
 
 SF_SMALL = "/root/testdata/sf0.001"
@@ -19,15 +18,3 @@ def spark():
         "spark.checkpoint.dir": tempfile.mkdtemp(prefix="cohortrank-test-ckpt-"),
         "spark.driver.memory": "6g"})
     yield s
-
-
-@pytest.fixture(params=["window", "range"])
-def rank_path(request, spark):
-    """Run a test under both rank strategies (small-input window and skew-safe range)."""
-    old = spark.conf.get(WINDOW_MAX_ROWS_CONF, None)
-    spark.conf.set(WINDOW_MAX_ROWS_CONF, "1000000" if request.param == "window" else "0")
-    yield request.param
-    if old is None:
-        spark.conf.unset(WINDOW_MAX_ROWS_CONF)
-    else:
-        spark.conf.set(WINDOW_MAX_ROWS_CONF, old)

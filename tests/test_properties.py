@@ -1,4 +1,4 @@
-"""Property test: the skew-safe percentile equals pandas on random data, under both rank paths."""
+"""Property test: the skew-safe percentile equals pandas on random data."""
 
 import pandas as pd
 from hypothesis import HealthCheck, given, settings
@@ -12,7 +12,7 @@ rows_st = st.lists(st.tuples(st.sampled_from(["a", "b", "c"]), values), min_size
 
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(rows=rows_st)
-def test_pct_rank_property(spark, rank_path, rows):
+def test_pct_rank_property(spark, rows):
     data = [(i, g, v) for i, (g, v) in enumerate(rows)]
     df = spark.createDataFrame(data, "id long, g string, v double")
     got = {r["id"]: r["pct"] for r in R.pct_rank_avg(df, ["g"], "v").collect()}

@@ -24,7 +24,7 @@ def _pandas(rows):
     return pdf
 
 
-def test_pct_rank_matches_pandas(spark, rank_path):
+def test_pct_rank_matches_pandas(spark):
     df, rows = _frame(spark)
     got = {r["id"]: r["pct"] for r in R.pct_rank_avg(df, ["g"], "v").collect()}
     pdf = _pandas(rows)
@@ -36,7 +36,7 @@ def test_pct_rank_matches_pandas(spark, rank_path):
             assert got[i] == e
 
 
-def test_global_pct_rank(spark, rank_path):
+def test_global_pct_rank(spark):
     df, rows = _frame(spark, seed=3)
     got = {r["id"]: r["pct"] for r in R.pct_rank_global(df, "v").collect()}
     exp = _pandas(rows)["v"].rank(pct=True)
@@ -44,7 +44,7 @@ def test_global_pct_rank(spark, rank_path):
         assert (got[i] is None) if pd.isna(e) else got[i] == e
 
 
-def test_rank_min_desc(spark, rank_path):
+def test_rank_min_desc(spark):
     df, rows = _frame(spark, seed=11)
     got = {r["id"]: r["rk"] for r in R.rank_min_desc(df, ["g"], "v", out="rk").collect()}
     pdf = _pandas(rows)
@@ -53,14 +53,14 @@ def test_rank_min_desc(spark, rank_path):
         assert (got[i] is None) if pd.isna(e) else got[i] == int(e)
 
 
-def test_full_cell_mean_invariant(spark, rank_path):
+def test_full_cell_mean_invariant(spark):
     n = 37
     df = spark.createDataFrame([(i, float(i % 9)) for i in range(n)], "id long, v double")
     mean = R.pct_rank_avg(df, None, "v").agg(F.avg("pct")).first()[0]
     assert math.isclose(mean, (n + 1) / (2 * n), rel_tol=1e-12)
 
 
-def test_row_index_and_floor_ntile(spark, rank_path):
+def test_row_index_and_floor_ntile(spark):
     n = 53
     df = spark.createDataFrame([(i, float((i * 7) % 11)) for i in range(n)], "id long, v double")
     idx = {r["id"]: r["row_idx"] for r in R.row_index(df, ["v", "id"]).collect()}
@@ -72,7 +72,7 @@ def test_row_index_and_floor_ntile(spark, rank_path):
         assert sl[i] == k
 
 
-def test_group_quantile_matches_numpy(spark, rank_path):
+def test_group_quantile_matches_numpy(spark):
     df, rows = _frame(spark, seed=5)
     pdf = _pandas(rows)
     for q in (0.5, 0.9, 0.1):
@@ -82,7 +82,7 @@ def test_group_quantile_matches_numpy(spark, rank_path):
             assert math.isclose(got[g], float(np.quantile(vals, q)), rel_tol=1e-12, abs_tol=1e-12)
 
 
-def test_result_independent_of_partitioning(spark, rank_path):
+def test_result_independent_of_partitioning(spark):
     df, _ = _frame(spark, seed=9)
     a = sorted(R.pct_rank_avg(df.repartition(1), ["g"], "v").collect())
     b = sorted(R.pct_rank_avg(df.repartition(7, "id"), ["g"], "v").collect())
@@ -96,7 +96,7 @@ def test_top_per_group_keeps_k(spark):
     assert sorted(r["id"] for r in top if r["g"] == "y") == [45, 48, 51, 54, 57][-4:]
 
 
-def test_null_group_is_its_own_group(spark, rank_path):
+def test_null_group_is_its_own_group(spark):
     rows = [(i, None if i % 4 == 0 else "x", float(i % 5)) for i in range(40)]
     df = spark.createDataFrame(rows, "id long, g string, v double")
     got = {r["id"]: r["pct"] for r in R.pct_rank_avg(df, ["g"], "v").collect()}
@@ -115,3 +115,22 @@ def test_latest_per_key(spark):
     got = {r["k"]: r["f"] for r in R.latest_per_key(df, ["k"], order).collect()}
     # newest season wins; without data in it the last folder is kept; with data, the first with data
     assert got == {1: 12, 2: 21}
+
+
+def test_stacked_ranks_match_pandas(spark):
+    rows = [(i, None if i % 7 == 0 else "ab"[i % 2], None if i % 5 == 0 else float(i % 4), float(i % 3)) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, g string, v double, w double")
+    got = {r["id"]: r for r in R.ranks_min_desc(df, {"in_g": (["g"], "v"), "over_all": ([], "w")}).collect()}
+    pdf = pd.DataFrame(rows, columns=["id", "g", "v", "w"]).fillna({"g": "<null>"})
+    for i, a, b in zip(pdf["id"], pdf.groupby("g")["v"].rank(ascending=False, method="min"), pdf["w"].rank(ascending=False, method="min")):
+        assert (got[i]["in_g"] is None) if pd.isna(a) else got[i]["in_g"] == a
+        assert got[i]["over_all"] == b
+    none = R.ranks_min_desc(df.where("id < 0"), {"in_g": (["g"], "v")})
+    assert none.columns == ["id", "g", "v", "w", "in_g"] and none.count() == 0
+
+
+def test_null_keys_spread_over_tasks(spark):
+    """Rows with a NULL key don't share one join key."""
+    df = spark.range(1000).selectExpr("id", "'a' as g", "if(id % 10 = 0, cast(id as double), null) as v")
+    out = R.pct_rank_avg(df, ["g"], "v")
+    assert out.count() == 1000 and out.where("pct is null").count() == 900
