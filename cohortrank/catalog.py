@@ -157,6 +157,17 @@ def q_preview(spark, sf):
         Qy.preview(b, SUPPLIER_KEY, "s_acctbal", side="b"))
 
 
+def q_compare_keyed(spark, sf):
+    """Q6 + X4: verdict by the first default key that both tables have; duplicated and one-sided keys."""
+    from .session import table
+    return Qy.compare(table(spark, sf, "supplier"), fx.supplier_edited(spark, sf), defaults=[["s_code", "s_name"], SUPPLIER_KEY])
+
+
+def q_compare_positional(spark, sf):
+    a, b = _pair(spark, sf)
+    return Qy.compare(a, b, order_by=["s_suppkey"])
+
+
 def q_cell_tolerance(spark, sf):
     a, b = _pair(spark, sf)
     return Qy.cell_tolerance(a, b, SUPPLIER_KEY, "s_acctbal")
@@ -178,11 +189,11 @@ def _pool(spark, sf):
     return fx.players(spark, sf).where(F.col("role").isin(fx.FIXTURE_POOL_ROLES))
 
 
-def _concepts(spark, sf):
-    """Concept scores + flat index of the pool, with its market value (checkpointed)."""
+def _concepts(spark, sf, group=None):
+    """Concept scores (within ``group``) + flat index of the pool, with its market value (checkpointed)."""
     players = fx.players(spark, sf)
     pool = players.where(F.col("role").isin(fx.FIXTURE_POOL_ROLES))
-    sc = R.concept_scores(pool, "player_id", fx.FIXTURE_CONCEPTS, "age")
+    sc = R.concept_scores(pool, "player_id", fx.FIXTURE_CONCEPTS, "age", group)
     sc = sc.withColumn("flat_index", R.flat_index(CONCEPT_NAMES))
     return materialize(sc.join(pool.select("player_id", "market_value"), "player_id", "inner"))
 
@@ -205,6 +216,31 @@ def q_spearman(spark, sf):
     return A.spearman(_concepts(spark, sf), "flat_index", "market_value", "player_id")
 
 
+def q_spearman_no_age(spark, sf):
+    """Q7: index without the age concept against the price."""
+    c = _concepts(spark, sf)
+    rest = [n for n, ms in fx.FIXTURE_CONCEPTS.items() if ms]
+    return A.spearman(c.withColumn("index_no_age", R.flat_index(rest)), "index_no_age", "market_value", "player_id")
+
+
+def q_spearman_within_league(spark, sf):
+    """Q7: index of percentiles within each league against the price."""
+    return A.spearman(_concepts(spark, sf, "league_key"), "flat_index", "market_value", "player_id")
+
+
+def q_retention_blocks(spark, sf):
+    """Q7: top share kept when the index is the mean of the blocks."""
+    c = _concepts(spark, sf)
+    b = R.block_scores(c, "player_id", fx.FIXTURE_BLOCKS).withColumn("block_index", R.flat_index(BLOCK_NAMES))
+    return A.retention(b.join(c.select("player_id", "market_value"), "player_id"), "player_id", "block_index", "market_value",
+                       RETENTION_FRACTION)
+
+
+def q_price_vs_league_median(spark, sf):
+    """Q7: own price against the median price of the league."""
+    return A.pearson(q_group_median(spark, sf), "league_median", "market_value")
+
+
 def q_pearson(spark, sf):
     return A.pearson(fx.players(spark, sf), "price_per_unit", "market_value")
 
@@ -570,10 +606,16 @@ QUERIES = {
     "diff_listing": q_diff_listing,
     "preview": q_preview,
     "cell_tolerance": q_cell_tolerance,
+    "compare_keyed": q_compare_keyed,
+    "compare_positional": q_compare_positional,
     "global_percentile": q_global_percentile,
     "concept_index": q_concept_index,
     "block_index": q_block_index,
     "spearman": q_spearman,
+    "spearman_no_age": q_spearman_no_age,
+    "spearman_within_league": q_spearman_within_league,
+    "retention_blocks": q_retention_blocks,
+    "price_vs_league_median": q_price_vs_league_median,
     "pearson": q_pearson,
     "corr_matrix": q_corr_matrix,
     "corr_with": q_corr_with,

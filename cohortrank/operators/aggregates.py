@@ -99,15 +99,15 @@ def spearman(df: DataFrame, x: str, y: str, id_col: str) -> DataFrame:
 
 
 def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """All k x k pairwise-complete correlations in one aggregate, as long rows (a, b, r)."""
-    exprs, names = [], []
-    for i, a in enumerate(cols):
-        for j, b in enumerate(cols):
-            names.append((a, b))
-            exprs.append(r9(safe_corr(F.col(f"`{a}`"), F.col(f"`{b}`"))).alias(f"c{i}_{j}"))
-    wide = df.agg(*exprs)
+    """All k x k pairwise-complete correlations in one aggregate, as long rows (a, b, r).
+
+    Only one triangle is computed; a column has 1 with itself, or NULL if it is constant.
+    """
+    wide = df.agg(*[F.when(F.stddev_pop(f"`{a}`") > 0, F.lit(1.0)).alias(f"c{i}_{i}") for i, a in enumerate(cols)],
+                  *[r9(safe_corr(F.col(f"`{a}`"), F.col(f"`{b}`"))).alias(f"c{i}_{i + j}")
+                    for i, a in enumerate(cols) for j, b in enumerate(cols[i + 1:], 1)])
     stack = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"),
-                                         F.col(f"c{i}_{j}").alias("r"))
+                                         F.col(f"c{min(i, j)}_{max(i, j)}").alias("r"))
                                 for i, a in enumerate(cols) for j, b in enumerate(cols)]))
     return wide.select(stack.alias("s")).select("s.a", "s.b", "s.r")
 

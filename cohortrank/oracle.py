@@ -336,6 +336,38 @@ ORACLE.update({
         "(SELECT 'a' AS side, key, s_acctbal AS value FROM ka ORDER BY s_acctbal DESC NULLS LAST, key LIMIT 5) "
         "UNION ALL (SELECT 'b' AS side, key, s_acctbal AS value FROM kb "
         "ORDER BY s_acctbal DESC NULLS LAST, key LIMIT 5)"),
+    "compare_keyed": with_q(f"""
+, sup_c AS (SELECT * FROM sup_b UNION ALL SELECT * FROM sup_a WHERE s_suppkey % 11 = 0
+            UNION ALL SELECT s_suppkey, s_name || ' new', s_nationkey, s_acctbal FROM sup_a WHERE s_suppkey % 17 = 0),
+  kc AS (SELECT {SUP_KEY} AS key, * FROM sup_c),
+  twice AS (SELECT key FROM ka GROUP BY key HAVING count(*) > 1 UNION SELECT key FROM kc GROUP BY key HAVING count(*) > 1),
+  pairs AS (SELECT ka.s_suppkey AS a0, kc.s_suppkey AS b0, ka.s_acctbal AS a1, kc.s_acctbal AS b1
+            FROM ka JOIN kc USING (key) WHERE key NOT IN (SELECT key FROM twice)),
+  bad AS (SELECT (SELECT count(*) FROM pairs WHERE NOT {cells_equal('a0', 'b0')})
+               + (SELECT count(*) FROM pairs WHERE NOT {cells_equal('a1', 'b1')}) AS n),
+  c0(check_name, x, y) AS (
+  SELECT 'key unique', (SELECT count(*) FROM (SELECT key FROM ka GROUP BY key HAVING count(*) > 1)),
+         (SELECT count(*) FROM (SELECT key FROM kc GROUP BY key HAVING count(*) > 1))
+  UNION ALL SELECT 'rows', (SELECT count(*) FROM ka), (SELECT count(*) FROM kc)
+  UNION ALL SELECT 'columns', 4, 4
+  UNION ALL SELECT 'same keys', (SELECT count(DISTINCT key) FROM ka WHERE key NOT IN (SELECT key FROM kc)),
+         (SELECT count(DISTINCT key) FROM kc WHERE key NOT IN (SELECT key FROM ka))
+  UNION ALL SELECT 'cells', 2 * (SELECT count(*) FROM pairs), n FROM bad),
+  c AS (SELECT *, CASE WHEN check_name IN ('rows', 'columns') THEN x = y WHEN check_name = 'cells' THEN x > 0 AND y = 0
+               ELSE x = 0 AND y = 0 END AS passed FROM c0)
+SELECT check_name, CAST(x AS VARCHAR) AS value_a, CAST(y AS VARCHAR) AS value_b, passed FROM c
+UNION ALL SELECT 'column names', '{",".join(SUP_COLS)}', '{",".join(SUP_COLS)}', true
+UNION ALL SELECT 'result', NULL, NULL, (SELECT bool_and(passed) FROM c)"""),
+    "compare_positional": with_q(f"""
+, c0(check_name, x, y) AS (
+  SELECT 'rows', (SELECT count(*) FROM sup_a), (SELECT count(*) FROM sup_b)
+  UNION ALL SELECT 'columns', 4, 4
+  UNION ALL SELECT 'cells', 4 * (SELECT count(*) FROM pa JOIN pb USING (idx)), (SELECT count(*) FROM pdiff)),
+  c AS (SELECT *, CASE WHEN check_name = 'cells' THEN y = 0 AND (SELECT count(*) FROM sup_a) = (SELECT count(*) FROM sup_b)
+               ELSE x = y END AS passed FROM c0)
+SELECT check_name, CAST(x AS VARCHAR) AS value_a, CAST(y AS VARCHAR) AS value_b, passed FROM c
+UNION ALL SELECT 'column names', '{",".join(SUP_COLS)}', '{",".join(SUP_COLS)}', true
+UNION ALL SELECT 'result', NULL, NULL, (SELECT bool_and(passed) FROM c)"""),
     "cell_tolerance": with_q(
         "SELECT ka.key, ka.s_acctbal AS value_a, kb.s_acctbal AS value_b, "
         "CASE WHEN ka.s_acctbal IS NULL AND kb.s_acctbal IS NULL THEN true "
@@ -456,6 +488,39 @@ ORACLE.update({
         f"SELECT count(*) AS n, {r9(guarded_corr('rx', 'ry'))} AS rho FROM ("
         f"SELECT {avg_rank('flat_index')} AS rx, {avg_rank('market_value')} AS ry FROM cidx "
         "WHERE flat_index IS NOT NULL AND market_value IS NOT NULL)"),
+    "spearman_no_age": with_r(
+        f"SELECT count(*) AS n, {r9(guarded_corr('rx', 'ry'))} AS rho FROM ("
+        f"SELECT {avg_rank('v')} AS rx, {avg_rank('market_value')} AS ry FROM ("
+        f"SELECT market_value, {mean_null_zero_x100([n for n, ms in FIXTURE_CONCEPTS.items() if ms])} AS v FROM cidx) "
+        "WHERE v IS NOT NULL AND market_value IS NOT NULL)"),
+    "spearman_within_league": with_r(
+        ", lp AS (SELECT player_id, metric, " + avg_rank("value", "league_key, metric")
+        + " / count(value) OVER (PARTITION BY league_key, metric) AS pct FROM plong JOIN "
+        "(SELECT player_id, league_key FROM pool) USING (player_id)),\n"
+        "lw AS (SELECT player_id, " + ", ".join(f"max(pct) FILTER (WHERE metric = '{m}') AS p_{m}" for m in _PCT_METRICS)
+        + " FROM lp GROUP BY player_id),\nlc AS (SELECT player_id, " + ", ".join(
+            (f"{mean_skip_null(['p_' + m for m in ms])} AS {name}" if ms else f"{d(1)} - p_age AS {name}")
+            for name, ms in FIXTURE_CONCEPTS.items()) + " FROM lw),\n"
+        f"lx AS (SELECT {mean_null_zero_x100(list(FIXTURE_CONCEPTS))} AS v, market_value FROM lc JOIN pool USING (player_id))\n"
+        f"SELECT count(*) AS n, {r9(guarded_corr('rx', 'ry'))} AS rho FROM ("
+        f"SELECT {avg_rank('v')} AS rx, {avg_rank('market_value')} AS ry FROM lx "
+        "WHERE v IS NOT NULL AND market_value IS NOT NULL)"),
+    "retention_blocks": with_r(
+        ", bx AS (SELECT player_id, market_value, "
+        + mean_null_zero_x100([mean_skip_null(cs) for cs in FIXTURE_BLOCKS.values()]) + f""" AS v FROM cidx),
+  rr AS (SELECT *, CAST(floor(count(*) OVER () * {d(RETENTION_FRACTION)}) AS BIGINT) AS k, count(*) OVER () AS n_rows,
+         row_number() OVER (ORDER BY v IS NULL, v DESC, player_id) - 1 AS pos_a,
+         row_number() OVER (ORDER BY market_value IS NULL, market_value DESC, player_id) - 1 AS pos_b FROM bx),
+  rt AS (SELECT *, pos_a < k AND v IS NOT NULL AS top_a, pos_b < k AND market_value IS NOT NULL AS top_b FROM rr)
+SELECT max(n_rows) AS n, max(k) AS k, count(*) FILTER (WHERE top_a AND top_b) AS overlap,
+       count(*) FILTER (WHERE top_b) AS n_top_b,
+       CASE WHEN count(*) FILTER (WHERE top_b) <> 0 THEN count(*) FILTER (WHERE top_a AND top_b) / count(*) FILTER (WHERE top_b) END AS retention
+FROM rt"""),
+    "price_vs_league_median": with_r(f"""
+, pp AS (SELECT league_key, market_value FROM players WHERE market_value > 0),
+  pm AS (SELECT pp.market_value, m.v FROM pp LEFT JOIN
+    (SELECT league_key, quantile_cont(market_value, 0.5) AS v FROM pp GROUP BY league_key) m USING (league_key))
+SELECT count(*) FILTER (WHERE v IS NOT NULL AND market_value IS NOT NULL) AS n, {r9(guarded_corr('v', 'market_value'))} AS r FROM pm"""),
     "pearson": with_r(
         "SELECT count(*) FILTER (WHERE price_per_unit IS NOT NULL AND market_value IS NOT NULL) AS n, "
         f"{r9(guarded_corr('price_per_unit', 'market_value'))} AS r FROM players"),

@@ -8,9 +8,10 @@ rows x columns.
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,7 +19,7 @@ from ..functions.numeric import to_number
 from ..functions.text import cells_close, cells_equal, composite_key
 from ..operators.rank import row_index
 from ..operators.sets import dedup_rows, duplicate_keys, union_exports
-from ..spec import MAX_LISTED, PREVIEW_N
+from ..spec import DEFAULT_KEYS, MAX_LISTED, PREVIEW_N
 
 
 def with_key(df: DataFrame, key_cols: Sequence[str], out: str = "key") -> DataFrame:
@@ -27,6 +28,28 @@ def with_key(df: DataFrame, key_cols: Sequence[str], out: str = "key") -> DataFr
     return df.withColumn(out, composite_key(list(key_cols), numeric=numeric))
 
 
+def pick_key(a: DataFrame, b: DataFrame, key_cols: Sequence[str] | None = None,
+             defaults: Sequence[Sequence[str]] = DEFAULT_KEYS) -> list[str]:
+    """The stated key, else the first default set that both tables have, else their first shared column."""
+    shared = [c for c in a.columns if c in set(b.columns)]
+    if key_cols:
+        missing = [c for c in key_cols if c not in shared]
+        if missing:
+            raise ValueError(f"key columns not in both tables: {missing}")
+        return list(key_cols)
+    if not shared:
+        raise ValueError("the tables share no column")
+    return next((list(cols) for cols in defaults if set(cols) <= set(shared)), shared[:1])
+
+
+def _unique_sides(a: DataFrame, b: DataFrame, key_cols: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Both tables with their key, without the keys that either holds more than once."""
+    ka, kb = with_key(a, key_cols), with_key(b, key_cols)
+    dups = duplicate_keys(ka, ["key"]).select("key").unionByName(
+        duplicate_keys(kb, ["key"]).select("key")).distinct()
+    return ka.join(dups, "key", "left_anti"), kb.join(dups, "key", "left_anti")
+
+
 def _side(df: DataFrame, cols: Sequence[str], tag: str) -> DataFrame:
     return df.select("key", *[F.col(f"`{c}`").alias(f"{tag}{i}") for i, c in enumerate(cols)])
 
@@ -47,11 +70,7 @@ def diff_keyed(a: DataFrame, b: DataFrame, key_cols: Sequence[str]) -> DataFrame
     Output: one row per differing cell ``(key, column, value_a, value_b)``.
     """
     shared = [c for c in a.columns if c in set(b.columns) and c not in key_cols]
-    ka, kb = with_key(a, key_cols), with_key(b, key_cols)
-    dups = duplicate_keys(ka, ["key"]).select("key").unionByName(
-        duplicate_keys(kb, ["key"]).select("key")).distinct()
-    ka = ka.join(dups, "key", "left_anti")
-    kb = kb.join(dups, "key", "left_anti")
+    ka, kb = _unique_sides(a, b, key_cols)
     joined = _side(ka, shared, "a").join(_side(kb, shared, "b"), "key", "inner")
     return _cell_diffs(joined, shared, F.col("key"))
 
@@ -96,11 +115,8 @@ def shape_checks(a: DataFrame, b: DataFrame) -> DataFrame:
 def diff_summary(a: DataFrame, b: DataFrame, key_cols: Sequence[str]) -> DataFrame:
     """Per compared column: differing cells, rows compared, share different."""
     shared = [c for c in a.columns if c in set(b.columns) and c not in key_cols]
-    ka, kb = with_key(a, key_cols), with_key(b, key_cols)
-    dups = duplicate_keys(ka, ["key"]).select("key").unionByName(
-        duplicate_keys(kb, ["key"]).select("key")).distinct()
-    common = (ka.select("key").join(kb.select("key"), "key", "inner").join(dups, "key", "left_anti")
-                .agg(F.count(F.lit(1)).alias("rows_compared")))
+    ka, kb = _unique_sides(a, b, key_cols)
+    common = ka.select("key").join(kb.select("key"), "key", "inner").agg(F.count(F.lit(1)).alias("rows_compared"))
     diffs = diff_keyed(a, b, key_cols).groupBy("column_name").agg(F.count(F.lit(1)).alias("n_different"))
     cols = a.sparkSession.createDataFrame([(c,) for c in shared], "column_name string")
     j = cols.join(diffs, "column_name", "left").crossJoin(common)
@@ -109,6 +125,50 @@ def diff_summary(a: DataFrame, b: DataFrame, key_cols: Sequence[str]) -> DataFra
                     (F.coalesce("n_different", F.lit(0)) / F.col("rows_compared")).alias("share_different"))
 
 
+def _verdict(one: DataFrame, checks: Sequence[tuple[str, object, object, Column]]) -> DataFrame:
+    """One row per check (check_name, value_a, value_b, passed) of a one-row table, then the overall result."""
+    row = lambda name, x, y, ok: F.struct(F.lit(name).alias("check_name"), x.cast("string").alias("value_a"),
+                                          y.cast("string").alias("value_b"), ok.alias("passed"))
+    none = F.lit(None)
+    result = row("result", none, none, reduce(lambda p, q: p & q, [ok for _, _, _, ok in checks]))
+    return one.select(F.explode(F.array(*[row(*c) for c in checks], result)).alias("c")).select("c.*")
+
+
+def compare(a: DataFrame, b: DataFrame, key_cols: Sequence[str] | None = None, order_by: Sequence[str] | None = None,
+            defaults: Sequence[Sequence[str]] = DEFAULT_KEYS) -> DataFrame:
+    """Q6: the verdict of a comparison, one row per check and a last row ``result``.
+
+    With ``order_by`` row i meets row i; else rows meet by key (``pick_key``),
+    keys that a side holds twice are counted and not compared. Values: duplicated
+    keys, rows, columns and column names per side, keys on one side only, and
+    cells compared and cells that differ. A keyed comparison of no cells fails;
+    a positional one of two empty tables passes.
+    """
+    ca, cb = a.columns, b.columns
+    shared = [c for c in ca if c in set(cb)]
+    names = [("columns", F.lit(len(ca)), F.lit(len(cb)), F.lit(len(ca) == len(cb))),
+             ("column names", F.lit(",".join(ca)), F.lit(",".join(cb)), F.lit(ca == cb))]
+    n_rows = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    same_rows = ("rows", F.col("na"), F.col("nb"), F.col("na") == F.col("nb"))
+    if order_by:
+        one = n_rows(a, "na").crossJoin(n_rows(b, "nb")).crossJoin(n_rows(diff_positional(a, b, order_by), "n_diff"))
+        cells = F.least("na", "nb") * F.lit(len(shared))
+        return _verdict(one, [same_rows, *names, ("cells", cells, F.col("n_diff"), (F.col("n_diff") == 0) & same_rows[3])])
+    key = pick_key(a, b, key_cols, defaults)
+    count = lambda df, name: with_key(df, key).groupBy("key").agg(F.count(F.lit(1)).alias(name))
+    both = count(a, "a").join(count(b, "b"), "key", "full_outer")
+    one = both.agg(F.coalesce(F.sum("a"), F.lit(0)).alias("na"), F.coalesce(F.sum("b"), F.lit(0)).alias("nb"),
+                   F.count_if(F.col("a") > 1).alias("dup_a"), F.count_if(F.col("b") > 1).alias("dup_b"),
+                   F.count_if(F.col("b").isNull()).alias("only_a"), F.count_if(F.col("a").isNull()).alias("only_b"),
+                   F.count_if((F.col("a") == 1) & (F.col("b") == 1)).alias("n_common"))
+    one = one.crossJoin(n_rows(diff_keyed(a, b, key), "n_diff"))
+    cells = F.col("n_common") * F.lit(len([c for c in shared if c not in key]))
+    none = lambda x, y: (F.col(x) == 0) & (F.col(y) == 0)
+    return _verdict(one, [("key unique", F.col("dup_a"), F.col("dup_b"), none("dup_a", "dup_b")), same_rows, *names,
+                          ("same keys", F.col("only_a"), F.col("only_b"), none("only_a", "only_b")),
+                          ("cells", cells, F.col("n_diff"), (F.col("n_diff") == 0) & (cells > 0))])
+
+
 def diff_listing(diffs: DataFrame, max_listed: int = MAX_LISTED) -> DataFrame:
     """K8: the first ``max_listed`` differences in (key, column) order, plus the total count."""
     total = diffs.agg(F.count(F.lit(1)).alias("n_total"))
@@ -128,10 +188,9 @@ def preview(df: DataFrame, key_cols: Sequence[str], value_col: str, n: int = PRE
 
 def cell_tolerance(a: DataFrame, b: DataFrame, key_cols: Sequence[str], col: str,
                    tol: float = 1e-9) -> DataFrame:
-    """Per matched key, whether ``col`` agrees within an absolute tolerance."""
-    ka = with_key(a, key_cols).select("key", F.col(col).alias("value_a"))
-    kb = with_key(b, key_cols).select("key", F.col(col).alias("value_b"))
-    j = ka.join(kb, "key", "inner")
+    """Per matched key, whether ``col`` agrees within an absolute tolerance; duplicated keys left out."""
+    ka, kb = _unique_sides(a, b, key_cols)
+    j = ka.select("key", F.col(col).alias("value_a")).join(kb.select("key", F.col(col).alias("value_b")), "key", "inner")
     return j.withColumn("close", cells_close(F.col("value_a"), F.col("value_b"), tol))
 
 

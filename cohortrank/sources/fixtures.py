@@ -191,6 +191,14 @@ def supplier_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 7 == 0, F.col("s_acctbal") + 1).otherwise(F.col("s_acctbal")).alias("s_acctbal"))
 
 
+def supplier_edited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The changed copy with some suppliers twice under one key and some under names of their own."""
+    s = table(spark, sf_dir, "supplier")
+    k = F.col("s_suppkey")
+    return (supplier_changed(spark, sf_dir).unionByName(s.where(k % 11 == 0))
+            .unionByName(s.where(k % 17 == 0).withColumn("s_name", F.concat(F.col("s_name"), F.lit(" new")))))
+
+
 # ---- Q5: a season check over nations --------------------------------------
 def season_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Registry folders: one per nation."""

@@ -23,6 +23,8 @@ LEAGUE_WEIGHT = 0.35       # share of the final score that is league strength
 MIN_MEDIAN_SUPPORT = 20    # priced players needed for a league median
 MAX_LISTED = 500           # differences listed in full by compare
 PREVIEW_N = 5              # preview rows per side in compare
+# key columns tried in this order when compare gets no key
+DEFAULT_KEYS = [["Player", "Team within selected timeframe", "Age"], ["Player", "Team", "Age"], ["Player", "Age"], ["Player"]]
 CANDIDATE_MAX_AGE = 25     # candidate pool of the report
 TOP_FRACTION = 0.90        # top-decile cut of the report's validation
 RETENTION_FRACTION = 0.15  # top share used by retention

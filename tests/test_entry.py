@@ -12,7 +12,9 @@ from .conftest import SF_SMALL
 
 ROWS_ONLY = {"pca_variance", "payload_json"}
 FAST = ["score", "league_map", "shortlist", "diff_keyed", "combine", "concept_index", "validation",
-        "verify_season", "catalogue_resolve", "assign_role", "latest_per_key", "value_concentration"]
+        "verify_season", "catalogue_resolve", "assign_role", "latest_per_key", "value_concentration",
+        "compare_keyed", "compare_positional", "diff_summary", "cell_tolerance", "corr_matrix", "spearman_no_age",
+        "spearman_within_league", "retention_blocks", "price_vs_league_median"]
 
 
 def test_entry_runs(spark):
