@@ -43,7 +43,7 @@ def resolve_scope(scopes: DataFrame, catalogue: DataFrame, timeframe: str,
     s = scopes.select(scope_col, area.alias("_area"), league.alias("_league"))
     cat = catalogue.select(F.col("area").alias("_carea"), F.col("name").alias("_cname"),
                            F.col("id").alias("_cid"), "cat_ord", "seasons")
-    j = s.join(F.broadcast(cat), F.lower(F.col("_cname")) == F.lower(F.col("_league")), "left")
+    j = s.join(cat, F.lower(F.col("_cname")) == F.lower(F.col("_league")), "left")
     quality = (F.when(F.col("_cid").isNull(), F.lit(0))
                 .when(F.instr(F.lower(F.coalesce(F.col("_carea"), F.lit(""))), F.lower(F.col("_area"))) > 0,
                       F.lit(2))

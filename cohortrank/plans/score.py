@@ -24,9 +24,9 @@ DIM_COLS = ["league_code", "league", "country", "priority", "priority_rank", "di
 
 
 def with_league(players: DataFrame, league_map: DataFrame, key: str = "league_key") -> DataFrame:
-    """Left join to the league dimension (one row per league, broadcast)."""
+    """Left join to the league dimension (one row per league; broadcast below the session's threshold)."""
     dims = [c for c in DIM_COLS if c in league_map.columns and c not in players.columns]
-    return players.join(F.broadcast(league_map.select(key, *dims)), key, "left")
+    return players.join(league_map.select(key, *dims), key, "left")
 
 
 def eligible(df: DataFrame, min_minutes: float, minutes: str = "minutes", role: str = "role") -> DataFrame:

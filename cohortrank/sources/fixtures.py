@@ -140,7 +140,7 @@ def leagues(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = table(spark, sf_dir, "region")
     pr = F.col("n_regionkey")
     prio = F.when(pr <= 1, "green").when(pr <= 3, "yellow").otherwise("red")
-    return (n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey, "left")
+    return (n.join(r, n.n_regionkey == r.r_regionkey, "left")
              .select(F.col("n_nationkey").alias("league_key"),
                      F.col("n_name").alias("folder"),
                      F.col("n_name").alias("league"),
