@@ -1,13 +1,14 @@
 """MinHash near-dedup with DartMinHash signatures.
 
-A text is the weighted set of its runs of ``SHINGLE`` words (a shorter text is
-one run); a run that occurs c times weighs ``1 + TF * ln(c)``. Darts are thrown
+A text is the set of its runs of ``SHINGLE`` words (a shorter text is one run).
+Every run weighs 1, however often the text repeats it, since links are defined
+by the Jaccard similarity of the sets. Darts are thrown
 at the plane (weight x rank) of every run: a Poisson process of one dart per
 unit of area, made from the run's hash, so equal runs of different texts get
 equal darts. A dart hits if its weight lies below the run's weight; it carries
 one of ``K`` coordinates, and each coordinate keeps the hit of least rank.
-Two texts agree in a coordinate with the probability of their weighted Jaccard
-similarity. Ranks up to (K ln K + 2 K) / total weight are thrown first; texts
+Two texts agree in a coordinate with the probability of their Jaccard
+similarity (the weighted one, for other weights). Ranks up to (K ln K + 2 K) / total weight are thrown first; texts
 with an empty coordinate go on to twice the rank, and so on.
 
 1. ``signatures``: one pass over the text. Equal word sequences form a class,
@@ -47,7 +48,7 @@ from . import _text as tx
 from ._graph import components
 from ._steps import step
 
-SHINGLE, SIMILARITY, TF = 5, 0.8, 0.25
+SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5
 K = BANDS * ROWS
 LEAST_AGREEMENT, BLOCK, BLOCK_BYTES, STAR = 0.65, 256, 8 << 20, 256
@@ -57,8 +58,8 @@ _LAST = (1 << 63) - 1  # stands for a null id, behind all others
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(18)])
 
 
-def shingles(words: np.ndarray, first: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Different runs of every text: (hash, text, times), by text and hash."""
+def shingles(words: np.ndarray, first: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Different runs of every text: (hash, text), by text and hash."""
     n = np.diff(first)
     start, doc = tx.windows(first, size)
     short = np.flatnonzero((n > 0) & (n < size))
@@ -70,8 +71,7 @@ def shingles(words: np.ndarray, first: np.ndarray, size: int = SHINGLE) -> tuple
     h, doc = h[o], doc[o]
     fresh = np.ones(len(h), bool)
     fresh[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-    f = np.flatnonzero(fresh)
-    return h[f], doc[f], np.diff(np.append(f, len(h)))
+    return h[fresh], doc[fresh]
 
 
 def _expand(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -144,8 +144,8 @@ def signatures(rows: DataFrame) -> DataFrame:
             for a, n, data, off in tx.string_chunks(b.column("text")):
                 ws, we, first = tx.tokens(data, off)
                 words = tx.range_hash(data, ws, we)
-                h, doc, times = shingles(words, first)
-                sig = dart_signatures(h, doc, 1 + TF * np.log(times), n)
+                h, doc = shingles(words, first)
+                sig = dart_signatures(h, doc, np.ones(len(h)), n)
                 some = np.diff(first) > 0
                 ids = [pa.array(tx.range_hash(words, first[:-1], first[1:], s).view(np.int64), mask=~some) for s in (0, 2)]
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(0, n * BANDS + 1, BANDS), pa.int32()), pa.array(bands_of(sig).reshape(-1).view(np.int64)), mask=pa.array(~some))
@@ -176,7 +176,7 @@ def _sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
         for b in it:
             for a, n, data, off in tx.string_chunks(b.column("text")):
                 ws, we, first = tx.tokens(data, off)
-                h, doc, _ = shingles(tx.range_hash(data, ws, we), first)
+                h, doc = shingles(tx.range_hash(data, ws, we), first)
                 o = np.searchsorted(doc, np.arange(n + 1))
                 yield pa.RecordBatch.from_arrays([b.column("nid").slice(a, n), pa.array([h[o[i]:o[i + 1]].tobytes() for i in range(n)], pa.binary())], schema=schema)
     return rows.join(wanted, ["_d", "_k"]).select("nid", "text").mapInArrow(run, "nid long, runs binary")

@@ -150,6 +150,20 @@ def test_near_duplicates_match_brute_force(spark):
     assert all(got[i].kept == (got[i].class_id == i) for i in got)
 
 
+def test_near_duplicates_of_repeated_passages(spark):
+    rng = random.Random(12)
+    texts = []
+    for g in range(8):  # a passage against itself many times over: nearly the same set of runs
+        base = " ".join(f"g{g}w{rng.randrange(10 ** 6)}" for _ in range(rng.choice([80, 200])))
+        texts += [base, " ".join([base] * (8, 20)[g % 2]), " ".join([base] * 50)]
+    texts += ["y " * 6 + "z", "y " * 400 + "z"]
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    texts = [texts[i] for i in order]
+    got = {r.doc_id: r for r in dart_minhash.near_duplicates(documents(spark, texts)).collect()}
+    assert [got[i].class_id for i in range(len(texts))] == brute_groups(texts)
+
+
 def test_near_duplicates_odd_rows(spark, odd_documents):
     rows = dart_minhash.near_duplicates(odd_documents).collect()
     assert len(rows) == odd_documents.count()
