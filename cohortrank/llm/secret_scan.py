@@ -13,11 +13,10 @@ and a digit, and no base span overlaps it.
 
 The models are transition counts of labelled samples (text, label): 1 for random
 strings, 0 for identifiers. ``document_samples`` labels strings of a corpus: the
-values of base matches of at most ``max_rows`` texts, against words and their
-snake_case and camelCase pairs of at most ``plain_rows`` texts without a match
-(by hash of the id; documented bounds). The model
-itself is a table of alphabet squared, whatever the corpus. Without samples a
-model is uniform.
+values of base matches of all texts, against words and their snake_case and
+camelCase pairs of all texts without a match. Counts are summed before the
+shuffle; the model itself is a table of alphabet squared, whatever the corpus.
+Without samples a model is uniform.
 
 Everything on the main path is a DataFrame expression. Null texts count as
 empty; repeated rows and ids are scanned row by row; other columns are not read.
@@ -40,7 +39,6 @@ KINDS = ("assign", "access", "hex", "markov")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 LEAST, TOTAL, MEAN = 16, 12_000, 600
 RUN = f"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{LEAST},}}"
-MAX_ROWS, PLAIN_ROWS = 2000, 200
 
 
 def _spans(text: Column, pattern: str, kind: str, value: Column | None = None, least: int = 0) -> Column:
@@ -73,19 +71,36 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(_spans(text, ASSIGN, "assign", text, MIN_VALUE), _spans(text, ACCESS, "access"), _spans(text, HEX, "hex")))
 
 
-def document_samples(docs: DataFrame, max_rows: int = MAX_ROWS, plain_rows: int = PLAIN_ROWS) -> DataFrame:
-    """(text, label): values of base matches as random strings, words and joined words as identifiers."""
-    own = docs.select(F.coalesce("text", F.lit("")).alias("t"), F.xxhash64("doc_id").alias("h"))
-    secret = own.filter(F.col("t").rlike(ASSIGN) | F.col("t").rlike(ACCESS) | F.col("t").rlike(HEX)).orderBy("h", F.xxhash64("t")).limit(max_rows)
+def document_samples(docs: DataFrame) -> DataFrame:
+    """(text, label, times): values of base matches as random strings, words and joined words as identifiers.
+
+    Identifiers are a word, the word with the next one in camelCase and in
+    snake_case (the last word with nothing). They are given as pieces with the same
+    transitions in sum, so that only different words leave a task: each word by
+    its cases, and the two characters at each joint.
+    """
+    own = docs.select(F.coalesce("text", F.lit("")).alias("t"))
+    own = own.withColumn("hit", F.col("t").rlike(ASSIGN) | F.col("t").rlike(ACCESS) | F.col("t").rlike(HEX))
     values = F.concat(F.filter(F.regexp_extract_all("t", F.lit(ASSIGN), F.lit(1)), lambda v: F.length(v) >= MIN_VALUE),
                       F.regexp_extract_all("t", F.lit(ACCESS), F.lit(0)), F.regexp_extract_all("t", F.lit(HEX), F.lit(0)))
-    plain = own.filter(~(F.col("t").rlike(ASSIGN) | F.col("t").rlike(ACCESS) | F.col("t").rlike(HEX))).orderBy("h", F.xxhash64("t")).limit(plain_rows)
-    words = plain.select(F.regexp_extract_all("t", F.lit("(?<![A-Za-z0-9])[A-Za-z]{2,12}(?![A-Za-z0-9])"), F.lit(0)).alias("w"))
-    after = F.concat(F.slice("w", 2, 1 << 30), F.array(F.lit("")))
-    camel = F.zip_with("w", after, lambda a, b: F.concat(a, F.initcap(b)))
-    snake = F.zip_with("w", after, lambda a, b: F.lower(F.concat(a, F.lit("_"), b)))
-    return secret.select(F.explode(values).alias("text"), F.lit(1).alias("label")).unionByName(
-        words.select(F.explode(F.concat("w", camel, snake)).alias("text"), F.lit(0).alias("label")))
+    words = F.regexp_extract_all("t", F.lit("(?<![A-Za-z0-9])[A-Za-z]{2,12}(?![A-Za-z0-9])"), F.lit(0))
+    own = own.select("hit", F.when(F.col("hit"), values).otherwise(words).alias("w"))
+    marked = lambda array, kind: F.transform(array, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("s")))
+    joints = F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, 1 << 30),
+                        lambda a, b: F.concat(F.right(a, F.lit(1)), F.left(b, F.lit(1))))
+    pieces = F.when(F.col("hit"), marked("w", "value")).otherwise(F.concat(marked("w", "word"), marked(F.slice("w", 1, 1), "first"), marked(joints, "joint")))
+    counted = own.select(F.explode(pieces).alias("x")).select(
+        F.when(F.col("x.kind") == "first", "word").otherwise(F.col("x.kind")).alias("kind"), F.col("x.s").alias("s"),
+        (F.col("x.kind") != "first").cast("long").alias("n"), (F.col("x.kind") == "first").cast("long").alias("f")).groupBy("kind", "s").agg(
+        F.sum("n").alias("n"), F.sum("f").alias("f"))
+    s, n, later = F.col("s"), F.col("n"), F.col("n") - F.col("f")  # later: has a word before it in its text
+    sample = lambda text, label, times: F.struct(text.alias("text"), F.lit(label).alias("label"), times.alias("times"))
+    low = F.lower(s)
+    parts = F.when(F.col("kind") == "value", F.array(sample(s, 1, n))).when(
+        F.col("kind") == "joint", F.array(sample(F.concat(F.left(s, F.lit(1)), F.upper(F.right(s, F.lit(1)))), 0, n))).otherwise(F.array(
+            sample(s, 0, 2 * n), sample(F.initcap(s), 0, later), sample(low, 0, n + later),
+            sample(F.concat(F.right(low, F.lit(1)), F.lit("_")), 0, n), sample(F.concat(F.lit("_"), F.left(low, F.lit(1))), 0, later)))
+    return counted.select(F.explode(parts).alias("x")).select("x.*").filter("times > 0")
 
 
 def _codes(token: Column) -> Column:
@@ -98,13 +113,15 @@ def train(samples: DataFrame, smoothing: float = 0.5, backing: float = 8.0) -> l
 
     A transition's probability is its share among those from the same character,
     drawn towards the share of the next character alone with a weight of ``backing``
-    observations; that share is smoothed by ``smoothing``.
+    observations; that share is smoothed by ``smoothing``. A sample counts ``times`` times,
+    if there is such a column.
     """
     n = len(ALPHABET)
-    codes = samples.filter("text is not null and label in (0, 1)").select("label", _codes(F.col("text")).alias("c")).filter(F.size("c") > 1)
-    steps = codes.select("label", F.explode(F.zip_with("c", F.slice("c", 2, 1 << 30), lambda a, b: (a - 1) * n + b - 1)).alias("step")).filter("step is not null")
+    times = F.col("times") if "times" in samples.columns else F.lit(1)
+    codes = samples.filter("text is not null and label in (0, 1)").select("label", times.alias("times"), _codes(F.col("text")).alias("c")).filter(F.size("c") > 1)
+    steps = codes.select("label", "times", F.explode(F.zip_with("c", F.slice("c", 2, 1 << 30), lambda a, b: (a - 1) * n + b - 1)).alias("step")).filter("step is not null")
     counts = {0: [0] * (n * n), 1: [0] * (n * n)}
-    for label, step, count in steps.groupBy("label", "step").count().collect():  # alphabet squared rows at most, for each label
+    for label, step, count in steps.groupBy("label", "step").agg(F.sum("times")).collect():  # alphabet squared rows at most, for each label
         counts[label][step] = count
     logs = {}
     for k, c in counts.items():

@@ -141,6 +141,25 @@ def test_markov_finds_random_strings_and_leaves_identifiers(spark):
     assert not any(rows[i].spans for i in range(30, 60))
 
 
+def test_models_count_all_texts(spark):
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choice("abcdeXYZ") for _ in range(rng.randrange(1, 15)))
+    texts = [" ".join(word() for _ in range(rng.randrange(9))) for _ in range(600)] + ["é aB9 cd_ef gh", "single"] + ODD
+    texts += [f"password={word()}{i} and hEX {'%024x' % i} AKIA{'Q7' * 9}" for i in range(2100)]
+    samples = []
+    for t in texts:
+        t = t or ""
+        if any(re.search(p, t) for p in (ASSIGN, "AKIA[A-Z0-9]{16,}", "[0-9a-f]{24,}")):
+            values = [v for v in ASSIGN.findall(t) if len(v) >= 6] + re.findall("AKIA[A-Z0-9]{16,}", t) + re.findall("[0-9a-f]{24,}", t)
+            samples += [(v, 1) for v in values]
+        else:
+            w = re.findall("(?<![A-Za-z0-9])[A-Za-z]{2,12}(?![A-Za-z0-9])", t)
+            for a, b in zip(w, [*w, ""][1:], strict=True):
+                samples += [(a, 0), (a + b.capitalize(), 0), (f"{a}_{b}".lower(), 0)]
+    every = secret_scan.train(spark.createDataFrame(samples, "text string, label int"))
+    assert secret_scan.train(secret_scan.document_samples(documents(spark, texts))) == every
+
+
 def test_scan_odd_rows(spark, odd_documents):
     model = secret_scan.train(secret_scan.document_samples(odd_documents))
     rows = secret_scan.scan(odd_documents, model).collect()
