@@ -141,6 +141,20 @@ def test_markov_finds_random_strings_and_leaves_identifiers(spark):
     assert not any(rows[i].spans for i in range(30, 60))
 
 
+def test_markov_finds_random_strings_without_digits(spark):
+    rng = random.Random(11)
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    held = lambda n, chars=chars: "".join(rng.choice(chars) for _ in range(n))
+    plain = ["user", "account", "balance", "update", "window", "current", "value", "handler", "request", "total"]
+    samples = [(held(24, chars + "0123456789"), 1) for _ in range(300)] + [("_".join(rng.choices(plain, k=3)), 0) for _ in range(300)] + [("".join(x.title() for x in rng.choices(plain, k=3)), 0) for _ in range(300)]
+    model = secret_scan.train(spark.createDataFrame(samples, "text string, label int"))
+    texts = [held(n) for n in (16, 20, 32) for _ in range(40)] + ["-" * 40, "=" * 20, "4465758382889437", "update_window_handler_total", "UserAccountBalanceRequest"]
+    found = [len(r.spans) for r in secret_scan.scan(documents(spark, texts), model).orderBy("doc_id").collect()]
+    assert sum(found[:120]) >= 114 and not any(found[120:])
+    # the letter asked for loses none of the strings over the whole alphabet
+    assert all(re.search("[A-Za-z]", held(16, secret_scan.ALPHABET)) for _ in range(20000))
+
+
 def test_models_count_all_texts(spark):
     rng = random.Random(10)
     word = lambda: "".join(rng.choice("abcdeXYZ") for _ in range(rng.randrange(1, 15)))
