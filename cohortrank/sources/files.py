@@ -137,7 +137,7 @@ def conform(df: DataFrame, columns: Sequence[str], types: Mapping[str, str] | No
 def read_exports(spark: SparkSession, root: str, header_spec: Sequence[str],
                  types: Mapping[str, str] | None = None, season: str | None = None,
                  strict: bool = True, first_only: bool = False,
-                 multi_line: bool = False) -> tuple[DataFrame, DataFrame]:
+                 multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
     """S1 (+S2-S4): scan one season's exports into one table with lineage columns.
 
     Returns ``(players, report)``. Every file of a folder is read; ``first_only``
@@ -145,8 +145,9 @@ def read_exports(spark: SparkSession, root: str, header_spec: Sequence[str],
     the contract. All files are read by position into one array of cells, as
     wide as the widest header; the header of the file, joined by path, says
     which cell a contract column is, so a reordered header cannot shift values
-    and no list of paths is gathered. ``multi_line`` allows line breaks in
-    quoted cells, at the price of one task per file.
+    and no list of paths is gathered. Quoted cells may hold line breaks, at the
+    price of one task per file; without ``multi_line`` files are split over tasks,
+    and such cells break in two.
     """
     base = root.rstrip("/") + (f"/{season}" if season else "")
     report = header_report(spark, base, header_spec)

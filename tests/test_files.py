@@ -49,6 +49,14 @@ def tree():
     return root
 
 
+def test_line_breaks_in_quoted_cells(spark, tmp_path):
+    rows = [["A. One", "Club\nA", "21", "5", "81.5", "2.1", "2.1"], ["B. Two", "Club B", "25", "0", "70", "1", "1"]]
+    _write(str(tmp_path / "2025-2026" / "1 - [GER] - (2. Bundesliga)" / "x.csv"), HEADER, rows)
+    for strict in (True, False):
+        df, _ = S.read_exports(spark, str(tmp_path), SPEC, season="2025-2026", strict=strict)
+        assert sorted((r["Player"], r["Team"], r["Age"]) for r in df.collect()) == [("A. One", "Club\nA", "21"), ("B. Two", "Club B", "25")]
+
+
 def test_header_report(spark, tree):
     rep = {r["folder"]: r for r in S.header_report(spark, tree, SPEC).collect()}
     assert set(rep) == {"1 - [GER] - (2. Bundesliga)", "2 - [FRA] - (Ligue 2)", "3 - [ESP] - (Primera)",
