@@ -1,7 +1,7 @@
 """DuckDB statements of the queries that SQL can express.
 
-op3: digest rules by grouping payloads. op8: not given, the seeded draw rests on
-a Spark hash. op9: keys by trimming and lower-casing. op1: windows by list slices.
+op1: windows by list slices. op9: keys by trimming and lower-casing. The others
+have none; op8's seeded draw rests on a Spark hash.
 """
 
 BLANK = r"' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
