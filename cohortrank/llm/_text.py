@@ -1,17 +1,23 @@
 """Words, windows and hashes of Arrow string batches, vectorised with numpy.
 
-A batch is cut into chunks of a few MB of whole texts. All texts of a chunk lie
-in one byte buffer; words are byte ranges of it, and every hash of a range (a
-word, a run of words, a line) is the difference of two prefix sums of a
-polynomial modulo 2**64, passed through a bit mixer. Memory is about 60 bytes
-per byte of the chunk, so it is bounded by the longest single text.
+A batch is cut into chunks of about a MB of whole texts. All texts of a chunk lie
+in one byte buffer; words and lines are byte ranges of it. Ranges of bytes are
+hashed by content with BLAKE2b, once per different range of a chunk (Arrow's
+dictionary tells them apart by content). Runs of words are hashed from the words'
+hashes by doubling: a non-linear join of two halves, then of four, and so on, so
+no rule of the text (alternating or reversed blocks, say) makes two runs equal.
+Memory is about 60 bytes per byte of the chunk, so it is bounded by the longest
+single text.
 
 Words are ``[^\\x20\\x09-\\x0D]+``; only these six ASCII bytes separate.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,27 +40,78 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+def join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of the sequence (a, b) from the hashes of its halves; not linear, not symmetric."""
+    return mix(a * U64(BASES[0]) + b * U64(BASES[1]))
 
 
-def _powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of ``base`` and of its inverse modulo 2**64, at least ``n`` of each (kept per process)."""
-    if base not in _POWERS or len(_POWERS[base][0]) < n:
-        def run(b):
-            a = np.full(max(n, 1 << 16), b, U64)
-            a[0] = 1
-            return np.cumprod(a, dtype=U64)
-        _POWERS[base] = run(base), run(pow(base, -1, 1 << 64))
-    return _POWERS[base]
+def run_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hash of ``values[start:end]`` (hashes themselves) for every run; equal contents, equal hashes.
+
+    A run of n values is covered by two runs of the largest power of two up to n,
+    one from its start and one to its end; those are hashed by doubling.
+    """
+    out = np.zeros(len(start), U64)
+    n = (end - start).astype(np.int64)
+    level = np.frexp(np.maximum(n, 1).astype(np.float64))[1] - 1
+    t, width = mix(values.astype(U64) + U64(BASES[seed])), 1
+    for k in range(int(level.max(initial=-1)) + 1):
+        at = np.flatnonzero((level == k) & (n > 0))
+        if len(at):
+            out[at] = join(t[start[at]], t[end[at] - width]) + n[at].astype(U64) * U64(BASES[2])
+        t = join(t[:-width], t[width:])
+        width *= 2
+    return mix(out ^ U64(BASES[(seed + 1) % 3]))
+
+
+def kinds(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """Ascending, disjoint byte ranges by content: (code of each range, the content of each code).
+
+    Some codes may stand for what lies between the ranges.
+    """
+    if not len(start):
+        return np.zeros(0, np.int64), []
+    cuts = np.empty(2 * len(start), np.int64)
+    cuts[0::2], cuts[1::2] = start, end
+    parts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(data))])
+    coded = parts.dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False)[::2].astype(np.int64), coded.dictionary.to_pylist()
+
+
+def digests(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two halves of a 128-bit BLAKE2b digest of every byte range (ascending, disjoint)."""
+    code, content = kinds(data, start, end)
+    each = np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=16).digest() for x in content), "<u8").reshape(-1, 2)
+    return each[code, 0], each[code, 1]
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit BLAKE2b digest of every word (ascending, disjoint byte ranges)."""
+    return digests(data, start, end)[0]
+
+
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # another C library
+    _TRIM = None
+
+
+def trim() -> None:
+    """Give free memory of this process back; idle Python workers stay beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
 
 
-def range_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
-    """64-bit hash of ``values[start:end]`` for every range; equal contents, equal hashes."""
-    pw, inv = _powers(len(values) + 1, BASES[seed])
-    c = np.zeros(len(values) + 1, U64)
-    np.cumsum((values.astype(U64) + U64(1)) * pw[:len(values)], out=c[1:])
-    h = (c[end] - c[start]) * inv[start]
-    return mix(h ^ ((end - start).astype(U64) * U64(BASES[(seed + 1) % 3])))
+def tidy(run: Callable) -> Callable:
+    """``run`` for mapInArrow; memory is given back at the end of the task."""
+    @functools.wraps(run)
+    def inner(batches_):
+        try:
+            yield from run(batches_)
+        finally:
+            trim()
+    return inner
 
 
 def string_chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

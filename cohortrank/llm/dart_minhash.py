@@ -37,6 +37,7 @@ groups but name them only if no other row does. Repeated rows are exact copies o
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -66,7 +67,7 @@ def shingles(words: np.ndarray, first: np.ndarray, size: int = SHINGLE) -> tuple
     start = np.concatenate((start, first[:-1][short]))
     end = np.concatenate((start[:len(doc)] + size, first[1:][short]))
     doc = np.concatenate((doc, short))
-    h = tx.range_hash(words, start, end, 1)
+    h = tx.run_hash(words, start, end, 1)
     o = np.lexsort((h, doc))
     h, doc = h[o], doc[o]
     fresh = np.ones(len(h), bool)
@@ -129,9 +130,10 @@ def dart_signatures(h: np.ndarray, doc: np.ndarray, weight: np.ndarray, n_docs:
 
 def bands_of(sig: np.ndarray) -> np.ndarray:
     """(texts, BANDS) hash of each band, the band's number included."""
-    flat = sig.reshape(-1)
-    start = np.arange(0, len(flat), ROWS)
-    h = tx.range_hash(flat, start, start + ROWS)
+    cells = sig.reshape(-1, ROWS)
+    h = tx.mix(cells[:, 0])
+    for i in range(1, ROWS):
+        h = tx.join(h, cells[:, i])
     return tx.mix(h + np.tile(np.arange(BANDS, dtype=np.uint64), len(sig)) * np.uint64(tx.BASES[0])).reshape(len(sig), BANDS)
 
 
@@ -143,17 +145,17 @@ def signatures(rows: DataFrame) -> DataFrame:
         for b in it:
             for a, n, data, off in tx.string_chunks(b.column("text")):
                 ws, we, first = tx.tokens(data, off)
-                words = tx.range_hash(data, ws, we)
-                h, doc = shingles(words, first)
+                h, doc = shingles(tx.word_hashes(data, ws, we), first)
                 sig = dart_signatures(h, doc, np.ones(len(h)), n)
                 some = np.diff(first) > 0
-                ids = [pa.array(tx.range_hash(words, first[:-1], first[1:], s).view(np.int64), mask=~some) for s in (0, 2)]
+                prints = [hashlib.blake2b(b" ".join(data[off[i]:off[i + 1]].tobytes().split()), digest_size=16).digest() for i in range(n)]
+                ids = [pa.array(np.ascontiguousarray(x).view(np.int64), mask=~some) for x in np.frombuffer(b"".join(prints), "<u8").reshape(n, 2).T]
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(0, n * BANDS + 1, BANDS), pa.int32()), pa.array(bands_of(sig).reshape(-1).view(np.int64)), mask=pa.array(~some))
                 prints = (tx.mix(sig) & np.uint64(0xFF)).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays([b.column(c).slice(a, n) for c in ("doc_id", "_d", "_k")] + ids + [
                     bands, pa.array([p.tobytes() if s else None for p, s in zip(prints, some, strict=True)], pa.binary())], schema=schema)
     return rows.select("doc_id", "_d", "_k", "text").mapInArrow(
-        run, "doc_id long, _d long, _k long, h1 long, h2 long, bands array<long>, sig binary")
+        tx.tidy(run), "doc_id long, _d long, _k long, h1 long, h2 long, bands array<long>, sig binary")
 
 
 def _agreeing(pairs: DataFrame, sigs: DataFrame, least: float = LEAST_AGREEMENT) -> DataFrame:
@@ -166,7 +168,7 @@ def _agreeing(pairs: DataFrame, sigs: DataFrame, least: float = LEAST_AGREEMENT)
             x, y = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint8).reshape(-1, K) for c in ("sa", "sb"))
             keep = (x == y).mean(axis=1) >= least if len(t) else np.zeros(0, bool)
             yield t.select(["a", "b"]).filter(pa.array(keep))
-    return j.mapInArrow(run, "a long, b long")
+    return j.mapInArrow(tx.tidy(run), "a long, b long")
 
 
 def _sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -176,10 +178,10 @@ def _sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
         for b in it:
             for a, n, data, off in tx.string_chunks(b.column("text")):
                 ws, we, first = tx.tokens(data, off)
-                h, doc = shingles(tx.range_hash(data, ws, we), first)
+                h, doc = shingles(tx.word_hashes(data, ws, we), first)
                 o = np.searchsorted(doc, np.arange(n + 1))
                 yield pa.RecordBatch.from_arrays([b.column("nid").slice(a, n), pa.array([h[o[i]:o[i + 1]].tobytes() for i in range(n)], pa.binary())], schema=schema)
-    return rows.join(wanted, ["_d", "_k"]).select("nid", "text").mapInArrow(run, "nid long, runs binary")
+    return rows.join(wanted, ["_d", "_k"]).select("nid", "text").mapInArrow(tx.tidy(run), "nid long, runs binary")
 
 
 def _exact(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -209,7 +211,7 @@ def _exact(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
                     out["a"].append(a)
                     out["b"].append(b)
             yield tx.batches(out, schema)
-    return both.select("a", "b", "runs").mapInArrow(run, "a long, b long").distinct()
+    return both.select("a", "b", "runs").mapInArrow(tx.tidy(run), "a long, b long").distinct()
 
 
 def _common(sets: list[np.ndarray]) -> np.ndarray:
@@ -297,7 +299,7 @@ def _across(buckets: DataFrame, kinds: DataFrame, sets: DataFrame, groups: DataF
             links.clear()
         close()
         yield tx.batches({"a": [x for x, _ in links], "b": [x for _, x in links]}, schema)
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(tx.tidy(run), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

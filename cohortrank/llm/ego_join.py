@@ -181,7 +181,7 @@ def _blocks(kinds: DataFrame, axes: np.ndarray, threshold: float, block: int) ->
     order = [f"c{i}" for i in range(n_axes)] + ["nid"]
     ddl = "nid long, n long, dim int, v binary, " + ", ".join(f"c{i} int" for i in range(n_axes))
     parts = shuffle_partitions(kinds.sparkSession)
-    ordered = kinds.select("nid", "n", "embedding").mapInArrow(cells, ddl).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    ordered = kinds.select("nid", "n", "embedding").mapInArrow(tx.tidy(cells), ddl).repartitionByRange(parts, *order).sortWithinPartitions(*order)
 
     def pack(it):
         from pyspark import TaskContext
@@ -202,7 +202,7 @@ def _blocks(kinds: DataFrame, axes: np.ndarray, threshold: float, block: int) ->
         if held is not None and len(held):
             yield give(held)
     return ordered.select("nid", "n", "v").mapInArrow(
-        pack, "part long, chunk long, lo array<double>, hi array<double>, nids array<long>, ns array<long>, v array<binary>")
+        tx.tidy(pack), "part long, chunk long, lo array<double>, hi array<double>, nids array<long>, ns array<long>, v array<binary>")
 
 
 def _block_pairs(boxes: DataFrame, n_blocks: int, axes: int, threshold: float) -> DataFrame:
@@ -263,7 +263,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, block: int =
                     e = np.array(edges, np.int64).reshape(-1, 2)
                     yield tx.batches({"kind": np.repeat([0, 1], [len(hit), len(e)]), "nid": np.concatenate((ids[hit], ids[e[:, 0]])),
                                       "value": np.concatenate((links[hit], ids[e[:, 1]]))}, schema)
-        found = step(work.mapInArrow(run, "kind int, nid long, value long"), "found")
+        found = step(work.mapInArrow(tx.tidy(run), "kind int, nid long, value long"), "found")
     if found is None:
         found = vectors.sparkSession.createDataFrame([], "kind int, nid long, value long")
     links = found.filter("kind = 0").groupBy("nid").agg(F.sum("value").alias("others"))

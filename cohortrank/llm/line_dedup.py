@@ -83,7 +83,7 @@ def _keys(rows: DataFrame, min_chars: int) -> DataFrame:
                 s, e, doc, pos = s[use], e[use], doc[use], pos[use]
                 if not len(s):
                     continue
-                h1, h2 = tx.range_hash(low, s, e, 0), tx.range_hash(low, s, e, 1)
+                h1, h2 = tx.digests(low, s, e)
                 order = np.lexsort((pos, h2, h1, doc))
                 h1, h2, doc, pos = h1[order], h2[order], doc[order], pos[order]
                 fresh = np.ones(len(h1), bool)
@@ -92,7 +92,7 @@ def _keys(rows: DataFrame, min_chars: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.append(f, len(h1)), pa.int32()), pa.array(pos, pa.int32()))
                 yield pa.RecordBatch.from_arrays([pa.array(h1[f].view(np.int64)), pa.array(h2[f].view(np.int64)), pa.array(d[a + doc[f]]),
                                                   pa.array(k[a + doc[f]]), lists], schema=schema)
-    return rows.select("_d", "_k", "text").mapInArrow(run, "h1 long, h2 long, _d long, _k long, pos array<int>")
+    return rows.select("_d", "_k", "text").mapInArrow(tx.tidy(run), "h1 long, h2 long, _d long, _k long, pos array<int>")
 
 
 def _runs(h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
@@ -124,7 +124,7 @@ def _edges(ordered: DataFrame) -> dict[tuple[int, int], tuple[int, int, int]]:
         if last is not None:
             ends = [first] if last is first else [first, last]
             yield pa.RecordBatch.from_pylist([e | {"which": w} for w, e in enumerate(ends)], schema=schema)
-    got = ordered.select("part", "h1", "h2", "_d", "_k").mapInArrow(run, ", ".join(f"{x} long" for x in schema.names)).collect()
+    got = ordered.select("part", "h1", "h2", "_d", "_k").mapInArrow(tx.tidy(run), ", ".join(f"{x} long" for x in schema.names)).collect()
     out: dict = {}
     for r in sorted(tuple(x) for x in got):
         n, d, k = out.get(r[2:4], (0, r[5], r[6]))
@@ -178,7 +178,7 @@ def dropped_lines(rows: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MI
                 yield from give(t, False).to_batches()
         if held is not None:
             yield from give(held, True).to_batches()
-    return ordered.select(*order, "pos").mapInArrow(run, "_d long, _k long, pos array<int>")
+    return ordered.select(*order, "pos").mapInArrow(tx.tidy(run), "_d long, _k long, pos array<int>")
 
 
 def keep_bitmaps(rows: DataFrame, **options) -> DataFrame:
@@ -187,7 +187,7 @@ def keep_bitmaps(rows: DataFrame, **options) -> DataFrame:
     The bitmap is zlib-compressed, a bit per line up to the last dropped one
     (1: keep); later lines are kept.
     """
-    lists = dropped_lines(rows, **options).groupBy("_d", "_k").agg(F.array_distinct(F.flatten(F.collect_list("pos"))).alias("pos")).filter(F.size("pos") > 0)
+    lists = dropped_lines(rows, **options).groupBy("_d", "_k").agg(F.array_distinct(F.flatten(F.collect_set("pos"))).alias("pos")).filter(F.size("pos") > 0)
 
     def run(it):
         schema = pa.schema([("_d", pa.int64()), ("_k", pa.int64()), ("n_dropped", pa.int64()), ("bitmap", pa.binary())])
@@ -199,7 +199,7 @@ def keep_bitmaps(rows: DataFrame, **options) -> DataFrame:
                 maps.append(zlib.compress(np.packbits(keep, bitorder="little").tobytes(), 1))
                 n.append(len(p))
             yield tx.batches({"_d": b.column("_d"), "_k": b.column("_k"), "n_dropped": n, "bitmap": maps}, schema)
-    return lists.mapInArrow(run, "_d long, _k long, n_dropped long, bitmap binary")
+    return lists.mapInArrow(tx.tidy(run), "_d long, _k long, n_dropped long, bitmap binary")
 
 
 def kept_text(text: str | None, bitmap: bytes | None) -> tuple[int, str]:
@@ -222,7 +222,7 @@ def dedup_lines(docs: DataFrame, **options) -> DataFrame:
             yield tx.batches({"doc_id": b.column("doc_id"), "n_lines": [g[0] for g in got],
                               "n_dropped": b.column("n_dropped").fill_null(0), "kept_text": [g[1] for g in got]}, schema)
     return rows.join(keep_bitmaps(rows, **options), ["_d", "_k"], "left").select(
-        F.col("doc_id").cast("long"), "text", "n_dropped", "bitmap").mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept_text string")
+        F.col("doc_id").cast("long"), "text", "n_dropped", "bitmap").mapInArrow(tx.tidy(run), "doc_id long, n_lines long, n_dropped long, kept_text string")
 
 
 def drop_lines(docs: DataFrame, **options) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as tx
-from .quality_rules import BITS, char_features, platt, training_rows, word_features
+from .quality_rules import BITS, char_features, platt, sums, training_rows, word_features
 
 MAX_ROWS, THRESHOLD, COST, EPOCHS = 4000, 0.3, 10.0, 12
 CHAR_N, CHAR_BITS = 3, 16
@@ -96,9 +96,7 @@ class Model:
 
     def margins(self, ids: np.ndarray, off: np.ndarray) -> np.ndarray:
         r = self.ratio[ids]
-        both = np.stack([np.concatenate(([0.0], np.cumsum(r * self.weights[ids], dtype=np.float64))),
-                         np.concatenate(([0.0], np.cumsum(r.astype(np.float64) ** 2)))])
-        dot, square = both[:, off[1:]] - both[:, off[:-1]]
+        dot, square = sums(r * self.weights[ids], off), sums(r.astype(np.float64) ** 2, off)
         return dot / np.sqrt(np.maximum(square, 1e-12)) + float(self.weights[-1])
 
     def probability(self, m: np.ndarray) -> np.ndarray:
@@ -143,7 +141,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, **option
         if len(set(y.tolist())) == 2:
             m = fit([x or "" for x in t.column("text").to_pylist()], y, **options)
             yield pa.RecordBatch.from_pylist([{"r": m.ratio.tobytes(), "w": m.weights.tobytes(), "a": m.scale, "b": m.shift}])
-    got = rows.select("o", "doc_id", F.col("y").cast("int"), "text").repartition(1).mapInArrow(run, "r binary, w binary, a double, b double").collect()
+    got = rows.select("o", "doc_id", F.col("y").cast("int"), "text").repartition(1).mapInArrow(tx.tidy(run), "r binary, w binary, a double, b double").collect()
     return Model(*(np.frombuffer(got[0][c], np.float32) for c in "rw"), got[0]["a"], got[0]["b"]) if got else None
 
 
@@ -159,5 +157,5 @@ def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) ->
                 p = np.full(n, 0.5) if m is None else m.probability(m.margins(*indicators(data, off)))
                 yield tx.batches({"doc_id": b.column("doc_id").slice(a, n), "score": p}, schema)
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double").select(
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tx.tidy(run), "doc_id long, score double").select(
         "doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

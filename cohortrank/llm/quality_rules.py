@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from . import _text as tx
 from .line_dedup import line_ranges
@@ -58,7 +59,7 @@ def base_counts(data: np.ndarray, off: np.ndarray, ws, we, first) -> dict[str, n
     inner[last] = False
     end[inner] = cuts
     full = e > s
-    h, d = tx.range_hash(data, begin[full], end[full]), doc[full]
+    h, d = tx.kinds(data, begin[full], end[full])[0], doc[full]  # codes by content
     order = np.lexsort((h, d))
     again = np.zeros(len(h), bool)
     again[1:] = (h[order][1:] == h[order][:-1]) & (d[order][1:] == d[order][:-1])
@@ -66,7 +67,7 @@ def base_counts(data: np.ndarray, off: np.ndarray, ws, we, first) -> dict[str, n
     start, wdoc = tx.windows(first, WINDOW)
     repeated = np.zeros(n_docs, np.int64)
     if len(start):
-        wh = tx.range_hash(tx.range_hash(data, ws, we), start, start + WINDOW)
+        wh = tx.run_hash(tx.word_hashes(data, ws, we), start, start + WINDOW)
         o = np.lexsort((wh, wdoc))
         same = (wh[o][1:] == wh[o][:-1]) & (wdoc[o][1:] == wdoc[o][:-1])
         twice = np.zeros(len(start), bool)
@@ -82,7 +83,7 @@ def base_counts(data: np.ndarray, off: np.ndarray, ws, we, first) -> dict[str, n
 def word_features(data: np.ndarray, ws, we, first, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """Hashed runs of one and two words: (feature ids, offsets per text)."""
     mask = np.uint64((1 << bits) - 1)
-    words = tx.range_hash(data, ws, we)
+    words = tx.word_hashes(data, ws, we)
     pairs, pdoc = tx.windows(first, 2)
     ph = tx.mix(words[pairs] * np.uint64(3) + words[pairs + 1])
     # a word after itself: the feature is how often it has come in a row (up to 8), whatever the word
@@ -126,9 +127,17 @@ def margins(weights: np.ndarray, fams) -> np.ndarray:
     return out
 
 
+def sums(x: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Sum of every stretch of ``x``; it depends on the stretch alone, not on its neighbours."""
+    out = np.zeros(len(off) - 1)
+    some = np.flatnonzero(off[1:] > off[:-1])
+    if len(some):
+        out[some] = np.add.reduceat(x, off[:-1][some], dtype=np.float64)
+    return out
+
+
 def _means(x: np.ndarray, off: np.ndarray) -> np.ndarray:
-    c = np.concatenate(([0.0], np.cumsum(x, dtype=np.float64)))
-    return (c[off[1:]] - c[off[:-1]]) / np.maximum(np.diff(off), 1)
+    return sums(x, off) / np.maximum(np.diff(off), 1)
 
 
 @dataclass
@@ -195,12 +204,14 @@ def fit(texts: list[str], labels: np.ndarray, bits: int = BITS, epochs: int = 20
 def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, label: str = "quality") -> DataFrame:
     """At most ``max_rows`` labelled (doc_id, text, y), chosen and ordered by a hash of the id.
 
-    Rows with ``crc32(doc_id as text) mod 5 = 0`` are never learned from.
+    Rows with ``crc32(doc_id as text) mod 5 = 0`` are never learned from. Of several
+    texts of one id, the least by hash is taken.
     """
     learn = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) != 0
     own = labels.filter(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.min(label).alias("y"))
     chosen = own.filter(learn).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    return docs.select("doc_id", "text").join(chosen, "doc_id").dropDuplicates(["doc_id"])
+    return docs.select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id", "y").agg(
+        F.min(F.struct(F.xxhash64("text"), "text")).alias("least")).select("doc_id", "least.text", "y")
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, **options) -> Model | None:
@@ -213,7 +224,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, **option
         if len(set(y.tolist())) == 2:
             m = fit([x or "" for x in t.column("text").to_pylist()], y, **options)
             yield pa.RecordBatch.from_pylist([{"w": m.weights.tobytes(), "a": m.scale, "b": m.shift}])
-    got = rows.select("o", "doc_id", F.col("y").cast("int"), "text").repartition(1).mapInArrow(run, "w binary, a double, b double").collect()
+    got = rows.select("o", "doc_id", F.col("y").cast("int"), "text").repartition(1).mapInArrow(tx.tidy(run), "w binary, a double, b double").collect()
     return Model(np.frombuffer(got[0]["w"], np.float32), got[0]["a"], got[0]["b"]) if got else None
 
 
@@ -241,15 +252,15 @@ def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) ->
             for a, n, out in _verdicts(b.column("text"), shared.value, threshold):
                 yield tx.batches(out | {"doc_id": b.column("doc_id").slice(a, n)}, schema)
     ddl = ", ".join(f"{n} {'boolean' if n in ('base_failed', 'kept') else 'double' if n == 'probability' else 'long'}" for n in names)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ddl)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tx.tidy(run), ddl)
 
 
 def keep_good(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, all their columns, whose text is kept."""
+    """The rows of ``docs``, all their columns, whose text is kept. Only texts go to Python, and one boolean each comes back."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(it):
-        for b in it:
-            for a, n, out in _verdicts(b.column(b.schema.get_field_index("text")), shared.value, threshold):
-                yield b.slice(a, n).filter(pa.array(out["kept"]))
-    return docs.mapInArrow(run, docs.schema)
+    def verdict(text: pa.Array) -> pa.Array:
+        got = [out["kept"] for _, _, out in _verdicts(text, shared.value, threshold)]
+        tx.trim()
+        return pa.array(np.concatenate(got) if got else np.zeros(0, bool))
+    return docs.filter(F.arrow_udf(verdict, BooleanType())(F.col("text")))

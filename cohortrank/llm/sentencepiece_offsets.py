@@ -192,7 +192,7 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
                 ids, s, f = e.spans(t or "")
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, 1), pa.array([[e.full.bos_id(), *ids, e.full.eos_id()]], schema[1].type),
                                                   pa.array([s], schema[2].type), pa.array([f], schema[3].type)], schema=schema)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>, starts array<int>, ends array<int>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tx.tidy(run), "doc_id long, ids array<int>, starts array<int>, ends array<int>")
 
 
 def encode_digests(docs: DataFrame, model: str) -> DataFrame:
@@ -216,4 +216,4 @@ def encode_digests(docs: DataFrame, model: str) -> DataFrame:
                 out["covered_bytes"].append(int((end - start).sum()))
             yield tx.batches(out | {"doc_id": b.column("doc_id")}, schema)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, covered_bytes long")
+        tx.tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, covered_bytes long")

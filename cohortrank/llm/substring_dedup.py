@@ -55,7 +55,7 @@ def _supers(words: np.ndarray, first: np.ndarray, size: int, seed_words: int):
         z = np.zeros(0, np.int64)
         return z, z, z, z.astype(np.uint64), z.astype(np.uint64)
     at = np.arange(seeds)
-    h = tx.range_hash(words, at, at + seed_words)
+    h = tx.run_hash(words, at, at + seed_words)
     least = (h & np.uint64(0xFFFFFFFF00000000)) | at.astype(np.uint64)
     span, width = size - seed_words + 1, 1
     while width * 2 <= span:
@@ -68,7 +68,7 @@ def _supers(words: np.ndarray, first: np.ndarray, size: int, seed_words: int):
     fresh[1:] = (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])
     f = np.flatnonzero(fresh)
     n = np.diff(np.append(f, len(start)))
-    return doc[f], start[f] - first[:-1][doc[f]], n, h[place[f]], tx.range_hash(words, start[f], start[f] + n + size - 1, 1)
+    return doc[f], start[f] - first[:-1][doc[f]], n, h[place[f]], tx.run_hash(words, start[f], start[f] + n + size - 1, 1)
 
 
 def super_refs(docs: DataFrame, size: int = SIZE, seed_words: int = SEED_WORDS) -> DataFrame:
@@ -81,9 +81,9 @@ def super_refs(docs: DataFrame, size: int = SIZE, seed_words: int = SEED_WORDS)
             for a, _, data, off in tx.string_chunks(b.column(2)):
                 ws, we, first = tx.tokens(data, off)
                 if len(ws) >= size:
-                    doc, start, n, key, pid = _supers(tx.range_hash(data, ws, we), first, size, seed_words)
+                    doc, start, n, key, pid = _supers(tx.word_hashes(data, ws, we), first, size, seed_words)
                     yield tx.batches({"key": key.view(np.int64), "pid": pid.view(np.int64), "_d": d[a + doc], "_k": k[a + doc], "start": start, "n": n}, schema)
-    return docs.select("_d", "_k", "text").mapInArrow(run, "key long, pid long, _d long, _k long, start int, n int")
+    return docs.select("_d", "_k", "text").mapInArrow(tx.tidy(run), "key long, pid long, _d long, _k long, start int, n int")
 
 
 def _bucket_rows(rows, size: int) -> dict[int, int]:
@@ -137,7 +137,7 @@ def repeated_windows(docs: DataFrame, size: int = SIZE, seed_words: int = SEED_W
             yield tx.batches(out, schema)
     # rows equal in id and text would each bring the string; one is enough, the count has them all
     packed = step(docs.join(lists, ["_d", "_k"]).select("text", "refs").mapInArrow(
-        pack, "key long, pid long, c long, kinds long, packed binary"), "packed")
+        tx.tidy(pack), "key long, pid long, c long, kinds long, packed binary"), "packed")
 
     def count(it):
         schema = pa.schema([("key", pa.int64()), ("pid", pa.int64()), ("mask", pa.int64())])
@@ -162,7 +162,7 @@ def repeated_windows(docs: DataFrame, size: int = SIZE, seed_words: int = SEED_W
         yield tx.batches(out, schema)
     once = ["key", "pid"]
     plain = packed.filter(F.col("kinds") <= hot).repartition("key").sortWithinPartitions("key", "pid").select(
-        "key", "pid", "packed", "c").mapInArrow(count, "key long, pid long, mask long")
+        "key", "pid", "packed", "c").mapInArrow(tx.tidy(count), "key long, pid long, mask long")
     words = F.split(F.decode("packed", "UTF-8"), " ")
     each = packed.filter(F.col("kinds") > hot).dropDuplicates(once).select("key", "pid", "c", words.alias("w")).select(
         "key", "pid", "c", F.posexplode(F.transform(
@@ -201,4 +201,4 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, **options) -> DataFrame:
                 out["kept_text"].append(b" ".join(kept).decode())
             yield tx.batches(out, schema)
     return keyed.join(spans, ["_d", "_k"], "left").select("doc_id", "text", "spans").mapInArrow(
-        run, "doc_id long, n_words long, n_removed long, kept_text string")
+        tx.tidy(run), "doc_id long, n_words long, n_removed long, kept_text string")

@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir, materialize, shuffle_partitions
+from . import _text as tx
 
 MIN_BYTES, ARCHIVE_BYTES, READ_BYTES = 0, 64 << 20, 4 << 20
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
@@ -129,7 +130,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int =
                     out = None
         if out:
             yield pa.RecordBatch.from_pylist([out.close()], schema=schema)
-    return materialize(with_types(pages, min_bytes).mapInArrow(run, "path string, records long, bytes long"), "archives")
+    return materialize(with_types(pages, min_bytes).mapInArrow(tx.tidy(run), "path string, records long, bytes long"), "archives")
 
 
 # -- reading -----------------------------------------------------------------
@@ -261,7 +262,7 @@ def locate(archives: DataFrame) -> DataFrame:
             for p in b.column("path").to_pylist():
                 yield pa.RecordBatch.from_pylist([{"path": p, "at": a, "length": n} for a, n in ranges(p)], schema=schema)
     n = shuffle_partitions(archives.sparkSession)
-    return archives.select("path").repartition(n).mapInArrow(run, "path string, at long, length long")
+    return archives.select("path").repartition(n).mapInArrow(tx.tidy(run), "path string, at long, length long")
 
 
 def read_records(archives: DataFrame, payloads: bool = False) -> DataFrame:
@@ -288,4 +289,4 @@ def read_records(archives: DataFrame, payloads: bool = False) -> DataFrame:
     found = locate(archives)
     parts = shuffle_partitions(archives.sparkSession)
     return found.repartitionByRange(parts, "path", "at").sortWithinPartitions("path", "at").mapInArrow(
-        run, ", ".join(f"{n} {kinds.get(n, 'string')}" for n in names))
+        tx.tidy(run), ", ".join(f"{n} {kinds.get(n, 'string')}" for n in names))

@@ -66,10 +66,20 @@ def test_chunks_do_not_change_words(monkeypatch):
         assert words == [WORD.findall(t or "") for t in texts]
 
 
-def test_range_hash_is_of_the_content():
-    data = np.frombuffer(b"abcabcab", np.uint8)
-    h = tx.range_hash(data, np.array([0, 3, 0, 1]), np.array([3, 6, 2, 3]))
-    assert h[0] == h[1] and len(set(h.tolist())) == 3
+def test_hashes_are_of_the_content():
+    data = np.frombuffer(b"abc abc ab bc", np.uint8)
+    start, end = np.array([0, 4, 8, 11]), np.array([3, 7, 10, 13])
+    for h in (*tx.digests(data, start, end), tx.word_hashes(data, start, end)):
+        assert h[0] == h[1] and len(set(h.tolist())) == 3
+    assert tx.kinds(data, start[:0], end[:0])[0].tolist() == []
+    values = tx.word_hashes(data, start, end)[[0, 2, 3, 0, 2, 3, 0, 2, 0]]
+    runs = [(a, b) for a in range(9) for b in range(a, 10)]
+    for seed in (0, 1, 2):
+        h = tx.run_hash(values, *(np.array(x) for x in zip(*runs, strict=True)), seed)
+        by_content = {}
+        for (a, b), x in zip(runs, h.tolist(), strict=True):
+            assert by_content.setdefault(tuple(values[a:b].tolist()), x) == x
+        assert len(set(by_content.values())) == len(by_content)
 
 
 def test_models_learn_held_out_rows(spark):
