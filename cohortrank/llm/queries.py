@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import dart_minhash, ego_join, line_dedup, nbsvm, quality_rules, secret_scan, sentencepiece_offsets, source_mix, substring_dedup, warc_zip
+from . import chat_format, dart_minhash, ego_join, line_dedup, nbsvm, quality_rules, secret_scan, sentencepiece_offsets, source_mix, substring_dedup, warc_zip
 
 TOKENIZER = "piece_bpe_32k.model"
 
@@ -66,10 +66,23 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dart_minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as JSON records of mixed layouts, formatted, and read back from the formatted text and its loss mask."""
+    sample = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", sample), (-1, 1, "assistant", sample)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    out = chat_format.format_records(chat_format.mixed_records(chat_format.conversations(rows)))
+    out = out.select("conv_id", chat_format.formatted(F.col("segments")).alias("formatted"), chat_format.read_loss(F.col("segments")).alias("loss"))
+    out = out.withColumn("turns", chat_format.read_turns(F.col("formatted")))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return out.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said.cast("binary"), 256).alias("turns_sha256"),
+                      F.length("loss").cast("long").alias("loss_chars"), _sha("loss").alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
 
 
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_secret_scan, op3_warc_zip, op4_quality_classifier, op5_quality_rules, op6_sentencepiece,
-                                   op7_embedding_near_dedup, op8_source_mix, op9_line_dedup, op10_minhash_near_dedup, pipeline)}
+                                   op7_embedding_near_dedup, op8_source_mix, op9_line_dedup, op10_minhash_near_dedup, op13_chat_format, pipeline)}
