@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import chat_format, dart_minhash, ego_join, line_dedup, nbsvm, quality_rules, secret_scan, sentencepiece_offsets, source_mix, substring_dedup, warc_zip
+from . import chat_format, dart_minhash, ego_join, line_dedup, max_sketch, nbsvm, quality_rules, secret_scan, sentencepiece_offsets, source_mix, substring_dedup, warc_zip
 
 TOKENIZER = "piece_bpe_32k.model"
 
@@ -66,10 +66,15 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dart_minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return max_sketch.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as JSON records of mixed layouts, formatted, and read back from the formatted text and its loss mask."""
     sample = "</s>[INST] ok [/INST]"
-    more = spark.createDataFrame([(-1, 0, "user", sample), (-1, 1, "assistant", sample)], "conv_id long, turn long, role string, text string")
+    more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                 F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(sample).alias("text"))
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
     out = chat_format.format_records(chat_format.mixed_records(chat_format.conversations(rows)))
     out = out.select("conv_id", chat_format.formatted(F.col("segments")).alias("formatted"), chat_format.read_loss(F.col("segments")).alias("loss"))
@@ -85,4 +90,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_secret_scan, op3_warc_zip, op4_quality_classifier, op5_quality_rules, op6_sentencepiece,
-                                   op7_embedding_near_dedup, op8_source_mix, op9_line_dedup, op10_minhash_near_dedup, op13_chat_format, pipeline)}
+                                   op7_embedding_near_dedup, op8_source_mix, op9_line_dedup, op10_minhash_near_dedup, op12_ranked_search, op13_chat_format, pipeline)}
