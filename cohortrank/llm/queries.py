@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import chat_format, dart_minhash, ego_join, line_dedup, max_sketch, nbsvm, quality_rules, secret_scan, sentencepiece_offsets, source_mix, substring_dedup, warc_zip
+from . import chat_format, dart_minhash, ego_join, line_dedup, max_sketch, nbsvm, quality_rules, rtree_negatives, secret_scan, sentencepiece_offsets, source_mix, substring_dedup, warc_zip
 
 TOKENIZER = "piece_bpe_32k.model"
 
@@ -66,6 +66,12 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dart_minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), "embedding")
+    return rtree_negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return max_sketch.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -90,4 +96,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_secret_scan, op3_warc_zip, op4_quality_classifier, op5_quality_rules, op6_sentencepiece,
-                                   op7_embedding_near_dedup, op8_source_mix, op9_line_dedup, op10_minhash_near_dedup, op12_ranked_search, op13_chat_format, pipeline)}
+                                   op7_embedding_near_dedup, op8_source_mix, op9_line_dedup, op10_minhash_near_dedup, op11_hard_negatives, op12_ranked_search, op13_chat_format, pipeline)}
