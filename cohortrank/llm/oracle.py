@@ -1,7 +1,9 @@
 """DuckDB statements of the queries that SQL can express.
 
-op1: windows by list slices. op9: keys by trimming and lower-casing. The others
-have none; op8's seeded draw rests on a Spark hash.
+op1: windows by list slices. op3: sizes, digests and references of the payloads. op7:
+all pairs, components by recursion. op9: keys by trimming and lower-casing. op11: all
+pairs. op12: terms by a pattern. op13: turns and lengths. The others have none; op8's
+seeded draw rests on a Spark hash.
 """
 
 BLANK = r"' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -37,4 +39,86 @@ SELECT d.doc_id, coalesce(k.n_words, 0) AS n_words, coalesce(k.n_removed, 0) AS
 FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
 """
 
-ORACLE = {"op1_substring_dedup": SUBSTRINGS, "op9_line_dedup": LINES}
+NEGATIVES = r"""
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.q, b.q)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q) WHERE a.vec_id % 100 = 0),
+p AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, p.positive_id, row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.id)::INTEGER AS rank,
+       s.id AS negative_id, p.positive_score, s.score AS negative_score
+FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same AND 30 * p.positive_score <= 100 * s.score AND 100 * s.score <= 90 * p.positive_score
+QUALIFY rank <= 10
+"""
+
+TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+SEARCH = rf"""
+WITH t AS (SELECT row_number() OVER () AS row, doc_id, {TERMS} AS terms FROM documents WHERE text IS NOT NULL),
+tf AS (SELECT row, doc_id, len(terms) AS n, term, count(*) AS tf FROM (SELECT row, doc_id, terms, unnest(terms) AS term FROM t) GROUP BY ALL),
+sums AS (SELECT count(*) AS docs, sum(len(terms)) AS total FROM t WHERE len(terms) > 0),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+items AS (SELECT item_id, unnest(list_distinct({TERMS})) AS term FROM benchmark),
+hits AS (
+  SELECT i.item_id, tf.row, tf.doc_id,
+         sum(floor(1000 * ln((2 * docs + 2) / (2 * df + 1)))::BIGINT * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // total::BIGINT))))::BIGINT AS score
+  FROM items i JOIN tf USING (term) JOIN df USING (term), sums GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM hits WHERE score > 0 QUALIFY rank <= 10
+"""
+
+_CONTROL = ("<|im_start|>", "<|im_sep|>", "<|im_end|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|endoftext|>", "<|eot_id|>",
+            "<|begin_of_text|>", "<|start_header_id|>", "<|end_header_id|>", "<start_of_turn>", "<end_of_turn>")
+
+
+def _escaped(x: str) -> str:
+    """Length of an escaped text: a backslash more for each backslash and each control string."""
+    return " + ".join([f"length({x})", f"length({x}) - length(replace({x}, chr(92), ''))",
+                       *(f"(length({x}) - length(replace({x}, '{c}', ''))) // {len(c)}" for c in _CONTROL)])
+
+
+CHAT = rf"""
+WITH own AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(32 + {_escaped('role')} + {_escaped('text')})::BIGINT AS formatted_chars
+FROM own GROUP BY conv_id
+"""
+
+VECTORS = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_inner_product(a.e, b.e) / sqrt(list_inner_product(a.e, a.e) * list_inner_product(b.e, b.e)) >= 0.9),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(c.n, 0) AS n_links, l.component_id, e.vec_id = l.component_id AS kept
+FROM embeddings e JOIN least l ON l.a = e.vec_id LEFT JOIN counts c ON c.a = e.vec_id
+"""
+
+# the digest in base 32: 32 groups of 5 bits of the hexadecimal SHA-1, 8 groups from each 10 digits
+ARCHIVES = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS h, min(page_id) OVER (PARTITION BY sha1(html), strlen(html)) AS first FROM p)
+SELECT page_id, payload_bytes,
+       list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         (((('0x' || substr(h, (10 * (i // 8) + 1)::INTEGER, 10))::BIGINT >> (35 - 5 * (i % 8))::BIGINT) & 31) + 1)::INTEGER, 1)), 'string_agg', '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM d
+"""
+
+ORACLE = {"op1_substring_dedup": SUBSTRINGS, "op3_warc_zip": ARCHIVES, "op7_embedding_near_dedup": VECTORS, "op9_line_dedup": LINES,
+          "op11_hard_negatives": NEGATIVES, "op12_ranked_search": SEARCH, "op13_chat_format": CHAT}
