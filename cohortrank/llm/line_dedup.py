@@ -225,14 +225,26 @@ def dedup_lines(docs: DataFrame, **options) -> DataFrame:
         F.col("doc_id").cast("long"), "text", "n_dropped", "bitmap").mapInArrow(tx.tidy(run), "doc_id long, n_lines long, n_dropped long, kept_text string")
 
 
-def drop_lines(docs: DataFrame, **options) -> DataFrame:
-    """``docs``, all columns, with the shortened texts (and their ``n_chars``, if there is such a column)."""
+def drop_lines(docs: DataFrame, drop_emptied: bool = False, **options) -> DataFrame:
+    """``docs``, all columns, with the shortened texts (and their ``n_chars``, if there is such a column).
+
+    ``drop_emptied`` leaves out rows that lost all their words.
+    """
     from pyspark.sql.types import StringType
     own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     rows = keyed(docs.select(own, "doc_id", "text"), "row")
-    shorten = F.pandas_udf(lambda text, bitmap: text.combine(bitmap, lambda t, b: kept_text(t, b)[1]), StringType())
-    cut = rows.join(keep_bitmaps(rows, **options), ["_d", "_k"], "left").select(
-        "row", F.when(F.col("bitmap").isNull(), F.col("text")).otherwise(shorten("text", "bitmap")).alias("text"), F.col("bitmap").isNotNull().alias("new"))
+    bitmaps = keep_bitmaps(rows, **options).select("_d", "_k", "bitmap")
+
+    @F.pandas_udf(StringType())
+    def shorten(text, bitmap):
+        out = text.combine(bitmap, lambda t, b: kept_text(t, b)[1])
+        tx.trim()
+        return out
+    # the text travels once, inside the row
+    cut = rows.select("_d", "_k", "row").join(bitmaps, ["_d", "_k"], "left").select("row", "bitmap", F.col("row.text").alias("t"))
+    cut = cut.select("row", F.when(F.col("bitmap").isNull(), F.col("t")).otherwise(shorten("t", "bitmap")).alias("text"), F.col("bitmap").isNotNull().alias("new"))
+    if drop_emptied:
+        cut = cut.filter(~F.col("new") | F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
     fields = {"text": F.col("text"), "n_chars": F.when(F.col("new"), F.length("text")).otherwise(F.col("row.n_chars"))
               .cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
     return cut.select(*(fields[c].alias(c) if c in fields else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
