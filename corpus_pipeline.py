@@ -25,16 +25,20 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that many of them share."""
-    return line_dedup.drop_lines(docs)
+    """Documents without the lines that many of them share, but for their first occurrence.
+
+    Documents that had words and lost them all are copies of others; they go.
+    """
+    return line_dedup.drop_lines(docs, drop_emptied=True, keep="first")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates; of rows equal in id and text, the least by all columns."""
     heads = dart_minhash.near_duplicates(docs).filter("kept").groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("rows"))
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
     kept = whole.join(heads, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash")))
-    once = kept.filter("rows = 1").select("row").unionByName(kept.filter("rows > 1").dropDuplicates(["id", "hash"]).select("row"))
+    once = kept.filter("rows = 1").select("row").unionByName(kept.filter("rows > 1").groupBy("id", "hash").agg(
+        F.min_by("row", F.to_json("row", {"ignoreNullFields": "false"})).alias("row")).select("row"))
     return once.select("row.*")
 
 
