@@ -64,30 +64,43 @@ def run_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int =
     return mix(out ^ U64(BASES[(seed + 1) % 3]))
 
 
-def kinds(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-    """Ascending, disjoint byte ranges by content: (code of each range, the content of each code).
-
-    Some codes may stand for what lies between the ranges.
-    """
-    if not len(start):
-        return np.zeros(0, np.int64), []
-    cuts = np.empty(2 * len(start), np.int64)
-    cuts[0::2], cuts[1::2] = start, end
-    parts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(data))])
-    coded = parts.dictionary_encode()
-    return coded.indices.to_numpy(zero_copy_only=False)[::2].astype(np.int64), coded.dictionary.to_pylist()
+def kinds(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Byte ranges by content: (code of each range, the content of each code)."""
+    n = (end - start).astype(np.int64)
+    cuts = np.concatenate(([0], np.cumsum(n)))
+    own = data[np.arange(cuts[-1]) + np.repeat(start - cuts[:-1], n)]
+    parts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(cuts), pa.py_buffer(own)]).dictionary_encode()
+    return parts.indices.to_numpy(zero_copy_only=False).astype(np.int64), parts.dictionary
 
 
 def digests(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The two halves of a 128-bit BLAKE2b digest of every byte range (ascending, disjoint)."""
+    """The two halves of a 128-bit BLAKE2b digest of every byte range."""
     code, content = kinds(data, start, end)
-    each = np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=16).digest() for x in content), "<u8").reshape(-1, 2)
+    blake = hashlib.blake2b
+    each = np.frombuffer(b"".join([blake(x, digest_size=16).digest() for x in content.to_pylist()]), "<u8").reshape(-1, 2)
     return each[code, 0], each[code, 1]
 
 
+#: One for each length of short words. They differ in their highest bytes, and from the last in a way that no UTF-8 text has there.
+_SHORT = np.array([(0x9E3779B97F4A7C15 * (i + 1) & 0x00FFFFFFFFFFFFFF) | (0xF8 + i if i < 8 else 0x07) << 56 for i in range(9)], U64)
+
+
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit BLAKE2b digest of every word (ascending, disjoint byte ranges)."""
-    return digests(data, start, end)[0]
+    """64-bit hash of every word (byte range): words of up to 8 bytes one to one, longer ones by BLAKE2b."""
+    n = end - start
+    out = np.zeros(len(n), U64)
+    short = n <= 8
+    at = np.flatnonzero(short)
+    if len(at):
+        # eight bytes from each start, of which the word's own stay
+        eight = np.lib.stride_tricks.sliding_window_view(np.concatenate((data, np.zeros(8, np.uint8))), 8)[start[at]]
+        own = np.ascontiguousarray(eight).view("<u8")[:, 0]
+        keep = np.array([(1 << 8 * i) - 1 for i in range(9)], U64)[n[at]]
+        out[at] = mix((own & keep) ^ _SHORT[n[at]])
+    at = np.flatnonzero(~short)
+    if len(at):
+        out[at] = digests(data, start[at], end[at])[0]
+    return out
 
 
 try:

@@ -83,7 +83,7 @@ def count_terms(data: np.ndarray, off: np.ndarray) -> Counted:
     code, content = tx.kinds(low, start, end)
     size = max(len(content), 1)
     pair, tf = np.unique(tx.owner(first) * size + code, return_counts=True)
-    return Counted(np.diff(first), pair // size, pair % size, tf, content)
+    return Counted(np.diff(first), pair // size, pair % size, tf, content.to_pylist())
 
 
 @dataclass

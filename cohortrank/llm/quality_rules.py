@@ -42,7 +42,7 @@ def _sums(flags: np.ndarray, off: np.ndarray) -> np.ndarray:
     return c[off[1:]] - c[off[:-1]]
 
 
-def base_counts(data: np.ndarray, off: np.ndarray, ws, we, first) -> dict[str, np.ndarray]:
+def base_counts(data: np.ndarray, off: np.ndarray, ws, we, first, words: np.ndarray | None = None) -> dict[str, np.ndarray]:
     """The base counts of every text of a chunk."""
     n_docs = len(off) - 1
     points = _sums(((data & 0xC0) != 0x80) & ~tx.SPACE[data], off)
@@ -67,7 +67,7 @@ def base_counts(data: np.ndarray, off: np.ndarray, ws, we, first) -> dict[str, n
     start, wdoc = tx.windows(first, WINDOW)
     repeated = np.zeros(n_docs, np.int64)
     if len(start):
-        wh = tx.run_hash(tx.word_hashes(data, ws, we), start, start + WINDOW)
+        wh = tx.run_hash(tx.word_hashes(data, ws, we) if words is None else words, start, start + WINDOW)
         o = np.lexsort((wh, wdoc))
         same = (wh[o][1:] == wh[o][:-1]) & (wdoc[o][1:] == wdoc[o][:-1])
         twice = np.zeros(len(start), bool)
@@ -80,10 +80,10 @@ def base_counts(data: np.ndarray, off: np.ndarray, ws, we, first) -> dict[str, n
             "n_dup_lines": np.bincount(d[order][again], minlength=n_docs), "n_repeat_words": repeated}
 
 
-def word_features(data: np.ndarray, ws, we, first, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+def word_features(data: np.ndarray, ws, we, first, bits: int = BITS, words: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Hashed runs of one and two words: (feature ids, offsets per text)."""
     mask = np.uint64((1 << bits) - 1)
-    words = tx.word_hashes(data, ws, we)
+    words = tx.word_hashes(data, ws, we) if words is None else words
     pairs, pdoc = tx.windows(first, 2)
     ph = tx.mix(words[pairs] * np.uint64(3) + words[pairs + 1])
     # a word after itself: the feature is how often it has come in a row (up to 8), whatever the word
@@ -113,10 +113,10 @@ def char_features(data: np.ndarray, off: np.ndarray, size: int = CHAR_N, bits: i
     return code[np.arange(c_off[-1]) + np.repeat(off[:-1] - c_off[:-1], n_c)], c_off
 
 
-def features(data: np.ndarray, off: np.ndarray, ws, we, first, bits: int = BITS) -> list:
+def features(data: np.ndarray, off: np.ndarray, ws, we, first, bits: int = BITS, words: np.ndarray | None = None) -> list:
     """Both families; the ids of the characters follow those of the words."""
     chars, c_off = char_features(data, off, bits=bits)
-    return [word_features(data, ws, we, first, bits), (chars | np.uint32(1 << bits), c_off)]
+    return [word_features(data, ws, we, first, bits, words), (chars | np.uint32(1 << bits), c_off)]
 
 
 def margins(weights: np.ndarray, fams) -> np.ndarray:
@@ -232,9 +232,10 @@ def _verdicts(texts: pa.Array, m: Model | None, threshold: float):
     """(first row, rows, counts and verdicts) of the chunks of a column."""
     for a, n, data, off in tx.string_chunks(texts):
         ws, we, first = tx.tokens(data, off)
-        out = base_counts(data, off, ws, we, first)
+        words = tx.word_hashes(data, ws, we)
+        out = base_counts(data, off, ws, we, first, words)
         out["base_failed"] = (out["n_words"] < MIN_WORDS) | (100 * out["n_repeat_words"] > MAX_REPEAT_PERCENT * out["n_words"])
-        p = np.ones(n) if m is None else m.probability(margins(m.weights, features(data, off, ws, we, first)))
+        p = np.ones(n) if m is None else m.probability(margins(m.weights, features(data, off, ws, we, first, words=words)))
         out["kept"] = ~out["base_failed"] & (p >= threshold)
         out["probability"] = pa.array(p, mask=(out["n_words"] == 0) | (m is None))
         yield a, n, out

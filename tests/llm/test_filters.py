@@ -71,7 +71,12 @@ def test_hashes_are_of_the_content():
     start, end = np.array([0, 4, 8, 11]), np.array([3, 7, 10, 13])
     for h in (*tx.digests(data, start, end), tx.word_hashes(data, start, end)):
         assert h[0] == h[1] and len(set(h.tolist())) == 3
-    assert tx.kinds(data, start[:0], end[:0])[0].tolist() == []
+    assert tx.kinds(data, start[:0], end[:0])[0].tolist() == [] == tx.word_hashes(data, start[:0], end[:0]).tolist()
+    # words of up to 8 bytes are told apart for sure, by length too
+    short = [bytes(w) for n in range(1, 9) for w in ([97] * n, [98] * n, [97] * (n - 1) + [98], [0] * n)] + [b"x" * n for n in range(9, 20)]
+    cuts = np.cumsum([0, *(len(w) for w in short)])
+    h = tx.word_hashes(np.frombuffer(b"".join(short), np.uint8), cuts[:-1], cuts[1:]).tolist()
+    assert len(set(h)) == len(set(short)) and all(h[i] == h[short.index(w)] for i, w in enumerate(short))
     values = tx.word_hashes(data, start, end)[[0, 2, 3, 0, 2, 3, 0, 2, 0]]
     runs = [(a, b) for a in range(9) for b in range(a, 10)]
     for seed in (0, 1, 2):
