@@ -27,11 +27,11 @@ def league_map(spark: SparkSession, sf: str, players: DataFrame | None = None) -
                               calendar_year=fx.FIXTURE_CALENDAR_YEAR, apertura=fx.FIXTURE_APERTURA)
 
 
-def scored(spark: SparkSession, sf: str, params=None) -> DataFrame:
+def scored(spark: SparkSession, sf: str, params=None, roles=None) -> DataFrame:
     p = fx.players(spark, sf)
     lm = league_map(spark, sf, p)
     kw = {} if params is None else {"params": params}
-    return S.score(p, lm, fx.FIXTURE_SPEC, **kw)
+    return S.score(p, lm, fx.FIXTURE_SPEC, roles=roles, **kw)
 
 
 # ---- Q1 / Q2 family -------------------------------------------------------
@@ -66,7 +66,7 @@ def q_ranks(spark, sf):
 
 
 def q_shortlist(spark, sf):
-    return S.shortlist(scored(spark, sf), role="AUTOMOBILE", league="nation_1", max_age=30,
+    return S.shortlist(scored(spark, sf, roles=["AUTOMOBILE"]), role="AUTOMOBILE", league="nation_1", max_age=30,
                        priority=2, top=15)
 
 
@@ -327,7 +327,8 @@ def q_top_per_group(spark, sf):
 
 
 def q_payload(spark, sf):
-    return R.payload_players(_cand(spark, sf))
+    """One flat row per candidate; its radar is the ``radar`` query's."""
+    return R.payload_players(_cand(spark, sf)).drop("radar")
 
 
 def q_payload_json(spark, sf):
@@ -343,7 +344,8 @@ def q_payload_json(spark, sf):
 
 
 def q_radar(spark, sf):
-    return scored(spark, sf).select("player_id", "radar")
+    """The radar array as rows."""
+    return scored(spark, sf).select("player_id", F.posexplode("radar").alias("ordinal", "value"))
 
 
 def q_money_label(spark, sf):
@@ -514,11 +516,11 @@ def q_suggest(spark, sf):
 from .sources import files as FS  # noqa: E402
 
 
-def _tree(spark, sf):
+def _tree(spark, sf, plain_season=None):
     import uuid
     from .session import ensure_checkpoint_dir
     root = ensure_checkpoint_dir(spark).rstrip("/") + f"/exports-{uuid.uuid4().hex}"
-    return fx.write_export_tree(spark, sf, root)
+    return fx.write_export_tree(spark, sf, root, plain_season)
 
 
 def q_header_report(spark, sf):
@@ -549,12 +551,133 @@ def q_missing_exports(spark, sf):
     n = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     reg = n.select(F.format_string("%d - [%s] - (%s)", F.col("n_nationkey") + 1,
                                    F.upper(F.substring("r_name", 1, 3)), F.col("n_name")).alias("folder"))
-    return FS.missing_exports(reg, rep)
+    planned = table(spark, sf, "region").select(F.format_string("%d - [%s] - (planned)", F.col("r_regionkey") + 100, F.upper(F.substring("r_name", 1, 3))).alias("folder"))
+    return FS.missing_exports(reg.unionByName(planned), rep)
 
 
 def q_part_schema_check(spark, sf):
-    rep = FS.header_report(spark, _tree(spark, sf), fx.EXPORT_SPEC)
-    return rep.groupBy("folder").agg(F.count_distinct(F.array_join("header", "|")).alias("n_headers"))
+    """Folders whose exports of two seasons do not share one header."""
+    rep = FS.header_report(spark, _tree(spark, sf, "2024-2025"), fx.EXPORT_SPEC)
+    return FS.part_schema_check(rep).select("folder", "n_headers")
+
+
+# ---- digests, staged publishing, newest season, scans, file sinks ---------------------
+from .operators import scan as SC  # noqa: E402
+from .plans import digest as DG  # noqa: E402
+from .sources import publish as PB  # noqa: E402
+
+
+def _folder(spark, name):
+    import uuid
+    from .session import ensure_checkpoint_dir
+    return ensure_checkpoint_dir(spark).rstrip("/") + f"/{name}-{uuid.uuid4().hex}"
+
+
+def q_diff_by_digest(spark, sf):
+    """J3 by digest tree: the result of ``diff_keyed``; rows of equal buckets are not shuffled."""
+    a, b = _pair(spark, sf)
+    return DG.diff_by_digest(a, b, SUPPLIER_KEY)
+
+
+def q_diff_stored(spark, sf):
+    """Q6 on stored tables: digests first, then only the groups that differ."""
+    changed = fx.orders_changed(spark, sf)
+    pa, pb = _folder(spark, "digested"), _folder(spark, "digested")
+    DG.write_digested(table(spark, sf, "orders").select(*changed.columns), pa, ["o_orderkey"])
+    DG.write_digested(changed, pb, ["o_orderkey"])
+    return DG.diff_stored(spark, pa, pb, ["o_orderkey"])
+
+
+def q_merge_counts(spark, sf):
+    """Q4: rows before, after and removed of a merge."""
+    merged = U.union_exports(list(fx.supplier_halves(spark, sf)))
+    return U.removed_count(merged, U.dedup_rows(merged))
+
+
+def _published(spark, sf):
+    """Merge both halves, stage, publish; every seventh nation expects a row too many, so it is held back."""
+    root = _folder(spark, "published")
+    merged = U.dedup_rows(U.union_exports(list(fx.supplier_halves(spark, sf)))).withColumn("league", F.col("s_nationkey"))
+    own = table(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("league")).agg(F.count(F.lit(1)).alias("n"))
+    expected = own.select("league", (F.col("n") + (F.col("league") % 7 == 3).cast("long")).alias("expected"))
+    return root, PB.publish(merged, root, expected, ["league"])
+
+
+def q_publish_merge(spark, sf):
+    """Q4 + S9: what readers see through the manifest."""
+    root, _ = _published(spark, sf)
+    return PB.read_published(spark, root, ["league"]).groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("s_suppkey").alias("key_sum"))
+
+
+def q_publish_manifest(spark, sf):
+    """Q4: the checked counts of the written files."""
+    return _published(spark, sf)[1].select("league", "n_rows", "expected", "status")
+
+
+def q_newest_season(spark, sf):
+    """Q3: the newest season of each league, chosen before the scan; only its folders are read."""
+    root = _folder(spark, "seasons")
+    FS.write_merged(fx.season_orders(spark, sf), root, ["season", "league"])
+    rows, _ = PB.scan_newest(spark, root, "league", "season")
+    return rows.where(FS.valid_season(F.col("season"))).groupBy(F.col("league").cast("long").alias("league"), F.col("season").alias("latest_season")).agg(
+        F.count(F.lit(1)).alias("n_orders"), F.count_distinct("o_custkey").alias("n_customers"), F.sum("cents").alias("cents"))
+
+
+def q_running_total(spark, sf):
+    """Prefix scan: running total and running maximum of the order prices by date, over the whole table."""
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderdate", F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
+    return SC.prefix_scan(o, ["o_orderdate", "o_orderkey"], {"total": ("sum", "cents"), "highest": ("max", "cents")}).select("o_orderkey", "total", "highest")
+
+
+def q_asof_balance(spark, sf):
+    """As-of join: per customer the nearest supplier balances of its nation, at or below and above its own."""
+    c = table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("nation"), "c_acctbal")
+    s = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("nation"), "s_acctbal")
+    return SC.asof_join(c, "c_acctbal", s, "s_acctbal", ["s_acctbal"], group_cols=["nation"]).select(
+        "c_custkey", F.col("prev.s_acctbal").alias("below"), F.col("next.s_acctbal").alias("above"))
+
+
+def q_corr_wide(spark, sf):
+    """A11 over many columns: the dimensions of the embeddings."""
+    v = table(spark, sf, "embeddings")
+    dims = v.agg(F.max(F.size("embedding"))).first()[0] or 0
+    cols = [f"d{i}" for i in range(dims)]
+    return A.corr_matrix_wide(v.select(*[F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate(cols)]), cols)
+
+
+def q_pca_moments(spark, sf):
+    """Sums of the explained shares and of their squares."""
+    return A.pca_variance(_concepts(spark, sf), CONCEPT_NAMES).agg(
+        F.count(F.lit(1)).alias("n"), r9_col_of(F.sum("explained")).alias("total"), r9_col_of(F.sum(F.col("explained") * F.col("explained"))).alias("squares"))
+
+
+def r9_col_of(c):
+    from .functions.numeric import r9
+    return r9(c)
+
+
+def q_write_merged(spark, sf):
+    """A folder per nation, read back."""
+    root = _folder(spark, "merged")
+    s = table(spark, sf, "supplier").withColumn("league_code", F.format_string("N%02d", F.col("s_nationkey"))).withColumn("season", F.lit("2025-2026"))
+    FS.write_merged(s, root)
+    return spark.read.parquet(root).groupBy("season", "league_code").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("s_suppkey").alias("key_sum"))
+
+
+def q_read_table(spark, sf):
+    """A tab-separated table, written and read as text."""
+    path = _folder(spark, "table") + ".tsv"
+    table(spark, sf, "part").select("p_partkey", "p_name", "p_type", "p_size").write.option("header", "true").option("sep", "\t").csv(path)
+    return FS.read_table(spark, path)
+
+
+def q_load_league_map(spark, sf):
+    """The league dimension from its CSV, and how many leagues have no strength."""
+    path = _folder(spark, "league_map") + ".csv"
+    names = [f.name for f in FS.LEAGUE_MAP_SCHEMA.fields]
+    league_map(spark, sf).select(*names).write.option("header", "true").csv(path)
+    lm, missing = FS.load_league_map(spark, path)
+    return lm.select("league_code", "league", "priority_rank", "division", "strength", "n_teams", "n_players").crossJoin(F.broadcast(missing))
 
 
 # ---- W6, K2, U4 ------------------------------------------------------------------
@@ -668,4 +791,17 @@ QUERIES = {
     "group_median": q_group_median,
     "canonical_order": q_canonical_order,
     "column_diff": q_column_diff,
+    "diff_by_digest": q_diff_by_digest,
+    "diff_stored": q_diff_stored,
+    "merge_counts": q_merge_counts,
+    "publish_merge": q_publish_merge,
+    "publish_manifest": q_publish_manifest,
+    "newest_season": q_newest_season,
+    "running_total": q_running_total,
+    "asof_balance": q_asof_balance,
+    "corr_wide": q_corr_wide,
+    "pca_moments": q_pca_moments,
+    "write_merged": q_write_merged,
+    "read_table": q_read_table,
+    "load_league_map": q_load_league_map,
 }

@@ -112,6 +112,74 @@ def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return wide.select(stack.alias("s")).select("s.a", "s.b", "s.r")
 
 
+def pair_moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(i, j, n, mx, my, sxx, syy, sxy) of every pair i <= j of columns over the rows that have both.
+
+    Counts, means and co-moments of a block of rows are matrix products over its values
+    and its mask of non-NULLs; a task merges its blocks as it goes and gives one row per
+    pair, and those of all tasks merge by the same rule, which keeps the digits that
+    sums of squares lose. k columns cost k x k numbers per task, not k x k expressions.
+    NaN counts as NULL.
+    """
+    k, names = len(cols), [f"c{i}" for i in range(len(cols))]
+
+    def run(it):
+        import numpy as np
+        import pyarrow as pa
+        held = None
+        for b in it:
+            if not len(b):
+                continue
+            x = np.stack([np.asarray(b.column(i).to_numpy(zero_copy_only=False), np.float64) for i in range(k)], axis=1)
+            m = ~np.isnan(x)
+            base = np.where(m.any(axis=0), x[m.argmax(axis=0), np.arange(k)], 0.0)  # a constant column keeps deviations of exactly 0
+            mask, v = m.astype(np.float64), np.where(m, x - base, 0.0)
+            n = mask.T @ mask
+            some = np.maximum(n, 1)
+            sx = v.T @ mask  # sum of column i over the rows that have j too
+            mx = sx / some
+            sxx = np.maximum((v * v).T @ mask - sx * mx, 0)
+            part = n, mx + base[:, None], sxx, v.T @ v - mx * mx.T * n
+            if held is None:
+                held = part
+                continue
+            (n1, m1, s1, c1), (n2, m2, s2, c2) = held, part
+            total = np.maximum(n1 + n2, 1)
+            d = np.where(n1 * n2 > 0, m2 - m1, 0.0)
+            mean = np.where(n1 > 0, m1, m2) + d * n2 / total
+            held = n1 + n2, mean, s1 + s2 + d * d * n1 * n2 / total, c1 + c2 + d * d.T * n1 * n2 / total
+        if held is not None:
+            n, mx, sxx, sxy = held
+            i, j = np.triu_indices(k)
+            yield pa.RecordBatch.from_arrays([pa.array(a) for a in (i.astype(np.int32), j.astype(np.int32), n[i, j].astype(np.int64), mx[i, j], mx[j, i], sxx[i, j], sxx[j, i], sxy[i, j])],
+                                             names=["i", "j", "n", "mx", "my", "sxx", "syy", "sxy"])
+    ddl = "i int, j int, n long, mx double, my double, sxx double, syy double, sxy double"
+    parts = df.select(*[F.col(f"`{c}`").cast("double").alias(n) for c, n in zip(cols, names, strict=True)]).mapInArrow(run, ddl)
+    zero = F.struct(F.lit(0).cast("long").alias("n"), *[F.lit(0.0).alias(c) for c in ("mx", "my", "sxx", "syy", "sxy")])
+
+    def merge(p, q):
+        total = F.greatest(p["n"] + q["n"], F.lit(1))
+        both = (p["n"] > 0) & (q["n"] > 0)
+        w = p["n"] * q["n"] / total
+        dx, dy = F.when(both, q["mx"] - p["mx"]).otherwise(0.0), F.when(both, q["my"] - p["my"]).otherwise(0.0)
+        mean = lambda c, d: F.when(p["n"] > 0, p[c]).otherwise(q[c]) + d * q["n"] / total
+        return F.struct((p["n"] + q["n"]).alias("n"), mean("mx", dx).alias("mx"), mean("my", dy).alias("my"), (p["sxx"] + q["sxx"] + dx * dx * w).alias("sxx"),
+                        (p["syy"] + q["syy"] + dy * dy * w).alias("syy"), (p["sxy"] + q["sxy"] + dx * dy * w).alias("sxy"))
+    # one row per task and pair, in an order of its own, so that the result doesn't depend on arrival
+    lists = parts.groupBy("i", "j").agg(F.array_sort(F.collect_list(F.struct("n", "mx", "my", "sxx", "syy", "sxy"))).alias("ps"))
+    return lists.select("i", "j", F.aggregate("ps", zero, merge).alias("p")).select("i", "j", "p.*")
+
+
+def corr_matrix_wide(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """A11 for many columns: the result of ``corr_matrix`` (a, b, r), from one mergeable block aggregate."""
+    names = F.array(*[F.lit(c) for c in cols])
+    spread = F.sqrt("sxx") * F.sqrt("syy")
+    r = F.when(F.col("i") == F.col("j"), F.when(F.col("sxx") > 0, F.lit(1.0))).otherwise(F.when(spread > 0, r9(F.col("sxy") / spread)))
+    one = pair_moments(df, cols).select("i", "j", r.alias("r"))
+    both = one.unionByName(one.where("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), "r"))
+    return both.select(F.get(names, F.col("i")).alias("a"), F.get(names, F.col("j")).alias("b"), "r")
+
+
 def corr_with(df: DataFrame, cols: Sequence[str], y: str) -> DataFrame:
     """Correlation of each column with ``y`` (one aggregate), long rows (column, r)."""
     wide = df.agg(*[r9(safe_corr(F.col(f"`{c}`"), F.col(f"`{y}`"))).alias(f"c{i}") for i, c in enumerate(cols)])

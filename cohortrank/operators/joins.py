@@ -1,18 +1,12 @@
-"""Joins to dimensions, catalogue resolution and status joins.
+"""Catalogue resolution, suggestions and status joins.
 
-Dimension sides (constant dictionaries, catalogues of competitions, league
-registries) have one row per league or competition, a count that does not
-grow with the fact data, and are broadcast. Fact-to-fact joins are left to
-Catalyst and AQE.
+All are equality joins and left to Catalyst and AQE.
 """
 
 from __future__ import annotations
 
-from typing import Mapping
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.text import split_scope
 
@@ -21,13 +15,6 @@ from ..functions.text import split_scope
 TIMEFRAME_WORDS = ("current_season", "last_season", "last_5", "default")
 
 
-def lookup(df: DataFrame, key: str, mapping: Mapping, out: str, default=None) -> DataFrame:
-    """Constant-dictionary lookup as a literal map (no join), default when absent."""
-    m = F.create_map(*[x for k, v in mapping.items() for x in (F.lit(k), F.lit(v))])
-    v = F.try_element_at(m, F.col(key))
-    return df.withColumn(out, v if default is None else F.coalesce(v, F.lit(default)))
-
-
 def resolve_scope(scopes: DataFrame, catalogue: DataFrame, timeframe: str,
                   scope_col: str = "scope") -> DataFrame:
     """``"Area. League"`` -> competition: name + area match, else name only, else none.
@@ -60,19 +47,37 @@ def resolve_scope(scopes: DataFrame, catalogue: DataFrame, timeframe: str,
         F.when(F.col("_q") == 2, "area").when(F.col("_q") == 1, "name").otherwise("none").alias("match"))
 
 
+def name_grams(text: Column, size: int = 3) -> Column:
+    """The different runs of ``size`` characters of a text, in order of first place."""
+    last = F.length(text) - (size - 1)
+    return F.when(last >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(text, i, F.lit(size))))).otherwise(
+        F.array().cast("array<string>"))
+
+
 def suggest(scopes: DataFrame, catalogue: DataFrame, max_n: int = 8, prefix: int = 6,
             scope_col: str = "scope") -> DataFrame:
     """Names that contain the first ``prefix`` letters of the league, first ``max_n``.
 
-    A filtered nested-loop join against the broadcast catalogue (a bounded
-    dimension); ``row_number() <= max_n`` becomes a per-task group limit.
+    By an index of letter triples: a query looks into the postings of its rarest
+    triple only, and the names found there are verified. Queries of fewer than three
+    letters are a posting themselves; of those only the first ``max_n`` names are kept,
+    since all of them match. ``row_number() <= max_n`` is a per-task group limit.
     """
     _, league = split_scope(F.col(scope_col))
-    s = scopes.select(scope_col, F.substring(F.lower(league), 1, prefix).alias("_q"))
-    cat = catalogue.select(F.col("area").alias("_carea"), F.col("name").alias("_cname"), "cat_ord")
-    j = s.join(F.broadcast(cat), F.instr(F.lower(F.col("_cname")), F.col("_q")) > 0, "inner")
+    s = scopes.select(scope_col, F.substring(F.lower(league), 1, prefix).alias("_q")).where(F.col("_q").isNotNull())
+    cat = catalogue.where(F.col("name").isNotNull()).select(F.col("area").alias("_carea"), F.col("name").alias("_cname"), F.lower("name").alias("_low"), "cat_ord")
+    first = Window.partitionBy("_gram").orderBy("cat_ord")
+    short = cat.withColumn("_gram", F.explode(F.concat(F.array(F.lit("")), name_grams(F.col("_low"), 1), name_grams(F.col("_low"), 2)))).withColumn(
+        "_rn", F.row_number().over(first)).where(F.col("_rn") <= max_n).drop("_rn")
+    postings = cat.withColumn("_gram", F.explode(name_grams(F.col("_low"))))
+    few = s.where(F.length("_q") < 3).join(short, F.col("_gram") == F.col("_q"))
+    counts = postings.groupBy("_gram").agg(F.count(F.lit(1)).alias("_df"))
+    asked = s.where(F.length("_q") >= 3).withColumn("_gram", F.explode(name_grams(F.col("_q")))).join(counts, "_gram", "left")
+    rarest = asked.groupBy(scope_col, "_q").agg(F.min(F.struct(F.coalesce("_df", F.lit(0)).alias("df"), "_gram")).alias("_r")).select(scope_col, "_q", F.col("_r._gram").alias("_gram"))
+    many = rarest.join(postings, "_gram").where(F.instr(F.col("_low"), F.col("_q")) > 0)
+    found = few.select(scope_col, "_carea", "_cname", "cat_ord").unionByName(many.select(scope_col, "_carea", "_cname", "cat_ord"))
     w = Window.partitionBy(scope_col).orderBy("cat_ord")
-    return (j.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= max_n)
+    return (found.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= max_n)
              .select(scope_col, "rank",
                      F.concat_ws(". ", F.col("_carea"), F.col("_cname")).alias("suggestion")))
 
@@ -101,5 +106,3 @@ def verify_season(registry: DataFrame, found: DataFrame, expected: DataFrame,
             .otherwise(F.format_string("%d rows", n)))
     return j.withColumn("status", status).withColumn("message", msg)
 
-
-LISTING_SCHEMA = T.StructType([T.StructField("folder", T.StringType()), T.StructField("file_name", T.StringType())])

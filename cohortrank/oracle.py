@@ -581,8 +581,8 @@ SELECT *, (got - expect) >= 20 AS alert FROM res"""),
     "top_per_group": with_r(f"SELECT role, rank, player_id, idx FROM ({_TOP15}) WHERE rank <= 15"),
     "payload": with_r(f"""SELECT player_id, player AS name, club_season AS team, club_now AS "clubNow", moved, free,
   league, country, role AS "group", role AS pos, CAST(trunc(age) AS INTEGER) AS age,
-  CAST(trunc(minutes) AS INTEGER) AS "min", market_value AS mv, {rnd('idx', 1)} AS idx, radar FROM cand"""),
-    "radar": with_r("SELECT player_id, radar FROM scored"),
+  CAST(trunc(minutes) AS INTEGER) AS "min", market_value AS mv, {rnd('idx', 1)} AS idx FROM cand"""),
+    "radar": with_ctes("\nSELECT player_id, CAST(ordinal AS INTEGER) AS ordinal, " + rnd("pct * " + d(100), 1) + " AS value FROM pcts"),
     "money_label": f"""SELECT c_custkey, c_acctbal * 1000 AS value,
   CASE WHEN c_acctbal * 1000 IS NULL THEN '—'
        WHEN c_acctbal * 1000 >= {d(1e6)} THEN
@@ -641,7 +641,8 @@ M_CTES = [
     f"""uassigned AS (SELECT *, CASE WHEN position IS NULL THEN 'NA' WHEN first_pos = '' THEN NULL
                                    ELSE {_ROLE_CASE.format('first_pos')} END AS role FROM uroles)""",
     """sfound AS (
-  SELECT n_name AS folder, n_nationkey, s._s AS n_rows, coalesce(c._c, 0) AS n_parts
+  SELECT n_name AS folder, n_nationkey, CASE WHEN n_nationkey % 9 <> 4 AND n_nationkey % 12 <> 5 THEN s._s END AS n_rows,
+         CASE WHEN n_nationkey % 12 = 5 THEN 0 ELSE coalesce(c._c, 0) END AS n_parts
   FROM nation LEFT JOIN (SELECT s_nationkey, count(*) AS _s FROM supplier GROUP BY s_nationkey) s ON n_nationkey = s_nationkey
   LEFT JOIN (SELECT c_nationkey, count(*) AS _c FROM customer GROUP BY c_nationkey) c ON n_nationkey = c_nationkey)""",
     """slisting AS (
@@ -797,8 +798,10 @@ ORACLE.update({
     "strict_gate": _export_rows(True),
     "conform": _export_rows(False),
     "missing_exports": f"SELECT {_NATION_FOLDER} AS folder FROM nation JOIN region ON n_regionkey = r_regionkey "
-                       "WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier)",
-    "part_schema_check": f"WITH {_EXP} SELECT DISTINCT folder, CAST(1 AS BIGINT) AS n_headers FROM sx",
+                       "WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier) "
+                       "UNION ALL SELECT printf('%d - [%s] - (planned)', r_regionkey + 100, upper(substr(r_name, 1, 3))) FROM region",
+    "part_schema_check": f"WITH {_EXP} SELECT DISTINCT folder, CAST(2 AS BIGINT) AS n_headers FROM sx "
+                         "WHERE k % 4 = 1 OR k % 6 = 5 OR k % 5 = 3",
 })
 
 
@@ -814,3 +817,40 @@ SELECT pp.*, m.league_median FROM pp LEFT JOIN
   ('s_acctbal', 3, NULL, 'only_a', false), ('balance', NULL, 2, 'only_b', false))
   t(column_name, pos_a, pos_b, side, same_position)""",
 })
+
+
+ORACLE.update({
+    "diff_by_digest": with_q("SELECT * FROM kdiff"),
+    "diff_stored": "SELECT CAST(o_orderkey AS VARCHAR) AS key, 'o_orderstatus' AS column_name, o_orderstatus AS value_a, 'X' AS value_b "
+                   "FROM orders WHERE o_orderkey % 997 = 3 AND o_orderkey % 1009 <> 7 AND o_orderstatus <> 'X'",
+    "merge_counts": with_q("SELECT (SELECT count(*) FROM halves) AS rows_before, (SELECT count(*) FROM (SELECT DISTINCT * FROM halves)) AS rows_after, "
+                           "(SELECT count(*) FROM halves) - (SELECT count(*) FROM (SELECT DISTINCT * FROM halves)) AS removed"),
+    "publish_merge": "SELECT s_nationkey, count(*) AS n_rows, CAST(sum(s_suppkey) AS BIGINT) AS key_sum FROM supplier WHERE s_nationkey % 7 <> 3 GROUP BY s_nationkey",
+    "publish_manifest": "SELECT s_nationkey AS league, count(*) AS n_rows, count(*) + CASE WHEN s_nationkey % 7 = 3 THEN 1 ELSE 0 END AS expected, "
+                        "CASE WHEN s_nationkey % 7 = 3 THEN 'mismatch' ELSE 'published' END AS status FROM supplier GROUP BY s_nationkey",
+    "newest_season": """WITH x AS (
+  SELECT c_nationkey AS league, year(o_orderdate) AS y, o_custkey, CAST(round(o_totalprice * 100) AS BIGINT) AS cents
+  FROM orders JOIN customer ON o_custkey = c_custkey WHERE year(o_orderdate) <= 1998 - c_nationkey % 4),
+newest AS (SELECT league, max(y) AS y FROM x GROUP BY league)
+SELECT CAST(league AS BIGINT) AS league, printf('%d-%d', y, y + 1) AS latest_season, count(*) AS n_orders, count(DISTINCT o_custkey) AS n_customers,
+       CAST(sum(cents) AS BIGINT) AS cents
+FROM x JOIN newest USING (league, y) GROUP BY league, y""",
+    "running_total": """SELECT o_orderkey, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) OVER w AS BIGINT) AS total,
+       max(CAST(round(o_totalprice * 100) AS BIGINT)) OVER w AS highest
+FROM orders WINDOW w AS (ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING)""",
+    "asof_balance": """SELECT c_custkey, max(s_acctbal) FILTER (WHERE s_acctbal <= c_acctbal) AS below, min(s_acctbal) FILTER (WHERE s_acctbal > c_acctbal) AS above
+FROM customer LEFT JOIN supplier ON c_nationkey = s_nationkey GROUP BY c_custkey""",
+    "corr_wide": f"""WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, unnest(range(len(embedding))) AS i FROM embeddings)
+SELECT 'd' || p.i AS a, 'd' || q.i AS b, {r9('corr(p.v, q.v)')} AS r FROM x p JOIN x q ON p.vec_id = q.vec_id GROUP BY p.i, q.i""",
+    # the eigenvalues' squares add up to the squares of all correlations of the filled columns
+    "pca_moments": with_r(", f AS (SELECT " + ", ".join(f"coalesce({c}, avg({c}) OVER ()) AS {c}" for c in FIXTURE_CONCEPTS) + " FROM cidx)\n"
+                          f"SELECT CAST({len(FIXTURE_CONCEPTS)} AS BIGINT) AS n, {d(1)} AS total, "
+                          + r9("(" + d(len(FIXTURE_CONCEPTS)) + " + 2 * (" + " + ".join(
+                              f"pow({guarded_corr(a, b)}, 2)" for i, a in enumerate(FIXTURE_CONCEPTS) for b in list(FIXTURE_CONCEPTS)[i + 1:])
+                              + f")) / {d(len(FIXTURE_CONCEPTS) ** 2)}") + " AS squares FROM f"),
+    "write_merged": "SELECT '2025-2026' AS season, printf('N%02d', s_nationkey) AS league_code, count(*) AS n_rows, CAST(sum(s_suppkey) AS BIGINT) AS key_sum "
+                    "FROM supplier GROUP BY s_nationkey",
+    "read_table": "SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, p_name, p_type, CAST(p_size AS VARCHAR) AS p_size FROM part",
+    "load_league_map": with_ctes("\nSELECT league_code, league, CAST(priority_rank AS INTEGER) AS priority_rank, division, strength, CAST(n_teams AS INTEGER) AS n_teams, "
+                                 "CAST(n_players AS INTEGER) AS n_players, (SELECT count(*) FROM league_map WHERE strength IS NULL) AS n_without_strength FROM league_map"),
+})

@@ -2,22 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import r9, round_half_even
 from ..functions.text import league_code
 from ..operators.rank import group_quantile, join_null_safe
+from ..operators.scan import asof_join, prefix_scan
 from ..session import materialize
 from ..spec import DIVISION_FACTOR, MIN_MEDIAN_SUPPORT, PRIORITY_RANK
 
 
-def league_profile(df: DataFrame, key: str = "league_key", club: str = "club_season") -> DataFrame:
-    """A1: rows and distinct clubs per league."""
-    return df.groupBy(key).agg(F.count(F.lit(1)).alias("n_players"),
-                               F.count_distinct(club).alias("n_teams"))
-
-
 def supported_median(df: DataFrame, group_cols, value_col: str, min_n: int = MIN_MEDIAN_SUPPORT,
                      out: str = "mv_median") -> DataFrame:
     """A2: median of positive values if at least ``min_n`` of them, else NULL; coverage %.
@@ -35,41 +30,26 @@ def supported_median(df: DataFrame, group_cols, value_col: str, min_n: int = MIN
                     (F.lit(100.0) * F.col("n_positive") / F.col("n_rows")).alias("coverage"))
 
 
-def monotone_anchors(anchors: DataFrame, x: str = "ax", y: str = "ay") -> DataFrame:
-    """Anchors sorted by (x, y) with y replaced by its running maximum.
-
-    The anchor table holds at most one row per league (a dimension), so the
-    single ordered window runs on a bounded input.
-    """
-    w = Window.orderBy(x, y).rowsBetween(Window.unboundedPreceding, 0)
-    return anchors.select(F.col(x).alias("ax"), F.max(y).over(w).alias("ay"),
-                          F.row_number().over(Window.orderBy(x, y)).cast("long").alias("anchor_ord"))
+def monotone_anchors(anchors: DataFrame, x: str = "ax", y: str = "ay", group_cols=None) -> DataFrame:
+    """Anchors sorted by (x, y), within groups, with y replaced by its running maximum."""
+    g = [group_cols] if isinstance(group_cols, str) else list(group_cols or [])
+    own = anchors.select(*g, F.col(x).alias("ax"), F.col(y).alias("_y"), F.lit(1).cast("long").alias("_one"))
+    run = prefix_scan(own, ["ax", "_y"], {"ay": ("max", "_y"), "anchor_ord": ("sum", "_one")}, g)
+    return run.select(*g, "ax", "ay", "anchor_ord")
 
 
 def interpolate(df: DataFrame, x_col: str, anchors: DataFrame, out: str = "interp") -> DataFrame:
-    """Linear interpolation over anchors ``(ax, ay)``, clamped at both ends.
+    """Linear interpolation over anchors ``(ax, ay, anchor_ord)``, clamped at both ends.
 
-    Half-open intervals ``[ax_i, ax_{i+1})`` in (ax, ay) order, zero-width ones
-    dropped, so a tied anchor x gives the last tied y (like ``np.interp``).
-    The anchor side is a bounded dimension and is broadcast; the range
-    condition becomes a broadcast nested-loop join with no shuffle of ``df``.
+    Half-open intervals ``[ax_i, ax_{i+1})`` in (ax, ay) order, so a tied anchor x
+    gives the last tied y (like ``np.interp``). A merge: the distinct values and the
+    anchors lie in one sequence, whose scan gives each value the anchors on either side.
     """
-    w = Window.orderBy("anchor_ord")
-    iv = (anchors.select("ax", "ay", F.lead("ax").over(w).alias("bx"), F.lead("ay").over(w).alias("by"))
-                 .where(F.col("bx").isNotNull() & (F.col("bx") > F.col("ax"))))
-    ends = anchors.agg(F.min("ax").alias("_xmin"), F.max("ax").alias("_xmax"),
-                       F.min_by("ay", "anchor_ord").alias("_yfirst"),
-                       F.max_by("ay", "anchor_ord").alias("_ylast"))
-    x = F.col(x_col)
-    j = (df.join(F.broadcast(iv), (x >= F.col("ax")) & (x < F.col("bx")), "left")
-           .crossJoin(F.broadcast(ends)))
-    lin = (F.col("by") - F.col("ay")) / (F.col("bx") - F.col("ax")) * (x - F.col("ax")) + F.col("ay")
-    val = (F.when(x.isNull(), F.lit(None))
-            .when(x < F.col("_xmin"), F.col("_yfirst"))
-            .when(x >= F.col("_xmax"), F.col("_ylast"))
-            .otherwise(lin))
-    return j.withColumn(out, val.cast("double")).drop("ax", "ay", "bx", "by", "_xmin", "_xmax",
-                                                       "_yfirst", "_ylast")
+    j = asof_join(df, x_col, anchors, "ax", ["ax", "ay"], ["anchor_ord"])
+    x, a, b = F.col(x_col), F.col("prev"), F.col("next")
+    lin = (b["ay"] - a["ay"]) / (b["ax"] - a["ax"]) * (x - a["ax"]) + a["ay"]
+    val = F.when(a.isNull(), b["ay"]).when(b.isNull(), a["ay"]).otherwise(lin)
+    return j.withColumn(out, F.when(x.isNotNull(), val).cast("double")).drop("prev", "next")
 
 
 def _factor_expr(division_col: str):
@@ -111,11 +91,15 @@ def raw_strength(inputs: DataFrame) -> DataFrame:
 
 def build_league_map(players: DataFrame, leagues: DataFrame, key: str = "league_key",
                      season: str | None = None, calendar_year=(), apertura=(),
-                     groups: dict | None = None) -> DataFrame:
-    """Q3: one row per league with profile, priority, division and a 0-100 strength."""
-    # one row per league; the inputs are read by the anchor, interpolation and
-    # rescale steps, and identical subtrees share one exchange (exchange reuse)
-    raw = raw_strength(strength_inputs(players, leagues, key))
+                     groups: dict | None = None, seasons: DataFrame | None = None) -> DataFrame:
+    """Q3: one row per league with profile, priority, division and a 0-100 strength.
+
+    ``seasons``: (key, latest_season), the newest season of each league, where they differ.
+    """
+    # one row per league, written once: the anchors, the interpolation and the rescale read it
+    raw = materialize(raw_strength(materialize(strength_inputs(players, leagues, key), "league_inputs")), "league_raw")
+    if seasons is not None:
+        raw = raw.join(seasons.select(key, F.col("latest_season").alias("_season")), key, "left")
     top = raw.agg(F.max(F.when(F.col("raw") != 0, F.col("raw"))).alias("_top"))
     top = top.select(F.when(F.coalesce(F.col("_top"), F.lit(0.0)) != 0, F.col("_top"))
                       .otherwise(F.lit(1.0)).alias("_top"))
@@ -144,7 +128,7 @@ def build_league_map(players: DataFrame, leagues: DataFrame, key: str = "league_
         "division",
         strength.alias("strength"),
         source.alias("strength_source"),
-        F.lit(season).cast("string").alias("latest_season"),
+        (F.lit(season) if seasons is None else F.col("_season")).cast("string").alias("latest_season"),
         F.coalesce(F.col("n_teams"), F.lit(0)).cast("long").alias("n_teams"),
         n_players.alias("n_players"),
         grp.alias("groups"),

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import parse_folder, safe_name
+from ..operators.scan import prefix_scan
 
 TIER_ORDER = {"green": 1, "yellow": 2, "red": 3}
 
@@ -17,15 +18,17 @@ def build_registry(rows: DataFrame, tiers: Sequence[str] = ("green", "yellow", "
     """Q9: registry rows (tier, local_name, english_name, code, leagues array, row_ord) ->
     one folder per league, numbered continuously over the selected tiers.
 
-    The registry is a dimension (one row per country), so the numbering is a
-    single ordered window over the exploded leagues.
+    A row's first number is the running sum of the array sizes before it, a league's
+    its place in the array added, so the exploded leagues are never ordered.
+    ``row_ord`` is unique within a tier.
     """
     tier_rank = F.create_map(*[x for k, v in TIER_ORDER.items() for x in (F.lit(k), F.lit(v))])
-    x = (rows.where(F.col("tier").isin(list(tiers)))
-             .select("tier", "local_name", "english_name", "code", "row_ord",
-                     F.posexplode("leagues").alias("pos", "league")))
-    w = Window.orderBy(F.try_element_at(tier_rank, F.col("tier")), "row_ord", "pos")
-    x = x.withColumn("num", F.row_number().over(w))
+    own = rows.where(F.col("tier").isin(list(tiers))).select(
+        "tier", "local_name", "english_name", "code", "row_ord", "leagues",
+        F.try_element_at(tier_rank, F.col("tier")).alias("_tier"), F.greatest(F.size("leagues"), F.lit(0)).cast("long").alias("_size"))
+    run = prefix_scan(own, ["_tier", "row_ord"], {"_upto": ("sum", "_size")})
+    x = run.select("tier", "local_name", "english_name", "code", "row_ord", (F.col("_upto") - F.col("_size")).alias("_before"), F.posexplode("leagues").alias("pos", "league"))
+    x = x.withColumn("num", (F.col("_before") + F.col("pos") + 1).cast("int"))
     folder = safe_name(F.format_string("%d - [%s] - (%s)", F.col("num"), F.col("code"), F.col("league")))
     x = x.withColumn("folder", folder)
     n, code, league = parse_folder(F.col("folder"))

@@ -105,9 +105,15 @@ def role_percentiles(elig: DataFrame, spec: MetricSpec, metric_cols: Sequence[st
 
 def score(players: DataFrame, league_map: DataFrame, spec: MetricSpec,
           params: ScoreParams = ScoreParams(), key: str = "league_key",
-          id_col: str = "player_id") -> DataFrame:
-    """Q1: one row per eligible player with perf_league, perf_adjusted, ranks, pct map, radar."""
+          id_col: str = "player_id", roles: Sequence[str] | None = None) -> DataFrame:
+    """Q1: one row per eligible player with perf_league, perf_adjusted, ranks, pct map, radar.
+
+    ``roles`` scores players of these roles only. A role is part of every peer
+    group and of every rank, so the figures are those of the full score.
+    """
     metric_cols = [m for m in spec.metrics() if m in players.columns]
+    if roles is not None:
+        players = players.where(F.col("role").isin(list(roles)))
     x = with_league(players, league_map, key)
     elig = with_cells(eligible(x, params.min_minutes), params)
     pct = role_percentiles(elig, spec, metric_cols, params)
@@ -147,7 +153,8 @@ def shortlist(scored: DataFrame, role: str | None = None, league: str | None = N
     """Q2 (P10 + K1 + P14): filters, then the top rows by a data-dependent column.
 
     The sort column is ``perf_adjusted`` if any remaining row has it, else
-    ``perf_league``; the choice is a one-row aggregate broadcast to the rows.
+    ``perf_league``. The rows that pass the filters are written once, with the columns
+    shown only, so neither the flag nor the sort runs the ranks again.
     """
     d = scored
     if role:
@@ -162,6 +169,7 @@ def shortlist(scored: DataFrame, role: str | None = None, league: str | None = N
         else:
             bands = [priority] if isinstance(priority, str) else list(priority)
             d = d.where(F.col("priority").isin(bands))
+    d = materialize(d.select(*dict.fromkeys([*columns, "perf_adjusted", "perf_league", tie_breaker])), "shortlist")
     flag = d.agg(F.max(F.col("perf_adjusted").isNotNull().cast("int")).alias("_has_adj"))
     d = d.crossJoin(F.broadcast(flag))
     key = F.when(F.col("_has_adj") == 1, F.col("perf_adjusted")).otherwise(F.col("perf_league"))

@@ -5,7 +5,7 @@ Layout: ``<root>/<season>/<n> - [<CODE>] - (<League>)/<file>.csv`` plus a
 
 The header contract is decided before the data read: Spark reads a CSV with
 a declared schema *by position*, so a file with another column order would
-be read shifted. The header report (S2) takes the first line of each file;
+be read shifted. The header report (S2) takes the first record of each file;
 cells are then read by position and conformed by the name that the header
 of their own file gives them (S4).
 """
@@ -21,9 +21,8 @@ from pyspark.sql import types as T
 
 from ..functions.numeric import NULL_WORDS, to_number
 from ..functions.text import SEASON_RE, parse_folder
+from .headers import read_headers
 
-# Split a CSV line on commas outside double quotes.
-CSV_SPLIT = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
 GLOB_CHARS = "[]*?{}"
 
 
@@ -42,7 +41,8 @@ def escape_glob(path: str) -> str:
 
 
 def _decoded_path() -> Column:
-    return F.url_decode(F.col("_metadata.file_path"))
+    """Path of the file; local ones are written ``file:/`` or ``file:///`` by different readers."""
+    return F.regexp_replace(F.url_decode(F.regexp_replace("_metadata.file_path", r"\+", "%2B")), "^file:/+", "file:///")
 
 
 def _parent_name(path: Column) -> Column:
@@ -70,28 +70,11 @@ def header_report(spark: SparkSession, root: str, header_spec: Sequence[str],
                   pattern: str = "*.csv") -> DataFrame:
     """Per file, its header and the missing / unexpected column names.
 
-    Only rows of each file's first block are considered and the first line
-    is taken by ``min_by`` over a row id, so no file is held whole. Repeated
-    names are renamed ``name.1``, ``name.2`` as a spreadsheet reader does.
+    Headers come from a data source that stops after the first record of a file
+    (``headers.read_headers``). Repeated names are renamed ``name.1``, ``name.2`` as a
+    spreadsheet reader does.
     """
-    lines = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
-             .text(root)
-             .select("value", _decoded_path().alias("path"),
-                     F.col("_metadata.file_block_start").alias("_start"))
-             .where(F.col("_start") == 0)
-             .withColumn("_rid", F.monotonically_increasing_id()))
-    first = lines.groupBy("path").agg(F.min_by("value", "_rid").alias("line"))
-    cells = first.select("path", F.posexplode(F.split(F.regexp_replace("line", "^﻿", ""), CSV_SPLIT))
-                         .alias("pos", "raw"))
-    name = F.regexp_replace(F.regexp_replace(F.col("raw"), r'^"|"$', ""), '""', '"')
-    cells = cells.withColumn("name", name)
-    from pyspark.sql import Window
-    w = Window.partitionBy("path", "name").orderBy("pos")
-    cells = cells.withColumn("_k", F.row_number().over(w) - 1).withColumn(
-        "name", F.when(F.col("_k") > 0, F.concat(F.col("name"), F.lit("."), F.col("_k").cast("string")))
-        .otherwise(F.col("name")))
-    hdr = cells.groupBy("path").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda s: s["name"]).alias("header"))
+    hdr = read_headers(spark, root, pattern)
     spec = F.array(*[F.lit(c) for c in header_spec])
     return (hdr.withColumn("folder", _parent_name(F.col("path")))
                .withColumn("missing", F.array_except(spec, F.col("header")))

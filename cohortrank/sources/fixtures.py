@@ -206,13 +206,17 @@ def season_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def season_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per nation: rows of the merged export (its suppliers; NULL if none) and raw parts (customers)."""
+    """Per nation: rows of the merged export (its suppliers; NULL if none) and raw parts (customers).
+
+    Some nations have parts but no merged export yet, and some have neither.
+    """
     n = table(spark, sf_dir, "nation")
     s = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("_s"))
     c = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("_c"))
     j = n.join(s, n.n_nationkey == s.s_nationkey, "left").join(c, n.n_nationkey == c.c_nationkey, "left")
-    return j.select(F.col("n_name").alias("folder"), F.col("_s").alias("n_rows"),
-                    F.coalesce(F.col("_c"), F.lit(0)).alias("n_parts"))
+    k = F.col("n_nationkey")
+    return j.select(F.col("n_name").alias("folder"), F.when((k % 9 != 4) & (k % 12 != 5), F.col("_s")).alias("n_rows"),
+                    F.when(k % 12 == 5, F.lit(0)).otherwise(F.coalesce(F.col("_c"), F.lit(0))).cast("long").alias("n_parts"))
 
 
 def season_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,6 +238,22 @@ def season_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main.unionByName(extra).unionByName(note)
 
 
+def orders_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A copy of orders in which a handful of rows differ, one in 997, and one in 1009 is gone."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    k = F.col("o_orderkey")
+    return o.where(k % 1009 != 7).withColumn("o_orderstatus", F.when(k % 997 == 3, F.lit("X")).otherwise(F.col("o_orderstatus")))
+
+
+def season_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as season exports: season (year), league (nation of the customer); nations stop at different years."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"),
+                                              F.year("o_orderdate").alias("y"))
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("league"))
+    j = o.join(c, o.o_custkey == c.c_custkey)
+    return j.where(F.col("y") <= 1998 - F.col("league") % 4).select("o_orderkey", "o_custkey", "cents", "league", F.format_string("%d-%d", F.col("y"), F.col("y") + 1).alias("season"))
+
+
 # ---- Q9 / S11: registry and catalogue over region -> nation -------------------
 def registry_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One registry row per region: tier, names, code and its nations as an array."""
@@ -289,9 +309,11 @@ EXPORT_SPEC = ["Key", "Player", "Team", "Market value"]
 EXPORT_TYPES = {"Key": "double", "Market value": "double"}
 
 
-def write_export_tree(spark: SparkSession, sf_dir: str, root: str) -> str:
+def write_export_tree(spark: SparkSession, sf_dir: str, root: str, plain_season: str | None = None) -> str:
     """Write one CSV export per nation under ``<root>/2025-2026/<nation>=...``.
 
+    ``plain_season``: a second season in which all nations follow the contract.
+
     Columns follow ``EXPORT_SPEC`` from the supplier table, with contract
     breaks on purpose: nations with key % 4 == 1 lose ``Team``; key % 6 == 5
     gains ``Extra, %``; key % 5 == 3 has the columns in another order. Nations
@@ -320,4 +342,6 @@ def write_export_tree(spark: SparkSession, sf_dir: str, root: str) -> str:
         part = j.where(cond).withColumn("Extra, %", F.lit("1"))
         (part.select("nation", *[F.col(f"`{c}`") for c in cols])
              .write.mode("append").option("header", "true").partitionBy("nation").csv(base))
+    if plain_season:
+        j.select("nation", *EXPORT_SPEC).write.mode("append").option("header", "true").partitionBy("nation").csv(f"{root.rstrip('/')}/{plain_season}")
     return root
