@@ -7,8 +7,10 @@ into grid cells of side eps, and sorted by cell, axis by axis. The sequence is
 cut into blocks of ``BLOCK`` vectors; intervals of blocks are joined
 recursively, level by level: a pair of intervals whose bounding boxes on the
 leading axes are more than eps apart is skipped, else its children are paired.
-Pairs of blocks that stay are joined in one task each, by the same recursion
-down to ``LEAF`` vectors and then by matrix products in double precision.
+The length of what lies off the axes is one more coordinate of the boxes. Pairs of
+blocks that stay are joined by the same recursion down to ``LEAF`` vectors and then
+by matrix products in double precision; a task takes the pairs between two intervals
+of ``FAN`` blocks, so a block travels once to each interval it meets, not to each block.
 
 Equal vectors are one row with a count before the join, so a vector that a
 third of all rows share costs one row. Pairs are never listed: a block pair
@@ -37,6 +39,7 @@ from ._graph import components
 from ._steps import step
 
 THRESHOLD, AXES, BLOCK, LEAF, FAN, SAMPLE = 0.9, 8, 2048, 128, 8, 4096
+BLOCK_BYTES = 8 << 20
 SLACK = 1e-9  # on the squared distance, for rounding in the boxes
 
 
@@ -47,9 +50,9 @@ def unit_rows(vectors: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _matrix(blobs: list[bytes]) -> np.ndarray:
-    """Vectors stored as doubles, shorter ones filled up with zeros."""
-    rows = [np.frombuffer(b, np.float64) for b in blobs]
+def _matrix(blobs: list[bytes], kind: str = "f8") -> np.ndarray:
+    """Stored vectors as doubles, shorter ones filled up with zeros."""
+    rows = [np.frombuffer(b, f"<{kind}") for b in blobs]
     out = np.zeros((len(rows), max(map(len, rows), default=0)))
     for i, r in enumerate(rows):
         out[i, :len(r)] = r
@@ -63,9 +66,14 @@ def principal_axes(sample: list[bytes], axes: int = AXES) -> np.ndarray:
 
 
 def _project(x: np.ndarray, axes: np.ndarray) -> np.ndarray:
-    """Unit rows on the axes; a vector longer or shorter than the axes is cut or filled up with zeros."""
+    """Unit rows on the axes, and the length of what lies off them as one more coordinate.
+
+    Both lengths being known, two such remainders are at least their difference apart.
+    A vector longer or shorter than the axes is cut or filled up with zeros.
+    """
     n = min(x.shape[1], axes.shape[1])
-    return x[:, :n] @ axes[:, :n].T
+    p = x[:, :n] @ axes[:, :n].T
+    return np.concatenate((p, np.sqrt(np.maximum(0.0, 1.0 - (p * p).sum(axis=1, keepdims=True)))), axis=1)
 
 
 def _forest(parent: dict[int, int], edges) -> None:
@@ -166,17 +174,17 @@ def _keyed(vectors: DataFrame) -> DataFrame:
     return rows.withColumn("e1", F.when(ok, F.xxhash64("embedding"))).withColumn("e2", F.when(ok, F.xxhash64(F.lit("second"), "embedding")))
 
 
-def _blocks(kinds: DataFrame, axes: np.ndarray, threshold: float, block: int) -> DataFrame:
-    """The sorted sequence in blocks: (part, chunk, lo, hi, nids, ns, dims, v)."""
+def _blocks(kinds: DataFrame, axes: np.ndarray, threshold: float, block: int, kind: str = "f8") -> DataFrame:
+    """The sorted sequence in blocks: (part, chunk, lo, hi, nids, ns, dims, v). Vectors are stored as ``kind`` (f4 or f8)."""
     side = math.sqrt(2 - 2 * threshold + SLACK)
-    n_axes = len(axes)
+    n_axes, width = len(axes) + 1, int(kind[1])
 
     def cells(it):
         for b in it:
-            blobs = [np.asarray(x, np.float64).tobytes() for x in b.column("embedding").to_pylist()]
-            p = _project(unit_rows(_matrix(blobs)), axes) if len(b) else np.zeros((0, n_axes))
+            blobs = [np.asarray(x, f"<{kind}").tobytes() for x in b.column("embedding").to_pylist()]
+            p = _project(unit_rows(_matrix(blobs, kind)), axes) if len(b) else np.zeros((0, n_axes))
             cell = np.floor(p / side).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column("nid"), b.column("n"), pa.array([len(x) // 8 for x in blobs], pa.int32()), pa.array(blobs, pa.binary()),
+            yield pa.RecordBatch.from_arrays([b.column("nid"), b.column("n"), pa.array([len(x) // width for x in blobs], pa.int32()), pa.array(blobs, pa.binary()),
                                               *(pa.array(cell[:, i]) for i in range(n_axes))], names=["nid", "n", "dim", "v", *(f"c{i}" for i in range(n_axes))])
     order = [f"c{i}" for i in range(n_axes)] + ["nid"]
     ddl = "nid long, n long, dim int, v binary, " + ", ".join(f"c{i} int" for i in range(n_axes))
@@ -190,7 +198,7 @@ def _blocks(kinds: DataFrame, axes: np.ndarray, threshold: float, block: int) ->
                             ("nids", pa.list_(pa.int64())), ("ns", pa.list_(pa.int64())), ("v", pa.list_(pa.binary()))])
 
         def give(t):
-            p = _project(unit_rows(_matrix(t.column("v").to_pylist())), axes)
+            p = _project(unit_rows(_matrix(t.column("v").to_pylist(), kind)), axes)
             return pa.RecordBatch.from_pylist([{"part": part, "chunk": chunk, "lo": p.min(axis=0).tolist(), "hi": p.max(axis=0).tolist(),
                                                 "nids": t.column("nid").to_pylist(), "ns": t.column("n").to_pylist(), "v": t.column("v").to_pylist()}], schema=schema)
         for b in it:
@@ -233,36 +241,53 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, block: int =
     if dims is not None:
         sample = kinds.filter(F.size("embedding") == dims["d"]).orderBy(F.xxhash64("e1"), "e1", "e2").limit(SAMPLE).select("embedding").collect()
         axes = principal_axes([np.asarray(r[0], np.float64).tobytes() for r in sample])
-        blocks = step(_blocks(kinds, axes, threshold, block), "blocks")
+        # float vectors stay floats on the way; every product is one of doubles
+        kind = "f4" if "float" in dict(vectors.dtypes)["embedding"] else "f8"
+        block = max(1, min(block, BLOCK_BYTES // (8 * max(dims["d"], 1))))
+        blocks = step(_blocks(kinds, axes, threshold, block, kind), "blocks")
         offsets, total = {}, 0
         for part, n in sorted(tuple(r) for r in blocks.groupBy("part").count().collect()):  # a row per task
             offsets[part], total = total, total + n
         number = F.element_at(F.create_map(*[F.lit(int(x)) for kv in offsets.items() for x in kv]), F.col("part")) + F.col("chunk")
         blocks = blocks.withColumn("num", number.cast("long"))
-        pairs = _block_pairs(blocks.select("num", "lo", "hi"), total, len(axes), threshold)
-        side = lambda c, s: blocks.select(F.col("num").alias(c), *(F.col(x).alias(x + s) for x in ("nids", "ns", "v")))
-        # a block of its own pair is shipped once
-        work = pairs.join(side("i", "a"), "i").join(side("j", "b").withColumn("real", F.lit(True)).withColumnRenamed("j", "k"), (F.col("j") == F.col("k")) & (F.col("i") < F.col("j")), "left")
-        work = work.select("nidsa", "nsa", "va", "nidsb", "nsb", "vb").repartition(max(2 * shuffle_partitions(vectors.sparkSession), 1))
+        pairs = _block_pairs(blocks.select("num", "lo", "hi"), total, len(axes) + 1, threshold)
+        # a unit of work is a pair of intervals of FAN blocks: each block travels once to it, and its pairs are joined there
+        at = lambda c: F.floor(F.col(c) / FAN).cast("long")
+        units = pairs.select(at("i").alias("ui"), at("j").alias("uj"), "i", "j")
+        lists = units.groupBy("ui", "uj").agg(F.collect_list(F.struct("i", "j")).alias("pairs"))  # FAN x FAN at most
+        needs = units.select("ui", "uj", F.explode(F.array("i", "j")).alias("num")).distinct()
+        rows_ = needs.join(blocks.select("num", "nids", "ns", "v"), "num").select("ui", "uj", "num", F.lit(None).cast("array<struct<i:long,j:long>>").alias("pairs"), "nids", "ns", "v")
+        heads = lists.select("ui", "uj", F.lit(-1).cast("long").alias("num"), "pairs", *[F.lit(None).cast(t).alias(c) for c, t in (("nids", "array<long>"), ("ns", "array<long>"), ("v", "array<binary>"))])
+        work = heads.unionByName(rows_).repartition(max(2 * shuffle_partitions(vectors.sparkSession), 1), "ui", "uj").sortWithinPartitions("ui", "uj", "num")
         schema = pa.schema([("kind", pa.int32()), ("nid", pa.int64()), ("value", pa.int64())])
 
-        def load(r, s):
-            x = unit_rows(_matrix(r["v" + s]))
-            return {"x": x, "p": _project(x, axes), "dim": np.array([len(v) for v in r["v" + s]]), "n": np.array(r["ns" + s], np.int64)}
+        def load(nids, ns, v):
+            x = unit_rows(_matrix(v, kind))
+            return {"x": x, "p": _project(x, axes), "dim": np.array([len(b) for b in v]), "n": np.array(ns, np.int64), "ids": np.array(nids, np.int64)}
+
+        def join(todo, held):
+            for pair in todo:
+                a, b = held[pair["i"]], held[pair["j"]] if pair["j"] != pair["i"] else None
+                la, lb, edges = join_blocks(a, b, threshold)
+                ids, links = (a["ids"], la) if b is None else (np.concatenate((a["ids"], b["ids"])), np.concatenate((la, lb)))
+                hit = np.flatnonzero(links)
+                e = np.array(edges, np.int64).reshape(-1, 2)
+                yield tx.batches({"kind": np.repeat([0, 1], [len(hit), len(e)]), "nid": np.concatenate((ids[hit], ids[e[:, 0]])),
+                                  "value": np.concatenate((links[hit], ids[e[:, 1]]))}, schema)
 
         def run(it):
+            key, todo, held = None, [], {}
             for t in it:
                 for i in range(len(t)):
                     r = {c: t.column(c)[i].as_py() for c in t.schema.names}
-                    a = load(r, "a")
-                    b = load(r, "b") if r["vb"] is not None else None
-                    la, lb, edges = join_blocks(a, b, threshold)
-                    ids = np.array(r["nidsa"] + (r["nidsb"] or []), np.int64)
-                    links = np.concatenate((la, lb)) if b is not None else la
-                    hit = np.flatnonzero(links)
-                    e = np.array(edges, np.int64).reshape(-1, 2)
-                    yield tx.batches({"kind": np.repeat([0, 1], [len(hit), len(e)]), "nid": np.concatenate((ids[hit], ids[e[:, 0]])),
-                                      "value": np.concatenate((links[hit], ids[e[:, 1]]))}, schema)
+                    if (r["ui"], r["uj"]) != key:
+                        yield from join(todo, held)
+                        key, todo, held = (r["ui"], r["uj"]), [], {}
+                    if r["num"] < 0:
+                        todo = r["pairs"]
+                    else:
+                        held[r["num"]] = load(r["nids"], r["ns"], r["v"])
+            yield from join(todo, held)
         found = step(work.mapInArrow(tx.tidy(run), "kind int, nid long, value long"), "found")
     if found is None:
         found = vectors.sparkSession.createDataFrame([], "kind int, nid long, value long")

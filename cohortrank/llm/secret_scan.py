@@ -15,8 +15,8 @@ with a probability of (15/67)^16, 4e-11.
 
 The models are transition counts of labelled samples (text, label): 1 for random
 strings, 0 for identifiers. ``document_samples`` labels strings of a corpus: the
-values of base matches of all texts, against words and their snake_case and
-camelCase pairs of all texts without a match. Counts are summed before the
+values of base matches of all texts, against the words of all texts outside of base
+matches and their snake_case and camelCase pairs. Counts are summed before the
 shuffle; the model itself is a table of alphabet squared, whatever the corpus.
 Without samples a model is uniform.
 
@@ -59,15 +59,53 @@ def _spans(text: Column, pattern: str, kind: str, value: Column | None = None, l
     length = lambda array: F.transform(array, lambda x: F.length(x))
     steps = F.zip_with(F.slice(length(between), F.lit(1), F.size(hits)), F.zip_with(length(hits), length(values), lambda h, v: F.struct(h.alias("hit"), v.alias("value"))),
                        lambda g, x: F.struct(g.alias("gap"), x["hit"].alias("hit"), x["value"].alias("value")))
-
-    def walk(s, x):
-        start = s["at"] + x["gap"]
-        own = F.array(F.struct(start.alias("start"), k.alias("kind"), (start + x["hit"]).alias("end")))
-        return F.struct((start + x["hit"]).alias("at"), F.when(x["value"] >= least, F.concat(s["out"], own)).otherwise(s["out"]).alias("out"))
-    found = F.aggregate(steps, F.struct(F.lit(0).alias("at"), none.alias("out")), walk, lambda s: s["out"])
+    own = lambda x, end: F.when(x["value"] >= least, F.struct((end - x["hit"]).alias("start"), k.alias("kind"), end.alias("end")))
+    found = _let(steps, lambda xs: F.filter(F.zip_with(xs, _running(F.transform(xs, lambda x: x["gap"] + x["hit"])), own), lambda x: x.isNotNull()))
     return F.when(text.rlike(pattern), found).otherwise(none)
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _pieces(array: Column, size: int) -> Column:
+    """The array cut into arrays of ``size``; ``array`` must be a lambda's variable, since it is used once per piece."""
+    n = F.ceil(F.size(array) / size).cast("int")
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.slice(array, i * size + 1, F.lit(size)))).otherwise(F.array(F.slice(array, 1, 0)))
+
+
+def _fold(array: Column, start: Column) -> Column:
+    """Running sums of a short array, from ``start``; each step copies what there is so far."""
+    return F.aggregate(array, F.struct(start.alias("at"), F.array().cast("array<int>").alias("out")),
+                       lambda s, x: F.struct((s["at"] + x).alias("at"), F.concat(s["out"], F.array(s["at"] + x)).alias("out")), lambda s: s["out"])
+
+
+def _running(array: Column, size: int = 64) -> Column:
+    """Running sums, by pieces of ``size`` and the pieces' own running sums, so that long arrays don't take the square of their length."""
+    def over(pieces: Column) -> Column:
+        sums = F.transform(pieces, lambda p: F.aggregate(p, F.lit(0), lambda a, x: a + x))
+        return _let(_let(sums, lambda t: F.flatten(_let(_pieces(t, size), lambda tt: F.zip_with(
+            tt, _let(F.transform(tt, lambda p: F.aggregate(p, F.lit(0), lambda a, x: a + x)), lambda u: F.zip_with(_fold(u, F.lit(0)), u, lambda e, x: e - x)),
+            _fold)))), lambda ends: F.flatten(F.zip_with(pieces, F.zip_with(ends, sums, lambda e, x: e - x), _fold)))
+    return _let(array, lambda xs: _let(_pieces(xs, size), over))
+
+
+def _clear(hits: Column, base: Column, sizes: tuple[int, ...] = (4096, 64)) -> Column:
+    """Those of ``hits`` (by start, apart from each other) that no span of ``base`` overlaps.
+
+    Pieces of the hits meet only the base spans within their reach, and so do pieces of the pieces.
+    """
+    apart = lambda h, b: (b["start"] >= h["end"]) | (b["end"] <= h["start"])
+    if not sizes:
+        return F.filter(hits, lambda h: F.forall(base, lambda b: apart(h, b)))
+
+    def piece(c: Column) -> Column:
+        low, high = F.get(c, F.lit(0))["start"], F.element_at(c, -1)["end"]
+        return _let(F.struct(low.alias("start"), high.alias("end")), lambda r: _let(F.filter(base, lambda b: ~apart(r, b)), lambda near: _clear(c, near, sizes[1:])))
+    return F.when(F.size(hits) > 0, F.flatten(F.transform(_pieces(hits, sizes[0]), piece))).otherwise(hits)
+
+
 def base_spans(text: Column) -> Column:
     """Base spans of a text, by start and kind."""
     return F.array_sort(F.concat(_spans(text, ASSIGN, "assign", text, MIN_VALUE), _spans(text, ACCESS, "access"), _spans(text, HEX, "hex")))
@@ -85,12 +123,13 @@ def document_samples(docs: DataFrame) -> DataFrame:
     own = own.withColumn("hit", F.col("t").rlike(ASSIGN) | F.col("t").rlike(ACCESS) | F.col("t").rlike(HEX))
     values = F.concat(F.filter(F.regexp_extract_all("t", F.lit(ASSIGN), F.lit(1)), lambda v: F.length(v) >= MIN_VALUE),
                       F.regexp_extract_all("t", F.lit(ACCESS), F.lit(0)), F.regexp_extract_all("t", F.lit(HEX), F.lit(0)))
-    words = F.regexp_extract_all("t", F.lit("(?<![A-Za-z0-9])[A-Za-z]{2,12}(?![A-Za-z0-9])"), F.lit(0))
-    own = own.select("hit", F.when(F.col("hit"), values).otherwise(words).alias("w"))
+    rest = F.when(F.col("hit"), F.regexp_replace(F.regexp_replace(F.regexp_replace("t", ASSIGN, " "), ACCESS, " "), HEX, " ")).otherwise(F.col("t"))
+    words = F.regexp_extract_all(rest, F.lit("(?<![A-Za-z0-9])[A-Za-z]{2,}(?![A-Za-z0-9])"), F.lit(0))
+    own = own.select(F.when(F.col("hit"), values).otherwise(F.array().cast("array<string>")).alias("v"), words.alias("w"))
     marked = lambda array, kind: F.transform(array, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("s")))
     joints = F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, 1 << 30),
                         lambda a, b: F.concat(F.right(a, F.lit(1)), F.left(b, F.lit(1))))
-    pieces = F.when(F.col("hit"), marked("w", "value")).otherwise(F.concat(marked("w", "word"), marked(F.slice("w", 1, 1), "first"), marked(joints, "joint")))
+    pieces = F.concat(marked("v", "value"), marked("w", "word"), marked(F.slice("w", 1, 1), "first"), marked(joints, "joint"))
     counted = own.select(F.explode(pieces).alias("x")).select(
         F.when(F.col("x.kind") == "first", "word").otherwise(F.col("x.kind")).alias("kind"), F.col("x.s").alias("s"),
         (F.col("x.kind") != "first").cast("long").alias("n"), (F.col("x.kind") == "first").cast("long").alias("f")).groupBy("kind", "s").agg(
@@ -145,8 +184,8 @@ def markov_spans(text: Column, base: Column, model: list[int], total: int = TOTA
         lambda s: s["sum"]))
     ratio = F.zip_with(hits, ratio, lambda h, r: F.when(h.rlike("[A-Za-z]"), r))
     marked = F.zip_with(spans, ratio, lambda s, r: F.struct(s.alias("s"), ((r >= total) & (r >= mean * (s["end"] - s["start"] - 1))).alias("hit")))
-    good = F.filter(marked, lambda m: m["hit"] & ~F.exists(base, lambda b: (b["start"] < m["s"]["end"]) & (b["end"] > m["s"]["start"])))
-    return F.transform(good, lambda m: m["s"])
+    good = F.transform(F.filter(marked, lambda m: m["hit"]), lambda m: m["s"])
+    return _let(good, lambda hits: F.when(F.size(hits) > 0, _let(base, lambda b: _clear(hits, b))).otherwise(hits))
 
 
 def joined(spans: Column) -> Column:

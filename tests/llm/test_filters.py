@@ -194,3 +194,23 @@ def test_scan_odd_rows(spark, odd_documents):
     rows = secret_scan.scan(odd_documents, model).collect()
     assert len(rows) == odd_documents.count() and not any(r.spans for r in rows)
     assert secret_scan.scan(odd_documents.limit(0), model).count() == 0
+
+
+def test_secret_spans_of_many_matches(spark):
+    """Spans of texts with thousands of matches, against a scan by Python's patterns; base and markov spans never overlap."""
+    import time
+    strings = [f"key{i % 7} token=abcdef{i} x9{i}Qz7Lk2Wp4Vt8Rn1Ys{i} " for i in range(6000)]
+    texts = ["".join(strings[:n]) for n in (0, 1, 63, 64, 65, 4095, 4097)] + ["token=abcdef " * 20_000]
+    model = secret_scan.train(secret_scan.document_samples(documents(spark, ["password = 'aB3dE9fGh2KlM8nP'", "some ordinary words of a text " * 20])))
+    started = time.time()
+    got = {r.doc_id: r for r in secret_scan.scan(documents(spark, texts), model).collect()}
+    assert time.time() - started < 120
+    for i, t in enumerate(texts):
+        want = sorted((m.start(), 0, m.end()) for m in re.finditer(secret_scan.ASSIGN, t) if len(m.group(1)) >= 6)
+        assert [tuple(s) for s in got[i].base] == want
+        markov = [tuple(s) for s in got[i].spans if s["kind"] == 3]
+        runs = {(m.start(), 3, m.end()) for m in re.finditer(secret_scan.RUN, t)}
+        assert set(markov) <= runs
+        ends = sorted(want)
+        assert not any(a < e and s < b for a, _, b in markov[:50] for s, _, e in ends[:80])
+    assert len([s for s in got[6].spans if s["kind"] == 3]) > 3000
