@@ -115,18 +115,25 @@ def test_signature_agreement_estimates_weighted_jaccard():
     assert (one[0] != dart_minhash.EMPTY).all() and (one[1] == dart_minhash.EMPTY).all()
 
 
+def weight(run):
+    return min(max(sum(len(w.encode()) for w in run), dart_minhash.LIGHT), dart_minhash.HEAVY)
+
+
+def weighted_jaccard(x, y):
+    return sum(map(weight, x & y)) / sum(map(weight, x | y))
+
+
 def brute_groups(texts, similarity=0.8):
+    """Components by weighted Jaccard similarity of the sets of runs."""
     sets = []
     for t in texts:
         w = words(t)
         sets.append(frozenset(tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset())
+    links = [(i, j) for i, x in enumerate(sets) for j, y in enumerate(sets[:i]) if x & y and weighted_jaccard(x, y) >= similarity - 1e-12]
     label = list(range(len(texts)))
     for _ in texts:
-        for i in range(len(texts)):
-            for j in range(i):
-                x, y = sets[i], sets[j]
-                if x and y and len(x & y) >= similarity * len(x | y):
-                    label[i] = label[j] = min(label[i], label[j])
+        for i, j in links:
+            label[i] = label[j] = min(label[i], label[j])
     return label
 
 
@@ -164,6 +171,38 @@ def test_near_duplicates_of_repeated_passages(spark):
     assert [got[i].class_id for i in range(len(texts))] == brute_groups(texts)
 
 
+def test_near_duplicates_by_weight(spark):
+    """Pairs on different sides of 0.8 by plain and by weighted similarity: the weighted one decides, in stars and in blocks."""
+    rng = random.Random(4)
+    texts, sides = [], set()
+    for g in range(40):
+        base = [f"g{g}" + "abcdefgh"[:rng.randrange(7)] + str(rng.randrange(10, 99)) for _ in range(120)]
+        edits = [list(base), list(base)]
+        for k, w in enumerate(edits):  # both edits keep to one end, so that what differs is all short or all long
+            for i in range(rng.randrange(11, 16)):
+                w[60 * k + i] = "o" * rng.choice([1, 1, 12]) + f"{g}{k}{i}"
+        texts += [" ".join(w) for w in (base, *edits)]
+    runs = [frozenset(tuple(w[i:i + 5]) for i in range(len(w) - 4)) for w in map(words, texts)]
+    for i in range(0, len(texts), 3):
+        for j in (i + 1, i + 2):
+            sides.add((len(runs[i] & runs[j]) >= 0.8 * len(runs[i] | runs[j]), weighted_jaccard(runs[i], runs[j]) >= 0.8))
+    assert {(True, True), (False, False)} < sides
+    got = {r.doc_id: r.class_id for r in dart_minhash.near_duplicates(documents(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_groups(texts)
+
+
+def test_block_links_match_brute_force():
+    rng = np.random.default_rng(3)
+    sets, all_of = [], rng.integers(0, 2 ** 63, 400).astype(np.uint64) << np.uint64(5) | rng.integers(0, 13, 400).astype(np.uint64)
+    for _ in range(30):
+        own = rng.integers(0, 2 ** 63, 40).astype(np.uint64) << np.uint64(5)
+        sets.append(np.unique(np.concatenate((rng.choice(all_of, 360, replace=False), own[:rng.integers(0, 40)]))))
+    common = dart_minhash._common(sets)
+    for i in range(30):
+        for j in range(30):
+            assert i == j or common[i, j] == dart_minhash.weights(np.intersect1d(sets[i], sets[j])).sum()
+
+
 def test_near_duplicates_odd_rows(spark, odd_documents):
     rows = dart_minhash.near_duplicates(odd_documents).collect()
     assert len(rows) == odd_documents.count()
