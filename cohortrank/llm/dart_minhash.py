@@ -3,11 +3,12 @@
 A text is the weighted set of its runs of ``SHINGLE`` words (a shorter text is one
 run). A run weighs the bytes of its words, held between ``LIGHT`` and ``HEAVY``,
 over ``HEAVY``: runs of short words say less of a text than runs of long ones. The
-weight depends on the run alone, not on how often a text repeats it, and the
-similarity is everywhere the weighted Jaccard similarity: weight of the common runs
-over weight of all runs. Signatures estimate it and links are checked by it. With
-equal weights it is the plain one; at a plain similarity of 0.8 it lies between
-``0.8 LIGHT / (0.8 LIGHT + 0.2 HEAVY)`` and 1 minus the like, and mostly within 0.01.
+weight depends on the run alone, not on how often a text repeats it. Signatures
+estimate the weighted Jaccard similarity: weight of the common runs over weight of
+all runs. A pair is linked if the weighted similarity is ``SIMILARITY`` or more, and
+also if the plain one is (number of common runs over number of all), so that no pair
+is lost to the weights. At a plain similarity of 0.8 the weighted one is mostly
+within 0.01; it can't be below 0.71, which takes light common runs and heavy others.
 Darts are thrown
 at the plane (weight x rank) of every run: a Poisson process of one dart per
 unit of area, made from the run's hash, so equal runs of different texts get
@@ -70,6 +71,11 @@ def weights(codes: np.ndarray) -> np.ndarray:
     return (codes & _LOW).astype(np.int64) + LIGHT
 
 
+def _near(common, one, other, similarity: float):
+    """Whether a common measure (weight or number of runs) is a share of at least ``similarity`` in that of the union."""
+    return common >= similarity * (one + other - common) - 1e-9
+
+
 def shingles(words: np.ndarray, lengths: np.ndarray, first: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Different runs of every text: (code, text), by text and code. A code is a 59-bit hash of the words' hashes, and the weight."""
     n = np.diff(first)
@@ -198,7 +204,7 @@ def _sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _exact(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) with weighted Jaccard similarity of their sets >= similarity. ``a`` is shipped once per slice of STAR partners."""
+    """Pairs (a, b) whose sets have a weighted or plain Jaccard similarity >= similarity. ``a`` is shipped once per slice of STAR partners."""
     slices = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / STAR).alias("slices"))
     dealt = pairs.join(slices, "a").withColumn("slice", F.pmod(F.xxhash64("b"), F.col("slices")))
     heads = slices.join(sets.withColumnRenamed("nid", "a"), "a").select(
@@ -219,16 +225,16 @@ def _exact(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
                     continue
                 small, large = (x, head) if len(x) < len(head) else (head, x)
                 at = np.searchsorted(large, small)
-                common = int(weights(small[large[np.minimum(at, len(large) - 1)] == small]).sum())
-                if common >= similarity * (int(weights(x).sum()) + heavy - common) - 1e-9:
+                common = small[large[np.minimum(at, len(large) - 1)] == small]
+                if _near(weights(common).sum(), weights(x).sum(), heavy, similarity) or _near(len(common), len(x), len(head), similarity):
                     out["a"].append(a)
                     out["b"].append(b)
             yield tx.batches(out, schema)
     return both.select("a", "b", "runs").mapInArrow(tx.tidy(run), "a long, b long").distinct()
 
 
-def _common(sets: list[np.ndarray]) -> np.ndarray:
-    """Weights of all pairwise intersections, by matrix products over the runs that occur twice."""
+def _common(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and sizes of all pairwise intersections, by matrix products over the runs that occur twice."""
     every = np.concatenate(sets)
     owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
     runs, at, times = np.unique(every, return_inverse=True, return_counts=True)
@@ -236,15 +242,16 @@ def _common(sets: list[np.ndarray]) -> np.ndarray:
     use = times[at] > 1
     owner, at = owner[use], place[at[use]]
     weight = weights(runs)[times > 1].astype(np.float32)
-    out = np.zeros((len(sets), len(sets)))
+    heavy, number = np.zeros((len(sets), len(sets))), np.zeros((len(sets), len(sets)))
     for low in range(0, int((times > 1).sum()), 8192):
         here = (at >= low) & (at < low + 8192)
         x = np.zeros((len(sets), 8192), np.float32)
         x[owner[here], at[here] - low] = 1
         own = np.zeros(8192, np.float32)
         own[:len(weight[low:low + 8192])] = weight[low:low + 8192]
-        out += (x * own) @ x.T  # whole numbers below 2^24
-    return out
+        heavy += (x * own) @ x.T  # whole numbers below 2^24
+        number += x @ x.T
+    return heavy, number
 
 
 def block_links(nid: np.ndarray, comp: np.ndarray, mine: np.ndarray, sig: np.ndarray, bands: np.ndarray, sets: list[np.ndarray],
@@ -265,9 +272,9 @@ def block_links(nid: np.ndarray, comp: np.ndarray, mine: np.ndarray, sig: np.nda
     if not pairs_i:
         return []
     i, j = np.array(pairs_i), np.array(pairs_j)
-    size = np.array([int(weights(x).sum()) for x in sets])
-    common = _common(sets)[i, j]
-    near = common >= similarity * (size[i] + size[j] - common) - 1e-9
+    weight, size = (np.array([f(x) for x in sets]) for f in (lambda x: int(weights(x).sum()), len))
+    heavy, number = _common(sets)
+    near = _near(heavy[i, j], weight[i], weight[j], similarity) | _near(number[i, j], size[i], size[j], similarity)
     parent: dict[int, int] = {}
 
     def root(x):
