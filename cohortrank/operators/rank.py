@@ -112,14 +112,15 @@ def _join_back(df: DataFrame, pos: DataFrame, g: list, o: list) -> DataFrame:
 
 
 def attach_positions(df: DataFrame, group_cols=None, order_cols=None,
-                     descending: bool = False, n_parts: int | None = None) -> DataFrame:
+                     descending: bool = False, n_parts: int | None = None, reread: bool = False) -> DataFrame:
     """``df`` plus ``_below``, ``_ties``, ``_n`` for its own key (NULL key -> NULL).
 
-    ``df`` is written once, if it isn't yet: it is read by the positions build
-    and by the join back.
+    ``df`` is read by the positions build and by the join back, so it is written
+    once, if it isn't yet. ``reread`` leaves that out: for rows that are a plain
+    projection of a written table, and larger than it.
     """
     g, o = _cols(group_cols), _cols(order_cols)
-    if not is_written(df):
+    if not reread and not is_written(df):
         df = materialize(df)
     pos = (value_positions(df, g, o, n_parts=n_parts, descending=descending)
            .withColumnRenamed("below", "_below").withColumnRenamed("ties", "_ties")

@@ -1,10 +1,13 @@
 """Q1 peer-group score and Q2 shortlist.
 
-Physical shape: one broadcast join to the league dimension, one aggregate
-for cell sizes, the metric spec (a fixed small table) broadcast to fold the
-role's metrics into long rows, the skew-safe percentile operator on
-(cell, metric), one aggregate back to one row per player (at most one row
-per metric of the role, so never a big group), and two skew-safe ranks.
+Physical shape: one join to the league dimension, one aggregate for cell
+sizes, and the eligible players written once, a row each. The metric spec (a
+literal) folds the role's metrics into long rows that carry the player's id, its
+cell and what the percentile needs, nothing else; they are read from the written
+rows by the skew-safe percentile operator on (cell, metric) and by its join back.
+One aggregate gives an array per player (at most one entry per metric of the
+role, so never a big group), which joins the player's row once. Two skew-safe
+ranks follow.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import (attempts, blend, bucketize, evidence, flip, nan_to_null,
                                  null_if_nonpositive, round_half_even, shrink)
-from ..operators.rank import attach_positions, avg_rank_pct_expr, ranks_min_desc
+from ..operators.rank import attach_positions, avg_rank_pct_expr, join_null_safe, ranks_min_desc
 from ..session import materialize
 from ..spec import MetricSpec, ScoreParams
 
@@ -83,19 +86,22 @@ def metric_long(df: DataFrame, spec: MetricSpec, metric_cols: Sequence[str]) ->
 
 
 def role_percentiles(elig: DataFrame, spec: MetricSpec, metric_cols: Sequence[str],
-                     params: ScoreParams) -> DataFrame:
-    """W1 + X7 + X8 + X10 per (player, metric): percentile in the cell, flipped, shrunk."""
+                     params: ScoreParams, reread: bool = False) -> DataFrame:
+    """W1 + X7 + X8 + X10 per (player, metric): percentile in the cell, flipped, shrunk.
+
+    ``reread``: ``elig`` is written, so its long rows are folded again where they are needed again.
+    """
     long = metric_long(elig, spec, metric_cols)
     if params.pool == "all":
         # thin rows are ranked against every row of their band|role pool
         long = long.withColumn("_pool", F.concat(F.lit("band:"), F.col("band"), F.lit("|"), F.col("role")))
-        a = attach_positions(long, ["league_cell", "metric"], ["value"])
+        a = attach_positions(long, ["league_cell", "metric"], ["value"], reread=reread)
         a = (a.withColumn("_p_cell", avg_rank_pct_expr()).drop("_below", "_ties", "_n"))
         a = attach_positions(a, ["_pool", "metric"], ["value"])
         ranked = (a.withColumn("_p", F.when(F.col("thin"), avg_rank_pct_expr()).otherwise(F.col("_p_cell")))
                    .drop("_below", "_ties", "_n", "_p_cell", "_pool"))
     else:
-        ranked = (attach_positions(long, ["cell", "metric"], ["value"])
+        ranked = (attach_positions(long, ["cell", "metric"], ["value"], reread=reread)
                   .withColumn("_p", avg_rank_pct_expr()).drop("_below", "_ties", "_n"))
     p = flip(F.col("_p"), F.col("lower_is_better"))
     w = attempts(F.col("volume"), F.col("minutes")) / F.lit(float(params.min_attempts))
@@ -108,6 +114,7 @@ def score(players: DataFrame, league_map: DataFrame, spec: MetricSpec,
           id_col: str = "player_id", roles: Sequence[str] | None = None) -> DataFrame:
     """Q1: one row per eligible player with perf_league, perf_adjusted, ranks, pct map, radar.
 
+    ``id_col`` is unique. A player whose role has no metrics in the spec is left out.
     ``roles`` scores players of these roles only. A role is part of every peer
     group and of every rank, so the figures are those of the full score.
     """
@@ -115,13 +122,12 @@ def score(players: DataFrame, league_map: DataFrame, spec: MetricSpec,
     if roles is not None:
         players = players.where(F.col("role").isin(list(roles)))
     x = with_league(players, league_map, key)
-    elig = with_cells(eligible(x, params.min_minutes), params)
-    pct = role_percentiles(elig, spec, metric_cols, params)
-    keys = [id_col]
-    carry = [c for c in elig.columns if c not in metric_cols and c not in keys]
-    per = pct.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("ordinal", "metric", "pct"))).alias("_pcts"),
-        *[F.any_value(c).alias(c) for c in carry])
+    elig = materialize(with_cells(eligible(x, params.min_minutes), params), "eligible")
+    cells = ["cell", "league_cell", "band", "thin"] if params.pool == "all" else ["cell"]
+    pct = role_percentiles(elig.select(id_col, "role", "minutes", *cells, *[f"`{m}`" for m in metric_cols]),
+                           spec, metric_cols, params, reread=True)
+    pcts = pct.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("ordinal", "metric", "pct"))).alias("_pcts"))
+    per = join_null_safe(elig.drop(*metric_cols), pcts, [id_col])
     known = F.filter("_pcts", lambda s: s["pct"].isNotNull())
     total = F.aggregate(known, F.lit(0.0), lambda acc, s: acc + s["pct"])
     raw = F.when(F.size(known) > 0, total / F.size(known))
