@@ -146,11 +146,22 @@ def _group_key(name: str, group_cols: Sequence[str]) -> Column:
 
 
 def attach_stacked(df: DataFrame, ranks: Mapping[str, tuple[Sequence[str], str]], value: Column,
-                   descending: bool = False) -> DataFrame:
-    """``df`` plus one column per rank: ``value``, an expression over below, ties and n (NULL for a NULL key)."""
+                   descending: bool = False, id_col: str | None = None) -> DataFrame:
+    """``df`` plus one column per rank: ``value``, an expression over below, ties and n (NULL for a NULL key).
+
+    With a unique ``id_col`` only ids, groups and values meet the positions; the ranks of
+    a row come together by its id, and the whole row joins once, on a key without ties.
+    """
     if not is_written(df):
         df = materialize(df)
     pos = stacked_positions(df, ranks, descending)
+    if id_col is not None:
+        stack = F.array(*[F.struct(_group_key(name, g).alias("group"), F.col(v).cast("double").alias("value"))
+                          for name, (g, v) in ranks.items()])
+        rows = df.select(F.col(id_col).alias("_id"), F.explode(stack).alias("s")).select("_id", "s.*")
+        own = _join_back(rows, pos, ["group"], ["value"]).groupBy(F.col("_id").alias(id_col)).agg(
+            *[F.max(F.when(F.col("group")[0] == name, value)).alias(name) for name in ranks])
+        return join_null_safe(df, own, [id_col], how="left")
     for name, (g, v) in ranks.items():
         own = pos.where(F.col("group")[0] == name).select(
             F.col("group").alias("_group"), F.col("value").alias("_value"), value.alias(name))
@@ -186,9 +197,9 @@ def rank_min_desc(df: DataFrame, group_cols, value_col: str, out: str = "rank")
             .drop("_below", "_ties", "_n"))
 
 
-def ranks_min_desc(df: DataFrame, ranks: Mapping[str, tuple[Sequence[str], str]]) -> DataFrame:
+def ranks_min_desc(df: DataFrame, ranks: Mapping[str, tuple[Sequence[str], str]], id_col: str | None = None) -> DataFrame:
     """W4 for several columns at once: ``ranks`` is name -> (group columns, value column)."""
-    return attach_stacked(df, ranks, (F.col("below") + F.lit(1)).cast("long"), descending=True)
+    return attach_stacked(df, ranks, (F.col("below") + F.lit(1)).cast("long"), descending=True, id_col=id_col)
 
 
 def row_index(df: DataFrame, order_cols, group_cols=None, out: str = "row_idx",

@@ -147,7 +147,7 @@ def score(players: DataFrame, league_map: DataFrame, spec: MetricSpec,
         scored = (scored.withColumn("market_value", null_if_nonpositive(F.col("market_value")))
                         .withColumn("priced", F.col("market_value").isNotNull()))
     scored = ranks_min_desc(materialize(scored, "scored"), {
-        "rank_in_league": (["league_code", "role"], "perf_league"), "rank_overall": (["role"], "perf_adjusted")})
+        "rank_in_league": (["league_code", "role"], "perf_league"), "rank_overall": (["role"], "perf_adjusted")}, id_col=id_col)
     return scored.withColumn("rank_in_league", F.when(F.col("league_code").isNotNull(), F.col("rank_in_league")))
 
 

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from cohortrank.operators import rank as R
@@ -117,15 +118,17 @@ def test_latest_per_key(spark):
     assert got == {1: 12, 2: 21}
 
 
-def test_stacked_ranks_match_pandas(spark):
+@pytest.mark.parametrize("by_id", [None, "id"])
+def test_stacked_ranks_match_pandas(spark, by_id):
     rows = [(i, None if i % 7 == 0 else "ab"[i % 2], None if i % 5 == 0 else float(i % 4), float(i % 3)) for i in range(60)]
     df = spark.createDataFrame(rows, "id long, g string, v double, w double")
-    got = {r["id"]: r for r in R.ranks_min_desc(df, {"in_g": (["g"], "v"), "over_all": ([], "w")}).collect()}
+    got = {r["id"]: r for r in R.ranks_min_desc(df, {"in_g": (["g"], "v"), "over_all": ([], "w")}, id_col=by_id).collect()}
     pdf = pd.DataFrame(rows, columns=["id", "g", "v", "w"]).fillna({"g": "<null>"})
     for i, a, b in zip(pdf["id"], pdf.groupby("g")["v"].rank(ascending=False, method="min"), pdf["w"].rank(ascending=False, method="min")):
         assert (got[i]["in_g"] is None) if pd.isna(a) else got[i]["in_g"] == a
         assert got[i]["over_all"] == b
-    none = R.ranks_min_desc(df.where("id < 0"), {"in_g": (["g"], "v")})
+    assert len(got) == len(rows)
+    none = R.ranks_min_desc(df.where("id < 0"), {"in_g": (["g"], "v")}, id_col=by_id)
     assert none.columns == ["id", "g", "v", "w", "in_g"] and none.count() == 0
 
 
