@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import nan_to_null, r9, round_half_even
 from ..functions.text import money_label
 from ..operators import aggregates as A
-from ..operators.rank import attach_positions, avg_rank_pct_expr, floor_ntile, top_per_group
+from ..operators.rank import attach_positions, attach_stacked, avg_rank_pct_expr, floor_ntile, top_per_group
 from ..session import materialize
 
 
@@ -101,24 +101,40 @@ def club_free(now) -> Column:
     return now.isNull() | (F.trim(now) == "")
 
 
+def _tail_counts() -> list[Column]:
+    return [F.count_if("top").alias("n_top"), F.count_if(F.col("top") & F.col("moved")).alias("moved_top"),
+            F.count_if(~F.col("top")).alias("n_rest"), F.count_if(~F.col("top") & F.col("moved")).alias("moved_rest")]
+
+
 def top_decile_test(cand: DataFrame, q: float = 0.90) -> DataFrame:
     """A14 + A15: moved share in the top of the index vs the rest, with a z-test."""
-    cut = A.quantile_cut(cand, "idx", q)
-    agg = cut.agg(F.max("cut").alias("cut"),
-                  F.count_if("top").alias("n_top"), F.count_if(F.col("top") & F.col("moved")).alias("moved_top"),
-                  F.count_if(~F.col("top")).alias("n_rest"),
-                  F.count_if(~F.col("top") & F.col("moved")).alias("moved_rest"))
+    agg = A.quantile_cut(cand, "idx", q).agg(F.max("cut").alias("cut"), *_tail_counts())
     z, p = A.two_proportion("moved_top", "n_top", "moved_rest", "n_rest")
     return agg.withColumn("z", r9(z)).withColumn("p_value", r9(p))
 
 
-def validation(cand: DataFrame, q: float = 0.90) -> DataFrame:
-    """The report's validation record (one row)."""
-    t = top_decile_test(cand, q)
-    priced = cand.where(F.col("priced"))
-    rho = A.spearman(priced, "idx", "market_value", "player_id").select(F.col("rho").alias("_rho"))
-    cover = cand.agg(F.count_if("priced").alias("nWithMv"), F.count(F.lit(1)).alias("_n"))
-    j = t.crossJoin(rho).crossJoin(cover)
+def validation(cand: DataFrame, q: float = 0.90, id_col: str = "player_id") -> DataFrame:
+    """The report's validation record (one row); ``id_col`` is unique.
+
+    The candidates are read once, for six narrow columns. One stacked pass over these gives the
+    positions behind the cut and behind both ranks of the correlation, and one
+    aggregate beside the cut every figure.
+    """
+    both = F.col("priced") & F.col("idx").isNotNull() & F.col("market_value").isNotNull()
+    rows = materialize(cand.select(id_col, "idx", "moved", "priced", F.when(both, F.col("idx")).alias("_x"),
+                                   F.when(both, F.col("market_value")).alias("_y")), "validation")
+    placed = materialize(attach_stacked(rows, {"_all": ([], "idx"), "_px": ([], "_x"), "_py": ([], "_y")},
+                                        F.struct("below", "ties", "n"), id_col=id_col), "validation")
+    h = (F.col("_all.n") - 1) * F.lit(float(q))
+    at = lambda i: F.max(F.when((F.col("_all.below") <= i) & (i < F.col("_all.below") + F.col("_all.ties")), F.col("idx")))
+    cut = placed.agg(at(F.floor(h)).alias("_lo"), at(F.ceil(h)).alias("_hi"), F.max(h - F.floor(h)).alias("_frac")).select(
+        (F.col("_lo") + F.col("_frac") * (F.col("_hi") - F.col("_lo"))).alias("cut"))
+    mean_rank = lambda c: F.col(f"{c}.below") + (F.col(f"{c}.ties") + 1) / 2.0
+    j = placed.crossJoin(F.broadcast(cut)).withColumn("top", F.col("idx") >= F.col("cut")).agg(
+        *_tail_counts(), r9(A.safe_corr(mean_rank("_px"), mean_rank("_py"))).alias("_rho"),
+        F.count_if("priced").alias("nWithMv"), F.count(F.lit(1)).alias("_n"))
+    _, p = A.two_proportion("moved_top", "n_top", "moved_rest", "n_rest")
+    j = j.withColumn("p_value", r9(p))
     pct = lambda a, b: F.when(F.col(b) > 0, round_half_even(F.lit(100.0) * F.col(a) / F.col(b), 1))
     return j.select(
         F.col("n_top").alias("nTop"),
