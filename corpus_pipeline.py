@@ -55,8 +55,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_rules", quality), ("line_dedup", lines), ("minhash_near_dedup", near_dedup), ("source_mix", mix), ("sentencepiece", encode)]
 
-#: Signatures, a trained model and the tokenizer can't be stated in SQL. Tests check the ids after the first three stages, and
-#: columns and row count of run(), on hand-made rows without labels; token counts and digests are held against nothing.
+#: Signatures, a trained model and the tokenizer can't be stated in SQL. Tests hold run() against a brute-force version on a small
+#: labelled fixture (verdicts are those of the quality query): lines, groups, repetitions, token counts and digests.
 ORACLE_SQL = None
 
 
