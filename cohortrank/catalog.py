@@ -327,8 +327,8 @@ def q_top_per_group(spark, sf):
 
 
 def q_payload(spark, sf):
-    """One flat row per candidate; its radar is the ``radar`` query's."""
-    return R.payload_players(_cand(spark, sf)).drop("radar")
+    """One flat row per candidate, its radar array (X23) included."""
+    return R.payload_players(_cand(spark, sf))
 
 
 def q_payload_json(spark, sf):
